@@ -61,5 +61,6 @@ def load_all() -> dict[str, Entry]:
     # importing the query modules fills CATALOG
     from emberwatch.plans import (  # noqa: F401
         q_detect,
+        q_serve,
     )
     return CATALOG
