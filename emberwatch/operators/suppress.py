@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_UNTIL = "__until"
+_UNTIL = "__lock_end"
 
 
 def _fold(keys: Sequence[str], ts: str, until: str):

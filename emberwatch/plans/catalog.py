@@ -62,5 +62,6 @@ def load_all() -> dict[str, Entry]:
     from emberwatch.plans import (  # noqa: F401
         q_detect,
         q_serve,
+        q_correlate,
     )
     return CATALOG

@@ -73,10 +73,15 @@ def _anomaly_select(window_ms: int = K.BASELINE_WINDOW * 10 * 1000) -> str:
         printf('%s deviation: %.1fσ above baseline', metric_name, round(zscore, 1)) AS description"""
 
 
-def detect_sql(gap_s: float, ttl_s: float) -> str:
+def anomalies_body(gap_s: float, ttl_s: float) -> str:
+    """D-13 as SQL over a `metrics` CTE."""
     kept = suppress_sql(_spikes_sql(gap_s), keys=["source_service", "anomaly_type", "metric_name"],
                         tie="event_id", ttl_ms=int(ttl_s * 1000))
-    return A.with_adapters(f"SELECT {_anomaly_select()} FROM {kept}", "metrics")
+    return f"SELECT {_anomaly_select()} FROM {kept}"
+
+
+def detect_sql(gap_s: float, ttl_s: float) -> str:
+    return A.with_adapters(anomalies_body(gap_s, ttl_s), "metrics")
 
 
 _ANOM_DOUBLES = ("observed_value", "baseline_value", "deviation_sigma", "anomaly_score",

@@ -416,7 +416,8 @@ ADAPTER_SQL = {
 }
 
 
-def with_adapters(sql: str, *names: str) -> str:
-    """Prefix a query with the adapter CTEs it names."""
-    ctes = ",\n".join(f"{n} AS ({ADAPTER_SQL[n]})" for n in names)
-    return f"WITH {ctes}\n{sql}"
+def with_adapters(sql: str, *names: str, extra: dict[str, str] | None = None) -> str:
+    """Prefix a query with the adapter CTEs it names, then any extra named CTEs (in order)."""
+    parts = [f"{n} AS ({ADAPTER_SQL[n]})" for n in names]
+    parts += [f"{n} AS ({body})" for n, body in (extra or {}).items()]
+    return "WITH " + ",\n".join(parts) + "\n" + sql
