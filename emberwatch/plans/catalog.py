@@ -63,5 +63,6 @@ def load_all() -> dict[str, Entry]:
         q_detect,
         q_serve,
         q_correlate,
+        q_knowledge,
     )
     return CATALOG

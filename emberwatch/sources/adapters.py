@@ -183,8 +183,10 @@ def postmortems(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("incident_id"),
         F.concat(F.lit("Postmortem INC-"), key.cast("string")).alias("title"),
         F.concat(F.lit("# Postmortem\n\n## Executive Summary\n\nIncident "), key.cast("string"),
-                 F.lit(" was resolved.\n  Impact was limited.\n\n## Root Cause\n\ncause "),
-                 (key % 9).cast("string"), F.lit("\n")).alias("full_markdown"),
+                 F.lit(" was resolved.\n  Impact was limited.\n\n## Contributing Factors\n\n- factor "),
+                 (key % 7).cast("string"), F.lit("\n- Action owner: team "), (key % 3).cast("string"),
+                 F.lit("\n\n## Preventative Actions\n\n- add alert "), (key % 5).cast("string"),
+                 F.lit("\n\n## Root Cause\n\ncause "), (key % 9).cast("string"), F.lit("\n")).alias("full_markdown"),
         F.concat(F.lit("Summary for incident "), key.cast("string")).alias("executive_summary"),
         F.concat(F.lit("cause "), (key % 9).cast("string")).alias("root_cause"),
         ((key % 240)).cast("double").alias("mttr_minutes"),
@@ -375,6 +377,10 @@ ADAPTER_SQL = {
     "postmortems": """SELECT o_orderkey AS incident_id, 'Postmortem INC-' || o_orderkey::VARCHAR AS title,
         '# Postmortem' || chr(10) || chr(10) || '## Executive Summary' || chr(10) || chr(10) || 'Incident '
             || o_orderkey::VARCHAR || ' was resolved.' || chr(10) || '  Impact was limited.' || chr(10) || chr(10)
+            || '## Contributing Factors' || chr(10) || chr(10) || '- factor ' || (o_orderkey % 7)::VARCHAR || chr(10)
+            || '- Action owner: team ' || (o_orderkey % 3)::VARCHAR || chr(10) || chr(10)
+            || '## Preventative Actions' || chr(10) || chr(10) || '- add alert ' || (o_orderkey % 5)::VARCHAR
+            || chr(10) || chr(10)
             || '## Root Cause' || chr(10) || chr(10) || 'cause ' || (o_orderkey % 9)::VARCHAR || chr(10)
             AS full_markdown,
         'Summary for incident ' || o_orderkey::VARCHAR AS executive_summary,
@@ -420,4 +426,6 @@ def with_adapters(sql: str, *names: str, extra: dict[str, str] | None = None) ->
     """Prefix a query with the adapter CTEs it names, then any extra named CTEs (in order)."""
     parts = [f"{n} AS ({ADAPTER_SQL[n]})" for n in names]
     parts += [f"{n} AS ({body})" for n, body in (extra or {}).items()]
+    if not parts:
+        return sql
     return "WITH " + ",\n".join(parts) + "\n" + sql
