@@ -64,5 +64,6 @@ def load_all() -> dict[str, Entry]:
         q_serve,
         q_correlate,
         q_knowledge,
+        q_retrieve,
     )
     return CATALOG

@@ -202,6 +202,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         (vid / 4).cast("long").alias("doc_id"),
         svc("label").alias("service_name"),
         _pick(K.ANOMALY_TYPES[:6], F.col("label") % 6).alias("anomaly_type"),
+        _pick(K.BUDGET_ORDER, F.col("label") % 5).alias("collection"),
         F.lit("production").alias("environment"),
         (vid % 5 != 0).alias("resolved"),
         (vid * 3600).alias("epoch"),
@@ -217,8 +218,9 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     vid = F.col("vec_id")
     return e.select(
         vid.alias("query_id"),
-        svc(F.col("label") + 1).alias("service_name"),
-        _pick(K.ANOMALY_TYPES[:6], F.col("label") % 6).alias("anomaly_type"),
+        svc(F.col("label") + 1).alias("q_service"),
+        F.array(svc(F.col("label") + 1)).alias("affected_services"),
+        _pick(K.ANOMALY_TYPES[:6], F.col("label") % 6).alias("q_type"),
         (vid * 3600 + 7200).alias("query_epoch"),
         F.col("embedding").alias("query_vec"),
     )
@@ -284,6 +286,7 @@ def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SVC_SQL = "[" + ", ".join(f"'{s}'" for s in K.SERVICES) + "]"
 _TYPES6_SQL = "[" + ", ".join(f"'{s}'" for s in K.ANOMALY_TYPES[:6]) + "]"
+_COLL_SQL = "[" + ", ".join(f"'{s}'" for s in K.BUDGET_ORDER) + "]"
 _METRICS5_SQL = "[" + ", ".join(f"'{s}'" for s in K.METRIC_NAMES[:5]) + "]"
 _EPOCH = "epoch_ms({})"
 
@@ -388,12 +391,14 @@ ADAPTER_SQL = {
         (o_orderkey % 240)::DOUBLE AS mttr_minutes, (epoch_us(o_orderdate) // 1000) AS generated_at
         FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0""",
     "vectors": f"""SELECT vec_id AS chunk_id, vec_id // 4 AS doc_id, {_svc_sql('label')} AS service_name,
-        {_TYPES6_SQL}[(label % 6) + 1] AS anomaly_type, 'production' AS environment,
+        {_TYPES6_SQL}[(label % 6) + 1] AS anomaly_type,
+        {_COLL_SQL}[(label % 5) + 1] AS collection, 'production' AS environment,
         vec_id % 5 <> 0 AS resolved, vec_id * 3600 AS epoch,
         'chunk ' || vec_id::VARCHAR || ' of doc ' || (vec_id // 4)::VARCHAR AS content, embedding
         FROM embeddings""",
-    "vector_queries": f"""SELECT vec_id AS query_id, {_svc_sql('label + 1')} AS service_name,
-        {_TYPES6_SQL}[(label % 6) + 1] AS anomaly_type, vec_id * 3600 + 7200 AS query_epoch,
+    "vector_queries": f"""SELECT vec_id AS query_id, {_svc_sql('label + 1')} AS q_service,
+        [{_svc_sql('label + 1')}] AS affected_services,
+        {_TYPES6_SQL}[(label % 6) + 1] AS q_type, vec_id * 3600 + 7200 AS query_epoch,
         embedding AS query_vec
         FROM embeddings WHERE vec_id % 50 = 0""",
     "markdown_docs": f"""SELECT 'doc-' || doc_id::VARCHAR AS stem,
