@@ -65,5 +65,7 @@ def load_all() -> dict[str, Entry]:
         q_correlate,
         q_knowledge,
         q_retrieve,
+        q_score,
+        q_notify,
     )
     return CATALOG
