@@ -67,5 +67,7 @@ def load_all() -> dict[str, Entry]:
         q_retrieve,
         q_score,
         q_notify,
+        q_ingest,
+        q_events,
     )
     return CATALOG
