@@ -69,5 +69,6 @@ def load_all() -> dict[str, Entry]:
         q_notify,
         q_ingest,
         q_events,
+        q_stream,
     )
     return CATALOG
