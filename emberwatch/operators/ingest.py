@@ -52,7 +52,8 @@ def flatten_streams(df: DataFrame, *, labels: str = "labels", values: str = "val
     ns = F.col("pair").getItem(0).cast("long")
     line = F.col("pair").getItem(1)
     return rows.select(service_label(labels).alias("service"), F.col("pos").cast("long").alias("pos"),
-                       ns.alias("ts_ns"), (ns / 1_000_000).cast("long").alias("ts"), detect_level(line).alias("level"),
+                       ns.alias("ts_ns"), F.expr("cast(pair[0] as bigint) div 1000000").alias("ts"),
+                       detect_level(line).alias("level"),
                        F.substring(line, 1, 500).alias("message"))
 
 

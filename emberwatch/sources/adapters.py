@@ -128,7 +128,7 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(has_rca, F.concat(F.lit("cause "), (key % 9).cast("string"))).alias("top_root_cause"),
         F.when(has_rca, (key % 101) / F.lit(100.0)).alias("rca_confidence"),
         _pick(K.METRIC_NAMES[:5], key % 5).alias("trigger_metric"),
-        F.round(F.col("o_totalprice") / 1000.0, 2).alias("baseline_value"),
+        (F.col("o_totalprice") / 1000.0).alias("baseline_value"),
         F.concat(F.lit("incident "), key.cast("string")).alias("description"),
     )
 
@@ -276,7 +276,7 @@ def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(flag == "R", "RESOLVED").when(flag == "A", "RCA_COMPLETE").alias("status"),
         F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("cause "), F.col("l_partkey").cast("string")))
         .alias("top_root_cause"),
-        F.when(F.col("l_linenumber") % 3 == 0, F.round(F.col("l_discount") * 10, 2)).alias("rca_confidence"),
+        F.when(F.col("l_linenumber") % 3 == 0, (F.col("l_discount") * 10)).alias("rca_confidence"),
         F.when(flag == "R", epoch_ms("l_shipdate")).alias("resolution_time"),
         F.lit("LOW").alias("severity"),
     )
@@ -349,7 +349,7 @@ ADAPTER_SQL = {
         CASE WHEN o_orderstatus <> 'O' THEN 'cause ' || (o_orderkey % 9)::VARCHAR END AS top_root_cause,
         CASE WHEN o_orderstatus <> 'O' THEN (o_orderkey % 101) / 100.0 END AS rca_confidence,
         {_METRICS5_SQL}[(o_orderkey % 5) + 1] AS trigger_metric,
-        round(o_totalprice / 1000.0, 2) AS baseline_value,
+        o_totalprice / 1000.0 AS baseline_value,
         'incident ' || o_orderkey::VARCHAR AS description
         FROM orders""",
     "agent_events": f"""SELECT concat_ws('-', l_orderkey::VARCHAR, l_partkey::VARCHAR, l_suppkey::VARCHAR,
@@ -420,7 +420,7 @@ ADAPTER_SQL = {
         l_suppkey AS seq_supp, l_linenumber::BIGINT AS seq_line,
         CASE l_returnflag WHEN 'R' THEN 'RESOLVED' WHEN 'A' THEN 'RCA_COMPLETE' END AS status,
         CASE WHEN l_linenumber % 2 = 0 THEN 'cause ' || l_partkey::VARCHAR END AS top_root_cause,
-        CASE WHEN l_linenumber % 3 = 0 THEN round(l_discount * 10, 2) END AS rca_confidence,
+        CASE WHEN l_linenumber % 3 = 0 THEN l_discount * 10 END AS rca_confidence,
         CASE WHEN l_returnflag = 'R' THEN (epoch_us(l_shipdate) // 1000) END AS resolution_time,
         'LOW' AS severity
         FROM lineitem""",
