@@ -38,3 +38,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def materialize(df):
+    """Cut lineage for a small intermediate that several branches read: a reliable checkpoint into the
+    cluster's shared checkpoint folder (survives executor loss; never a local checkpoint)."""
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)  # so writing the checkpoint does not recompute the plan
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
+
+
+def reuse(df):
+    """Compute a small intermediate once for several branches of one plan: persist (memory, spill to disk)
+    and fill it eagerly. Lost blocks are recomputed from lineage, so this is safe under executor loss."""
+    from pyspark import StorageLevel
+
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    held.count()
+    return held

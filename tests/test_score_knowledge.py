@@ -79,7 +79,7 @@ def test_packing_matches_python_rule(spark):
     paras = [("p%d " % i) * (37 * (i % 5 + 1)) for i in range(12)]
     section = "## S\n\n" + "\n\n".join(paras)
     cur, expect = "", []
-    for p in section.split("\n\n"):
+    for p in section.strip().split("\n\n"):
         if (len(cur) + len(p)) / 4 <= 100:
             cur = (cur + "\n\n" + p).strip()
         else:
