@@ -110,5 +110,7 @@ def exec_summary(markdown: str | Column) -> Column:
     after = F.when(start > 0, F.slice(lines, start.cast("int") + 1, F.size(lines))).otherwise(F.array())
     stop = F.array_position(F.transform(after, lambda l: l.startswith("##")), True)
     body = F.when(stop > 0, F.slice(after, 1, stop.cast("int") - 1)).otherwise(after)
-    kept = F.filter(F.transform(body, lambda l: F.trim(l)), lambda l: l != "")
+    from emberwatch.operators.knowledge import pystrip
+
+    kept = F.filter(F.transform(body, lambda l: pystrip(l)), lambda l: l != "")
     return F.when(F.size(kept) > 0, F.concat(F.array_join(kept, " "), F.lit(" "))).otherwise(F.lit(""))

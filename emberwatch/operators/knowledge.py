@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 from emberwatch.functions.columns import doc_hash, point_id
 from emberwatch.operators.tables import insert_if_absent
 
-# Fixed value: the characters Python's str.strip() removes (str.isspace), as a regex class
-# valid in both Java regex and RE2.
-WS = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-STRIP_RE = rf"^{WS}+|{WS}+\z"
+# Fixed value: the characters Python's str.strip() removes (str.isspace), in code point order.
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+WS_SQL = " || ".join(f"chr({ord(c)})" for c in WS_CHARS)  # the same set as a DuckDB string expression
 SECTION_RE = r"(?md)(?=^#{2,3} )"
 # Fixed value: the line breaks Python's str.splitlines() splits on.
 LINES_RE = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
 def pystrip(c: Column) -> Column:
-    return F.regexp_replace(c, STRIP_RE, "")
+    """Python's str.strip(): trim the whitespace set from both ends (no regex scan of the text)."""
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def front_matter(df: DataFrame, *, text: str = "text") -> DataFrame:
@@ -36,7 +37,7 @@ def front_matter(df: DataFrame, *, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(fm, LINES_RE), lambda l: l.contains(":"))
     entries = F.transform(lines, lambda l: F.struct(
         pystrip(F.substring_index(l, ":", 1)).alias("key"),
-        F.regexp_replace(pystrip(F.substring(l, F.instr(l, ":") + 1, 1 << 30)), r'^"+|"+\z', "").alias("value")))
+        F.trim(pystrip(F.substring(l, F.instr(l, ":") + 1, 1 << 30)), F.lit('"')).alias("value")))
     # keep the last occurrence of each key (Python dict assignment order)
     uniq = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, 1 << 30),
                                                      lambda x: x["key"] == e["key"]))
@@ -79,17 +80,21 @@ def _pack_expr(section: Column, max_tokens: int) -> Column:
     return F.when(F.length(section) <= limit, F.array(section)).otherwise(packed)
 
 
+def chunk_array(body: Column, max_tokens: int = 400) -> Column:
+    """K-02 + K-03 as one per-document expression: the non-empty stripped sections, each kept whole when
+    it fits (chars/4 <= max_tokens) or packed greedily by paragraph, flattened in document order; a
+    document with no chunk falls back to its first 1600 characters. Row-local: no shuffle, no join."""
+    secs = F.filter(F.transform(F.split(body, SECTION_RE), lambda x: pystrip(x)), lambda x: x != "")
+    pieces = F.flatten(F.transform(secs, lambda x: _pack_expr(x, max_tokens)))
+    return F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.substring(body, 1, 1600)))
+
+
 def pack(df: DataFrame, *, max_tokens: int = 400, key: str = "stem", body: str = "body") -> DataFrame:
-    """K-02 + K-03: chunk each document by sections; sections over max_tokens (chars/4) are packed
-    greedily by paragraph. A document with no chunk falls back to its first 1600 characters.
-    Output: one row per chunk with `chunk_index` (0-based, in document order) and `chunk`."""
-    sec = sections(df.select(key, body), body=body)
-    per = sec.select(key, "section_idx", F.posexplode(_pack_expr(F.col("section"), max_tokens)).alias("sub", "chunk"))
-    w = Window.partitionBy(key).orderBy("section_idx", "sub")
-    chunks = per.withColumn("chunk_index", (F.row_number().over(w) - 1).cast("long")).select(key, "chunk_index", "chunk")
-    empty = (df.select(key, body).join(chunks.select(key).distinct(), key, "left_anti")
-               .select(key, F.lit(0).cast("long").alias("chunk_index"), F.substring(body, 1, 1600).alias("chunk")))
-    return chunks.unionByName(empty)
+    """K-02 + K-03: one row per chunk with `chunk_index` (0-based, in document order) and `chunk`;
+    the other columns of `df` (except the body) are carried along."""
+    rest = [c for c in df.columns if c != body]
+    return df.select(*rest, F.posexplode(chunk_array(F.col(body), max_tokens)).alias("chunk_index", "chunk"))\
+             .withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
 def with_ids(df: DataFrame, name: Column) -> DataFrame:
@@ -106,8 +111,7 @@ def runbook_chunks(docs: DataFrame, *, max_tokens: int = 400) -> DataFrame:
                      meta_list("meta", "anomaly_types").alias("anomaly_types"),
                      meta_list("meta", "services").alias("services"),
                      meta_list("meta", "tags").alias("tags"))
-    ch = pack(meta.select("stem", "body"), max_tokens=max_tokens).where(pystrip(F.col("chunk")) != "")
-    out = ch.join(meta.drop("body"), "stem")
+    out = pack(meta, max_tokens=max_tokens).where(pystrip(F.col("chunk")) != "")
     out = with_ids(out, F.concat(F.col("stem"), F.lit(":chunk"), F.col("chunk_index").cast("string")))
     return out.withColumn("content", F.substring("chunk", 1, 800)).withColumn("collection", F.lit("runbooks"))
 

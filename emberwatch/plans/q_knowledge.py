@@ -10,12 +10,11 @@ from emberwatch.operators.serve import mttr_col
 from emberwatch.plans.catalog import register
 from emberwatch.sources import adapters as A
 
-_STRIP = KN.STRIP_RE
 _SENT = "chr(1114109)"  # U+10FFFD, a private-use sentinel for the section split
 
 
 def strip_sql(x: str) -> str:
-    return f"regexp_replace({x}, '{_STRIP}', '', 'g')"
+    return f"trim({x}, {KN.WS_SQL})"
 
 
 _FM_SQL = f"""SELECT stem, text, closed,
@@ -27,7 +26,7 @@ _FM_SQL = f"""SELECT stem, text, closed,
 _ENTRIES_SQL = f"""SELECT *, list_transform(
         list_filter(regexp_split_to_array(fm, '{KN.LINES_RE}'), lambda l: contains(l, ':')),
         lambda l: {{'key': {strip_sql("split_part(l, ':', 1)")},
-                   'value': regexp_replace({strip_sql("substr(l, strpos(l, ':') + 1)")}, '^"+|"+\\z', '', 'g')}})
+                   'value': trim({strip_sql("substr(l, strpos(l, ':') + 1)")}, '"')}})
         AS entries FROM ({_FM_SQL})"""
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberwatch import constants as K
 from emberwatch.functions.columns import exec_summary, time_label
+from emberwatch.operators.knowledge import WS_SQL
 from emberwatch.operators import detect as D
 from emberwatch.operators import notify as N
 from emberwatch.operators.serve import mttr_col
@@ -121,13 +122,9 @@ def q_subject(spark, sf):
     return r.select("incident_id", "kind", N.subject().alias("subject"))
 
 
-_STRIP = r"^[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+" \
-         r"|[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+\z"
-
-
 @register("n03_exec_summary", A.with_adapters(f"""
     SELECT incident_id, CASE WHEN len(kept) > 0 THEN array_to_string(kept, ' ') || ' ' ELSE '' END AS exec_summary
-    FROM (SELECT incident_id, list_filter(list_transform(body, lambda l: regexp_replace(l, '{_STRIP}', '', 'g')),
+    FROM (SELECT incident_id, list_filter(list_transform(body, lambda l: trim(l, {WS_SQL})),
                                           lambda l: l <> '') AS kept
           FROM (SELECT incident_id, CASE WHEN stop > 0 THEN after[1:stop - 1] ELSE after END AS body
                 FROM (SELECT incident_id, after, coalesce(list_position(list_transform(after,
