@@ -252,7 +252,8 @@ def incident_lock(anoms: DataFrame, recoveries: DataFrame | None = None, *, ttl_
         a = a.withColumn("__until", F.least(F.col("detection_time") + F.lit(int(ttl_s * 1000)),
                                             F.coalesce(F.col("__released"), F.col("detection_time")
                                                        + F.lit(int(ttl_s * 1000)))))
-        kept = suppress(a, keys=["source_service"], ts="detection_time", tie="incident_id", until="__until")
+        kept = suppress(a, keys=["source_service"], ts="detection_time", tie="incident_id", until="__until",
+                        ttl_s=ttl_s)
         return kept.drop("__released", "__until")
     return suppress(a, keys=["source_service"], ts="detection_time", tie="incident_id", ttl_s=ttl_s)
 

@@ -1,10 +1,18 @@
 """D-06 TTL suppression and C-01 incident lock: "keep a row if ts >= the lock end of the last kept row".
 
 This is a sequential recurrence (it depends on the last *kept* row), so it is not a window function and
-not `dropDuplicatesWithinWatermark`. Plan: one shuffle on the keys, a sort within each partition (spills,
-never holds a whole key in memory), then a streaming `mapInPandas` fold that carries (key, lock end) across
-Arrow batches. Inside a batch the next kept row is found with `searchsorted`, so Python steps only over
-kept rows. Work per key is linear and memory per task is one Arrow batch.
+not `dropDuplicatesWithinWatermark`. To keep a hot key (say a third of all rows) from landing in one
+task, the work is split exactly by time bucket (width >= the longest lock):
+
+A. per (key, bucket), in parallel: for every row, the lock end its kept-chain leaves at the bucket's end
+   (pointer jumping over "next row at or after my lock end", vectorised with numpy). Only rows in the
+   first lock-span of a bucket can be reached from an earlier bucket, so each bucket emits a compressed
+   step function  entry lock end -> exit lock end  (a handful of rows).
+B. per key: fold the step functions in bucket order (tiny input) -> the entry lock end of each bucket.
+C. per (key, bucket), in parallel: join the entry back and run the forward fold from it.
+
+Rows are shuffled once on (key, bucket) (the exchange is reused by A and C), sorted within partitions
+(spills), and streamed through Arrow batches; memory per task is one bucket, never one key.
 """
 
 from __future__ import annotations
@@ -15,68 +23,154 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_LOCK = "__lock_end"
+_B = "__bucket"
+_ENTRY = "__entry"
+_NO_ENTRY = np.iinfo(np.int64).min
+DEFAULT_BUCKET_S = 3600
+
+
+def _segments(pdf: pd.DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Start/end offsets of runs of equal `cols` in a frame sorted by them."""
+    n = len(pdf)
+    change = np.ones(n, dtype=bool)
+    if n > 1:
+        same = np.ones(n - 1, dtype=bool)
+        for c in cols:
+            v = pdf[c].to_numpy()
+            a, b = v[1:], v[:-1]
+            same &= (a == b) | (pd.isna(a) & pd.isna(b))
+        change[1:] = ~same
+    starts = np.flatnonzero(change)
+    return starts, np.append(starts[1:], n)
+
+
+def _by_segment(batches: Iterator[pd.DataFrame], cols: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """Regroup a sorted batch stream into whole segments (a segment may span Arrow batches)."""
+    pending = None
+    for pdf in batches:
+        if len(pdf) == 0:
+            continue
+        if pending is not None:
+            pdf = pd.concat([pending, pdf], ignore_index=True)
+        starts, ends = _segments(pdf, cols)
+        for s, e in zip(starts[:-1], ends[:-1]):
+            yield pdf.iloc[s:e]
+        pending = pdf.iloc[starts[-1]:].reset_index(drop=True)
+    if pending is not None and len(pending):
+        yield pending
+
+
+def _chain_exits(tsv: np.ndarray, lock: np.ndarray) -> np.ndarray:
+    """exit[i] = lock end left by the greedy chain that keeps row i (pointer jumping, O(m log m))."""
+    m = len(tsv)
+    nxt = np.searchsorted(tsv, lock, side="left")
+    last = np.where(nxt < m, nxt, np.arange(m))
+    while True:
+        jumped = last[last]
+        if np.array_equal(jumped, last):
+            break
+        last = jumped
+    return lock[last]
 
-_UNTIL = "__lock_end"
 
+def _phase_a(keys: Sequence[str], ts: str, width: int, span: int):
+    seg_cols = list(keys) + [_B]
 
-def _fold(keys: Sequence[str], ts: str, until: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carried_key = None
-        carried_until = None
+    def run(batches):
+        for seg in _by_segment(batches, seg_cols):
+            tsv = seg[ts].to_numpy(dtype=np.int64)
+            lock = seg[_LOCK].to_numpy(dtype=np.int64)
+            exits = _chain_exits(tsv, lock)
+            bstart = int(seg[_B].iloc[0]) * width
+            head = int(np.searchsorted(tsv, bstart + span, side="left"))
+            last = min(head, len(tsv) - 1)  # head rows plus the first row after the head
+            cand_ts, cand_exit = tsv[: last + 1], exits[: last + 1]
+            keep = np.append(cand_exit[:-1] != cand_exit[1:], True)  # last of each run of equal exits
+            out = pd.DataFrame({c: seg[c].iloc[0] for c in seg_cols}, index=range(int(keep.sum())))
+            out["cand_ts"] = cand_ts[keep]
+            out["cand_exit"] = cand_exit[keep]
+            yield out
+    return run
+
+
+def _phase_b(keys: Sequence[str]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([_B, "cand_ts"], kind="stable")
+        entry = None
+        rows = []
+        for b, g in pdf.groupby(_B, sort=True):
+            rows.append((b, _NO_ENTRY if entry is None else entry))
+            cts = g["cand_ts"].to_numpy(dtype=np.int64)
+            i = 0 if entry is None else int(np.searchsorted(cts, entry, side="left"))
+            if i < len(cts):
+                entry = int(g["cand_exit"].to_numpy(dtype=np.int64)[i])
+        out = pd.DataFrame(rows, columns=[_B, _ENTRY])
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[list(keys) + [_B, _ENTRY]]
+    return run
+
+
+def _phase_c(keys: Sequence[str], ts: str, out_cols: Sequence[str]):
+    seg_cols = list(keys) + [_B]
+
+    def run(batches):
+        carried_seg, carried = None, None
         for pdf in batches:
-            n = len(pdf)
-            if n == 0:
+            if len(pdf) == 0:
                 continue
-            key_frame = pdf[list(keys)]
-            key_tuples = list(key_frame.itertuples(index=False, name=None))
-            # segment starts: rows whose key differs from the row before
-            change = np.ones(n, dtype=bool)
-            if n > 1:
-                same = np.ones(n - 1, dtype=bool)
-                for k in keys:
-                    col = pdf[k].to_numpy()
-                    a, b = col[1:], col[:-1]
-                    eq = (a == b) | (pd.isna(a) & pd.isna(b))
-                    same &= eq
-                change[1:] = ~same
-            starts = np.flatnonzero(change)
-            ends = np.append(starts[1:], n)
+            starts, ends = _segments(pdf, seg_cols)
             tsv = pdf[ts].to_numpy(dtype=np.int64)
-            unt = pdf[until].to_numpy(dtype=np.int64)
-            keep = np.zeros(n, dtype=bool)
+            lock = pdf[_LOCK].to_numpy(dtype=np.int64)
+            entry = pdf[_ENTRY].to_numpy(dtype=np.int64)
+            seg_ids = list(pdf[seg_cols].itertuples(index=False, name=None))
+            keep = np.zeros(len(pdf), dtype=bool)
             for s, e in zip(starts, ends):
-                k = key_tuples[s]
+                sid = seg_ids[s]
+                threshold = carried if (carried_seg is not None and sid == carried_seg) else entry[s]
                 seg = tsv[s:e]
-                if carried_key is not None and k == carried_key:
-                    i = int(np.searchsorted(seg, carried_until, side="left"))
-                else:
-                    i = 0
-                last_until = carried_until if (carried_key is not None and k == carried_key) else None
+                i = 0 if threshold == _NO_ENTRY else int(np.searchsorted(seg, threshold, side="left"))
+                held = threshold
                 while i < e - s:
                     keep[s + i] = True
-                    last_until = int(unt[s + i])
-                    # lock ends are > ts (see `suppress`), so this always moves forward
-                    i = int(np.searchsorted(seg, last_until, side="left"))
-                carried_key, carried_until = k, last_until
+                    held = int(lock[s + i])
+                    i = int(np.searchsorted(seg, held, side="left"))  # lock ends are > ts: moves forward
+                carried_seg, carried = sid, held
             out = pdf[keep]
             if len(out):
-                yield out.drop(columns=[until])
+                yield out[list(out_cols)]
     return run
 
 
 def suppress(df: DataFrame, *, keys: Sequence[str], ts: str = "ts", tie: str | None = None,
-             ttl_s: float = 300, until: str | None = None) -> DataFrame:
-    """D-06: keep a row when ts >= lock end of the last kept row of its key; lock end = ts + ttl,
-    or the `until` column when given (C-01 passes min(ts + ttl, release time)). Suppressed rows
-    do not extend the lock. Order is (ts, tie)."""
+             ttl_s: float = 300, until: str | None = None, bucket_s: float = DEFAULT_BUCKET_S) -> DataFrame:
+    """D-06: keep a row when ts >= the lock end of the last kept row of its key; lock end = ts + ttl,
+    or the `until` column when given (C-01 passes min(ts + ttl, release time), which never exceeds
+    ts + ttl). Suppressed rows do not extend the lock. Order is (ts, tie). `bucket_s` sets the time
+    bucket that splits a key across tasks (raised to the lock span when smaller)."""
     ttl_ms = int(ttl_s * 1000)
+    span = max(ttl_ms, 1)
+    width = max(span, int(bucket_s * 1000))
     lock = F.col(until) if until else (F.col(ts) + F.lit(ttl_ms))
-    # a lock must end after its own row, or the fold could not advance
-    lock = F.greatest(lock.cast("long"), F.col(ts) + F.lit(1))
-    staged = df.withColumn(_UNTIL, lock)
+    lock = F.least(F.greatest(lock.cast("long"), F.col(ts) + F.lit(1)), F.col(ts) + F.lit(span))
     order = [ts] + ([tie] if tie else [])
-    staged = staged.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return staged.mapInPandas(_fold(list(keys), ts, _UNTIL), schema=df.schema)
+    seg = list(keys) + [_B]
+    staged = (df.withColumn(_LOCK, lock).withColumn(_B, F.floor(F.col(ts) / F.lit(width)).cast("long"))
+                .repartition(*seg).sortWithinPartitions(*seg, *order))
+
+    key_fields = [df.schema[k] for k in keys]
+    a_schema = T.StructType(key_fields + [T.StructField(_B, T.LongType()), T.StructField("cand_ts", T.LongType()),
+                                          T.StructField("cand_exit", T.LongType())])
+    summaries = staged.select(*seg, ts, _LOCK).mapInPandas(_phase_a(keys, ts, width, span), schema=a_schema)
+    e_schema = T.StructType(key_fields + [T.StructField(_B, T.LongType()), T.StructField(_ENTRY, T.LongType())])
+    entries = summaries.groupBy(*keys).applyInPandas(_phase_b(keys), schema=e_schema)
+
+    joined = staged.join(entries, seg, "left").sortWithinPartitions(*seg, *order)
+    joined = joined.withColumn(_ENTRY, F.coalesce(F.col(_ENTRY), F.lit(int(_NO_ENTRY))))
+    return joined.mapInPandas(_phase_c(keys, ts, df.columns), schema=df.schema)
 
 
 def suppress_sql(source: str, *, keys: Sequence[str], ts: str = "ts", tie: str | None = None,
