@@ -40,6 +40,9 @@ def round7(c):
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberwatch.session import ship_package
+
+    ship_package(spark)
     e = CATALOG[name]
     df = e.fn(spark, sf_dir)
     if e.doubles:

@@ -24,9 +24,41 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make `emberwatch` importable in Python workers (the UDF code lives in the package): zip it once
+    per application and register it with `addPyFile`, which distributes it to every executor."""
+    import zipfile
+
+    import emberwatch
+
+    from pyspark import cloudpickle
+
+    # serialise the package's functions and classes by value, so processes that never saw the zip
+    # (the stateful-stream runner) can still load them
+    cloudpickle.register_pickle_by_value(emberwatch)
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(emberwatch.__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="emberwatch-pkg-"), "emberwatch.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder; set a scratch one only when none is set (tests)."""
     current = spark.conf.get("spark.checkpoint.dir", None)
