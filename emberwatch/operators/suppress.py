@@ -47,51 +47,74 @@ def _segments(pdf: pd.DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.nd
     return starts, np.append(starts[1:], n)
 
 
-def _by_segment(batches: Iterator[pd.DataFrame], cols: Sequence[str]) -> Iterator[pd.DataFrame]:
-    """Regroup a sorted batch stream into whole segments (a segment may span Arrow batches)."""
+def _blocks(batches: Iterator[pd.DataFrame], cols: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """Regroup a sorted batch stream into frames of whole segments (a segment may span Arrow batches;
+    the unfinished last segment of a batch is carried into the next one)."""
     pending = None
     for pdf in batches:
         if len(pdf) == 0:
             continue
         if pending is not None:
             pdf = pd.concat([pending, pdf], ignore_index=True)
-        starts, ends = _segments(pdf, cols)
-        for s, e in zip(starts[:-1], ends[:-1]):
-            yield pdf.iloc[s:e]
-        pending = pdf.iloc[starts[-1]:].reset_index(drop=True)
+        starts, _ = _segments(pdf, cols)
+        cut = int(starts[-1])
+        if cut > 0:
+            yield pdf.iloc[:cut].reset_index(drop=True)
+        pending = pdf.iloc[cut:].reset_index(drop=True)
     if pending is not None and len(pending):
         yield pending
 
 
-def _chain_exits(tsv: np.ndarray, lock: np.ndarray) -> np.ndarray:
-    """exit[i] = lock end left by the greedy chain that keeps row i (pointer jumping, O(m log m))."""
-    m = len(tsv)
-    nxt = np.searchsorted(tsv, lock, side="left")
-    last = np.where(nxt < m, nxt, np.arange(m))
-    while True:
-        jumped = last[last]
-        if np.array_equal(jumped, last):
-            break
-        last = jumped
-    return lock[last]
+class _Layout:
+    """Vectorised view of a block of whole segments: a global key that is monotone across segments,
+    so one `searchsorted` answers "first row of my segment at or after t" for every row at once."""
+
+    def __init__(self, blk: pd.DataFrame, cols: Sequence[str], ts: str, width: int, span: int):
+        self.n = len(blk)
+        starts, ends = _segments(blk, cols)
+        self.rank = np.repeat(np.arange(len(starts), dtype=np.int64), ends - starts)
+        self.seg_start = np.repeat(starts, ends - starts)
+        self.seg_end = np.repeat(ends, ends - starts)
+        self.starts, self.ends = starts, ends
+        self.bstart = blk[_B].to_numpy(dtype=np.int64) * width
+        self.stride = width + span + 2
+        self.ts = blk[ts].to_numpy(dtype=np.int64)
+        self.g = self.rank * self.stride + (self.ts - self.bstart)
+
+    def first_at_or_after(self, t: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """For each row index in `rows`: first row of the same segment with ts >= t (clipped to the
+        segment's offsets; the segment end means none)."""
+        rel = np.clip(t - self.bstart[rows], 0, self.stride - 1)
+        return np.searchsorted(self.g, self.rank[rows] * self.stride + rel, side="left")
 
 
 def _phase_a(keys: Sequence[str], ts: str, width: int, span: int):
     seg_cols = list(keys) + [_B]
 
     def run(batches):
-        for seg in _by_segment(batches, seg_cols):
-            tsv = seg[ts].to_numpy(dtype=np.int64)
-            lock = seg[_LOCK].to_numpy(dtype=np.int64)
-            exits = _chain_exits(tsv, lock)
-            bstart = int(seg[_B].iloc[0]) * width
-            head = int(np.searchsorted(tsv, bstart + span, side="left"))
-            last = min(head, len(tsv) - 1)  # head rows plus the first row after the head
-            cand_ts, cand_exit = tsv[: last + 1], exits[: last + 1]
-            keep = np.append(cand_exit[:-1] != cand_exit[1:], True)  # last of each run of equal exits
-            out = pd.DataFrame({c: seg[c].iloc[0] for c in seg_cols}, index=range(int(keep.sum())))
-            out["cand_ts"] = cand_ts[keep]
-            out["cand_exit"] = cand_exit[keep]
+        for blk in _blocks(batches, seg_cols):
+            lay = _Layout(blk, seg_cols, ts, width, span)
+            rows = np.arange(lay.n)
+            lock = blk[_LOCK].to_numpy(dtype=np.int64)
+            nxt = lay.first_at_or_after(lock, rows)
+            last = np.where(nxt < lay.seg_end, nxt, rows)
+            while True:  # pointer jumping: last row of each kept-chain
+                jumped = last[last]
+                if np.array_equal(jumped, last):
+                    break
+                last = jumped
+            exits = lock[last]
+            # candidates: rows in the first lock-span of their bucket, plus the first row after it
+            hend = lay.first_at_or_after(lay.bstart[lay.starts] + span, lay.starts)
+            hlast = np.minimum(hend, lay.ends - 1)
+            is_cand = rows <= np.repeat(hlast, lay.ends - lay.starts)
+            # keep the last candidate of each run of equal exits within a segment
+            nxt_same = np.append((exits[1:] == exits[:-1]) & is_cand[1:] & (lay.rank[1:] == lay.rank[:-1]), False)
+            keep = is_cand & ~nxt_same
+            idx = np.flatnonzero(keep)
+            out = pd.DataFrame({c: blk[c].to_numpy()[idx] for c in seg_cols})
+            out["cand_ts"] = lay.ts[idx]
+            out["cand_exit"] = exits[idx]
             yield out
     return run
 
@@ -99,47 +122,42 @@ def _phase_a(keys: Sequence[str], ts: str, width: int, span: int):
 def _phase_b(keys: Sequence[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([_B, "cand_ts"], kind="stable")
+        b = pdf[_B].to_numpy(dtype=np.int64)
+        cts = pdf["cand_ts"].to_numpy(dtype=np.int64)
+        cex = pdf["cand_exit"].to_numpy(dtype=np.int64)
+        starts = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+        ends = np.append(starts[1:], len(b))
         entry = None
-        rows = []
-        for b, g in pdf.groupby(_B, sort=True):
-            rows.append((b, _NO_ENTRY if entry is None else entry))
-            cts = g["cand_ts"].to_numpy(dtype=np.int64)
-            i = 0 if entry is None else int(np.searchsorted(cts, entry, side="left"))
-            if i < len(cts):
-                entry = int(g["cand_exit"].to_numpy(dtype=np.int64)[i])
-        out = pd.DataFrame(rows, columns=[_B, _ENTRY])
+        entries = np.empty(len(starts), dtype=np.int64)
+        for j, (s0, e0) in enumerate(zip(starts, ends)):
+            entries[j] = _NO_ENTRY if entry is None else entry
+            i = 0 if entry is None else int(np.searchsorted(cts[s0:e0], entry, side="left"))
+            if i < e0 - s0:
+                entry = int(cex[s0 + i])
+        out = pd.DataFrame({_B: b[starts], _ENTRY: entries})
         for k in keys:
             out[k] = pdf[k].iloc[0]
         return out[list(keys) + [_B, _ENTRY]]
     return run
 
 
-def _phase_c(keys: Sequence[str], ts: str, out_cols: Sequence[str]):
+def _phase_c(keys: Sequence[str], ts: str, width: int, span: int, out_cols: Sequence[str]):
     seg_cols = list(keys) + [_B]
 
     def run(batches):
-        carried_seg, carried = None, None
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            starts, ends = _segments(pdf, seg_cols)
-            tsv = pdf[ts].to_numpy(dtype=np.int64)
-            lock = pdf[_LOCK].to_numpy(dtype=np.int64)
-            entry = pdf[_ENTRY].to_numpy(dtype=np.int64)
-            seg_ids = list(pdf[seg_cols].itertuples(index=False, name=None))
-            keep = np.zeros(len(pdf), dtype=bool)
-            for s, e in zip(starts, ends):
-                sid = seg_ids[s]
-                threshold = carried if (carried_seg is not None and sid == carried_seg) else entry[s]
-                seg = tsv[s:e]
-                i = 0 if threshold == _NO_ENTRY else int(np.searchsorted(seg, threshold, side="left"))
-                held = threshold
-                while i < e - s:
-                    keep[s + i] = True
-                    held = int(lock[s + i])
-                    i = int(np.searchsorted(seg, held, side="left"))  # lock ends are > ts: moves forward
-                carried_seg, carried = sid, held
-            out = pdf[keep]
+        for blk in _blocks(batches, seg_cols):
+            lay = _Layout(blk, seg_cols, ts, width, span)
+            lock = blk[_LOCK].to_numpy(dtype=np.int64)
+            entry = blk[_ENTRY].to_numpy(dtype=np.int64)[lay.starts]
+            start_t = np.where(entry == _NO_ENTRY, lay.bstart[lay.starts], entry)
+            cur = lay.first_at_or_after(start_t, lay.starts)
+            cur = cur[cur < lay.ends]
+            keep = np.zeros(lay.n, dtype=bool)
+            while len(cur):  # one step per kept row of the longest chain (<= width / ttl + 1)
+                keep[cur] = True
+                nxt = lay.first_at_or_after(lock[cur], cur)
+                cur = nxt[nxt < lay.seg_end[cur]]
+            out = blk[keep]
             if len(out):
                 yield out[list(out_cols)]
     return run
@@ -164,13 +182,14 @@ def suppress(df: DataFrame, *, keys: Sequence[str], ts: str = "ts", tie: str | N
     key_fields = [df.schema[k] for k in keys]
     a_schema = T.StructType(key_fields + [T.StructField(_B, T.LongType()), T.StructField("cand_ts", T.LongType()),
                                           T.StructField("cand_exit", T.LongType())])
-    summaries = staged.select(*seg, ts, _LOCK).mapInPandas(_phase_a(keys, ts, width, span), schema=a_schema)
+    # phase A reads the staged rows unpruned, so its shuffle is the same plan as phase C's and is reused
+    summaries = staged.mapInPandas(_phase_a(keys, ts, width, span), schema=a_schema)
     e_schema = T.StructType(key_fields + [T.StructField(_B, T.LongType()), T.StructField(_ENTRY, T.LongType())])
     entries = summaries.groupBy(*keys).applyInPandas(_phase_b(keys), schema=e_schema)
 
     joined = staged.join(entries, seg, "left").sortWithinPartitions(*seg, *order)
     joined = joined.withColumn(_ENTRY, F.coalesce(F.col(_ENTRY), F.lit(int(_NO_ENTRY))))
-    return joined.mapInPandas(_phase_c(keys, ts, df.columns), schema=df.schema)
+    return joined.mapInPandas(_phase_c(keys, ts, width, span, df.columns), schema=df.schema)
 
 
 def suppress_sql(source: str, *, keys: Sequence[str], ts: str = "ts", tie: str | None = None,

@@ -86,7 +86,9 @@ def materialize(df):
 
 def reuse(df):
     """Compute a small intermediate once for several branches of one plan: persist (memory, spill to disk)
-    and fill it eagerly. Lost blocks are recomputed from lineage, so this is safe under executor loss."""
+    and fill it eagerly. Lost blocks are recomputed from lineage, so this is safe under executor loss.
+    The data stays cached for the returned plan; call `spark.catalog.clearCache()` (or unpersist)
+    when the result has been consumed."""
     from pyspark import StorageLevel
 
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
