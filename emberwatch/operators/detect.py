@@ -125,13 +125,10 @@ def anomaly_events(df: DataFrame, *, window_ms: int = K.BASELINE_WINDOW * 10 * 1
 
 def detect(metrics: DataFrame, *, gap_s: float = K.BASELINE_GAP_S, ttl_s: float = K.DEDUP_TTL_S,
            sigma: float = K.SIGMA_THRESHOLD, size: int = K.BASELINE_WINDOW,
-           min_samples: int = K.MIN_SAMPLES) -> DataFrame:
+           min_samples: int = K.MIN_SAMPLES, bucket_s: float = 86400) -> DataFrame:
     """D-13: metrics -> anomalies. One shuffle on the series for the windows, one on the dedup key."""
     m = metrics.where(F.col("metric_name").isin(K.METRIC_NAMES))
-    m = segments(m, gap_s=gap_s)
-    m = baseline(m, size=size)
-    m = window_percentiles(m, size=size)
-    m = zscore(m, min_samples=min_samples)
+    m = series_stats(m, gap_s=gap_s, size=size, min_samples=min_samples, bucket_s=bucket_s)
     s = spikes(m, sigma=sigma).withColumn("anomaly_type", default_type_col("metric_name"))
     s = s.select("event_id", "source_service", "metric_name", "metric_value", "ts", "baseline_mean", "zscore",
                  "p50_value", "p95_value", "p99_value", "anomaly_type")
@@ -184,3 +181,70 @@ def sustained_alerts(metrics: DataFrame, rules: DataFrame, *, hold_scale: float
 def alert_rules(spark) -> DataFrame:
     return spark.createDataFrame([(m, float(lim), int(h), a) for m, lim, h, a in K.ALERT_RULES],
                                  "metric_name string, limit double, hold_s long, alert string")
+
+
+def series_stats(df: DataFrame, *, keys: Sequence[str] = SERIES, ts: str = "ts", tie: str = "event_id",
+                 value: str = "metric_value", gap_s: float = K.BASELINE_GAP_S, size: int = K.BASELINE_WINDOW,
+                 min_samples: int = K.MIN_SAMPLES, pcts: Sequence[int] = (50, 95, 99),
+                 bucket_s: float = 86400) -> DataFrame:
+    """D-01..D-03 + D-07 with a hot series split across tasks by time bucket (exact).
+
+    Segments: `lag` inside a bucket, with the previous bucket's last timestamp from a per-bucket table;
+    the segment key is the timestamp of the segment's first row (`seg_start`), carried across buckets
+    through the same small table, and `segment` is its 1-based number within the series.
+    Rolling windows: each bucket also receives the last size-1 rows before it (a halo); which bucket
+    needs which tail row is a range join on row counts (bucket-keyed). The windows then run per
+    (series, bucket, segment), so no task ever holds a whole series."""
+    from emberwatch.operators.rangejoin import range_join
+
+    width = int(bucket_s * 1000)
+    gap = int(gap_s * 1000)
+    halo = size - 1
+    key_cols = list(keys)
+    d = df.withColumn("__b", F.floor(F.col(ts) / F.lit(width)).cast("long"))
+    wb = Window.partitionBy(*key_cols, "__b").orderBy(F.col(ts), F.col(tie))
+    d = d.withColumn("__pos", F.row_number().over(wb)).withColumn("__prev", F.lag(ts).over(wb))
+
+    wt = Window.partitionBy(*key_cols).orderBy("__b")
+    bt = d.groupBy(*key_cols, "__b").agg(F.max(ts).alias("__bmax"), F.count(F.lit(1)).alias("__bn"))
+    bt = (bt.withColumn("__prev_bmax", F.lag("__bmax").over(wt))
+            .withColumn("__before", F.coalesce(F.sum("__bn").over(wt.rowsBetween(Window.unboundedPreceding, -1)),
+                                               F.lit(0)).cast("long")))
+    d = d.join(bt.select(*key_cols, "__b", "__prev_bmax", "__before", "__bn"), [*key_cols, "__b"])
+    prev = F.coalesce(F.col("__prev"), F.col("__prev_bmax"))
+    flag = prev.isNull() | (F.col(ts) - prev >= F.lit(gap))
+    d = d.withColumn("__fts", F.when(flag, F.col(ts)))
+    d = d.withColumn("__sin", F.last("__fts", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, 0)))
+    bf = d.groupBy(*key_cols, "__b").agg(F.max("__fts").alias("__bflag"))
+    bf = bf.withColumn("__carry", F.last("__bflag", ignorenulls=True).over(wt.rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.join(bf.select(*key_cols, "__b", "__carry"), [*key_cols, "__b"])
+    d = d.withColumn("seg_start", F.coalesce(F.col("__sin"), F.col("__carry")))\
+         .withColumn("__gidx", F.col("__before") + F.col("__pos"))
+
+    base_cols = [c for c in df.columns] + ["seg_start"]
+    own = d.select(*base_cols, F.col("__b").alias("__tb"), F.lit(False).alias("__halo"))
+    tails = d.where(F.col("__pos") > F.col("__bn") - F.lit(halo)).select(*base_cols, "__gidx")
+    targets = bt.select(*[F.col(k).alias(f"__t_{k}") for k in key_cols], F.col("__b").alias("__tb"),
+                        F.col("__before").alias("__tbefore"))
+    pairs = range_join(tails, targets, left_keys=key_cols, right_keys=[f"__t_{k}" for k in key_cols],
+                       left_ts="__gidx", right_ts="__tbefore", before_ms=0, after_ms=halo - 1)
+    halo_rows = pairs.select(*base_cols, "__tb", F.lit(True).alias("__halo"))
+    u = own.unionByName(halo_rows)
+
+    ws = Window.partitionBy(*key_cols, "__tb", "seg_start").orderBy(F.col(ts), F.col(tie))
+    w1 = ws.rowsBetween(-halo, -1)
+    w0 = ws.rowsBetween(-halo, 0)
+    u = (u.withColumn("n_prior", F.count(value).over(w1))
+          .withColumn("baseline_mean", F.avg(value).over(w1))
+          .withColumn("baseline_std", F.stddev_pop(value).over(w1))
+          .withColumn("__win", F.sort_array(F.collect_list(value).over(w0))))
+    n = F.size("__win")
+    for p in pcts:
+        u = u.withColumn(f"p{p}_value", F.element_at("__win", F.least(F.floor(n * F.lit(p) / F.lit(100)), n - 1)
+                                                     .cast("int") + 1))
+    u = u.where(~F.col("__halo")).drop("__win", "__halo", "__tb")
+    u = zscore(u, value=value, min_samples=min_samples)
+    segs = u.select(*key_cols, "seg_start").distinct()
+    segs = segs.withColumn("segment", F.row_number().over(Window.partitionBy(*key_cols).orderBy("seg_start"))
+                           .cast("long"))
+    return u.join(segs, [*key_cols, "seg_start"])

@@ -90,16 +90,13 @@ _ANOM_DOUBLES = ("observed_value", "baseline_value", "deviation_sigma", "anomaly
 
 def _metrics_stats(spark, sf):
     m = A.metrics(spark, sf).where(D.F.col("metric_name").isin(K.METRIC_NAMES))
-    m = D.segments(m, gap_s=GAP_S)
-    m = D.baseline(m)
-    return D.zscore(m)
+    return D.series_stats(m, gap_s=GAP_S)
 
 
 @register("d01_segments", A.with_adapters(
     f"SELECT event_id, source_service, metric_name, ts, segment FROM ({_seg_sql(GAP_S)})", "metrics"))
 def q_segments(spark, sf):
-    m = A.metrics(spark, sf).where(D.F.col("metric_name").isin(K.METRIC_NAMES))
-    return D.segments(m, gap_s=GAP_S).select("event_id", "source_service", "metric_name", "ts", "segment")
+    return _metrics_stats(spark, sf).select("event_id", "source_service", "metric_name", "ts", "segment")
 
 
 @register("d02_baseline", A.with_adapters(
@@ -145,9 +142,7 @@ def q_suppress(spark, sf):
     f"SELECT event_id, p50_value, p95_value, p99_value FROM ({_stats_sql(GAP_S)})", "metrics"),
     doubles=("p50_value", "p95_value", "p99_value"))
 def q_percentiles(spark, sf):
-    m = A.metrics(spark, sf).where(D.F.col("metric_name").isin(K.METRIC_NAMES))
-    m = D.window_percentiles(D.segments(m, gap_s=GAP_S))
-    return m.select("event_id", "p50_value", "p95_value", "p99_value")
+    return _metrics_stats(spark, sf).select("event_id", "p50_value", "p95_value", "p99_value")
 
 
 @register("d08_anomaly_score", A.with_adapters(
