@@ -262,13 +262,14 @@ def correlate(anoms: DataFrame, metrics: DataFrame, logs: DataFrame, deploys: Da
               minutes: float = K.CORRELATION_WINDOW_MIN, deploy_minutes: float = K.DEPLOY_WINDOW_MIN,
               lock_s: float = K.INCIDENT_LOCK_S, recovery_min: float = 30, errors_kept: int = 5) -> DataFrame:
     """C-17: anomalies -> opened incidents with signals, blast radius, deployment context, telemetry."""
-    from emberwatch.session import reuse
+    from emberwatch.session import materialize
 
-    # anomalies are a small fraction of the telemetry; compute them once instead of once per branch
-    anoms = reuse(anoms)
+    # anomalies are a small fraction of the telemetry: compute them once and cut the lineage, so the
+    # branches below neither recompute nor re-analyse the detection plan
+    anoms = materialize(anoms)
     rec = recovery(anoms, metrics, limit_min=recovery_min)
     adm = incident_lock(anoms, rec, ttl_s=lock_s)
-    base = reuse(adm.select("incident_id", "anomaly_type", "severity", "source_service", "detection_time"))
+    base = materialize(adm.select("incident_id", "anomaly_type", "severity", "source_service", "detection_time"))
 
     tel = telemetry(base, metrics, minutes=minutes)
     tmap = telemetry_map(tel)

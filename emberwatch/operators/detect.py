@@ -125,13 +125,18 @@ def anomaly_events(df: DataFrame, *, window_ms: int = K.BASELINE_WINDOW * 10 * 1
 
 def detect(metrics: DataFrame, *, gap_s: float = K.BASELINE_GAP_S, ttl_s: float = K.DEDUP_TTL_S,
            sigma: float = K.SIGMA_THRESHOLD, size: int = K.BASELINE_WINDOW,
-           min_samples: int = K.MIN_SAMPLES, bucket_s: float = 86400) -> DataFrame:
+           min_samples: int = K.MIN_SAMPLES, bucket_s: float = 86400, materialize_spikes: bool = True) -> DataFrame:
     """D-13: metrics -> anomalies. One shuffle on the series for the windows, one on the dedup key."""
     m = metrics.where(F.col("metric_name").isin(K.METRIC_NAMES))
     m = series_stats(m, gap_s=gap_s, size=size, min_samples=min_samples, bucket_s=bucket_s)
     s = spikes(m, sigma=sigma).withColumn("anomaly_type", default_type_col("metric_name"))
     s = s.select("event_id", "source_service", "metric_name", "metric_value", "ts", "baseline_mean", "zscore",
                  "p50_value", "p95_value", "p99_value", "anomaly_type")
+    if materialize_spikes:
+        from emberwatch.session import materialize
+
+        # spikes are ~3 % of the samples; cutting the lineage here keeps the suppression plan small
+        s = materialize(s)
     kept = suppress(s, keys=["source_service", "anomaly_type", "metric_name"], ts="ts", tie="event_id", ttl_s=ttl_s)
     kept = kept.withColumn("severity", severity_col("metric_name", "zscore"))
     return anomaly_events(kept)
