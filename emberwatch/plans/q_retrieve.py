@@ -245,3 +245,12 @@ def q_embed(spark, sf):
 @register("r14_knn_approx")
 def q_knn_approx(spark, sf):
     return R.knn_approx(_q(spark, sf), _c(spark, sf), k=5).select("query_id", "chunk_id", "score", "rank")
+
+
+@register("r14_recall")
+def q_recall(spark, sf):
+    """R-14 quality: per query, the share of the exact top-5 (R-02) that the LSH top-5 also returns."""
+    exact = R.knn(_q(spark, sf), _c(spark, sf), k=5).select("query_id", "chunk_id")
+    approx = R.knn_approx(_q(spark, sf), _c(spark, sf), k=5).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    j = exact.join(approx, ["query_id", "chunk_id"], "left")
+    return j.groupBy("query_id").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1))).alias("recall_at_5"))

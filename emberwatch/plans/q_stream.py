@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from emberwatch.plans import q_correlate as QC
 from emberwatch.plans import q_detect as QD
 from emberwatch.plans.catalog import register
 from emberwatch.session import ensure_checkpoint_dir
@@ -65,3 +66,19 @@ def q_bursts_stream(spark, sf):
     out = _stream_run(spark, A.logs(spark, sf), _LOG_SCHEMA,
                       lambda s: ST.log_bursts_stream(s, gap_s=QD.BURST_GAP_S, ttl_s=QD.TTL_S), "d10s")
     return out.select("source_service", "detection_time", "severity", "error_count", "description")
+
+
+@register("c01_incident_lock_stream", QC._sql(
+    f"SELECT incident_id, source_service, detection_time FROM {QC.lock_sql('anoms')}"))
+def q_lock_stream(spark, sf):
+    """Anomaly events and their resolution events (from the batch recovery rule) as one keyed stream."""
+    from emberwatch.operators import correlate as C
+
+    a = QC._anoms(spark, sf)
+    rec = C.recovery(a, A.metrics(spark, sf), limit_min=QC.REC_MIN)
+    ev = (a.select("incident_id", "source_service", F.lit("anomaly").alias("kind"), F.col("detection_time").alias("ts"))
+          .unionByName(rec.select("incident_id", "source_service", F.lit("resolved").alias("kind"),
+                                  F.col("resolved_at").alias("ts"))))
+    out = _stream_run(spark, ev, "incident_id string, source_service string, kind string, ts long",
+                      lambda s: ST.incident_lock_stream(s, lock_s=QC.LOCK_S), "c01s")
+    return out.select("incident_id", "source_service", "detection_time")

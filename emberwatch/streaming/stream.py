@@ -220,3 +220,52 @@ def run_available_now(df: DataFrame, path: str, checkpoint: str, *, fmt: str = "
     q = (df.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+LOCK_SCHEMA = T.StructType([
+    T.StructField("incident_id", T.StringType()),
+    T.StructField("source_service", T.StringType()),
+    T.StructField("detection_time", T.LongType()),
+])
+
+
+class LockProcessor(StatefulProcessor):
+    """Streaming C-01: per service, the open incident and its lock end. An anomaly is admitted when no
+    lock is held at its time; it locks the service for `lock_ms`; the open incident's resolution event
+    releases the lock early. Events of a batch are ordered by (ts, resolutions first, id)."""
+
+    def __init__(self, lock_ms: int):
+        self.lock_ms = lock_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.st = handle.getValueState("st", "open_id string, until long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        (service,) = key
+        pdf = pd.concat(list(rows), ignore_index=True)
+        pdf["__k"] = (pdf["kind"] == "anomaly").astype(int)
+        pdf = pdf.sort_values(["ts", "__k", "incident_id"], kind="stable")
+        open_id, until = self.st.get() if self.st.exists() else (None, None)
+        out = []
+        for iid, kind, ts in zip(pdf["incident_id"].tolist(), pdf["kind"].tolist(), pdf["ts"].tolist()):
+            if kind == "resolved":
+                if open_id is not None and iid == open_id and until is not None:
+                    until = max(min(until, ts), 0)
+            elif until is None or ts >= until:
+                open_id, until = iid, ts + self.lock_ms
+                out.append((iid, service, ts))
+        self.st.update((open_id, until))
+        if out:
+            yield pd.DataFrame(out, columns=LOCK_SCHEMA.fieldNames())
+
+    def close(self) -> None:
+        pass
+
+
+def incident_lock_stream(events: DataFrame, *, lock_s: float = K.INCIDENT_LOCK_S) -> DataFrame:
+    """Streaming C-01 over (incident_id, source_service, kind in {anomaly, resolved}, ts)."""
+    use_rocksdb(events.sparkSession)
+    src = events.select("incident_id", "source_service", "kind", "ts")
+    return src.groupBy("source_service").transformWithStateInPandas(
+        statefulProcessor=LockProcessor(int(lock_s * 1000)), outputStructType=LOCK_SCHEMA,
+        outputMode="Append", timeMode="None")
