@@ -217,13 +217,14 @@ def affected_col() -> Column:
 
 
 def recovery(anoms: DataFrame, metrics: DataFrame, *, n: int = 3, tol: float = 0.30,
-             limit_min: float = 30) -> DataFrame:
+             limit_min: float = 30, bucket_s: float = 86400) -> DataFrame:
     """F-04: watch the trigger metric after detection; recovered at the first sample (within the limit)
     where the mean of the last n values of the series is within tol of the baseline (baseline > 0);
     otherwise resolved by timeout at detection + limit. One window over each series, one range join."""
-    w = Window.partitionBy("source_service", "metric_name").orderBy("ts", "event_id").rowsBetween(-(n - 1), 0)
-    m = (metrics.withColumn("recent_mean", F.avg("metric_value").over(w))
-                .withColumn("recent_n", F.count("metric_value").over(w))
+    from emberwatch.operators.detect import series_stats
+
+    # the last-n mean per series, split by time bucket with a halo (no gap resets: one segment)
+    m = (series_stats(metrics, gap_s=1e15, size=n, min_samples=n, pcts=(), bucket_s=bucket_s, current=True)
                 .select(F.col("source_service").alias("r_service"), F.col("metric_name").alias("r_metric"),
                         F.col("ts").alias("r_ts"), "recent_mean", "recent_n"))
     a = anoms.select("incident_id", "source_service", "trigger_metric", "detection_time", "baseline_value")

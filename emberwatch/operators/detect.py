@@ -191,7 +191,7 @@ def alert_rules(spark) -> DataFrame:
 def series_stats(df: DataFrame, *, keys: Sequence[str] = SERIES, ts: str = "ts", tie: str = "event_id",
                  value: str = "metric_value", gap_s: float = K.BASELINE_GAP_S, size: int = K.BASELINE_WINDOW,
                  min_samples: int = K.MIN_SAMPLES, pcts: Sequence[int] = (50, 95, 99),
-                 bucket_s: float = 86400) -> DataFrame:
+                 bucket_s: float = 86400, current: bool = False) -> DataFrame:
     """D-01..D-03 + D-07 with a hot series split across tasks by time bucket (exact).
 
     Segments: `lag` inside a bucket, with the previous bucket's last timestamp from a per-bucket table;
@@ -243,6 +243,8 @@ def series_stats(df: DataFrame, *, keys: Sequence[str] = SERIES, ts: str = "ts",
           .withColumn("baseline_mean", F.avg(value).over(w1))
           .withColumn("baseline_std", F.stddev_pop(value).over(w1))
           .withColumn("__win", F.sort_array(F.collect_list(value).over(w0))))
+    if current:  # mean and count over the last `size` values including the current one
+        u = u.withColumn("recent_mean", F.avg(value).over(w0)).withColumn("recent_n", F.count(value).over(w0))
     n = F.size("__win")
     for p in pcts:
         u = u.withColumn(f"p{p}_value", F.element_at("__win", F.least(F.floor(n * F.lit(p) / F.lit(100)), n - 1)
