@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from emberwatch.llm import sharding
+from emberwatch.llm import licenses, sharding, urlfilter
 
 QUERIES = {
     "op3_sharding": sharding.op3,
+    "op6_license_scan": licenses.op6,
+    "op7_url_filter": urlfilter.op7,
 }
 
 ORACLES = {
     "op3_sharding": sharding.ORACLE,
+    "op6_license_scan": licenses.ORACLE,
+    "op7_url_filter": urlfilter.ORACLE,
 }
