@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from emberwatch.llm import langid, licenses, quality, sharding, urlfilter
+from emberwatch.llm import langid, licenses, packing, quality, sharding, urlfilter
 
 QUERIES = {
     "op3_sharding": sharding.op3,
     "op4_quality": quality.op4,
+    "op5_packing": packing.op5,
     "op6_license_scan": licenses.op6,
     "op7_url_filter": urlfilter.op7,
     "op8_language_mixture": langid.op8,
