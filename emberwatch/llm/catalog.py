@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from emberwatch.llm import langid, licenses, packing, quality, sharding, urlfilter
+from emberwatch.llm import ann, langid, licenses, packing, quality, sharding, urlfilter
 
 QUERIES = {
+    "op10_neighbours": ann.op10,
     "op3_sharding": sharding.op3,
     "op4_quality": quality.op4,
     "op5_packing": packing.op5,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op10_neighbours": ann.ORACLE,
     "op3_sharding": sharding.ORACLE,
     "op6_license_scan": licenses.ORACLE,
     "op7_url_filter": urlfilter.ORACLE,
