@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from emberwatch.llm import ann, langid, licenses, packing, quality, sharding, urlfilter
+from emberwatch.llm import ann, langid, licenses, ngramjoin, packing, quality, sharding, urlfilter
 
 QUERIES = {
+    "op1_ngram_join": ngramjoin.op1,
     "op10_neighbours": ann.op10,
     "op3_sharding": sharding.op3,
     "op4_quality": quality.op4,

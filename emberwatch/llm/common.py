@@ -62,3 +62,22 @@ def runs(sizes, limit: int) -> Iterator[tuple[int, int]]:
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Connected components of links (a, b): node, root (the smallest node). Every step hooks each node to its
+    smallest neighbour, jumps once, and contracts the links; it takes about log(n) steps, each on fewer links, and
+    every aggregation is a minimum, so a node of very many links is no hot group."""
+    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = staged(links.select("a", "b").where(F.col("a") != F.col("b")).distinct(), "links")
+    nodes = staged(both(edges).select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")), "nodes")
+    while not edges.isEmpty():
+        up = both(edges).groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("up"))
+        jump = up.select(F.col("a").alias("up"), F.col("up").alias("far"))
+        up = staged(up.join(jump, "up", "left").select("a", F.coalesce("far", "up").alias("up")), "hooks")
+        ua, ub = up.select("a", F.col("up").alias("ua")), up.select(F.col("a").alias("b"), F.col("up").alias("ub"))
+        edges = staged(edges.join(ua, "a").join(ub, "b").where(F.col("ua") != F.col("ub"))
+                       .select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "links")
+        nodes = staged(nodes.join(up.select(F.col("a").alias("root"), F.col("up")), "root", "left")
+                       .select("node", F.coalesce("up", "root").alias("root")), "nodes")
+    return nodes
