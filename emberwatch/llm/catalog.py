@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from emberwatch.llm import ann, langid, licenses, ngramjoin, packing, quality, sharding, urlfilter
+from emberwatch.llm import ann, decontam, langid, licenses, ngramjoin, packing, quality, sharding, urlfilter
 
 QUERIES = {
     "op1_ngram_join": ngramjoin.op1,
     "op10_neighbours": ann.op10,
+    "op2_decontamination": decontam.op2,
     "op3_sharding": sharding.op3,
     "op4_quality": quality.op4,
     "op5_packing": packing.op5,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def barrier(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row: an expression behind a generator is neither merged into later
+    expressions nor copied into their filters, as happens to a column that a projection adds."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once as Parquet under the cluster's shared checkpoint folder and read it back: cuts lineage,
     survives lost executors, and several readers share one computation."""
@@ -81,3 +88,10 @@ def components(links: DataFrame) -> DataFrame:
         nodes = staged(nodes.join(up.select(F.col("a").alias("root"), F.col("up")), "root", "left")
                        .select("node", F.coalesce("up", "root").alias("root")), "nodes")
     return nodes
+
+
+def slices(batch, column: int, limit: int = 1 << 20):
+    """An Arrow batch in slices of about `limit` bytes of a text column, so that long texts take bounded memory."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    for a, b in runs((sizes + 64).tolist(), limit):
+        yield batch.slice(a, b - a)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import runs, table
+from emberwatch.llm.common import runs, slices, table
 
 BUCKETS = 1 << 14
 SMOOTH = 0.5
@@ -62,7 +62,7 @@ def fit_languages(docs: DataFrame) -> dict[str, np.ndarray]:
     Without any such document the model is empty and every prediction is 'und'."""
     def rows(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at, n = grams(text)
                 mine = sums.get(lang)
@@ -163,7 +163,7 @@ def identify_languages(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFra
     langs, logp = _packed(model)
 
     def rows(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             got = predict(batch.column(2).to_pylist(), langs, logp)
             cols = list(zip(*got, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
