@@ -1,13 +1,52 @@
-"""The corpus pipeline: raw documents to packed training sequences. Each stage's result is written as Parquet and
-read again as the next one's input."""
+"""The corpus pipeline: raw documents to packed training sequences.
+
+quality -> language -> near_copies -> decontaminate -> pack. Each stage's result is written as Parquet and read again
+as the next one's input; all stages but the last return rows of documents with their columns. Models are fitted on the
+documents that a stage is given and on the labels.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from emberwatch.llm import decontam, langid, ngramjoin, packing, quality
 from emberwatch.llm.common import staged, table
 
-STAGES: list = []
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.keep_good(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language; those without letters, or without a leading language, go."""
+    return langid.keep_identified(docs, langid.fit_languages(docs))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (word 5-grams, Jaccard 0.8): the one of the smallest doc_id. A row
+    without doc_id stands for its text. Rows that repeat an id and text are one document."""
+    key = F.coalesce(F.col("doc_id"), F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62))
+    named = docs.withColumn("_key", key)
+    groups = ngramjoin.linked_groups(named.select(F.col("_key").alias("doc_id"), "text"), n=5, percent=80)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_key")).distinct()
+    return (named.join(first, "_key", "left_semi").withColumn("_crc", F.crc32("text"))
+            .dropDuplicates(["_key", "_crc"]).select(*docs.columns))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every token piece in the training sequences."""
+    return packing.pack(packing.token_pieces(docs, with_ids=False))
+
+
+STAGES = [("quality", good_quality), ("language", known_language), ("near_copies", near_copies),
+          ("decontaminate", decontaminate), ("pack", pack)]
 
 #: Model scores and tokenizers have no SQL form; tests/llm compares each stage with a brute-force version.
 ORACLE_SQL = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberwatch.llm import ann, decontam, langid, licenses, ngramjoin, packing, quality, sharding, urlfilter
+from emberwatch.llm import ann, decontam, edit_counts, langid, licenses, ngramjoin, packing, quality, sharding, urlfilter
 
 QUERIES = {
     "op1_ngram_join": ngramjoin.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_license_scan": licenses.op6,
     "op7_url_filter": urlfilter.op7,
     "op8_language_mixture": langid.op8,
+    "op9_edit_counts": edit_counts.op9,
 }
 
 ORACLES = {

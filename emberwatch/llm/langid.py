@@ -182,7 +182,7 @@ def keep_identified(docs: DataFrame, model: dict[str, np.ndarray], min_score: fl
     at = docs.columns.index("text")
 
     def rows(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             yield batch.filter(pa.array([lang != UNKNOWN and s >= min_score
                                          for lang, s, _, _ in predict(batch.column(at).to_pylist(), langs, logp)], pa.bool_()))
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberwatch.llm import tokens
-from emberwatch.llm.common import numbered, staged, table
+from emberwatch.llm.common import numbered, slices, staged, table
 
 CAPACITY = 2048
 END = 0              # id that closes every document
@@ -174,7 +174,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path
     def rows(batches):
         from emberwatch.llm.tokens import encode
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             out: list[list] = [[] for _ in fields]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(encode(text or "", paths), np.uint32(end)).astype("<u4")

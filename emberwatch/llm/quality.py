@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import table
+from emberwatch.llm.common import slices, table
 
 MAX_TRAIN = 20_000   # bound of the labelled sample the model is fitted on
 BINS = 32
@@ -212,7 +212,7 @@ def score_quality(docs: DataFrame, model: Gam, threshold: float = THRESHOLD) ->
     score = scorer(model)
 
     def rows(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score(batch.column(2)))],
                                              ["doc_id", "held_out", "score"])
 
@@ -226,7 +226,7 @@ def keep_good(docs: DataFrame, model: Gam, threshold: float = THRESHOLD) -> Data
     score, at = scorer(model), docs.columns.index("text")
 
     def rows(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             yield batch.filter(pa.array(score(batch.column(at)) >= threshold))
 
     return docs.mapInArrow(rows, docs.schema)
