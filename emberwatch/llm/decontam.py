@@ -24,6 +24,7 @@ LITERALS = 5         # plain words a window of full length needs (in shorter win
 COVERAGE = 0.5       # share of an item's tokens that an alignment covers
 CONSISTENT = 0.75    # share of its slot values that are filled the same everywhere
 BITS = 1 << 19
+PROBES = 3           # bits per window; 20 * (PROBES - 1) + 19 is below 64
 
 #: Units that count as such after a number.
 UNITS = ("%", "mm", "cm", "dm", "m", "km", "mg", "g", "kg", "t", "ml", "cl", "l", "s", "sec", "second", "seconds", "min",
@@ -42,52 +43,47 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(text, _SENTENCE, f"$1{_MARK}$2"), F.lit(_TOKEN), 0)
 
 
-def template(raw: Column) -> Column:
-    """Template token of every raw token."""
+def _template_token(raw: Column, x: Column, i: Column) -> Column:
     units = F.array(*[F.lit(u) for u in UNITS])
+    number = lambda c: (c >= "0") & (c < ":")
+    low = F.lower(x)
+    return (F.when(number(x), F.lit("#n")).when(x.isin("$", "€", "£"), F.lit("#u"))
+            .when(F.coalesce(number(F.get(raw, i - 1)), F.lit(False)) & F.array_contains(units, low), F.lit("#u"))
+            .when(F.startswith(x, F.lit(_MARK)), F.substring(low, 2, 1 << 30))
+            .when((low != x) & (F.upper(x) != x), F.lit("#p")).otherwise(low))
 
-    def one(x: Column, i: Column) -> Column:
-        low = F.lower(x)
-        before = F.get(raw, i - 1)
-        number = lambda c: (c >= "0") & (c < ":")
-        return (F.when(number(x), F.lit("#n")).when(x.isin("$", "€", "£"), F.lit("#u"))
-                .when(F.coalesce(number(before), F.lit(False)) & F.array_contains(units, low), F.lit("#u"))
-                .when(F.startswith(x, F.lit(_MARK)), F.substring(low, 2, 1 << 30))
-                .when((low != x) & (F.upper(x) != x), F.lit("#p")).otherwise(low))
 
-    return F.transform(raw, one)
+def template(raw: Column) -> Column:
+    """Template token of every raw token. `raw` must be a plain column."""
+    return F.transform(raw, lambda x, i: _template_token(raw, x, i))
 
 
-def token_codes(tokens: Column) -> Column:
-    """Hash of every template token whose lowest bit says that it is a plain word."""
-    return F.transform(tokens, lambda t: F.xxhash64(t).bitwiseAND(F.lit(-2)).bitwiseOR(
-        F.when(F.startswith(t, F.lit("#")), F.lit(0)).otherwise(F.lit(1)).cast("bigint")))
+def template_codes(raw: Column) -> Column:
+    """Hash of every template token. `raw` must be a plain column."""
+    return F.transform(raw, lambda x, i: F.xxhash64(_template_token(raw, x, i)))
 
 
 def window_hashes(codes: Column, size: int) -> Column:
-    """Hash of every window of `size` tokens; null for windows with too few plain words. `codes` must be a plain
-    column, as every window reads it `size` times."""
-    need = LITERALS if size >= WINDOW else size - 2
-
-    def at(i: Column) -> Column:
-        part = [F.get(codes, i + j) for j in range(size)]
-        words = sum((c.bitwiseAND(F.lit(1)) for c in part[1:]), part[0].bitwiseAND(F.lit(1)))
-        return F.when(words >= need, F.xxhash64(*part))
-
-    return F.when(F.size(codes) >= size, F.transform(F.sequence(F.lit(0), F.size(codes) - size), at)).otherwise(
-        F.array().cast("array<bigint>"))
+    """Hash of every window of `size` tokens. `codes` must be a plain column, as every window reads it `size` times."""
+    return F.when(F.size(codes) >= size, F.transform(
+        F.sequence(F.lit(0), F.size(codes) - size), lambda i: F.xxhash64(*[F.get(codes, i + j) for j in range(size)])
+    )).otherwise(F.array().cast("array<bigint>"))
 
 
-def _tokens(df: DataFrame, keys: list) -> DataFrame:
+def _codes(df: DataFrame, keys: list) -> DataFrame:
     # every element of the next array reads the one before it, so each is computed once per row
     out = barrier(df.select(*keys, "text"), "raw", raw_tokens(F.col("text"))).drop("text")
-    return barrier(barrier(out, "tok", template(F.col("raw"))), "codes", token_codes(F.col("tok")))
+    return barrier(out, "codes", template_codes(F.col("raw")))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     """item_id, n_tokens, size, ipos, h, b_raw, b_tok of every window of every item of at least LEAST tokens; an item
     shorter than the window is one window of its own size."""
-    items = _tokens(benchmark.where(F.col("text").isNotNull()), ["item_id"]).where(F.size("tok") >= LEAST)
+    items = barrier(_codes(benchmark.where(F.col("text").isNotNull()), ["item_id"]), "tok", template(F.col("raw")))
+    items = items.where(F.size("tok") >= LEAST)
+    # a window of a document that equals one of these has as many plain words, so only these are looked at
+    plain = F.size(F.filter("b_tok", lambda t: ~F.startswith(t, F.lit("#"))))
+    enough = plain >= F.when(F.col("size") >= WINDOW, F.lit(LITERALS)).otherwise(F.col("size") - 2)
     parts = []
     for size in range(LEAST, window + 1):
         fits = F.size("tok") == size if size < window else F.size("tok") >= size
@@ -97,9 +93,9 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.where(F.col("h").isNotNull()).select(
+    return out.select(
         "item_id", "n_tokens", "size", "ipos", "h", F.slice("raw", F.col("ipos") + 1, F.col("size")).alias("b_raw"),
-        F.slice("tok", F.col("ipos") + 1, F.col("size")).alias("b_tok"))
+        F.slice("tok", F.col("ipos") + 1, F.col("size")).alias("b_tok")).where(enough)
 
 
 def _bit(h: Column, probe: int) -> Column:
@@ -107,8 +103,8 @@ def _bit(h: Column, probe: int) -> Column:
 
 
 def bit_table(hashes: DataFrame) -> Column:
-    """A literal array of BITS // 64 words with two bits set for every h."""
-    bits = hashes.select(F.explode(F.array(_bit(F.col("h"), 0), _bit(F.col("h"), 1))).alias("bit"))
+    """A literal array of BITS // 64 words with PROBES bits set for every h."""
+    bits = hashes.select(F.explode(F.array(*[_bit(F.col("h"), p) for p in range(PROBES)])).alias("bit"))
     words = [0] * (BITS // 64)
     for r in bits.groupBy(F.shiftright("bit", 6).alias("w")).agg(
             F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("v")).collect():  # at most BITS // 64 rows
@@ -128,18 +124,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     known = staged(benchmark_windows(benchmark, window), "benchmark-windows")
     sizes = sorted(r[0] for r in known.select("size").distinct().collect())  # at most `window` numbers
     bits = bit_table(known.select("h"))
-    rows = _tokens(docs.where(F.col("text").isNotNull()), ["doc_id", F.crc32("text").alias("text_crc32")])
+    rows = _codes(docs.where(F.col("text").isNotNull()), ["doc_id", F.crc32("text").alias("text_crc32")])
 
     def maybe(h: Column) -> Column:
         one = lambda p: F.getbit(F.get(bits, F.shiftright(_bit(h, p), 6).cast("int")), _bit(h, p).bitwiseAND(F.lit(63)).cast("int"))
-        return (one(0) == 1) & (one(1) == 1)
+        return (one(0) == 1) & (one(1) == 1) & (one(2) == 1)
 
     found = None
     for size in sizes or [window]:
-        hashes = window_hashes(F.col("codes"), size)
-        part = barrier(rows, "hs", F.filter(F.transform(hashes, lambda h, i: F.struct(i.alias("pos"), h.alias("h"))),
-                                            lambda x: x["h"].isNotNull() & maybe(x["h"])))
-        part = part.where(F.size("hs") > 0).select("doc_id", "text_crc32", F.lit(size).alias("size"), "raw", F.explode("hs").alias("x"))
+        part = barrier(rows, "all", window_hashes(F.col("codes"), size)).where(F.exists("all", maybe))
+        part = barrier(part, "hs", F.filter(F.transform("all", lambda h, i: F.struct(i.alias("pos"), h.alias("h"))), lambda x: maybe(x["h"])))
+        part = part.select("doc_id", "text_crc32", F.lit(size).alias("size"), "raw", F.explode("hs").alias("x"))
         part = part.select("doc_id", "text_crc32", "size", "x.pos", "x.h", F.slice("raw", F.col("x.pos") + 1, size).alias("d_raw"))
         found = part if found is None else found.union(part)
     hits = staged(found.join(known, ["h", "size"]).withColumn("diag", F.col("pos") - F.col("ipos")).distinct(), "template-hits")
@@ -172,4 +167,52 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_crc32")
+
+
+def _oracle() -> str:
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    sizes = ", ".join(f"({n})" for n in range(LEAST, WINDOW + 1))
+
+    def tokens(source: str, key: str) -> str:
+        return f"""SELECT {key}, raw, list_transform(raw, lambda x, i: CASE
+      WHEN x >= '0' AND x < ':' THEN '#n' WHEN x IN ('$', '€', '£') THEN '#u'
+      WHEN i > 1 AND raw[i - 1] >= '0' AND raw[i - 1] < ':' AND list_contains([{units}], lower(x)) THEN '#u'
+      WHEN starts_with(x, chr(1)) THEN substr(lower(x), 2)
+      WHEN lower(x) <> x AND upper(x) <> x THEN '#p' ELSE lower(x) END) AS tok
+    FROM (SELECT {key}, regexp_extract_all(regexp_replace(text, '([.!?:;\\n][ \\t\\r\\n]*|^)(\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g'),
+      chr(1) || '?[\\p{{L}}\\p{{M}}]+|[0-9]+(?:[.,][0-9]+)*|[%$€£]') AS raw FROM {source})"""
+
+    return f"""
+WITH numbered AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents WHERE text IS NOT NULL),
+d AS ({tokens('numbered', 'k')}),
+b AS ({tokens('benchmark', 'item_id')}),
+sizes(size) AS (VALUES {sizes}),
+bw AS (SELECT item_id, len(tok) AS n_tokens, size, ipos, raw[ipos + 1:ipos + size] AS b_raw, tok[ipos + 1:ipos + size] AS b_tok
+  FROM (SELECT *, unnest(range(0, len(tok) - size + 1)) AS ipos FROM b, sizes
+    WHERE len(tok) >= {LEAST} AND (len(tok) = size OR (size = {WINDOW} AND len(tok) > size)))
+  WHERE len(list_filter(tok[ipos + 1:ipos + size], lambda t: NOT starts_with(t, '#'))) >=
+    CASE WHEN size >= {WINDOW} THEN {LITERALS} ELSE size - 2 END),
+dw AS (SELECT k, size, pos, raw[pos + 1:pos + size] AS d_raw, array_to_string(tok[pos + 1:pos + size], ' ') AS key
+  FROM (SELECT k, raw, tok, size, unnest(range(0, len(tok) - size + 1)) AS pos FROM d, (SELECT DISTINCT size FROM bw))),
+hits AS (SELECT DISTINCT k, item_id, n_tokens, w.size, ipos, pos - ipos AS diag, b_raw, b_tok, d_raw
+  FROM dw w JOIN bw ON w.size = bw.size AND w.key = array_to_string(b_tok, ' ')),
+spans AS (SELECT *, least(size, coalesce(lead(ipos) OVER (PARTITION BY k, item_id, diag ORDER BY ipos) - ipos, size)) AS adds FROM hits),
+lines AS (SELECT k, item_id, diag, count(*) AS n_windows, sum(adds) AS covered, any_value(n_tokens) AS item_tokens
+  FROM spans GROUP BY k, item_id, diag),
+slot AS (SELECT k, item_id, diag, b_raw[j] AS value, d_raw[j] AS filled
+  FROM (SELECT *, unnest(range(1, size + 1)) AS j FROM hits) WHERE starts_with(b_tok[j], '#')),
+by_value AS (SELECT k, item_id, diag, value, min(filled) AS lo, max(filled) AS hi FROM slot GROUP BY ALL),
+slots AS (SELECT k, item_id, diag, count(*) AS n_slots, count(*) FILTER (lo = hi) AS n_consistent,
+  count(*) FILTER (lo <> value OR hi <> value) AS n_changed FROM by_value GROUP BY ALL),
+judged AS (SELECT l.*, coalesce(n_slots, 0) AS n_slots, coalesce(n_consistent, 0) AS n_consistent, coalesce(n_changed, 0) AS n_changed
+  FROM lines l LEFT JOIN slots USING (k, item_id, diag)),
+best AS (SELECT *, row_number() OVER (PARTITION BY k, item_id ORDER BY covered DESC, diag) AS r FROM judged
+  WHERE covered >= item_tokens * {COVERAGE} AND n_consistent >= n_slots * {CONSISTENT})
+SELECT doc_id, item_id, n_windows::BIGINT AS n_windows, covered::BIGINT AS covered, item_tokens::BIGINT AS item_tokens,
+  n_slots::BIGINT AS n_slots, n_consistent::BIGINT AS n_consistent, n_changed::BIGINT AS n_changed
+FROM best JOIN numbered USING (k) WHERE r = 1
+"""
+
+
+ORACLE = _oracle()
