@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op10_neighbours": ann.ORACLE,
+    "op2_decontamination": decontam.ORACLE,
     "op3_sharding": sharding.ORACLE,
     "op6_license_scan": licenses.ORACLE,
     "op7_url_filter": urlfilter.ORACLE,
