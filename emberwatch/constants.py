@@ -115,3 +115,8 @@ ALL_RECIPIENTS = ["oncall@company.com", "sre-team@company.com", "engineering-man
 
 # Fixed value: DNS namespace UUID used for stable point ids (RFC 4122).
 NAMESPACE_DNS_HEX = "6ba7b8109dad11d180b400c04fd430c8"
+
+# The list of things that went well in every report.
+REPORT_WENT_WELL = ["The anomaly was detected automatically within the detection window",
+                    "Root cause analysis was completed without manual triage",
+                    "Automated postmortem generated within minutes of resolution"]

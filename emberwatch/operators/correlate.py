@@ -111,7 +111,7 @@ def cascade(anoms: DataFrame, registry: DataFrame, metrics: DataFrame, *,
     """C-09: of the first `max_deps` downstreams, those whose max error rate in the window is > limit.
     Only error-rate rows are joined and they are reduced to one max per (incident, downstream)."""
     deps = downstream(registry).where(F.col("pos") < max_deps)
-    a = _anoms(anoms).join(F.broadcast(deps), F.col("source_service") == deps.service_name)\
+    a = _anoms(anoms).join(deps, F.col("source_service") == deps.service_name)\
                      .drop("service_name")
     er = (metrics.where(F.col("metric_name") == "service_error_rate_percent")
                  .select(F.col("source_service").alias("e_service"), F.col("ts").alias("e_ts"), "metric_value"))
@@ -139,7 +139,7 @@ def blast_radius(df: DataFrame, registry: DataFrame) -> DataFrame:
     """C-10: affected = [service] + cascade; criticality from the registry (P1 when absent); impact text by tier.
     `df` has incident_id, source_service, cascade (array, may be null). The registry is a bounded dimension."""
     reg = registry.select(F.col("service_name").alias("__svc"), "criticality")
-    j = df.join(F.broadcast(reg), F.col("source_service") == F.col("__svc"), "left").drop("__svc")
+    j = df.join(reg, F.col("source_service") == F.col("__svc"), "left").drop("__svc")
     crit = F.coalesce(F.col("criticality"), F.lit(K.DEFAULT_CRITICALITY))
     return j.select(
         "*",
@@ -219,8 +219,8 @@ def affected_col() -> Column:
 def recovery(anoms: DataFrame, metrics: DataFrame, *, n: int = 3, tol: float = 0.30,
              limit_min: float = 30, bucket_s: float = 86400) -> DataFrame:
     """F-04: watch the trigger metric after detection; recovered at the first sample (within the limit)
-    where the mean of the last n values of the series is within tol of the baseline (baseline > 0);
-    otherwise resolved by timeout at detection + limit. One window over each series, one range join."""
+    where the mean of the last n values of the series is within tol of the baseline (a null or zero baseline
+    stands for that mean itself, so the first full window recovers); otherwise resolved by timeout at detection + limit. One window over each series, one range join."""
     from emberwatch.operators.detect import series_stats
 
     # the last-n mean per series, split by time bucket with a halo (no gap resets: one segment)
@@ -231,8 +231,8 @@ def recovery(anoms: DataFrame, metrics: DataFrame, *, n: int = 3, tol: float = 0
     j = range_join(a, m, left_keys=["source_service", "trigger_metric"], right_keys=["r_service", "r_metric"],
                    left_ts="detection_time", right_ts="r_ts", before_ms=0, after_ms=int(limit_min * MIN),
                    lower_inclusive=False)
-    ok = (F.col("recent_n") >= n) & (F.col("baseline_value") > 0) & \
-         (F.abs(F.col("recent_mean") - F.col("baseline_value")) / F.col("baseline_value") < tol)
+    base = F.when(F.coalesce(F.col("baseline_value"), F.lit(0.0)) == 0, F.col("recent_mean")).otherwise(F.col("baseline_value"))
+    ok = (F.col("recent_n") >= n) & (base > 0) & (F.abs(F.col("recent_mean") - base) / base < tol)
     hit = j.where(ok).groupBy("incident_id").agg(F.min("r_ts").alias("recovered_at"))
     out = a.join(hit, "incident_id", "left")
     return out.select(

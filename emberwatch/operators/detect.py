@@ -142,14 +142,44 @@ def detect(metrics: DataFrame, *, gap_s: float = K.BASELINE_GAP_S, ttl_s: float
     return anomaly_events(kept)
 
 
+def burst_counts(df: DataFrame, *, keys: Sequence[str], gap_s: float, ts: str = "ts", tie: str = "event_id",
+                 bucket_s: float = 3600, out: str = "error_count") -> DataFrame:
+    """The running count of every row since the last silence of >= gap_s of its key. Rows are counted inside time
+    buckets; what a bucket carries over comes from one row per bucket, so no task holds the rows of a whole key."""
+    keys, gap = list(keys), F.lit(int(gap_s * 1000))
+    same = [F.coalesce(F.col(k).cast("string"), F.lit("\x00")).alias(f"__k{i}") for i, k in enumerate(keys)]
+    ids = [f"__k{i}" for i in range(len(keys))]
+    d = df.select("*", *same).withColumn("__b", F.floor(F.col(ts) / F.lit(int(bucket_s * 1000))).cast("long"))
+    wb = Window.partitionBy(*ids, "__b").orderBy(F.col(ts), F.col(tie))
+    upto = wb.rowsBetween(Window.unboundedPreceding, 0)
+    new = F.when(F.col(ts) - F.lag(ts).over(wb) >= gap, 1).otherwise(0)
+    d = d.withColumn("__new", new).withColumn("__part", F.sum("__new").over(upto))
+    d = d.withColumn("__at", F.row_number().over(Window.partitionBy(*ids, "__b", "__part").orderBy(F.col(ts), F.col(tie))))
+    parts = d.groupBy(*ids, "__b", "__part").agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("lo"), F.max(ts).alias("hi"))
+    tail = F.max(F.struct("__part", "n"))
+    bt = parts.groupBy(*ids, "__b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), tail.alias("tail"))
+    wt = Window.partitionBy(*ids).orderBy("__b")
+    silent = F.col("lo") - F.lag("hi").over(wt) >= gap
+    # a run of buckets goes on while no silence lies between or within them; its first one may take over the tail of
+    # the bucket before
+    bt = (bt.withColumn("__silent", F.coalesce(silent, F.lit(True)))
+          .withColumn("__broken", F.coalesce(F.lag(F.col("tail")["__part"] > 0).over(wt), F.lit(False)))
+          .withColumn("__before", F.lag(F.col("tail")["n"]).over(wt)))
+    bt = bt.withColumn("__run", F.sum(F.when(F.col("__silent") | F.col("__broken"), 1).otherwise(0)).over(wt))
+    taken = F.when(F.col("__silent"), F.lit(0)).otherwise(F.coalesce(F.col("__before"), F.lit(0)))
+    wr = Window.partitionBy(*ids, "__run").orderBy("__b")
+    bt = bt.select(*ids, "__b", F.sum(taken).over(wr).alias("__carry"))
+    d = d.join(bt, [*ids, "__b"])
+    count = F.col("__at") + F.when(F.col("__part") == 0, F.col("__carry")).otherwise(F.lit(0))
+    return d.withColumn(out, count.cast("long")).select(*df.columns, out)
+
+
 def log_bursts(logs: DataFrame, *, gap_s: float = K.BURST_GAP_S, n: int = K.BURST_COUNT,
-               ttl_s: float = K.DEDUP_TTL_S) -> DataFrame:
+               ttl_s: float = K.DEDUP_TTL_S, bucket_s: float = 3600) -> DataFrame:
     """D-10: ERROR/FATAL rows; a running count per service that restarts after a silence of >= gap_s
     (the counter's TTL is refreshed on each hit); fires from the n-th error on, then TTL-suppressed."""
     err = logs.where(F.col("level").isin("ERROR", "FATAL"))
-    err = segments(err, keys=["source_service"], gap_s=gap_s, out="burst")
-    w = Window.partitionBy("source_service", "burst").orderBy("ts", "event_id")
-    err = err.withColumn("error_count", F.row_number().over(w).cast("long")).where(F.col("error_count") >= n)
+    err = burst_counts(err, keys=["source_service"], gap_s=gap_s, bucket_s=bucket_s).where(F.col("error_count") >= n)
     kept = suppress(err, keys=["source_service"], ts="ts", tie="event_id", ttl_s=ttl_s)
     return kept.select(
         "source_service",
@@ -164,19 +194,32 @@ def log_bursts(logs: DataFrame, *, gap_s: float = K.BURST_GAP_S, n: int = K.BURS
     )
 
 
-def sustained_alerts(metrics: DataFrame, rules: DataFrame, *, hold_scale: float = 1.0) -> DataFrame:
-    """D-12: `value > limit` held for `for` seconds. Islands of consecutive true samples per series
-    (running count of false flags), an island fires when max(ts) - min(ts) >= for.
-    `rules` (metric_name, limit, hold_s, alert) is a 5-row table, broadcast by size."""
-    j = metrics.join(F.broadcast(rules), "metric_name")
-    w = Window.partitionBy("source_service", "metric_name").orderBy("ts", "event_id")
-    flag = F.col("metric_value") > F.col("limit")
-    j = j.withColumn("__breach", flag)\
-         .withColumn("island", F.sum(F.when(flag, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    isl = (j.where("__breach")
-             .groupBy("source_service", "metric_name", "alert", "island", "hold_s")
-             .agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("samples"),
-                  F.max("metric_value").alias("peak_value")))
+def sustained_alerts(metrics: DataFrame, rules: DataFrame, *, hold_scale: float = 1.0, bucket_s: float = 3600) -> DataFrame:
+    """D-12: `value > limit` held for `for` seconds. Islands of consecutive true samples per series, an island fires
+    when max(ts) - min(ts) >= for. Islands are found inside time buckets; only those that reach a bucket's first or
+    last sample (two a bucket at most) are stitched along the series. `rules` is (metric_name, limit, hold_s, alert)."""
+    keys = ["source_service", "metric_name", "alert", "hold_s"]
+    j = (metrics.join(rules, "metric_name").withColumn("__breach", F.col("metric_value") > F.col("limit"))
+         .withColumn("__b", F.floor(F.col("ts") / F.lit(int(bucket_s * 1000))).cast("long")))
+    w = Window.partitionBy(*keys, "__b").orderBy("ts", "event_id")
+    j = j.withColumn("__island", F.sum(F.when(F.col("__breach"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    buckets = (j.groupBy(*keys, "__b").agg(F.max("__island").alias("__last"))
+               .withColumn("__seq", F.row_number().over(Window.partitionBy(*keys).orderBy("__b"))))
+    facts = [F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("samples"),
+             F.max("metric_value").alias("peak_value")]
+    local = j.where("__breach").groupBy(*keys, "__b", "__island").agg(*facts).join(buckets, [*keys, "__b"])
+    local = local.withColumn("__starts", F.col("__island") == 0).withColumn("__ends", F.col("__island") == F.col("__last"))
+    out = [*keys, "start_ts", "end_ts", "samples", "peak_value"]
+    inner = local.where(~F.col("__starts") & ~F.col("__ends")).select(*out)
+    ws = Window.partitionBy(*keys).orderBy("__seq", "start_ts")
+    joined = F.col("__starts") & (F.lag("__seq").over(ws) + 1 == F.col("__seq")) & F.lag("__ends").over(ws)
+    edge = local.where(F.col("__starts") | F.col("__ends")).withColumn(
+        "__new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
+    edge = edge.withColumn("__chain", F.sum("__new").over(ws.rowsBetween(Window.unboundedPreceding, 0)))
+    stitched = edge.groupBy(*keys, "__chain").agg(
+        F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.sum("samples").alias("samples"),
+        F.max("peak_value").alias("peak_value")).select(*out)
+    isl = inner.unionByName(stitched)
     fired = isl.where(F.col("end_ts") - F.col("start_ts") >= F.col("hold_s") * F.lit(1000 * hold_scale))
     return fired.select("source_service", "metric_name", "alert", "start_ts", "end_ts", "samples", "peak_value",
                         (F.col("start_ts") + (F.col("hold_s") * F.lit(1000 * hold_scale)).cast("long"))
@@ -191,12 +234,12 @@ def alert_rules(spark) -> DataFrame:
 def series_stats(df: DataFrame, *, keys: Sequence[str] = SERIES, ts: str = "ts", tie: str = "event_id",
                  value: str = "metric_value", gap_s: float = K.BASELINE_GAP_S, size: int = K.BASELINE_WINDOW,
                  min_samples: int = K.MIN_SAMPLES, pcts: Sequence[int] = (50, 95, 99),
-                 bucket_s: float = 86400, current: bool = False) -> DataFrame:
+                 bucket_s: float = 86400, current: bool = False, number: bool = False) -> DataFrame:
     """D-01..D-03 + D-07 with a hot series split across tasks by time bucket (exact).
 
     Segments: `lag` inside a bucket, with the previous bucket's last timestamp from a per-bucket table;
     the segment key is the timestamp of the segment's first row (`seg_start`), carried across buckets
-    through the same small table, and `segment` is its 1-based number within the series.
+    through the same small table; with `number`, `segment` is its 1-based number within the series.
     Rolling windows: each bucket also receives the last size-1 rows before it (a halo); which bucket
     needs which tail row is a range join on row counts (bucket-keyed). The windows then run per
     (series, bucket, segment), so no task ever holds a whole series."""
@@ -251,6 +294,8 @@ def series_stats(df: DataFrame, *, keys: Sequence[str] = SERIES, ts: str = "ts",
                                                      .cast("int") + 1))
     u = u.where(~F.col("__halo")).drop("__win", "__halo", "__tb")
     u = zscore(u, value=value, min_samples=min_samples)
+    if not number:
+        return u
     segs = u.select(*key_cols, "seg_start").distinct()
     segs = segs.withColumn("segment", F.row_number().over(Window.partitionBy(*key_cols).orderBy("seg_start"))
                            .cast("long"))

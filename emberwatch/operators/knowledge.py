@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.functions.columns import doc_hash, point_id
-from emberwatch.operators.tables import insert_if_absent
+from emberwatch.operators.tables import _first_per_key
 
 # Fixed value: the characters Python's str.strip() removes (str.isspace), in code point order.
 WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -180,9 +180,13 @@ def architecture_text(reg: DataFrame, *, chars: int = 800) -> DataFrame:
     return reg.withColumn("content", F.substring(txt, 1, chars))
 
 
-def upsert_chunks(store: DataFrame, chunks: DataFrame) -> DataFrame:
-    """K-09: idempotent upsert by point id; a re-run adds nothing."""
-    return insert_if_absent(store, chunks.select(*store.columns), keys=["point_id"])
+def upsert_chunks(store: DataFrame, chunks: DataFrame, *, doc: str = "stem") -> DataFrame:
+    """K-09: upsert of whole documents. Every point of a document in `chunks` is replaced by its new one (all payload
+    columns), points whose chunk no longer exists go, other documents stay. A re-run changes nothing. A store without
+    the document column replaces point by point."""
+    doc = doc if doc in store.columns else "point_id"
+    new = _first_per_key(chunks.select(*store.columns), ["point_id"], None, last=False)
+    return store.join(new.select(doc).distinct(), doc, "left_anti").select(*store.columns).unionByName(new)
 
 
 def seed(spark, sf_dir: str) -> dict[str, DataFrame]:

@@ -19,9 +19,10 @@ ROUTES = [
 
 
 def route_kind(df: DataFrame) -> DataFrame:
-    """S-12: kind by which fields are present, in the order anomaly -> rca -> plan -> resolved -> postmortem
-    (postmortem text over 100 characters); rows with no incident id or no kind are dropped."""
-    kind = (F.when(F.col("anomaly_score").isNotNull() & F.col("root_cause_candidates").isNull()
+    """S-12: kind by which fields are present, in the order anomaly (unless `rca_candidates` or `action_steps` is
+    there too) -> rca -> plan -> resolved -> postmortem (postmortem text over 100 characters); rows with no incident id or no kind are dropped."""
+    absent = lambda c: F.col(c).isNull() if c in df.columns else F.lit(True)
+    kind = (F.when(F.col("anomaly_score").isNotNull() & absent("rca_candidates")
                    & F.col("action_steps").isNull(), "anomaly")
              .when(F.col("root_cause_candidates").isNotNull(), "rca")
              .when(F.col("action_steps").isNotNull(), "plan")
@@ -39,7 +40,7 @@ def route(events: DataFrame, routes: DataFrame) -> DataFrame:
     """N-01: new anomalies notify only at CRITICAL/HIGH; recipients by kind (5-row table, broadcast)."""
     ev = route_kind(events)
     ev = ev.where((F.col("kind") != "anomaly") | F.col("severity").isin("CRITICAL", "HIGH"))
-    return ev.join(F.broadcast(routes), "kind")
+    return ev.join(routes, "kind")
 
 
 def _short(iid) -> F.Column:
@@ -77,17 +78,28 @@ def timeline_facts(ev: DataFrame, *, n: int = 20, chars: int = 80) -> DataFrame:
 
 
 def report(inc: DataFrame, facts: DataFrame) -> DataFrame:
-    """N-05: the deterministic report skeleton per incident (header, timeline)."""
+    """N-05: the deterministic report per incident: title with type and service, date, duration, severity, MTTR,
+    services, timeline, primary root cause, the two fixed lists and the action items."""
+    from emberwatch.operators.serve import mttr_col
+
     tl = facts.groupBy("incident_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
         .alias("timeline"))
     j = inc.join(tl, inc.id == tl.incident_id, "left")
-    md = F.concat(
-        F.lit("# Postmortem: INC-"), F.col("id").cast("string"), F.lit("\n\n## Summary\n\n- Severity: "),
-        F.col("severity"), F.lit("\n- Type: "), F.col("anomaly_type"), F.lit("\n- Services: "),
-        F.array_join("affected_services", ", "), F.lit("\n- Detected: "), time_label("detection_time"),
-        F.lit("\n- Resolved: "), time_label("resolution_time"), F.lit("\n\n## Timeline\n\n"),
-        F.coalesce(F.col("timeline"), F.lit("")), F.lit("\n"))
+    service = F.coalesce(F.element_at("affected_services", 1), F.lit("unknown"))
+    minutes = F.coalesce(mttr_col().cast("string"), F.lit("N/A"))
+    iid = F.col("id").cast("string")
+    parts = [
+        "# Postmortem: ", F.col("anomaly_type"), " on ", service, "\n\n**Date:** ", F.substring(time_label("detection_time"), 1, 10),
+        "\n**Duration:** ", minutes, " minutes\n**Severity:** ", F.col("severity"), "\n**MTTR:** ", minutes,
+        " minutes\n**Services:** ", F.array_join("affected_services", ", "), "\n**Detected:** ", time_label("detection_time"),
+        "\n**Resolved:** ", time_label("resolution_time"), "\n\n---\n\n## Timeline\n\n", F.coalesce(F.col("timeline"), F.lit("")),
+        "\n\n---\n\n## Root Cause\n\n**Primary Root Cause:** ", F.coalesce(F.nullif("top_root_cause", F.lit("")), F.lit("Under investigation")),
+        "\n\n---\n\n## What Went Well\n\n", "\n".join(f"- {x}" for x in K.REPORT_WENT_WELL),
+        "\n\n---\n\n## What Could Be Improved\n\n- Review alert thresholds to reduce time-to-detect\n- Ensure runbooks are up-to-date for ",
+        F.col("anomaly_type"), " scenarios\n\n---\n\n## Action Items\n\n- Review the root cause with the owners of ", service,
+        "\n\n---\n\nIncident ID: ", iid, "\n"]
+    md = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     return j.select(F.col("id").alias("incident_id"), md.alias("markdown"))
 
 

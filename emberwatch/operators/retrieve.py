@@ -3,8 +3,9 @@ best chunk per document, boosted re-rank, token budget, evidence rendering and t
 
 Exact top-k scores each (query, candidate) pair once inside the join and keeps only `row_number() <= k`
 per query; Catalyst places a partial WindowGroupLimit before the shuffle, so each task ships at most k
-rows per query. Filtered searches are equi-joins on the filter key (service), never a cross product.
-Unfiltered search broadcasts the query batch only after checking its row count against a bound.
+rows per query. Queries and corpus meet in blocks: both sides are dealt to numbered blocks and joined on
+the pair of block numbers, so a search of any size is one equi-join over many cells; filtered searches add
+the filter key (service, time bucket) to that join key.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from emberwatch import constants as K
 from emberwatch.functions.columns import tokens
 from emberwatch.operators.knowledge import py_list_repr
 
-MAX_BROADCAST_QUERIES = 100_000
+QUERY_BLOCKS = 4      # blocks of the query side; every corpus row is copied to each
+CORPUS_BLOCKS = 16    # blocks of the corpus; every query is copied to each
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,12 +42,12 @@ def _top_k(scored: DataFrame, k: int, *, part: Sequence[str] = ("query_id",), id
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def _checked_broadcast(q: DataFrame, bound: int) -> DataFrame:
-    n = q.count()
-    if n > bound:
-        raise ValueError(f"query batch of {n} rows exceeds the broadcast bound {bound}; split the batch "
-                         "or use knn_approx (R-14)")
-    return F.broadcast(q)
+def _block(id_col: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int")
+
+
+def _every(blocks: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
 
 def _score(j: DataFrame, qvec: str, cvec: str) -> DataFrame:
@@ -54,11 +56,13 @@ def _score(j: DataFrame, qvec: str, cvec: str) -> DataFrame:
 
 
 def knn(q: DataFrame, corpus: DataFrame, *, k: int, qvec: str = "query_vec", cvec: str = "embedding",
-        max_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
-    """R-02: exact cosine top-k per query; ties broken by chunk_id."""
-    qs = _checked_broadcast(_prep_queries(q, qvec), max_queries)
-    j = _prep_corpus(corpus, cvec).join(qs, how="inner")
-    return _top_k(_score(j, qvec, cvec), k)
+        query_blocks: int = QUERY_BLOCKS, corpus_blocks: int = CORPUS_BLOCKS) -> DataFrame:
+    """R-02: exact cosine top-k per query; ties broken by chunk_id. A stated query set against all rows, in blocks."""
+    qs = (_prep_queries(q, qvec).withColumn("__qb", _block("query_id", query_blocks))
+          .select("*", _every(corpus_blocks).alias("__cb")))
+    c = (_prep_corpus(corpus, cvec).withColumn("__cb", _block("chunk_id", corpus_blocks))
+         .select("*", _every(query_blocks).alias("__qb")))
+    return _top_k(_score(c.join(qs, ["__qb", "__cb"]).drop("__qb", "__cb"), qvec, cvec), k)
 
 
 def knn_filtered(q: DataFrame, corpus: DataFrame, *, k: int, equal: dict[str, object],
@@ -72,17 +76,26 @@ def knn_filtered(q: DataFrame, corpus: DataFrame, *, k: int, equal: dict[str, ob
 
 def knn_per_service(q: DataFrame, corpus: DataFrame, *, k: int = 3, services: str = "affected_services",
                     qvec: str = "query_vec", cvec: str = "embedding",
-                    window_s: tuple[str, str, int] | None = None) -> DataFrame:
+                    window_s: tuple[str, str, int] | None = None, corpus_blocks: int = CORPUS_BLOCKS) -> DataFrame:
     """R-07 (and R-04/R-08 with `window_s`): one search per (query, affected service) with service
-    equality, an equi-join on service. window_s = (query time col, corpus time col, seconds) keeps corpus
-    rows with query_t - seconds <= t <= query_t."""
+    equality. window_s = (query time col, corpus time col, seconds) keeps corpus rows with
+    query_t - seconds <= t <= query_t. There are few services, so the join key has a second part: the time
+    bucket (as wide as the window, so a query meets two of them), or else a block of the corpus."""
     qs = _prep_queries(q, qvec).select("*", F.explode(services).alias("svc"))
     c = _prep_corpus(corpus, cvec)
-    cond = [F.col("svc") == F.col("service_name")]
     if window_s:
         qt, ct, secs = window_s
-        cond += [F.col(ct) >= F.col(qt) - F.lit(secs), F.col(ct) <= F.col(qt)]
-    j = qs.join(c, cond)
+        width = F.lit(max(secs, 1))
+        qs = qs.select("*", F.explode(F.sequence(F.floor((F.col(qt) - F.lit(secs)) / width), F.floor(F.col(qt) / width)))
+                       .alias("__cell"))
+        c = c.withColumn("__cell", F.floor(F.col(ct) / width))
+        inside = [F.col(ct) >= F.col(qt) - F.lit(secs), F.col(ct) <= F.col(qt)]
+    else:
+        qs = qs.select("*", _every(corpus_blocks).alias("__cell"))
+        c = c.withColumn("__cell", _block("chunk_id", corpus_blocks))
+        inside = []
+    cond = [qs["svc"] == c["service_name"], qs["__cell"] == c["__cell"], *inside]
+    j = qs.join(c, cond).drop(qs["__cell"]).drop(c["__cell"])
     return _top_k(_score(j, qvec, cvec), k, part=("query_id", "svc"))
 
 
@@ -109,13 +122,16 @@ def boost(hits: DataFrame, *, service: float = K.SERVICE_BOOST, type_: float = K
 
 
 def budget(hits: DataFrame, *, max_tokens: int = K.MAX_TOKENS, order: Sequence[str] = K.BUDGET_ORDER,
-           group: str = "query_id", text: str = "content", kind: str = "collection") -> DataFrame:
-    """R-11: token budget. Types in fixed order; within a type stop at the first chunk that overflows;
-    later types may still fit. Per request the hit list is already k-bounded, so the fold runs over a
-    short array. Returns the kept hits with `tokens` and `budget_pos`."""
-    type_rank = F.array_position(F.array(*[F.lit(t) for t in order]), F.col(kind))
+           group: str | Sequence[str] = "query_id", text: str = "content", kind: str = "collection") -> DataFrame:
+    """R-11: token budget of each request (`group`). Types in fixed order, an unknown type counts as architecture;
+    within a type stop at the first chunk that overflows; later types may still fit. Per request the hit list is
+    already k-bounded, so the fold runs over a short array. Returns the kept hits with `tokens` and `budget_pos`."""
+    group = [group] if isinstance(group, str) else list(group)
+    known = F.array(*[F.lit(t) for t in order])
+    type_rank = F.when(F.array_contains(known, F.col(kind)), F.array_position(known, F.col(kind))).otherwise(
+        F.lit(list(order).index("architecture") + 1).cast("long"))
     prepared = hits.withColumn("tokens", tokens(text)).withColumn("__tr", type_rank)
-    per = prepared.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("__tr", "rank", "chunk_id", "tokens")))
+    per = prepared.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("__tr", "rank", "chunk_id", "tokens")))
                                       .alias("items"))
     init = F.struct(F.lit(0).cast("long").alias("total"), F.lit(-1).cast("long").alias("stopped"),
                     F.array().cast("array<long>").alias("kept"))
@@ -128,47 +144,57 @@ def budget(hits: DataFrame, *, max_tokens: int = K.MAX_TOKENS, order: Sequence[s
         stop = F.struct(acc["total"].alias("total"), it["__tr"].cast("long").alias("stopped"), acc["kept"].alias("kept"))
         return F.when(blocked, acc).when(fits, keep).otherwise(stop)
 
-    kept = per.select(group, F.posexplode(F.aggregate("items", init, step)["kept"]).alias("budget_pos", "chunk_id"))
-    return prepared.drop("__tr").join(kept, [group, "chunk_id"])
-
-
-def render(hits: DataFrame, incidents: DataFrame, registry: DataFrame) -> DataFrame:
-    """R-12: evidence text per collection. Incident payloads carry no symptoms/root cause/resolution,
-    so they are joined back from the incident table (bounded by the k-limited hits)."""
-    inc = incidents.select(F.col("id").alias("__iid"), F.col("severity").alias("__sev"),
-                           F.col("description").alias("__symptoms"), F.col("top_root_cause").alias("__rc"),
-                           F.col("resolution").alias("__res"), F.col("mttr_minutes").alias("__mttr"))
-    reg = registry.select(F.col("service_name").alias("__rsvc"), "team_owner", "criticality", "sla_p99_latency_ms",
-                          "sla_error_rate_pct", "on_call_rotation", "downstream_services")
-    j = hits.join(inc, F.col("doc_id") == F.col("__iid"), "left").join(F.broadcast(reg),
-                                                                     F.col("service_name") == F.col("__rsvc"), "left")
-    s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    kept = per.select(*group, F.posexplode(F.aggregate("items", init, step)["kept"]).alias("budget_pos", "chunk_id"))
+    return prepared.drop("__tr").join(kept, [*group, "chunk_id"])
+
+
+def render(hits: DataFrame, incidents: DataFrame, registry: DataFrame, runbooks: DataFrame, deployments: DataFrame,
+           postmortems: DataFrame) -> DataFrame:
+    """R-12: evidence text per collection, from the columns of the source records (hits are k-bounded, the
+    records are joined on their ids):
+
+    incidents (id, service_name, severity, anomaly_type, symptoms, root_cause, resolution, mttr_minutes),
+    registry (service_name, team_owner, criticality, sla_*, on_call_rotation, downstream_services, description,
+    known_failure_modes), runbooks (doc_id, title, anomaly_types, services), deployments (id, service_name, version,
+    deployed_by, change_type, description, known_risks, deployed_at) and postmortems (incident_id, service,
+    root_cause_category, contributing_factors, preventative_actions). A field that is missing is empty."""
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"__{tag}_{c}") for c in df.columns])
+
+    j = (hits.join(side(incidents, "i"), F.col("doc_id") == F.col("__i_id"), "left")
+         .join(side(registry, "a"), F.col("service_name") == F.col("__a_service_name"), "left")
+         .join(side(runbooks, "r"), F.col("doc_id") == F.col("__r_doc_id"), "left")
+         .join(side(deployments, "d"), F.col("doc_id") == F.col("__d_id"), "left")
+         .join(side(postmortems, "p"), F.col("doc_id") == F.col("__p_incident_id"), "left"))
+    s = lambda c, d="": F.coalesce(F.col(c).cast("string"), F.lit(d))
+    names = lambda c: py_list_repr(F.coalesce(F.col(c), F.array().cast("array<string>")))
     incident_txt = F.concat(
-        F.lit("Incident: "), s("doc_id"), F.lit("\nService: "), s("service_name"), F.lit(" | Severity: "), s("__sev"),
-        F.lit(" | Type: "), s("anomaly_type"), F.lit("\nSymptoms: "), s("__symptoms"), F.lit("\nRoot Cause: "), s("__rc"),
-        F.lit("\nResolution: "), s("__res"), F.lit("\nMTTR: "), F.coalesce(F.col("__mttr").cast("string"), F.lit("?")),
+        F.lit("Incident: "), s("__i_id"), F.lit("\nService: "), s("__i_service_name"), F.lit(" | Severity: "), s("__i_severity"),
+        F.lit(" | Type: "), s("__i_anomaly_type"), F.lit("\nSymptoms: "), s("__i_symptoms"), F.lit("\nRoot Cause: "),
+        s("__i_root_cause"), F.lit("\nResolution: "), s("__i_resolution"), F.lit("\nMTTR: "), s("__i_mttr_minutes", "?"),
         F.lit(" minutes"))
-    runbook_txt = F.concat(F.lit("Runbook: doc "), s("doc_id"), F.lit("\nFor: "), py_list_repr(F.array("anomaly_type")),
-                           F.lit(" on "), py_list_repr(F.array("service_name")), F.lit("\n\n"), s("content"))
+    runbook_txt = F.concat(F.lit("Runbook: "), s("__r_title"), F.lit("\nFor: "), names("__r_anomaly_types"),
+                           F.lit(" on "), names("__r_services"), F.lit("\n\n"), s("content"))
     arch_txt = F.concat(
-        F.lit("Service: "), s("service_name"), F.lit("\nTeam: "), s("team_owner"), F.lit(" | Criticality: "),
-        s("criticality"), F.lit("\nSLA: P99 < "), s("sla_p99_latency_ms"), F.lit("ms, error rate < "),
-        s("sla_error_rate_pct"), F.lit("%\nOn-call: "), s("on_call_rotation"), F.lit("\nDownstream: "),
-        py_list_repr(F.coalesce(F.col("downstream_services"), F.array().cast("array<string>"))),
-        F.lit("\nDescription: "), s("content"), F.lit("\nKnown failure modes: []"))
-    deploy_txt = F.concat(F.lit("Deployment: "), s("service_name"), F.lit(" v"), s("doc_id"), F.lit("\nDeployed at: "),
-                          s("epoch"), F.lit(" by ci-cd-pipeline\nChange type: CODE\nDescription: "), s("content"),
-                          F.lit("\nKnown risks:\n  None flagged"))
-    pm_txt = F.concat(F.lit("Postmortem: "), s("doc_id"), F.lit("\nService: "), s("service_name"),
-                      F.lit(" | Category: "), s("anomaly_type"), F.lit("\nContributing factors:\n"), s("content"),
-                      F.lit("\nPreventative actions:\n"))
+        F.lit("Service: "), s("service_name"), F.lit("\nTeam: "), s("__a_team_owner"), F.lit(" | Criticality: "),
+        s("__a_criticality"), F.lit("\nSLA: P99 < "), s("__a_sla_p99_latency_ms", "?"), F.lit("ms, error rate < "),
+        s("__a_sla_error_rate_pct", "?"), F.lit("%\nOn-call: "), s("__a_on_call_rotation"), F.lit("\nDownstream: "),
+        names("__a_downstream_services"), F.lit("\nDescription: "), s("__a_description"), F.lit("\nKnown failure modes: "),
+        names("__a_known_failure_modes"))
+    risks = F.when(F.size(F.coalesce(F.col("__d_known_risks"), F.array().cast("array<string>"))) > 0, F.array_join(
+        F.transform("__d_known_risks", lambda r: F.concat(F.lit("  - "), r)), "\n")).otherwise(F.lit("  None flagged"))
+    deploy_txt = F.concat(F.lit("Deployment: "), s("__d_service_name"), F.lit(" "), s("__d_version"), F.lit("\nDeployed at: "),
+                          s("__d_deployed_at"), F.lit(" by "), s("__d_deployed_by"), F.lit("\nChange type: "),
+                          s("__d_change_type"), F.lit("\nDescription: "), s("__d_description"), F.lit("\nKnown risks:\n"), risks)
+    pm_txt = F.concat(F.lit("Postmortem: "), s("__p_incident_id"), F.lit("\nService: "), s("__p_service"),
+                      F.lit(" | Category: "), s("__p_root_cause_category"), F.lit("\nContributing factors:\n"),
+                      s("__p_contributing_factors"), F.lit("\nPreventative actions:\n"), s("__p_preventative_actions"))
     txt = (F.when(F.col("collection") == "incidents", incident_txt)
             .when(F.col("collection") == "runbooks", runbook_txt)
             .when(F.col("collection") == "architecture", arch_txt)
             .when(F.col("collection") == "deployments", deploy_txt)
             .otherwise(pm_txt))
-    keep = [c for c in hits.columns]
-    return j.select(*keep, txt.alias("evidence"))
+    return j.select(*hits.columns, txt.alias("evidence"))
 
 
 def gather(q: DataFrame, corpus: DataFrame, *, deploy_window_s: int = 120 * 60) -> DataFrame:
@@ -218,18 +244,24 @@ def embed(df: DataFrame, model, *, out: str = "embedding") -> DataFrame:
 
 
 def knn_approx(q: DataFrame, corpus: DataFrame, *, k: int, bucket_length: float = 0.5, tables: int = 6,
-               max_distance: float = 1.2, qvec: str = "query_vec", cvec: str = "embedding") -> DataFrame:
+               qvec: str = "query_vec", cvec: str = "embedding") -> DataFrame:
     """R-14: approximate top-k with random-projection LSH (for corpora too large to scan per query).
-    Candidates are pairs in a shared hash bucket within `max_distance` (unit vectors: L2 = sqrt(2 - 2 cos));
-    the top k per query is taken among them. Recall against `knn` is reported by the caller."""
+    Candidates are the pairs that share a hash bucket (unit vectors: cos = 1 - L2^2 / 2); a query whose buckets
+    hold fewer than k rows is answered by the exact search instead, so every query gets k rows whenever the corpus
+    has k. Recall against `knn` is reported by the caller."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    c = corpus.withColumn("__v", array_to_vector(F.col(cvec)))
-    qq = q.withColumn("__v", array_to_vector(F.col(qvec)))
+    c = corpus.select("chunk_id", array_to_vector(F.col(cvec)).alias("__v"))
+    qq = q.select("query_id", array_to_vector(F.col(qvec)).alias("__v"))
     model = BucketedRandomProjectionLSH(inputCol="__v", outputCol="__h", bucketLength=bucket_length,
                                         numHashTables=tables, seed=7).fit(c)
-    pairs = model.approxSimilarityJoin(qq, c, max_distance, distCol="dist")
+    pairs = model.approxSimilarityJoin(qq, c, float("inf"), distCol="dist")
     scored = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"),
                           (F.lit(1.0) - F.col("dist") * F.col("dist") / F.lit(2.0)).alias("score"))
-    return _top_k(scored, k)
+    near = _top_k(scored, k)
+    whole = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
+    rest = knn(q.select("query_id", qvec).join(whole, "query_id", "left_anti"), corpus.select("chunk_id", cvec), k=k,
+               qvec=qvec, cvec=cvec)
+    return near.join(whole, "query_id", "left_semi").select("query_id", "chunk_id", "score", "rank").unionByName(
+        rest.select("query_id", "chunk_id", "score", "rank"))

@@ -86,7 +86,7 @@ def sla_breach(resolved: DataFrame, metrics: DataFrame, registry: DataFrame, *,
         F.max(F.when(F.col("metric_name") == "service_latency_p99_ms", F.col("metric_value"))).alias("peak_p99_ms"),
         F.max(F.when(F.col("metric_name") == "service_error_rate_percent", F.col("metric_value")))
         .alias("peak_error_rate_pct"))
-    reg = F.broadcast(registry.select(F.col("service_name").alias("__svc"), "sla_p99_latency_ms", "sla_error_rate_pct"))
+    reg = registry.select(F.col("service_name").alias("__svc"), "sla_p99_latency_ms", "sla_error_rate_pct")
     out = r.join(peaks, "incident_id", "left").join(reg, F.col("source_service") == F.col("__svc"), "left").drop("__svc")
     return out.select(
         "incident_id", "source_service", "peak_p99_ms", "peak_error_rate_pct", "sla_p99_latency_ms",
@@ -100,7 +100,7 @@ DEFAULT_ON_CALL = "on-call-engineer@company.com"
 
 def default_steps(rca: DataFrame, registry: DataFrame) -> DataFrame:
     """F-09: the two fallback steps for an RCA, owned by the primary service's on-call rotation."""
-    reg = F.broadcast(registry.select(F.col("service_name").alias("__svc"), "on_call_rotation"))
+    reg = registry.select(F.col("service_name").alias("__svc"), "on_call_rotation")
     j = rca.join(reg, F.col("service") == F.col("__svc"), "left")
     owner = F.coalesce(F.col("on_call_rotation"), F.lit(DEFAULT_ON_CALL))
     steps = F.array(

@@ -23,9 +23,11 @@ def mttr(df: DataFrame) -> DataFrame:
     return df.withColumn("mttr_minutes", mttr_col())
 
 
-def list_incidents(df: DataFrame, *, status: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Q-01: newest first, id as tie-break; limit capped at 200 like the API."""
-    limit = max(0, min(int(limit), 200))
+def list_incidents(df: DataFrame, *, status: str | None = None, limit: int = 50, offset: int = 0,
+                   max_limit: int = 200) -> DataFrame:
+    """Q-01: newest first, id as tie-break. A page of more than `max_limit` rows is refused, as by the API."""
+    if not 0 <= limit <= max_limit:
+        raise ValueError(f"limit must be between 0 and {max_limit}")
     out = df.where(F.col("status") == status) if status else df
     out = out.orderBy(F.col("detection_time").desc(), F.col("id").asc())
     if offset:

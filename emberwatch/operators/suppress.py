@@ -2,17 +2,21 @@
 
 This is a sequential recurrence (it depends on the last *kept* row), so it is not a window function and
 not `dropDuplicatesWithinWatermark`. To keep a hot key (say a third of all rows) from landing in one
-task, the work is split exactly by time bucket (width >= the longest lock):
+task, the work is split exactly by time bucket (several times as wide as the longest lock):
 
 A. per (key, bucket), in parallel: for every row, the lock end its kept-chain leaves at the bucket's end
    (pointer jumping over "next row at or after my lock end", vectorised with numpy). Only rows in the
    first lock-span of a bucket can be reached from an earlier bucket, so each bucket emits a compressed
-   step function  entry lock end -> exit lock end  (a handful of rows).
-B. per key: fold the step functions in bucket order (tiny input) -> the entry lock end of each bucket.
+   step function  entry lock end -> exit lock end.
+B. step functions are composed up a tree, FAN consecutive buckets to a node: a composed function has at
+   most one step more than its first bucket's, and far fewer once chains meet. The roots are folded in
+   order, and the entry lock ends are handed back down, node by node. No task holds more than FAN functions
+   of a key (or the key's few roots).
 C. per (key, bucket), in parallel: join the entry back and run the forward fold from it.
 
 Rows are shuffled once on (key, bucket) (the exchange is reused by A and C), sorted within partitions
-(spills), and streamed through Arrow batches; memory per task is one bucket, never one key.
+(spills), and streamed through Arrow batches; memory per task is one bucket, never one key. Null keys are
+keys like any other.
 """
 
 from __future__ import annotations
@@ -29,7 +33,11 @@ _LOCK = "__lock_end"
 _B = "__bucket"
 _ENTRY = "__entry"
 _NO_ENTRY = np.iinfo(np.int64).min
+_KEY = "__key"
 DEFAULT_BUCKET_S = 3600
+SPANS = 8     # a bucket is at least so many lock spans wide, so at most about 1 / SPANS of its rows are steps
+FAN = 64      # buckets of a tree node
+LEVELS = 3    # levels of the tree: FAN ** LEVELS buckets to a root
 
 
 def _segments(pdf: pd.DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +96,8 @@ class _Layout:
         return np.searchsorted(self.g, self.rank[rows] * self.stride + rel, side="left")
 
 
-def _phase_a(keys: Sequence[str], ts: str, width: int, span: int):
-    seg_cols = list(keys) + [_B]
+def _phase_a(ts: str, width: int, span: int):
+    seg_cols = [_KEY, _B]
 
     def run(batches):
         for blk in _blocks(batches, seg_cols):
@@ -119,30 +127,67 @@ def _phase_a(keys: Sequence[str], ts: str, width: int, span: int):
     return run
 
 
-def _phase_b(keys: Sequence[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([_B, "cand_ts"], kind="stable")
-        b = pdf[_B].to_numpy(dtype=np.int64)
-        cts = pdf["cand_ts"].to_numpy(dtype=np.int64)
-        cex = pdf["cand_exit"].to_numpy(dtype=np.int64)
-        starts = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-        ends = np.append(starts[1:], len(b))
-        entry = None
-        entries = np.empty(len(starts), dtype=np.int64)
-        for j, (s0, e0) in enumerate(zip(starts, ends)):
-            entries[j] = _NO_ENTRY if entry is None else entry
-            i = 0 if entry is None else int(np.searchsorted(cts[s0:e0], entry, side="left"))
-            if i < e0 - s0:
-                entry = int(cex[s0 + i])
-        out = pd.DataFrame({_B: b[starts], _ENTRY: entries})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[list(keys) + [_B, _ENTRY]]
-    return run
+def _functions(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The step functions of a frame in bucket order: (bucket, step positions, exits)."""
+    pdf = pdf.sort_values([_B, "cand_ts"], kind="stable")
+    b, at, out = (pdf[c].to_numpy(dtype=np.int64) for c in (_B, "cand_ts", "cand_exit"))
+    starts = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else []
+    for s0, e0 in zip(starts, np.append(starts[1:], len(b)), strict=True):
+        yield int(b[s0]), at[s0:e0], out[s0:e0]
+
+
+def _passed(exits: np.ndarray, at: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Where the step function (at, out) takes these lock ends; behind its last step they stay."""
+    i = np.searchsorted(at, exits, side="left")
+    return np.where(i < len(at), out[np.minimum(i, len(at) - 1)], exits)
+
+
+def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One step function for consecutive buckets of a key. An entry that passes by all of the first bucket's steps
+    (it never reaches beyond the next bucket's start) meets the next bucket's first one."""
+    steps = exits = None
+    for n, (_, at, out) in enumerate(_functions(pdf)):
+        if n == 0:
+            steps, exits = at, out
+            continue
+        exits = _passed(exits, at, out)
+        if n == 1:
+            steps, exits = np.append(steps, at[0]), np.append(exits, out[0])
+    keep = np.append(exits[1:] != exits[:-1], True)
+    out = pd.DataFrame({"cand_ts": steps[keep], "cand_exit": exits[keep]})
+    out[_B] = pdf["__node"].iloc[0]
+    out[_KEY] = pdf[_KEY].iloc[0]
+    return out[[_KEY, _B, "cand_ts", "cand_exit"]]
 
 
-def _phase_c(keys: Sequence[str], ts: str, width: int, span: int, out_cols: Sequence[str]):
-    seg_cols = list(keys) + [_B]
+def _fold(pdf: pd.DataFrame, entry: int) -> pd.DataFrame:
+    """The entry lock end of every bucket of a frame, from the entry of its first one."""
+    buckets, entries = [], []
+    for bucket, at, out in _functions(pdf):
+        buckets.append(bucket)
+        entries.append(entry)
+        entry = int(_passed(np.array([entry]), at, out)[0])
+    return pd.DataFrame({_KEY: pdf[_KEY].iloc[0] if len(pdf) else None, _B: buckets, _ENTRY: entries})
+
+
+def _entries(steps: DataFrame, levels: int = LEVELS, fan: int = FAN) -> DataFrame:
+    """Phase B: step functions of all buckets -> the entry lock end of each bucket."""
+    kind = f"{_KEY} string, {_B} long, cand_ts long, cand_exit long"
+    e_kind = f"{_KEY} string, {_B} long, {_ENTRY} long"
+    node = F.floor(F.col(_B) / F.lit(fan)).cast("long")
+    tree = [steps]
+    for _ in range(levels):
+        tree.append(tree[-1].withColumn("__node", node).groupBy(_KEY, "__node").applyInPandas(_compose, kind))
+    out = tree.pop().groupBy(_KEY).applyInPandas(lambda pdf: _fold(pdf, _NO_ENTRY), e_kind)
+    for level in reversed(tree):
+        below = level.withColumn("__node", node)
+        out = below.groupBy(_KEY, "__node").cogroup(out.withColumnRenamed(_B, "__node").groupBy(_KEY, "__node")).applyInPandas(
+            lambda f, e: _fold(f, int(e[_ENTRY].iloc[0])), e_kind)
+    return out
+
+
+def _phase_c(ts: str, width: int, span: int, out_cols: Sequence[str]):
+    seg_cols = [_KEY, _B]
 
     def run(batches):
         for blk in _blocks(batches, seg_cols):
@@ -168,28 +213,25 @@ def suppress(df: DataFrame, *, keys: Sequence[str], ts: str = "ts", tie: str | N
     """D-06: keep a row when ts >= the lock end of the last kept row of its key; lock end = ts + ttl,
     or the `until` column when given (C-01 passes min(ts + ttl, release time), which never exceeds
     ts + ttl). Suppressed rows do not extend the lock. Order is (ts, tie). `bucket_s` sets the time
-    bucket that splits a key across tasks (raised to the lock span when smaller)."""
+    bucket that splits a key across tasks (raised to SPANS lock spans when smaller). With ttl 0 every row stays."""
     ttl_ms = int(ttl_s * 1000)
-    span = max(ttl_ms, 1)
-    width = max(span, int(bucket_s * 1000))
+    if ttl_ms <= 0:  # nothing ever locks
+        return df
+    span = ttl_ms
+    width = max(SPANS * span, int(bucket_s * 1000))
     lock = F.col(until) if until else (F.col(ts) + F.lit(ttl_ms))
     lock = F.least(F.greatest(lock.cast("long"), F.col(ts) + F.lit(1)), F.col(ts) + F.lit(span))
     order = [ts] + ([tie] if tie else [])
-    seg = list(keys) + [_B]
-    staged = (df.withColumn(_LOCK, lock).withColumn(_B, F.floor(F.col(ts) / F.lit(width)).cast("long"))
+    seg = [_KEY, _B]
+    staged = (df.withColumn(_LOCK, lock).withColumn(_KEY, F.to_json(F.struct(*keys)))  # null keys are left out of it
+                .withColumn(_B, F.floor(F.col(ts) / F.lit(width)).cast("long"))
                 .repartition(*seg).sortWithinPartitions(*seg, *order))
 
-    key_fields = [df.schema[k] for k in keys]
-    a_schema = T.StructType(key_fields + [T.StructField(_B, T.LongType()), T.StructField("cand_ts", T.LongType()),
-                                          T.StructField("cand_exit", T.LongType())])
     # phase A reads the staged rows unpruned, so its shuffle is the same plan as phase C's and is reused
-    summaries = staged.mapInPandas(_phase_a(keys, ts, width, span), schema=a_schema)
-    e_schema = T.StructType(key_fields + [T.StructField(_B, T.LongType()), T.StructField(_ENTRY, T.LongType())])
-    entries = summaries.groupBy(*keys).applyInPandas(_phase_b(keys), schema=e_schema)
-
-    joined = staged.join(entries, seg, "left").sortWithinPartitions(*seg, *order)
+    summaries = staged.mapInPandas(_phase_a(ts, width, span), schema=f"{_KEY} string, {_B} long, cand_ts long, cand_exit long")
+    joined = staged.join(_entries(summaries), seg, "left").sortWithinPartitions(*seg, *order)
     joined = joined.withColumn(_ENTRY, F.coalesce(F.col(_ENTRY), F.lit(int(_NO_ENTRY))))
-    return joined.mapInPandas(_phase_c(keys, ts, width, span, df.columns), schema=df.schema)
+    return joined.mapInPandas(_phase_c(ts, width, span, df.columns), schema=df.schema)
 
 
 def suppress_sql(source: str, *, keys: Sequence[str], ts: str = "ts", tie: str | None = None,

@@ -38,6 +38,8 @@ def cursor_of(batch: DataFrame, *, order: Sequence[str] = ("deployed_at", "id"))
 
 
 def _first_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str] | None, last: bool) -> DataFrame:
+    if not order:  # a fixed choice all the same: by the other columns
+        order = [f.name for f in rows.schema if f.name not in keys and f.dataType.typeName() not in ("map", "variant")]
     if not order:
         return rows.dropDuplicates(list(keys))
     cols = [F.col(c).desc() if last else F.col(c).asc() for c in order]

@@ -20,16 +20,19 @@ class Entry:
     sql: str | None
     doubles: Sequence[str] = field(default_factory=tuple)
     bench: bool = False
+    check: Callable | None = None  # assertions over the rows of a query without a twin
 
 
 CATALOG: dict[str, Entry] = {}
 
 
-def register(name: str, sql: str | None = None, *, doubles: Sequence[str] = (), bench: bool = False):
+def register(name: str, sql: str | None = None, *, doubles: Sequence[str] = (), bench: bool = False, check: Callable | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in CATALOG:
             raise ValueError(f"duplicate query {name}")
-        CATALOG[name] = Entry(name, fn, sql, tuple(doubles), bench)
+        if sql is None and check is None:
+            raise ValueError(f"{name} needs a DuckDB twin or a check of its rows")
+        CATALOG[name] = Entry(name, fn, sql, tuple(doubles), bench, check)
         return fn
     return deco
 

@@ -75,9 +75,13 @@ def conf_sql(src: str) -> str:
               FROM ({dep_sql(src)}) WHERE rank = 1)"""
 
 
-_DOWN_SQL = """SELECT service_name, (pos - 1)::BIGINT AS pos, downstream FROM (
+def _down_sql(source: str) -> str:
+    return f"""SELECT service_name, (pos - 1)::BIGINT AS pos, downstream FROM (
     SELECT service_name, unnest(downstream_services) AS downstream,
-           unnest(generate_series(1, len(downstream_services))) AS pos FROM registry)"""
+           unnest(generate_series(1, len(downstream_services))) AS pos FROM {source})"""
+
+
+_DOWN_SQL = _down_sql("registry")
 
 
 def casc_sql(src: str) -> str:
@@ -138,8 +142,9 @@ def rec_sql(src: str) -> str:
             coalesce(min(r.ts), a.detection_time + {REC}) AS resolved_at, min(r.ts) IS NOT NULL AS recovered
         FROM {src} a LEFT JOIN ({_RM_SQL}) r ON r.source_service = a.source_service
              AND r.metric_name = a.trigger_metric AND r.ts > a.detection_time AND r.ts <= a.detection_time + {REC}
-             AND r.recent_n >= 3 AND a.baseline_value > 0
-             AND abs(r.recent_mean - a.baseline_value) / a.baseline_value < 0.3
+             AND r.recent_n >= 3
+             AND (CASE WHEN coalesce(a.baseline_value, 0) = 0 THEN r.recent_mean > 0 ELSE a.baseline_value > 0
+                  AND abs(r.recent_mean - a.baseline_value) / a.baseline_value < 0.3 END)
         GROUP BY a.incident_id, a.source_service, a.trigger_metric, a.detection_time"""
 
 
@@ -189,15 +194,15 @@ def q_conf(spark, sf):
                     "time_delta_minutes")
 
 
-@register("c07_downstream", A.with_adapters(_DOWN_SQL, "registry"))
+@register("c07_downstream", A.with_adapters(_down_sql("service_catalog"), "edges", "service_catalog"))
 def q_down(spark, sf):
-    return C.downstream(A.registry(spark))
+    return C.downstream(A.service_catalog(spark, sf))
 
 
 @register("c08_upstream_of", A.with_adapters(
-    f"SELECT downstream AS service_name, service_name AS dependent FROM ({_DOWN_SQL})", "registry"))
+    f"SELECT downstream AS service_name, service_name AS dependent FROM ({_down_sql('service_catalog')})", "edges", "service_catalog"))
 def q_up(spark, sf):
-    return C.upstream_of(A.registry(spark))
+    return C.upstream_of(A.service_catalog(spark, sf))
 
 
 @register("c09_cascade", _sql(casc_sql("anoms")), doubles=("peak_error_rate",))

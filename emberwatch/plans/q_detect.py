@@ -88,15 +88,15 @@ _ANOM_DOUBLES = ("observed_value", "baseline_value", "deviation_sigma", "anomaly
                  "p50_value", "p95_value", "p99_value")
 
 
-def _metrics_stats(spark, sf):
+def _metrics_stats(spark, sf, **how):
     m = A.metrics(spark, sf).where(D.F.col("metric_name").isin(K.METRIC_NAMES))
-    return D.series_stats(m, gap_s=GAP_S)
+    return D.series_stats(m, gap_s=GAP_S, **how)
 
 
 @register("d01_segments", A.with_adapters(
     f"SELECT event_id, source_service, metric_name, ts, segment FROM ({_seg_sql(GAP_S)})", "metrics"))
 def q_segments(spark, sf):
-    return _metrics_stats(spark, sf).select("event_id", "source_service", "metric_name", "ts", "segment")
+    return _metrics_stats(spark, sf, number=True).select("event_id", "source_service", "metric_name", "ts", "segment")
 
 
 @register("d02_baseline", A.with_adapters(

@@ -86,31 +86,43 @@ def _scratch(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@register("s04_write_events")
+@register("s04_write_events", A.with_adapters("SELECT * FROM metrics", "metrics"), doubles=("metric_value",))
 def q_write_events(spark, sf):
     path = _scratch(spark, "s04")
     E.write_events(A.metrics(spark, sf), path, key="source_service", mode="overwrite")
     return spark.read.parquet(path)
 
 
-@register("s09_nested_json")
+@register("s04_encode", A.with_adapters(
+    "SELECT source_service AS key, event_id, metric_name, ts FROM metrics", "metrics"))
+def q_encode(spark, sf):
+    """The keyed records of a topic, read back through the decoder."""
+    m = A.metrics(spark, sf).select("event_id", "source_service", "metric_name", "ts")
+    e = E.encode(m)
+    good, _ = E.decode(e.select(F.to_json(F.struct("key", F.from_json("value", m.schema).alias("row"))).alias("value")),
+                       T.StructType([T.StructField("key", T.StringType()), T.StructField("row", m.schema)]))
+    return good.select("key", "row.event_id", "row.metric_name", "row.ts")
+
+
+@register("s09_nested_json", A.with_adapters("SELECT * FROM deployments", "deployments"))
 def q_nested_json(spark, sf):
+    """Pretty-printed documents {"deployments": [ ... ]} of up to 500 entries, one file each."""
     path = _scratch(spark, "s09")
     dep = A.deployments(spark, sf)
-    # one JSON document per input partition: {"deployments": [ ... ]}, like the seed files
-    docs = dep.groupBy(F.spark_partition_id().alias("p")).agg(F.collect_list(F.struct(*dep.columns)).alias("deployments"))
-    docs.select(F.to_json(F.struct("deployments")).alias("value")).write.mode("overwrite").text(path)
-    return E.load_nested_json(spark, path, "deployments", element=T.StructType(
+    docs = dep.groupBy(F.floor(F.col("id") / 500).alias("p"), F.pmod(F.xxhash64("id"), F.lit(4)).alias("q")).agg(
+        F.collect_list(F.struct(*dep.columns)).alias("deployments"))
+    text = F.to_json(F.struct("deployments"), {"pretty": "true"})
+    docs.select("p", "q", text.alias("value")).write.mode("overwrite").partitionBy("p", "q").text(path)
+    return E.load_nested_json(spark, path + "/*/*", "deployments", element=T.StructType(
         [T.StructField(f.name, f.dataType) for f in dep.schema.fields]))
 
 
-@register("s10_markdown_loader")
+@register("s10_markdown_loader", A.with_adapters("SELECT stem, text || chr(10) AS text FROM markdown_docs", "markdown_docs"))
 def q_markdown(spark, sf):
+    """One file per document, written as text (which ends each with a line break)."""
     path = _scratch(spark, "s10")
-    A.markdown_docs(spark, sf).write.mode("overwrite").partitionBy("stem").text(path)
-    df = spark.read.option("wholetext", True).text(path + "/*/*")
-    stem = F.regexp_extract(F.col("_metadata.file_path"), r"stem=([^/]+)/", 1)
-    return df.select(stem.alias("stem"), F.length("value").alias("chars"))
+    A.markdown_docs(spark, sf).select("stem", F.col("text").alias("value")).write.mode("overwrite").partitionBy("stem").text(path)
+    return E.load_markdown(spark, path + "/*/*", F.regexp_extract(F.col("_metadata.file_path"), r"stem=([^/]+)/", 1))
 
 
 @register("s11_audit_rows", A.with_adapters(

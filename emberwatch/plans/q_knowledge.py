@@ -194,18 +194,20 @@ def q_embedding_text(spark, sf):
 
 
 @register("k09_upsert_chunks", A.with_adapters(
-    f"SELECT {uuid5_sql('doc_hash')} AS point_id, 'runbooks' AS collection, doc_hash FROM ("
-    f"SELECT substr(sha256(stem || ':chunk' || chunk_index::VARCHAR), 1, 16) AS doc_hash "
+    f"SELECT {uuid5_sql('doc_hash')} AS point_id, 'runbooks' AS collection, doc_hash, stem, substr(chunk, 1, 800) AS content FROM ("
+    f"SELECT stem, chunk, substr(sha256(stem || ':chunk' || chunk_index::VARCHAR), 1, 16) AS doc_hash "
     f"FROM ({_pack_sql()}) WHERE {_NONBLANK})", "markdown_docs"))
 def q_upsert_chunks(spark, sf):
-    chunks = KN.runbook_chunks(A.markdown_docs(spark, sf)).select("point_id", "collection", "doc_hash")
-    store = spark.createDataFrame([], chunks.schema)
-    once = KN.upsert_chunks(store, chunks)
-    return KN.upsert_chunks(once, chunks)  # a re-run adds nothing
+    """A store seeded from an older, longer text of every other document, then re-seeded twice with today's."""
+    docs = A.markdown_docs(spark, sf)
+    columns = ["point_id", "collection", "doc_hash", "stem", "content"]
+    older = docs.where(F.crc32("stem") % 2 == 0).withColumn(
+        "text", F.concat("text", F.repeat(F.lit("\n\n## Old section\n\nwords that are gone by now"), 80)))
+    chunks = KN.runbook_chunks(docs).select(*columns)
+    store = KN.upsert_chunks(spark.createDataFrame([], chunks.schema), KN.runbook_chunks(older).select(*columns))
+    return KN.upsert_chunks(KN.upsert_chunks(store, chunks), chunks)
 
 
-_ISO_SPARK = None
-
 
 @register("k10_iso_epoch", A.with_adapters("""
     SELECT event_id, coalesce(epoch(try_cast(replace(iso, 'Z', '+00:00') AS TIMESTAMPTZ)), 0.0) AS epoch_s

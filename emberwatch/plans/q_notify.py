@@ -72,7 +72,7 @@ _LIFE_SQL = f"""
     SELECT p.incident_id::VARCHAR, NULL, i.anomaly_type, i.affected_services[1], NULL, NULL, NULL, NULL, NULL, NULL,
            p.full_markdown FROM postmortems p JOIN incidents i ON i.id = p.incident_id"""
 
-_KIND_SQL = """CASE WHEN anomaly_score IS NOT NULL AND root_cause_candidates IS NULL AND action_steps IS NULL THEN 'anomaly'
+_KIND_SQL = """CASE WHEN anomaly_score IS NOT NULL AND action_steps IS NULL THEN 'anomaly'
     WHEN root_cause_candidates IS NOT NULL THEN 'rca' WHEN action_steps IS NOT NULL THEN 'plan'
     WHEN resolution_method IS NOT NULL THEN 'resolved'
     WHEN postmortem IS NOT NULL AND length(postmortem) > 100 THEN 'postmortem' END"""
@@ -144,18 +144,68 @@ def _label_sql(ms: str) -> str:
             f"strftime(make_timestamp({ms} * 1000), '%Y-%m-%d %H:%M:%S') || ' UTC' END")
 
 
-@register("n04_timeline_facts", A.with_adapters(f"""
+_TIMELINE_SQL = f"""
     SELECT incident_id, pos, '  ' || {_label_sql('created_at')} || ' [' || agent_name || '] ' || event_type || ': '
            || substr(coalesce(nullif(json_extract_string(payload, '$.top_hypothesis'), ''),
                               nullif(json_extract_string(payload, '$.metric'), ''),
                               nullif(json_extract_string(payload, '$.steps'), ''), ''), 1, 80) AS line
     FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY created_at, id)::BIGINT AS pos
-          FROM agent_events) WHERE pos <= 20""", "agent_events"))
+          FROM agent_events) WHERE pos <= 20"""
+
+
+@register("n04_timeline_facts", A.with_adapters(_TIMELINE_SQL, "agent_events"))
 def q_timeline_facts(spark, sf):
     return N.timeline_facts(A.agent_events(spark, sf))
 
 
-@register("n05_report")
+_WELL = "\n".join(f"- {x}" for x in K.REPORT_WENT_WELL)
+_SERVICE = "coalesce(i.affected_services[1], 'unknown')"
+_MINUTES = f"coalesce(CASE WHEN resolution_time IS NOT NULL THEN {_MTTR} END::VARCHAR, 'N/A')"
+
+
+@register("n05_report", A.with_adapters(f"""
+    SELECT i.id AS incident_id, '# Postmortem: ' || anomaly_type || ' on ' || {_SERVICE} || chr(10) || chr(10) || '**Date:** '
+      || substr({_label_sql('detection_time')}, 1, 10) || chr(10) || '**Duration:** ' || {_MINUTES} || ' minutes' || chr(10)
+      || '**Severity:** ' || severity || chr(10) || '**MTTR:** ' || {_MINUTES} || ' minutes' || chr(10) || '**Services:** '
+      || array_to_string(affected_services, ', ') || chr(10) || '**Detected:** ' || {_label_sql('detection_time')} || chr(10)
+      || '**Resolved:** ' || {_label_sql('resolution_time')} || '
+
+---
+
+## Timeline
+
+' || coalesce(t.timeline, '') || '
+
+---
+
+## Root Cause
+
+**Primary Root Cause:** ' || coalesce(nullif(top_root_cause, ''), 'Under investigation') || '
+
+---
+
+## What Went Well
+
+{_WELL}
+
+---
+
+## What Could Be Improved
+
+- Review alert thresholds to reduce time-to-detect
+- Ensure runbooks are up-to-date for ' || anomaly_type || ' scenarios
+
+---
+
+## Action Items
+
+- Review the root cause with the owners of ' || {_SERVICE} || '
+
+---
+
+Incident ID: ' || i.id::VARCHAR || chr(10) AS markdown
+    FROM incidents i LEFT JOIN (SELECT incident_id, string_agg(line, chr(10) ORDER BY pos) AS timeline
+      FROM ({_TIMELINE_SQL}) GROUP BY 1) t ON t.incident_id = i.id""", "incidents", "agent_events"))
 def q_report(spark, sf):
     return N.report(A.incidents(spark, sf), N.timeline_facts(A.agent_events(spark, sf)))
 

@@ -188,51 +188,107 @@ def q_gather(spark, sf):
     return _gather(spark, sf)
 
 
-def _render_incidents(spark, sf):
+def _records(spark, sf) -> dict:
+    """The source records behind the hits, with their real columns."""
+    from emberwatch.operators.knowledge import meta_list
+    from emberwatch.operators import knowledge as KN
+
     inc = A.incidents(spark, sf)
-    pm = A.postmortems(spark, sf).select(F.col("incident_id").alias("pid"), F.col("executive_summary").alias("resolution"))
-    return inc.join(pm, inc.id == pm.pid, "left").withColumn("mttr_minutes", mttr_col())
+    pm = A.postmortems(spark, sf)
+    first = F.element_at("affected_services", 1)
+    resolved = pm.select(F.col("incident_id").alias("pid"), "executive_summary")
+    incidents = inc.join(resolved, inc.id == resolved.pid, "left").select(
+        "id", first.alias("service_name"), "severity", "anomaly_type", F.col("description").alias("symptoms"),
+        F.col("top_root_cause").alias("root_cause"), F.col("executive_summary").alias("resolution"), mttr_col().alias("mttr_minutes"))
+    modes = inc.groupBy(first.alias("service_name")).agg(
+        F.sort_array(F.collect_set("anomaly_type")).alias("known_failure_modes"),  # a service's anomaly types: six
+        F.concat(F.count(F.lit(1)).cast("string"), F.lit(" incidents on record")).alias("description"))
+    meta = KN.front_matter(A.markdown_docs(spark, sf))
+    runbooks = meta.select(F.regexp_extract("stem", r"([0-9]+)$", 1).cast("long").alias("doc_id"), F.col("meta")["title"].alias("title"),
+                           meta_list("meta", "anomaly_types").alias("anomaly_types"), meta_list("meta", "services").alias("services"))
+    deployments = A.deployments(spark, sf).withColumn(
+        "deployed_at", F.date_format(F.timestamp_millis("deployed_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    sections = KN.named_sections(pm.select("incident_id", "full_markdown"), key="incident_id", body="full_markdown")
+    about = inc.select(F.col("id").alias("incident_id"), first.alias("service"))
+    postmortems = (pm.select("incident_id", F.col("root_cause").alias("root_cause_category"))
+                   .join(about, "incident_id").join(sections, "incident_id"))
+    return {"incidents": incidents, "registry": A.registry(spark).join(modes, "service_name", "left"), "runbooks": runbooks,
+            "deployments": deployments, "postmortems": postmortems}
 
 
 def _py_list(x: str) -> str:
-    return f"'[' || array_to_string(list_transform({x}, lambda s: '''' || s || ''''), ', ') || ']'"
-
-
-@register("r12_render", A.with_adapters(f"""
-    SELECT g.query_id, g.collection, g.chunk_id, CASE g.collection
-      WHEN 'incidents' THEN 'Incident: ' || g.doc_id::VARCHAR || chr(10) || 'Service: ' || coalesce(v.service_name, '')
-           || ' | Severity: ' || coalesce(i.severity, '') || ' | Type: ' || coalesce(v.anomaly_type, '') || chr(10)
-           || 'Symptoms: ' || coalesce(i.description, '') || chr(10) || 'Root Cause: ' || coalesce(i.top_root_cause, '')
-           || chr(10) || 'Resolution: ' || coalesce(p.executive_summary, '') || chr(10) || 'MTTR: '
-           || coalesce((CASE WHEN i.resolution_time IS NOT NULL THEN
-                  (round((i.resolution_time - i.detection_time) / 1000.0)::BIGINT // 60) END)::VARCHAR, '?') || ' minutes'
-      WHEN 'runbooks' THEN 'Runbook: doc ' || g.doc_id::VARCHAR || chr(10) || 'For: ' || {_py_list('[v.anomaly_type]')}
-           || ' on ' || {_py_list('[v.service_name]')} || chr(10) || chr(10) || g.content
-      WHEN 'architecture' THEN 'Service: ' || v.service_name || chr(10) || 'Team: ' || coalesce(r.team_owner, '')
-           || ' | Criticality: ' || coalesce(r.criticality, '') || chr(10) || 'SLA: P99 < '
-           || coalesce(r.sla_p99_latency_ms::VARCHAR, '') || 'ms, error rate < ' || coalesce(r.sla_error_rate_pct::VARCHAR, '')
-           || '%' || chr(10) || 'On-call: ' || coalesce(r.on_call_rotation, '') || chr(10) || 'Downstream: '
-           || {_py_list('coalesce(r.downstream_services, []::VARCHAR[])')} || chr(10) || 'Description: ' || g.content
-           || chr(10) || 'Known failure modes: []'
-      WHEN 'deployments' THEN 'Deployment: ' || v.service_name || ' v' || g.doc_id::VARCHAR || chr(10) || 'Deployed at: '
-           || v.epoch::VARCHAR || ' by ci-cd-pipeline' || chr(10) || 'Change type: CODE' || chr(10) || 'Description: '
-           || g.content || chr(10) || 'Known risks:' || chr(10) || '  None flagged'
-      ELSE 'Postmortem: ' || g.doc_id::VARCHAR || chr(10) || 'Service: ' || v.service_name || ' | Category: '
-           || v.anomaly_type || chr(10) || 'Contributing factors:' || chr(10) || g.content || chr(10)
-           || 'Preventative actions:' || chr(10) END AS evidence
-    FROM ({gather_sql()}) g JOIN vectors v ON v.chunk_id = g.chunk_id
-    LEFT JOIN incidents i ON i.id = g.doc_id LEFT JOIN postmortems p ON p.incident_id = g.doc_id
-    LEFT JOIN registry r ON r.service_name = v.service_name""",
-    "vectors", "vector_queries", "incidents", "postmortems", "registry"))
+    return f"'[' || array_to_string(list_transform({x}, lambda s: '\'\'' || s || '\'\''), ', ') || ']'".replace("\\'", "'")
+
+
+_META = "JOIN vectors v ON v.chunk_id = g.chunk_id"
+
+
+def _evidence_sql(hits: str) -> str:
+    """The evidence of every hit, written out from the tables (postmortem sections follow from the adapter's markdown)."""
+    nl = "chr(10)"
+    return f"""SELECT g.query_id, g.collection, g.chunk_id, g.rank, CASE g.collection
+      WHEN 'incidents' THEN concat('Incident: ', i.id, {nl}, 'Service: ', i.affected_services[1], ' | Severity: ', i.severity,
+           ' | Type: ', i.anomaly_type, {nl}, 'Symptoms: ', i.description, {nl}, 'Root Cause: ', i.top_root_cause, {nl},
+           'Resolution: ', p.executive_summary, {nl}, 'MTTR: ', coalesce((CASE WHEN i.resolution_time IS NOT NULL THEN
+             (round((i.resolution_time - i.detection_time) / 1000.0)::BIGINT // 60) END)::VARCHAR, '?'), ' minutes')
+      WHEN 'runbooks' THEN concat('Runbook: ', CASE WHEN m.doc_id IS NOT NULL THEN 'doc ' || m.doc_id END, {nl}, 'For: ',
+           CASE WHEN m.doc_id IS NULL THEN '[]' ELSE {_py_list('[' + A._TYPES6_SQL + '[(m.doc_id % 6) + 1]]')} END, ' on ',
+           CASE WHEN m.doc_id IS NULL THEN '[]' ELSE {_py_list('[' + A._svc_sql('m.doc_id') + ']')} END, {nl}, {nl}, g.content)
+      WHEN 'architecture' THEN concat('Service: ', v.service_name, {nl}, 'Team: ', r.team_owner, ' | Criticality: ', r.criticality,
+           {nl}, 'SLA: P99 < ', coalesce(r.sla_p99_latency_ms::VARCHAR, '?'), 'ms, error rate < ',
+           coalesce(r.sla_error_rate_pct::VARCHAR, '?'), '%', {nl}, 'On-call: ', r.on_call_rotation, {nl}, 'Downstream: ',
+           {_py_list('coalesce(r.downstream_services, []::VARCHAR[])')}, {nl}, 'Description: ',
+           CASE WHEN f.n IS NOT NULL THEN f.n::VARCHAR || ' incidents on record' END, {nl}, 'Known failure modes: ',
+           {_py_list('coalesce(f.modes, []::VARCHAR[])')})
+      WHEN 'deployments' THEN concat('Deployment: ', d.service_name, ' ', d.version, {nl}, 'Deployed at: ',
+           strftime(make_timestamp(d.deployed_at * 1000), '%Y-%m-%dT%H:%M:%SZ'), ' by ', d.deployed_by, {nl}, 'Change type: ',
+           d.change_type, {nl}, 'Description: ', d.description, {nl}, 'Known risks:', {nl},
+           CASE WHEN len(d.known_risks) > 0 THEN array_to_string(list_transform(d.known_risks, lambda s: '  - ' || s), {nl})
+                ELSE '  None flagged' END)
+      ELSE concat('Postmortem: ', p.incident_id, {nl}, 'Service: ', CASE WHEN p.incident_id IS NOT NULL THEN i.affected_services[1] END,
+           ' | Category: ', p.root_cause, {nl}, 'Contributing factors:', {nl},
+           CASE WHEN p.incident_id IS NOT NULL THEN {nl} || '- factor ' || (p.incident_id % 7)::VARCHAR || {nl} END, {nl},
+           'Preventative actions:', {nl},
+           CASE WHEN p.incident_id IS NOT NULL THEN {nl} || {nl} || '- add alert ' || (p.incident_id % 5)::VARCHAR || {nl} || {nl} END)
+      END AS evidence
+    FROM ({hits}) g {_META} LEFT JOIN incidents i ON i.id = g.doc_id LEFT JOIN postmortems p ON p.incident_id = g.doc_id
+    LEFT JOIN registry r ON r.service_name = v.service_name LEFT JOIN deployments d ON d.id = g.doc_id
+    LEFT JOIN documents m ON m.doc_id = g.doc_id
+    LEFT JOIN (SELECT affected_services[1] AS s, count(*) AS n, list_sort(list(DISTINCT anomaly_type)) AS modes
+      FROM incidents GROUP BY 1) f ON f.s = v.service_name"""
+
+
+_R12 = ("vectors", "vector_queries", "incidents", "postmortems", "registry", "deployments")
+
+
+def _evidence(spark, sf):
+    meta = _c(spark, sf).select("chunk_id", "service_name")
+    return R.render(_gather(spark, sf).join(meta, "chunk_id"), **_records(spark, sf))
+
+
+@register("r12_render", A.with_adapters(f"SELECT query_id, collection, chunk_id, evidence FROM ({_evidence_sql(gather_sql())})", *_R12))
 def q_render(spark, sf):
-    g = _gather(spark, sf)
-    meta = _c(spark, sf).select("chunk_id", "service_name", "anomaly_type", "epoch")
-    hits = g.join(meta, "chunk_id")
-    out = R.render(hits, _render_incidents(spark, sf), A.registry(spark))
-    return out.select("query_id", "collection", "chunk_id", "evidence")
+    return _evidence(spark, sf).select("query_id", "collection", "chunk_id", "evidence")
+
+
+RENDERED_BUDGET = 120  # tokens for one search's rendered evidence (reference: 4096; a text here has about 50)
+
+
+@register("r11_budget_rendered", A.with_adapters(f"""
+    SELECT query_id, collection, chunk_id, tokens FROM (SELECT *, sum(tokens) OVER (PARTITION BY query_id, collection
+        ORDER BY rank, chunk_id) AS upto FROM (SELECT *, (length(evidence) // 4)::BIGINT AS tokens
+            FROM ({_evidence_sql(gather_sql())}))) WHERE upto <= {RENDERED_BUDGET}""", *_R12))
+def q_budget_rendered(spark, sf):
+    """One request is one search: evidence is rendered first, then cut to the budget per (incident, type)."""
+    b = R.budget(_evidence(spark, sf), max_tokens=RENDERED_BUDGET, group=["query_id", "collection"], text="evidence")
+    return b.select("query_id", "collection", "chunk_id", "tokens")
+
 
+def _unit_vectors(rows):
+    assert rows and all(abs(r.norm - 1) < 1e-3 or r.norm == 0 for r in rows), "vectors of other than unit length"
 
-@register("r01_embed")
+
+@register("r01_embed", check=_unit_vectors)
 def q_embed(spark, sf):
     from emberwatch.operators.knowledge import runbook_chunks
     chunks = runbook_chunks(A.markdown_docs(spark, sf)).select("point_id", F.col("content"))
@@ -242,12 +298,23 @@ def q_embed(spark, sf):
                     F.round(F.sqrt(R.dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"))
 
 
-@register("r14_knn_approx")
+def _five_each(rows):
+    by = {}
+    for r in rows:
+        by.setdefault(r.query_id, []).append(r["rank"])
+    assert by and all(sorted(v) == [1, 2, 3, 4, 5] for v in by.values()), "a query with other than five ranked hits"
+
+
+def _recall(rows):
+    assert rows and sum(r.recall_at_5 for r in rows) / len(rows) >= 0.95, "recall below 0.95"
+
+
+@register("r14_knn_approx", check=_five_each)
 def q_knn_approx(spark, sf):
     return R.knn_approx(_q(spark, sf), _c(spark, sf), k=5).select("query_id", "chunk_id", "score", "rank")
 
 
-@register("r14_recall")
+@register("r14_recall", check=_recall)
 def q_recall(spark, sf):
     """R-14 quality: per query, the share of the exact top-5 (R-02) that the LSH top-5 also returns."""
     exact = R.knn(_q(spark, sf), _c(spark, sf), k=5).select("query_id", "chunk_id")

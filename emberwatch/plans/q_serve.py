@@ -79,10 +79,10 @@ def q_timeline(spark, sf):
     return Q.timeline(A.agent_events(spark, sf))
 
 
-@register("q06_registry", A.with_adapters("SELECT * FROM registry ORDER BY criticality, service_name", "registry"),
+@register("q06_registry", A.with_adapters("SELECT * FROM service_catalog ORDER BY criticality, service_name", "edges", "service_catalog"),
           doubles=("sla_error_rate_pct",))
 def q_registry(spark, sf):
-    return Q.registry(A.registry(spark))
+    return Q.registry(A.service_catalog(spark, sf))
 
 
 @register("q07_kpis", A.with_adapters(f"""

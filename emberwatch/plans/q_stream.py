@@ -25,15 +25,16 @@ def _scratch(spark, name):
 
 def _files(df, path, parts: int = 4):
     """Stage the input as `parts` time slices appended one after another (so file modification order is
-    time order, as per-key order is in a keyed topic); the stream then reads one slice per micro-batch."""
+    time order, as per-key order is in a keyed topic). Within a slice a service's rows are in one file, so the stream,
+    which reads file by file, meets every key in time order."""
     lo, hi = df.agg(F.min("ts"), F.max("ts")).first()
     if lo is None:  # no input rows: an empty folder still defines the stream
-        df.coalesce(1).write.mode("append").json(path)
+        df.write.mode("append").json(path)
         return
     step = (hi - lo) // parts + 1
     for i in range(parts):
         part = df.where((F.col("ts") >= lo + i * step) & (F.col("ts") < lo + (i + 1) * step))
-        part.coalesce(1).write.mode("append").json(path)
+        part.repartition(4, "source_service").sortWithinPartitions("ts").write.mode("append").json(path)
 
 
 def _stream_run(spark, src_df, schema, build, name):
@@ -42,10 +43,10 @@ def _stream_run(spark, src_df, schema, build, name):
     stream_in = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{base}/in")
     out = build(stream_in)
     ST.run_available_now(out, f"{base}/out", f"{base}/ckpt")
-    try:
-        return spark.read.schema(out.schema).parquet(f"{base}/out")
-    except Exception:  # nothing was emitted, so the sink wrote no files
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/out")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):  # nothing was emitted
         return spark.createDataFrame([], out.schema)
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
 @register("d14_detect_stream", QD.detect_sql(QD.GAP_S, QD.TTL_S), doubles=QD._ANOM_DOUBLES)

@@ -40,10 +40,15 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def compare(name: str, spark, sf_dir: str, con) -> tuple[bool, str]:
     sdf = catalog.run(name, spark, sf_dir)
     scols = sdf.columns
-    srows = [tuple(r) for r in sdf.collect()]
+    rows = sdf.collect()
+    srows = [tuple(r) for r in rows]
     sql = catalog.oracle(name)
     if sql is None:
-        return True, f"{len(srows)} rows (rows-only)"
+        try:
+            catalog.CATALOG[name].check(rows)
+        except AssertionError as why:
+            return False, str(why)
+        return True, f"{len(srows)} rows (checked without a twin)"
     res = con.execute(sql)
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()

@@ -60,11 +60,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder; set a scratch one only when none is set (tests)."""
+    """Return the cluster's shared checkpoint folder. Where none is set, a local session (tests) gets a scratch one;
+    on a cluster that is an error, as executors do not see each other's local folders."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="emberwatch-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
@@ -82,15 +85,3 @@ def materialize(df):
     out = held.checkpoint(eager=True)
     held.unpersist()
     return out
-
-
-def reuse(df):
-    """Compute a small intermediate once for several branches of one plan: persist (memory, spill to disk)
-    and fill it eagerly. Lost blocks are recomputed from lineage, so this is safe under executor loss.
-    The data stays cached for the returned plan; call `spark.catalog.clearCache()` (or unpersist)
-    when the result has been consumed."""
-    from pyspark import StorageLevel
-
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    held.count()
-    return held

@@ -7,7 +7,7 @@ All times leave an adapter as epoch-ms bigint.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,6 +105,32 @@ def registry(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
     return spark.createDataFrame([tuple(r) for r in K.REGISTRY], REGISTRY_SCHEMA)
 
 
+def service_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry as large as the tables: suppliers are services, and a service calls the one that follows it in an
+    order's lines. Same columns as `registry`."""
+    s = table(spark, sf_dir, "supplier")
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    li = table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey")
+    edges = (li.select(F.col("l_suppkey").alias("a"), F.lead("l_suppkey").over(w).alias("b"))
+             .where(F.col("b").isNotNull() & (F.col("a") != F.col("b"))).distinct())
+    name = lambda c: F.concat(F.lit("svc-"), F.col(c).cast("string"))
+    names = lambda c: F.sort_array(F.collect_list(name(c)))
+    down = edges.groupBy(F.col("a").alias("s_suppkey")).agg(names("b").alias("down"))
+    up = edges.groupBy(F.col("b").alias("s_suppkey")).agg(names("a").alias("up"))
+    none = F.array().cast("array<string>")
+    key = F.col("s_suppkey")
+    return (s.join(n, "s_nationkey", "left").join(down, "s_suppkey", "left").join(up, "s_suppkey", "left").select(
+        name("s_suppkey").alias("service_name"),
+        F.concat(F.lit("team "), F.coalesce(F.col("n_name"), F.lit("?"))).alias("team_owner"),
+        F.when(F.col("s_acctbal") >= 6000, "CRITICAL").when(F.col("s_acctbal") >= 3000, "HIGH").otherwise("MEDIUM").alias("criticality"),
+        (key % 10 * 100 + 100).cast("long").alias("sla_p99_latency_ms"),
+        ((key % 4 + 1) / F.lit(2.0)).alias("sla_error_rate_pct"),
+        F.concat(F.lit("oncall-"), (key % 7).cast("string")).alias("on_call_rotation"),
+        F.concat(F.lit("#svc-"), key.cast("string")).alias("slack_channel"),
+        F.coalesce("up", none).alias("upstream_services"), F.coalesce("down", none).alias("downstream_services")))
+
+
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
@@ -337,6 +363,16 @@ ADAPTER_SQL = {
         (epoch_us(ts) // 1000) AS deployed_at
         FROM events WHERE event_type = 'signup'""",
     "registry": _registry_values(),
+    "service_catalog": """SELECT 'svc-' || s_suppkey::VARCHAR AS service_name, 'team ' || coalesce(n_name, '?') AS team_owner,
+        CASE WHEN s_acctbal >= 6000 THEN 'CRITICAL' WHEN s_acctbal >= 3000 THEN 'HIGH' ELSE 'MEDIUM' END AS criticality,
+        (s_suppkey % 10 * 100 + 100)::BIGINT AS sla_p99_latency_ms, (s_suppkey % 4 + 1) / 2.0::DOUBLE AS sla_error_rate_pct,
+        'oncall-' || (s_suppkey % 7)::VARCHAR AS on_call_rotation, '#svc-' || s_suppkey::VARCHAR AS slack_channel,
+        coalesce(u.up, []::VARCHAR[]) AS upstream_services, coalesce(d.down, []::VARCHAR[]) AS downstream_services
+        FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey
+        LEFT JOIN (SELECT a, list('svc-' || b::VARCHAR ORDER BY 'svc-' || b::VARCHAR) AS down FROM edges GROUP BY a) d ON d.a = s_suppkey
+        LEFT JOIN (SELECT b, list('svc-' || a::VARCHAR ORDER BY 'svc-' || a::VARCHAR) AS up FROM edges GROUP BY b) u ON u.b = s_suppkey""",
+    "edges": """SELECT DISTINCT a, b FROM (SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey
+        ORDER BY l_linenumber, l_suppkey) AS b FROM lineitem) WHERE b IS NOT NULL AND a <> b""",
     "incidents": f"""SELECT o_orderkey AS id,
         CASE o_orderpriority WHEN '1-URGENT' THEN 'CRITICAL' WHEN '2-HIGH' THEN 'HIGH'
              WHEN '3-MEDIUM' THEN 'MEDIUM' ELSE 'LOW' END AS severity,

@@ -88,14 +88,17 @@ def conform(df: DataFrame, schema: T.StructType, *, defaults: dict[str, Column]
 
 
 def load_nested_json(spark: SparkSession, path: str, root: str, element: T.DataType | None = None) -> DataFrame:
-    """S-09: JSON documents with an array under `root`; one row per element (`inline`)."""
-    df = spark.read.json(path) if element is None else spark.read.schema(
-        T.StructType([T.StructField(root, T.ArrayType(element))])).json(path)
-    return df.select(F.inline(F.col(root)))
-
-
-def load_markdown(spark: SparkSession, glob: str) -> DataFrame:
-    """S-10: one row per markdown file: (stem, text). Whole files, never split by line."""
-    df = spark.read.option("wholetext", True).text(glob)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return df.select(F.regexp_replace(name, r"\.md$", "").alias("stem"), F.col("value").alias("text"))
+    """S-09: JSON documents (of one or many lines) with an array under `root`; one row per element (`inline`)."""
+    reader = spark.read.option("multiLine", True)
+    if element is not None:
+        reader = reader.schema(T.StructType([T.StructField(root, T.ArrayType(element))]))
+    return reader.json(path).select(F.inline(F.col(root)))
+
+
+def load_markdown(spark: SparkSession, glob: str, stem: Column | None = None) -> DataFrame:
+    """S-10: one row per markdown file: (stem, text). Whole files, never split by line. The stem is the file's name
+    without `.md`, or the given expression over the hidden column `_metadata`."""
+    df = spark.read.text(glob, wholetext=True)
+    if stem is None:
+        stem = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.md$", "")
+    return df.select(stem.alias("stem"), F.col("value").alias("text"))

@@ -1,12 +1,10 @@
-"""Local correctness check: run each registered query on Spark and its DuckDB twin, compare
-row count, column names and an order-insensitive value multiset (floats already rounded to 6 digits).
+"""Local correctness check: every registered query against its DuckDB twin (or its own row check).
 
 usage: python tools/check.py [sf_dir] [name-substring ...]
 """
 
 from __future__ import annotations
 
-import math
 import os
 import sys
 import time
@@ -14,89 +12,28 @@ import traceback
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import duckdb  # noqa: E402
-
 from emberwatch.plans import catalog  # noqa: E402
+from emberwatch.plans.verify import compare, duck  # noqa: E402
 from emberwatch.session import local_session  # noqa: E402
-from emberwatch.sources.tables import TABLES  # noqa: E402
-
-
-def norm(v):
-    if v is None:
-        return None
-    if isinstance(v, float):
-        if math.isnan(v):
-            return None
-        return round(v, 6)
-    if hasattr(v, "tolist"):
-        v = v.tolist()
-    if isinstance(v, (list, tuple)):
-        return tuple(norm(x) for x in v)
-    if isinstance(v, dict):
-        return tuple(sorted((k, norm(x)) for k, x in v.items()))
-    if hasattr(v, "asDict"):
-        return tuple(norm(x) for x in v)
-    return v
-
-
-def rows_of(cols, records):
-    order = sorted(range(len(cols)), key=lambda i: cols[i])
-    out = [tuple(norm(r[i]) for i in order) for r in records]
-    return sorted(out, key=repr)
 
 
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 and sys.argv[1].startswith("/") else "/root/testdata/sf0.01"
     pats = [a for a in sys.argv[1:] if not a.startswith("/")]
-    spark = local_session(8)
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
-    cat = catalog.load_all()
-    ok = bad = 0
-    for name in sorted(cat):
+    spark = local_session(os.environ.get("CPUS", "8"))
+    con = duck(sf)
+    good = bad = 0
+    for name in sorted(catalog.load_all()):
         if pats and not any(p in name for p in pats):
             continue
         t0 = time.time()
         try:
-            sdf = catalog.run(name, spark, sf)
-            scols = sdf.columns
-            srows = [tuple(r) for r in sdf.collect()]
+            ok, msg = compare(name, spark, sf, con)
         except Exception:
-            print(f"FAIL {name}: spark error\n{traceback.format_exc()[-2500:]}")
-            bad += 1
-            continue
-        ts = time.time() - t0
-        sql = catalog.oracle(name)
-        if sql is None:
-            print(f"ROWS {name}: {len(srows)} rows (no oracle) {ts:.1f}s")
-            ok += 1
-            continue
-        try:
-            res = con.execute(sql)
-            dcols = [d[0] for d in res.description]
-            drows = res.fetchall()
-        except Exception as exc:
-            print(f"FAIL {name}: duckdb error {exc}")
-            bad += 1
-            continue
-        if sorted(scols) != sorted(dcols):
-            print(f"FAIL {name}: columns spark={sorted(scols)} duck={sorted(dcols)}")
-            bad += 1
-            continue
-        a, b = rows_of(scols, srows), rows_of(dcols, drows)
-        if a == b:
-            print(f"OK   {name}: {len(a)} rows {ts:.1f}s")
-            ok += 1
-        else:
-            sa, sb = set(a), set(b)
-            print(f"FAIL {name}: spark {len(a)} rows, duck {len(b)} rows; cols={sorted(scols)}")
-            for r in list(sa - sb)[:3]:
-                print("   spark-only", r)
-            for r in list(sb - sa)[:3]:
-                print("   duck-only ", r)
-            bad += 1
-    print(f"summary ok={ok} bad={bad}")
+            ok, msg = False, traceback.format_exc()[-2500:]
+        good, bad = good + ok, bad + (not ok)
+        print(f"{'OK  ' if ok else 'FAIL'} {name}: {msg} {time.time() - t0:.1f}s", flush=True)
+    print(f"summary ok={good} bad={bad}")
 
 
 if __name__ == "__main__":
