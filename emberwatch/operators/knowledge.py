@@ -171,52 +171,96 @@ def deployment_text(dep: DataFrame, *, chars: int = 800) -> DataFrame:
 
 
 def architecture_text(reg: DataFrame, *, chars: int = 800) -> DataFrame:
-    """K-08 (architecture) from registry rows."""
+    """K-08 (architecture) from registry rows; `description` and `known_failure_modes` are used where the registry has
+    them."""
+    col = lambda c, d: F.coalesce(F.col(c), d) if c in reg.columns else d
+    none = F.array().cast("array<string>")
     txt = F.concat(
-        F.col("service_name"), F.lit(" "), F.lit(""), F.lit(" team:"), F.col("team_owner"),
+        F.col("service_name"), F.lit(" "), col("description", F.lit("")), F.lit(" team:"), F.col("team_owner"),
         F.lit(" criticality:"), F.col("criticality"), F.lit(" downstream:"), py_list_repr(F.col("downstream_services")),
-        F.lit(" failure_modes:[] sla_p99:"), F.col("sla_p99_latency_ms").cast("string"),
+        F.lit(" failure_modes:"), py_list_repr(col("known_failure_modes", none)), F.lit(" sla_p99:"),
+        F.col("sla_p99_latency_ms").cast("string"),
         F.lit("ms error_rate_sla:"), F.col("sla_error_rate_pct").cast("string"), F.lit("%"))
     return reg.withColumn("content", F.substring(txt, 1, chars))
 
 
+def postmortem_text(pm: DataFrame, *, chars: int = 800) -> DataFrame:
+    """K-08 (postmortems): '{incident} {service} {category} {contributing factors} {preventative actions}', capped. `pm`
+    has incident_id, service, root_cause_category, full_markdown."""
+    sections = named_sections(pm.select("incident_id", "full_markdown"), key="incident_id", body="full_markdown")
+    s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    txt = F.concat(s("incident_id"), F.lit(" "), s("service"), F.lit(" "), s("root_cause_category"), F.lit(" "),
+                   s("contributing_factors"), F.lit(" "), s("preventative_actions"))
+    return pm.join(sections, "incident_id").withColumn("content", F.substring(txt, 1, chars))
+
+
 def upsert_chunks(store: DataFrame, chunks: DataFrame, *, doc: str = "stem") -> DataFrame:
     """K-09: upsert of whole documents. Every point of a document in `chunks` is replaced by its new one (all payload
     columns), points whose chunk no longer exists go, other documents stay. A re-run changes nothing. A store without
     the document column replaces point by point."""
     doc = doc if doc in store.columns else "point_id"
-    new = _first_per_key(chunks.select(*store.columns), ["point_id"], None, last=False)
+    ids = [c for c in ("collection", "point_id") if c in store.columns]  # a point's id is unique within its collection
+    new = _first_per_key(chunks.select(*store.columns), ids, None, last=False)
     return store.join(new.select(doc).distinct(), doc, "left_anti").select(*store.columns).unionByName(new)
 
 
-def seed(spark, sf_dir: str) -> dict[str, DataFrame]:
-    """K-11: the five collections, as chunk DataFrames (content + ids + payload)."""
+POINT_COLUMNS = ("collection", "chunk_id", "doc_id", "doc_hash", "service_name", "anomaly_type", "environment", "resolved",
+                 "epoch", "content", "text")
+
+
+def seed_points(spark, sf_dir: str) -> DataFrame:
+    """K-11: the points of all five collections: ids, the payload columns that searches filter on, `content` (the stored
+    payload, cut) and `text` (the whole text that is embedded)."""
     from emberwatch.operators.serve import mttr_col
     from emberwatch.sources import adapters as A
 
     inc = A.incidents(spark, sf_dir)
     pm = A.postmortems(spark, sf_dir)
+    first = F.element_at("affected_services", 1)
     pmj = pm.select(F.col("incident_id").alias("pid"), "executive_summary")
     src = inc.join(pmj, inc.id == pmj.pid, "left").select(
-        F.col("id").alias("incident_id"), "anomaly_type", F.element_at("affected_services", 1).alias("service_name"),
+        F.col("id").alias("incident_id"), "anomaly_type", first.alias("service_name"),
         "severity", F.col("description").alias("symptoms_observed"), F.col("top_root_cause").alias("root_cause"),
         F.col("executive_summary").alias("resolution_steps"), (F.col("status") == "RESOLVED").alias("resolved"),
-        mttr_col().alias("mttr_minutes"))
-    reg = architecture_text(A.registry(spark))
-    return {
-        "runbooks": runbook_chunks(A.markdown_docs(spark, sf_dir)),
-        "incidents": incident_chunks(src),
-        "architecture": with_ids(reg, F.col("service_name")),
-        "deployments": with_ids(deployment_text(A.deployments(spark, sf_dir)), F.col("id").cast("string")),
-        "postmortems": with_ids(pm, F.col("incident_id").cast("string")),
-    }
-
-
-def seed_counts(spark, sf_dir: str) -> DataFrame:
-    """K-11 report: vectors per collection (one small aggregate per collection, unioned)."""
-    parts = [df.agg(F.count(F.lit(1)).alias("vectors")).select(F.lit(name).alias("collection"), "vectors")
-             for name, df in seed(spark, sf_dir).items()]
+        mttr_col().alias("mttr_minutes"), "detection_time")
+    about = inc.select(F.col("id").alias("incident_id"), first.alias("service"), "anomaly_type")
+    pmt = postmortem_text(pm.join(about, "incident_id").withColumn("root_cause_category", F.col("root_cause")))
+    none = lambda t: F.lit(None).cast(t)
+
+    def points(df, name, doc, service, kind=none("string"), resolved=none("boolean"), epoch=none("long"), text=None):
+        return df.select(F.lit(name).alias("collection"), F.col("point_id").alias("chunk_id"), doc.cast("string").alias("doc_id"),
+                         "doc_hash", service.alias("service_name"), kind.alias("anomaly_type"), F.lit("production").alias("environment"),
+                         resolved.alias("resolved"), epoch.cast("long").alias("epoch"), "content",
+                         (F.col("content") if text is None else text).alias("text"))
+
+    parts = [
+        points(runbook_chunks(A.markdown_docs(spark, sf_dir)), "runbooks", F.col("stem"), F.element_at("services", 1),
+               F.element_at("anomaly_types", 1), text=F.col("chunk")),
+        points(incident_chunks(src), "incidents", F.col("incident_id"), F.col("service_name"), F.col("anomaly_type"),
+               F.col("resolved"), F.floor(F.col("detection_time") / 1000), text=F.col("text")),
+        points(with_ids(architecture_text(A.registry(spark)), F.col("service_name")), "architecture", F.col("service_name"),
+               F.col("service_name")),
+        points(with_ids(deployment_text(A.deployments(spark, sf_dir)), F.col("id").cast("string")), "deployments", F.col("id"),
+               F.col("service_name"), epoch=F.floor(F.col("deployed_at") / 1000)),
+        points(with_ids(pmt, F.col("incident_id").cast("string")), "postmortems", F.col("incident_id"), F.col("service"),
+               F.col("anomaly_type")),
+    ]
     out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select(*POINT_COLUMNS)
+
+
+def seed_store(spark, sf_dir: str, store: DataFrame | None = None):
+    """K-11: chunk, embed, upsert. Returns the store with vectors (`embedding`) and the fitted embedder; with an older
+    store its re-seeded documents are replaced."""
+    from emberwatch.operators.retrieve import embed, embed_fit
+
+    points = seed_points(spark, sf_dir)
+    model = embed_fit(points, text="text", features=256)
+    fresh = embed(points, model)
+    if store is None:
+        store = spark.createDataFrame([], fresh.schema)
+    keyed = lambda df: df.withColumn("__doc", F.concat_ws("/", "collection", "doc_id")).withColumnRenamed("chunk_id", "point_id")
+    out = upsert_chunks(keyed(store), keyed(fresh), doc="__doc")
+    return out.withColumnRenamed("point_id", "chunk_id").drop("__doc"), model

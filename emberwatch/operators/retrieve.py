@@ -134,13 +134,13 @@ def budget(hits: DataFrame, *, max_tokens: int = K.MAX_TOKENS, order: Sequence[s
     per = prepared.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("__tr", "rank", "chunk_id", "tokens")))
                                       .alias("items"))
     init = F.struct(F.lit(0).cast("long").alias("total"), F.lit(-1).cast("long").alias("stopped"),
-                    F.array().cast("array<long>").alias("kept"))
+                    F.array().cast(f"array<{hits.schema['chunk_id'].dataType.simpleString()}>").alias("kept"))
 
     def step(acc, it):
         blocked = acc["stopped"] == it["__tr"]
         fits = acc["total"] + it["tokens"] <= max_tokens
         keep = F.struct((acc["total"] + it["tokens"]).alias("total"), acc["stopped"].alias("stopped"),
-                        F.concat(acc["kept"], F.array(it["chunk_id"].cast("long"))).alias("kept"))
+                        F.concat(acc["kept"], F.array(it["chunk_id"])).alias("kept"))
         stop = F.struct(acc["total"].alias("total"), it["__tr"].cast("long").alias("stopped"), acc["kept"].alias("kept"))
         return F.when(blocked, acc).when(fits, keep).otherwise(stop)
 
@@ -199,28 +199,46 @@ def render(hits: DataFrame, incidents: DataFrame, registry: DataFrame, runbooks:
 
 def gather(q: DataFrame, corpus: DataFrame, *, deploy_window_s: int = 120 * 60) -> DataFrame:
     """R-13: the five searches for a batch of incident requests, unioned by name:
+    (with a `collection` column in `q`, each search takes its own request row)
     incidents (filtered resolved+production, top 20 -> best per doc -> 5), runbooks (top 10 -> boost -> 5),
     architecture (per service, 3), deployments (per service in the time window, 5), postmortems (5)."""
     cols = ["query_id", "collection", "chunk_id", "doc_id", "score", "rank", "content"]
+    own = "collection" in q.columns  # a request text, and so a vector, per search
 
     def coll(name):
         return corpus.where(F.col("collection") == name)
 
-    inc = best_per_doc(knn_filtered(q, coll("incidents"), k=20, equal={"environment": "production", "resolved": True}),
+    def asked(name):
+        return q.where(F.col("collection") == name).drop("collection") if own else q
+
+    inc = best_per_doc(knn_filtered(asked("incidents"), coll("incidents"), k=20, equal={"environment": "production", "resolved": True}),
                        k=5).withColumn("collection", F.lit("incidents"))
-    rb = knn(q, coll("runbooks").withColumn("services", F.array("service_name"))
+    rb = knn(asked("runbooks"), coll("runbooks").withColumn("services", F.array("service_name"))
                                 .withColumn("anomaly_types", F.array("anomaly_type")), k=10)
     rb = boost(rb, k=5).withColumn("collection", F.lit("runbooks"))
-    arch = knn_per_service(q, coll("architecture"), k=3).withColumn("collection", F.lit("architecture"))
-    dep = knn_per_service(q, coll("deployments"), k=5, window_s=("query_epoch", "epoch", deploy_window_s))\
+    arch = knn_per_service(asked("architecture"), coll("architecture"), k=3).withColumn("collection", F.lit("architecture"))
+    dep = knn_per_service(asked("deployments"), coll("deployments"), k=5, window_s=("query_epoch", "epoch", deploy_window_s))\
         .withColumn("collection", F.lit("deployments"))
-    pm = knn(q, coll("postmortems"), k=5).withColumn("collection", F.lit("postmortems"))
+    pm = knn(asked("postmortems"), coll("postmortems"), k=5).withColumn("collection", F.lit("postmortems"))
     out = inc.select(*cols)
     for part in (rb, arch, dep, pm):
         out = out.unionByName(part.select(*cols))
     return out
 
 
+def request_texts(incidents: DataFrame) -> DataFrame:
+    """R-13: the five request texts of an incident (query_id, anomaly_type, affected_services, description,
+    query_epoch), one row per collection to search."""
+    kind, services = F.col("anomaly_type"), F.array_join("affected_services", " ")
+    about = F.concat(kind, F.lit(" "), F.coalesce("description", F.lit("")))
+    texts = [("incidents", about), ("runbooks", F.concat(about, F.lit(" troubleshooting"))),
+             ("architecture", F.concat(services, F.lit(" architecture dependencies"))),
+             ("deployments", F.concat(services, F.lit(" recent deployment"))),
+             ("postmortems", F.concat(kind, F.lit(" recurring contributing factors")))]
+    rows = F.array(*[F.struct(F.lit(name).alias("collection"), t.alias("query_text")) for name, t in texts])
+    return incidents.select("query_id", kind.alias("q_type"), "affected_services", "query_epoch", F.inline(rows))
+
+
 def embed_fit(docs: DataFrame, *, text: str = "content", features: int = 1 << 12):
     """R-01: a distributed text embedder: RegexTokenizer -> HashingTF -> IDF -> Normalizer(L2).
     IDF is fitted with one aggregation over the corpus; the output vectors are unit length."""

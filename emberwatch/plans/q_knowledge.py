@@ -224,17 +224,60 @@ def q_iso_epoch(spark, sf):
     return ev.select("event_id", iso_epoch(iso).alias("epoch_s"))
 
 
-@register("k11_seed", A.with_adapters(f"""
-    SELECT 'runbooks' AS collection, count(*) AS vectors FROM ({_pack_sql()}) WHERE {_NONBLANK}
+_REPR = "'[' || array_to_string(list_transform({x}, lambda s: chr(39) || s || chr(39)), ', ') || ']'"
+_ARCH_SQL = f"""SELECT service_name AS doc, substr(service_name || '  team:' || team_owner || ' criticality:' || criticality
+    || ' downstream:' || {_REPR.format(x='downstream_services')} || ' failure_modes:[] sla_p99:' || sla_p99_latency_ms::VARCHAR
+    || 'ms error_rate_sla:' || sla_error_rate_pct::VARCHAR || '%', 1, 800) AS content FROM registry"""
+_DEP_SQL = f"""SELECT id::VARCHAR AS doc, substr(concat_ws(' ', service_name, version, change_type, description,
+    'risks:' || {_REPR.format(x='known_risks')}), 1, 800) AS content FROM deployments"""
+_PM_SQL = """SELECT p.incident_id::VARCHAR AS doc, substr(p.incident_id::VARCHAR || ' ' || i.affected_services[1] || ' '
+    || p.root_cause || ' ' || chr(10) || '- factor ' || (p.incident_id % 7)::VARCHAR || chr(10) || ' ' || chr(10) || chr(10)
+    || '- add alert ' || (p.incident_id % 5)::VARCHAR || chr(10) || chr(10), 1, 800) AS content
+    FROM postmortems p JOIN incidents i ON i.id = p.incident_id"""
+_SEED_SQL = f"""
+    SELECT 'runbooks' AS collection, stem || ':chunk' || chunk_index::VARCHAR AS key, substr(chunk, 1, 800) AS content
+    FROM ({_pack_sql()}) WHERE {_NONBLANK}
     UNION ALL
-    SELECT 'incidents', count(*) FROM (SELECT unnest([concat_ws(' ', incident_id::VARCHAR, coalesce(anomaly_type, ''),
-            coalesce(service_name, ''), coalesce(severity, ''), coalesce(symptoms_observed, '')),
-            coalesce(symptoms_observed, ''), coalesce(root_cause, ''), coalesce(resolution_steps, '')]) AS text
-            FROM ({_INC_SRC_SQL})) WHERE {strip_sql('text')} <> ''
-    UNION ALL SELECT 'architecture', count(*) FROM registry
-    UNION ALL SELECT 'deployments', count(*) FROM deployments
-    UNION ALL SELECT 'postmortems', count(*) FROM postmortems""",
+    SELECT 'incidents', incident_id::VARCHAR || ':' || chunk_type, substr(text, 1, 800) FROM (
+      SELECT incident_id, unnest(['summary', 'symptoms', 'root_cause', 'resolution']) AS chunk_type,
+             unnest([concat_ws(' ', incident_id::VARCHAR, coalesce(anomaly_type, ''), coalesce(service_name, ''),
+                               coalesce(severity, ''), coalesce(symptoms_observed, '')),
+                     coalesce(symptoms_observed, ''), coalesce(root_cause, ''), coalesce(resolution_steps, '')]) AS text
+      FROM ({_INC_SRC_SQL})) WHERE {strip_sql('text')} <> ''
+    UNION ALL SELECT 'architecture', doc, content FROM ({_ARCH_SQL})
+    UNION ALL SELECT 'deployments', doc, content FROM ({_DEP_SQL})
+    UNION ALL SELECT 'postmortems', doc, content FROM ({_PM_SQL})"""
+
+
+@register("k11_seed", A.with_adapters(
+    f"SELECT collection, {uuid5_sql('doc_hash')} AS chunk_id, doc_hash, content, 256::BIGINT AS dims "
+    f"FROM (SELECT *, substr(sha256(key), 1, 16) AS doc_hash FROM ({_SEED_SQL}))",
     "markdown_docs", "incidents", "postmortems", "registry", "deployments"), bench=True)
 def q_seed(spark, sf):
-    from emberwatch.operators.knowledge import seed_counts
-    return seed_counts(spark, sf)
+    """The stored points of all five collections with their vectors."""
+    store, _ = KN.seed_store(spark, sf)
+    return store.select("collection", "chunk_id", "doc_hash", "content", F.size("embedding").cast("long").alias("dims"))
+
+
+def _searched(rows):
+    by = {}
+    for r in rows:
+        by.setdefault(r.query_id, {}).setdefault(r.collection, []).append(r)
+    assert by, "no request found anything"
+    for hits in by.values():
+        assert {"incidents", "runbooks", "architecture", "postmortems"} <= set(hits), "a collection without hits"
+        assert all(sorted(h.rank for h in v) == list(range(1, len(v) + 1)) for k, v in hits.items() if k != "deployments")
+
+
+@register("k11_search", check=_searched)
+def q_seed_search(spark, sf):
+    """Seed, embed, store, search: the newest twenty open incidents ask all five collections, each with its own text."""
+    from emberwatch.operators import retrieve as R
+
+    store, model = KN.seed_store(spark, sf)
+    newest = (A.incidents(spark, sf).where(F.col("status") == "DETECTING").orderBy(F.desc("detection_time"), "id").limit(20)
+              .select(F.col("id").alias("query_id"), "anomaly_type", "affected_services", "description",
+                      F.floor(F.col("detection_time") / 1000).cast("long").alias("query_epoch")))
+    asked = R.embed(R.request_texts(newest).withColumnRenamed("query_text", "text"), model, out="query_vec").drop("text")
+    hits = R.gather(asked, store, deploy_window_s=48 * 3600)
+    return hits.select("query_id", "collection", "chunk_id", "doc_id", "rank")
