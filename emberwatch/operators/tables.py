@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 def replay(df: DataFrame, since_ms: int, until_ms: int | None = None, *, service: str | None = None,
            ts: str = "ts", limit: int | None = None) -> DataFrame:
     """S-02: rows with since <= ts <= until (until defaults to since + 1 h), optional service equality.
-    Both predicates reach the parquet scan. `limit` keeps the first rows in (ts, event_id) order."""
+    Where `ts` is computed from a stored time, bound that at the source too (the adapters' since_ms, until_ms), so
+    that the bound reaches the scan. `limit` keeps the first rows in (ts, event_id) order."""
     end = until_ms if until_ms is not None else since_ms + 3_600_000
     out = df.where((F.col(ts) >= F.lit(since_ms)) & (F.col(ts) <= F.lit(end)))
     if service is not None:

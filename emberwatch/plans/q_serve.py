@@ -148,14 +148,15 @@ def q_mttr(spark, sf):
     f"SELECT * FROM metrics WHERE ts >= {_T0 + 5 * _DAY} AND ts <= {_T0 + 12 * _DAY} "
     "AND source_service = 'payment-service'", "metrics"))
 def q_replay(spark, sf):
-    return S.replay(A.metrics(spark, sf), _T0 + 5 * _DAY, _T0 + 12 * _DAY, service="payment-service")
+    bounds = (_T0 + 5 * _DAY, _T0 + 12 * _DAY)
+    return S.replay(A.metrics(spark, sf, *bounds), *bounds, service="payment-service")
 
 
 @register("s05_read_since", A.with_adapters(
     f"SELECT * FROM deployments WHERE deployed_at > {_T0 + 3 * _DAY} OR (deployed_at = {_T0 + 3 * _DAY} AND id > 0) "
     "ORDER BY deployed_at, id LIMIT 50", "deployments"))
 def q_read_since(spark, sf):
-    return S.read_since(A.deployments(spark, sf), (_T0 + 3 * _DAY, 0))
+    return S.read_since(A.deployments(spark, sf, _T0 + 3 * _DAY), (_T0 + 3 * _DAY, 0))
 
 
 def _pm_candidates(spark, sf):

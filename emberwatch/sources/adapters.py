@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberwatch import constants as K
-from emberwatch.functions.columns import detect_level, epoch_ms
+from emberwatch.functions.columns import detect_level, epoch_ms, ntz_from_ms
 from emberwatch.sources.tables import table
 
 _CHANGE_TYPES = ["CODE", "CONFIG", "DEPENDENCY", "INFRASTRUCTURE"]
@@ -29,8 +29,17 @@ def svc(col: str | Column) -> Column:
     return _pick(K.SERVICES, c % 6)
 
 
-def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events").where(F.col("event_type") != "signup")
+def _between(ev: DataFrame, since_ms: int | None, until_ms: int | None) -> DataFrame:
+    """Bounds on the stored timestamp itself (the bound is converted, not the column), so they reach the scan."""
+    if since_ms is not None:
+        ev = ev.where(F.col("ts") >= ntz_from_ms(F.lit(since_ms)))
+    if until_ms is not None:
+        ev = ev.where(F.col("ts") < ntz_from_ms(F.lit(until_ms + 1)))  # a stored time may have microseconds
+    return ev
+
+
+def metrics(spark: SparkSession, sf_dir: str, since_ms: int | None = None, until_ms: int | None = None) -> DataFrame:
+    ev = _between(table(spark, sf_dir, "events").where(F.col("event_type") != "signup"), since_ms, until_ms)
     name = (
         F.when(F.col("event_type") == "view",
                F.when(F.col("user_id") % 4 < 2, "service_latency_p99_ms").otherwise("service_db_connections"))
@@ -69,8 +78,8 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
+def deployments(spark: SparkSession, sf_dir: str, since_ms: int | None = None, until_ms: int | None = None) -> DataFrame:
+    ev = _between(table(spark, sf_dir, "events").where(F.col("event_type") == "signup"), since_ms, until_ms)
     risks = F.when(F.col("event_id") % 3 == 0,
                    F.array(F.concat(F.lit("risk "), (F.col("event_id") % 5).cast("string")))
                    ).otherwise(F.array().cast("array<string>"))
