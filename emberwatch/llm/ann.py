@@ -65,12 +65,13 @@ def build_forest(sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed:
         size = np.linalg.norm(n)
         n = n / size if size > 1e-9 else unit(rng.normal(size=(1, sample.shape[1])))[0]
         side = sample[rows] @ n
-        at = np.median(side)
+        ranked = np.sort(side)
+        at = (ranked[len(rows) // 2 - 1] + ranked[len(rows) // 2]) / 2  # between members, so rounding moves none across
         left = side < at
-        if not left.any():
-            at = np.nextafter(side.min(), np.inf)
+        if left.all() or not left.any():
+            at = (ranked[0] + ranked[-1]) / 2
             left = side < at
-            if left.all():  # nothing tells these members apart
+            if left.all() or not left.any():  # nothing tells these members apart
                 members.append(rows)
                 return -len(members)
         k = len(normal)
