@@ -122,12 +122,17 @@ def open_leaves(forest: Forest, q: np.ndarray, budget: float) -> list[int]:
     return out
 
 
+def _summed(x: np.ndarray) -> np.ndarray:
+    """Row sums from left to right, the same however many rows there are."""
+    return np.cumsum(x, axis=1)[:, -1]
+
+
 def best_of_block(rows: pd.DataFrame, queries: pd.DataFrame, keep: int) -> pd.DataFrame:
     """The `keep` best (score, id) of each query among this block's rows in its leaves."""
     out = {"query": [], "score": [], "vec_id": []}
     if len(rows) and len(queries):
         x, q = _matrix(rows["embedding"]), _matrix(queries["embedding"])
-        nx, nq = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
+        nx, nq = np.sqrt(_summed(x * x)), np.sqrt(_summed(q * q))
         ids = [np.asarray(v, np.int64) for v in rows["ids"]]
         leaves = np.array(rows["leaves"].tolist(), np.int64)
         flat = leaves.ravel()
@@ -144,9 +149,10 @@ def best_of_block(rows: pd.DataFrame, queries: pd.DataFrame, keep: int) -> pd.Da
             if not len(cand):
                 continue
             score = (x[cand] @ q[k]) / (nx[cand] * nq[k])
-            if len(cand) > keep:  # all that tie with the last kept one stay until ids decide
-                near = score >= np.partition(score, len(cand) - keep)[len(cand) - keep]
-                cand, score = cand[near], score[near]
+            if len(cand) > keep:  # all that tie with the last kept one, but for rounding, stay until ids decide
+                near = score >= np.partition(score, len(cand) - keep)[len(cand) - keep] - 1e-12
+                cand = cand[near]
+            score = _summed(x[cand] * q[k]) / (nq[k] * nx[cand])
             n = [len(ids[c]) for c in cand]
             vec, val = np.concatenate([ids[c] for c in cand]), np.repeat(score, n)
             top = np.lexsort((vec, -val))[:keep]
