@@ -14,6 +14,9 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+if os.path.basename(os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")) == "sf0.1":
+    os.environ.setdefault("EMBERWATCH_DURATION_DIV", "10")  # FIXTURES.md: series are ten times denser than at sf0.01
+
 from emberwatch.plans import catalog  # noqa: E402
 from emberwatch.session import local_session  # noqa: E402
 

@@ -13,14 +13,14 @@ from emberwatch.operators import correlate as C
 from emberwatch.operators import detect as D
 from emberwatch.operators.serve import mttr_col
 from emberwatch.operators.suppress import suppress_sql
-from emberwatch.plans.catalog import register
+from emberwatch.plans.catalog import DURATION_DIV, register
 from emberwatch.plans.q_detect import GAP_S, TTL_S, anomalies_body
 from emberwatch.sources import adapters as A
 
-WIN_MIN = 24 * 60
-DEP_MIN = 24 * 60
-LOCK_S = 72 * 3600
-REC_MIN = 24 * 60
+WIN_MIN = 24 * 60 // DURATION_DIV
+DEP_MIN = 24 * 60 // DURATION_DIV
+LOCK_S = 72 * 3600 // DURATION_DIV
+REC_MIN = 24 * 60 // DURATION_DIV
 W = WIN_MIN * 60_000
 DW = DEP_MIN * 60_000
 REC = REC_MIN * 60_000

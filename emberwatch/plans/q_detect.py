@@ -9,10 +9,10 @@ from __future__ import annotations
 from emberwatch import constants as K
 from emberwatch.operators import detect as D
 from emberwatch.operators.suppress import suppress, suppress_sql
-from emberwatch.plans.catalog import register
+from emberwatch.plans.catalog import DURATION_DIV, register
 from emberwatch.sources import adapters as A
 
-H = 3600
+H = 3600 // DURATION_DIV
 GAP_S = 12 * H          # baseline gap (reference 3600 s)
 TTL_S = 24 * H          # dedup TTL (reference 300 s)
 SAMPLE_TTL_S = 2 * H    # sample dedup (reference 14 s)
