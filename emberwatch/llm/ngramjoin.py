@@ -9,9 +9,14 @@ candidate if its prefixes share at least the smaller of its two l, and candidate
 
 Large groups of near copies share their prefix tokens and would make all pairs of the group candidates. The result
 here is the linked groups (connected components), so pairs inside one group need no verification once the group is
-known to hang together: some hub sets of every large bucket are compared with its members first, in rounds, and only
-pairs of different groups are left to the multi-match join, each with at least one side outside the bucket's largest
-group. No pair of sets that may link is left out: it is verified, or both sides are already in one group.
+known to hang together. Every bucket (sets that share a prefix token) names one hub, the member of smallest hash, and
+every set is first compared with the hub that most of its tokens name; what links joins groups, and with new hubs this
+goes on while it pays. Sets that were compared with one hub form a family, and their further pairs are found by what
+differs from the family's most typical member: for a pair to be similar while one side is not linked to that, the
+differences of the two must overlap by a known number of tokens, so a prefix filter over the (small) differences finds
+and decides them. All
+other pairs of different groups go through the multi-match join, each with at least one side outside the bucket's
+largest family. No pair of sets that may link is left out: it is verified, or both sides are already in one group.
 
 Equal sets are one class from the start, so exact copies cost one row each. The collision chance of 64-bit hashes
 (about n*n / 2**65 for n distinct sets or n tokens of a pair) is accepted.
@@ -25,17 +30,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import components, runs, staged, table
+from emberwatch.llm.common import components, runs, slices, staged, table
 
-WIDTH = 1 << 21      # cells of the token count table (4 bytes each)
+WIDTH = 1 << 22      # cells of the token count table (4 bytes each)
 CHUNKS = 16
 MOST = 4             # largest l tried
+PARTNERS = 0.05      # partners a token is thought to have at least: the table does not show rare ones
 SCAN, VERIFY = 1.0, 8.0   # estimated cost of a shared posting, and of a verified candidate (plus its size / 16)
-HUBS = 2             # sets of a bucket compared with its members in one round
-BIG = 3              # smaller buckets go straight to the multi-match join
+ROUNDS = 6           # of comparisons with hubs, at most; they only save candidates, so any number is right
 BATCH = 1 << 20      # bytes hashed at once
 
 _U = np.uint64
@@ -150,7 +155,7 @@ def _table_of(batches, cells):
 def token_counts(docs: DataFrame, n: int) -> np.ndarray:
     """How many sets hold a token of each cell, over all documents."""
     def cells(batch):
-        return (_cells(s) for s in shingle_sets(batch.column(0).to_pylist(), n))
+        return (_cells(s) for part in slices(batch, 0) for s in shingle_sets(part.column(0).to_pylist(), n))
 
     return _summed(docs.select("text").mapInArrow(lambda b: _table_of(b, cells), "chunk int, part int, counts binary"))
 
@@ -167,7 +172,7 @@ def adaptive_prefix(tokens: np.ndarray, counts: np.ndarray, load: float, percent
     need = least_overlap(size, percent)
     cell = counts[_cells(tokens)]
     order = np.lexsort((tokens, cell))[:size - need + MOST]
-    partners = np.cumsum(np.maximum(cell[order].astype(float) - load, 1.0) - 1.0)
+    partners = np.cumsum(np.maximum(cell[order].astype(float) - 1 - load, PARTNERS))
     best, level = None, 1
     for lv in range(1, min(MOST, need) + 1):
         p = partners[size - need + lv - 1]
@@ -185,7 +190,7 @@ def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(counts)  # WIDTH numbers
 
     def rows(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             size, cls, level, prefix = [], [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), n):
                 size.append(len(s))
@@ -208,42 +213,77 @@ def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """cls and n-gram set of the documents whose doc_id is in `wanted`, made again from the texts: a fixed-size table
-    of the wanted ids' cells picks the rows (a few more may come along), so no text is shuffled."""
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(WIDTH))
-    held = _summed(wanted.select(cell.alias("c")).mapInArrow(
-        lambda b: _table_of(b, lambda x: [x.column(0).to_numpy()]), "chunk int, part int, counts binary")) > 0
+    """cls, n-gram set and who (hash of the doc_id) of the documents whose doc_id is in `wanted`, made again from the
+    texts: a fixed-size table of the wanted ids' cells picks the rows (a few more may come along, which `who` tells
+    apart), so no text is shuffled."""
+    who = F.xxhash64("doc_id").alias("who")
+    held = _summed(wanted.select(who).mapInArrow(
+        lambda b: _table_of(b, lambda x: [x.column(0).to_numpy() % WIDTH]), "chunk int, part int, counts binary")) > 0
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(held))  # WIDTH bits
 
     def rows(batches):
         want = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            batch = batch.filter(pa.array(want[batch.column(0).to_numpy()]))
-            cls, sets = [], []
-            for s in shingle_sets(batch.column(1).to_pylist(), n):
+        for batch in (part for whole in batches for part in slices(whole.filter(pa.array(want[whole.column(0).to_numpy() % WIDTH])), 1)):
+            cls, sets, ids = [], [], []
+            for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), n), strict=True):
                 if len(s):
                     cls.append(set_hash(s))
                     sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], ["cls", "grams"])
+                    ids.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary()), pa.array(ids, pa.int64())],
+                                             ["cls", "grams", "who"])
 
-    return docs.select(cell.alias("c"), "text").mapInArrow(rows, "cls long, grams binary")
+    return docs.select(who, "text").mapInArrow(rows, "cls long, grams binary, who long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets are similar enough: 100 * intersection >= percent * union."""
-    both = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), "a")
-            .join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb")), "b"))
+def _with_sets(pairs: DataFrame, sets: DataFrame, who: DataFrame) -> DataFrame:
+    """(a, b, ga, gb): pairs of classes with their whole sets, each taken from the one document that stands for the
+    class (`who`: cls, who)."""
+    for side in ("a", "b"):
+        own = who.select(F.col("cls").alias(side), F.col("who").alias(f"w{side}"))
+        grams = sets.select(F.col("cls").alias(side), F.col("who").alias(f"w{side}"), F.col("grams").alias(f"g{side}"))
+        pairs = pairs.join(own, side).join(grams, [side, f"w{side}"])
+    return pairs.select("a", "b", "ga", "gb")
+
+
+def _sets_of(batch):
+    for i in range(batch.num_rows):
+        yield (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
+
 
+def verified(pairs: DataFrame, sets: DataFrame, who: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets are similar enough: 100 * intersection >= percent * union."""
     def check(batches):
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for x, y in _sets_of(batch):
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "ga", "gb").mapInArrow(check, "a long, b long")
+    return _with_sets(pairs, sets, who).mapInArrow(check, "a long, b long")
+
+
+def compared_with_hub(pairs: DataFrame, sets: DataFrame, who: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a: hub, b: member) with: linked, size, hub_size and - for members that share at least half - what differs
+    from the hub: added and missing tokens (else null)."""
+    def check(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in range(5)]
+            for h, x in _sets_of(batch):
+                added, gone = np.setdiff1d(x, h, assume_unique=True), np.setdiff1d(h, x, assume_unique=True)
+                common = len(h) - len(gone)
+                near = 2 * common >= max(len(h), len(x))
+                row = (100 * common >= percent * (len(h) + len(added)), len(x), len(h),
+                       _signed(added) if near else None, _signed(gone) if near else None)
+                for col, v in zip(out, row, strict=True):
+                    col.append(v)
+            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out, kinds)],
+                                             ["a", "b", "linked", "size", "hub_size", "added", "missing"])
+
+    return _with_sets(pairs, sets, who).mapInArrow(
+        check, "a long, b long, linked boolean, size long, hub_size long, added array<long>, missing array<long>").dropDuplicates(["a", "b"])
 
 
 def _alike(a: str, b: str, percent: int):
@@ -261,38 +301,107 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
                   .select("cls", F.coalesce("root", "grp").alias("grp")), "labels")
 
 
-def _hub_pairs(posts: DataFrame, seed: int, percent: int, hubs: int) -> DataFrame:
-    """Pairs of some sets of every bucket (those of smallest hash, so mostly the same ones in all buckets of a group)
-    with its members of other groups. Where they were compared before, the two are in one group or not linked."""
-    keys = [F.min(F.struct(F.xxhash64("cls", F.lit(seed * hubs + i)).alias("h"), F.col("cls").alias("a"), F.col("size").alias("na"),
-                           F.col("grp").alias("ga"))).alias(f"h{i}") for i in range(hubs)]
-    mixed = (posts.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("grp").alias("lo"), F.max("grp").alias("hi"), *keys)
-             .where((F.col("lo") != F.col("hi")) & (F.col("m") >= BIG))
-             .select("token", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(hubs)]))).alias("hub")))
-    return (posts.join(mixed, "token").where(F.col("hub.ga") != F.col("grp"))
-            .select(F.col("hub.a").alias("a"), F.col("hub.na").alias("na"), F.col("cls").alias("b"), F.col("size").alias("nb"))
-            .where(_alike("na", "nb", percent))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+def _hub_pairs(posts: DataFrame, seed: int, percent: int) -> DataFrame:
+    """Every set with the hub of another group that most of its tokens name, if they share enough prefix tokens and the
+    sizes allow a link. A token's hub is its set of smallest hash; so where a set's best hub is in a bucket, it is the
+    hub there or a smaller one is."""
+    hub = F.min(F.struct(F.xxhash64("cls", F.lit(seed)).alias("h"), F.col("cls").alias("a"), F.col("size").alias("na"),
+                         F.col("level").alias("la"), F.col("grp").alias("ga")))
+    hubs = (posts.groupBy("token").agg(hub.alias("hub"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+            .where(F.col("lo") != F.col("hi")).select("token", "hub"))
+    named = (posts.join(hubs, "token").where((F.col("hub.ga") != F.col("grp")))
+             .select("cls", "size", "level", "hub").where(_alike("hub.na", "size", percent))
+             .groupBy("cls", "hub", "level").agg(F.count(F.lit(1)).alias("n"))
+             .where(F.col("n") >= F.least("level", "hub.la")))
+    best = named.groupBy("cls").agg(F.max(F.struct("n", F.col("hub.h").alias("h"), F.col("hub.a").alias("a"))).alias("best"))
+    return best.select(F.col("best.a").alias("a"), F.col("cls").alias("b"))
 
 
 def _rest_pairs(posts: DataFrame, percent: int) -> DataFrame:
-    """All candidates of different groups by the multi-match rule. In a bucket, sets outside its largest group meet
-    all others; two sets inside that group need no comparison."""
-    kinds = posts.groupBy("token", "grp").agg(F.count(F.lit(1)).alias("n"))
-    major = (kinds.groupBy("token").agg(F.max(F.struct("n", "grp")).alias("top"), F.count(F.lit(1)).alias("groups"))
-             .where(F.col("groups") > 1).select("token", F.col("top.grp").alias("major")))
+    """All candidates of different groups and families by the multi-match rule. In a bucket, sets outside its largest
+    family meet all others; two sets of that family are not compared here."""
+    kinds = posts.groupBy("token", "fam").agg(F.count(F.lit(1)).alias("n"))
+    major = (kinds.groupBy("token").agg(F.max(F.struct("n", "fam")).alias("top"), F.count(F.lit(1)).alias("fams"))
+             .where(F.col("fams") > 1).select("token", F.col("top.fam").alias("major")))
     mixed = posts.join(major, "token")
-    few = mixed.where(F.col("grp") != F.col("major")).select("token", *[F.col(c).alias(f"{c}1") for c in ("cls", "size", "level", "grp")])
+    few = mixed.where(F.col("fam") != F.col("major")).select("token", *[F.col(c).alias(f"{c}1") for c in ("cls", "size", "level", "grp", "fam")])
     pairs = few.join(mixed, "token").where(
-        (F.col("grp1") != F.col("grp")) & _alike("size1", "size", percent)
+        (F.col("grp1") != F.col("grp")) & (F.col("fam1") != F.col("fam")) & _alike("size1", "size", percent)
         # two outsiders meet in both orders: keep one
-        & ((F.col("grp") == F.col("major")) | (F.col("cls1") < F.col("cls"))))
+        & ((F.col("fam") == F.col("major")) | (F.col("cls1") < F.col("cls"))))
     return (pairs.select(F.least("cls1", "cls").alias("a"), F.greatest("cls1", "cls").alias("b"), F.least("level1", "level").alias("level"))
             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("level").alias("level"))
             .where(F.col("shared") >= F.col("level")).select("a", "b"))
 
 
-def linked_groups(docs: DataFrame, n: int = 5, percent: int = 80, hubs: int = HUBS) -> DataFrame:
+def _tokens_of(members: DataFrame) -> DataFrame:
+    """fam, cls, kind (0 added, 1 missing), tok of every difference."""
+    one = lambda c, k: F.transform(c, lambda t: F.struct(F.lit(k).alias("kind"), t.alias("tok")))
+    return members.select("fam", "cls", F.explode(F.concat(one("added", 0), one("missing", 1))).alias("t")).select(
+        "fam", "cls", "t.kind", "t.tok")
+
+
+def centred(tried: DataFrame, percent: int) -> DataFrame:
+    """Families around their most typical member. `tried`: members compared with a hub. What more than half of a family
+    has or lacks against its hub tells what is typical; the member that differs least from that is the centre, and all
+    differences are turned to it. Returns fam, cls, linked (to the centre), centre, size, centre_size, gone, added,
+    missing and need: the tokens that a member's differences share at least with those of a similar member that is - or
+    if it itself is - not linked to the centre."""
+    none = F.array().cast("array<long>")
+    near = tried.where(F.col("added").isNotNull()).select(F.col("a").alias("fam"), F.col("b").alias("cls"), "size", "added", "missing")
+    hubs = tried.where(F.col("added").isNotNull()).select(F.col("a").alias("fam"), F.col("hub_size").alias("size")).distinct()
+    m = near.unionByName(hubs.select("fam", F.col("fam").alias("cls"), "size", none.alias("added"), none.alias("missing")))
+    tokens = _tokens_of(m)
+    typical = (tokens.groupBy("fam", "kind", "tok").agg(F.count(F.lit(1)).alias("n"))
+               .join(m.groupBy("fam").agg(F.count(F.lit(1)).alias("of")), "fam").where(F.col("n") * 2 > F.col("of")).select("fam", "kind", "tok"))
+    hits = tokens.join(typical, ["fam", "kind", "tok"]).groupBy("fam", "cls").agg(F.count(F.lit(1)).alias("hits"))
+    far = F.size("added") + F.size("missing") - F.coalesce("hits", F.lit(0)) * 2
+    centre = (m.join(hits, ["fam", "cls"], "left").groupBy("fam").agg(F.min(F.struct(far.alias("far"), F.col("cls").alias("centre"))).alias("c"))
+              .select("fam", F.col("c.centre").alias("centre")))
+    centre = centre.join(m.select("fam", F.col("cls").alias("centre"), F.col("size").alias("centre_size"),
+                                  F.col("added").alias("added0"), F.col("missing").alias("missing0")), ["fam", "centre"])
+    turned = m.join(centre, "fam").select(
+        "fam", "cls", "centre", "size", "centre_size",
+        F.concat(F.array_except("added", "added0"), F.array_except("missing0", "missing")).alias("added"),
+        F.concat(F.array_except("missing", "missing0"), F.array_except("added0", "added")).alias("missing"))
+    gone = F.size("missing").cast("long")
+    # similar sets x, y share p(|x| + |y|)/(100 + p) tokens or more, and |c| - gone(x) - gone(y) + the overlap of their
+    # differences is what they share; y not linked to the centre c bounds y's part from below (strictly)
+    need = F.greatest(F.lit(1).cast("long"), F.floor(
+        ((F.col("size") - F.col("centre_size")) * percent + gone * (100 + percent)) / F.lit(float(100 + percent)) + 1e-9).cast("long") + 1)
+    linked = (F.col("centre_size") - gone) * (100 + percent) >= (F.col("size") + F.col("centre_size")) * percent
+    return turned.select("*", gone.alias("gone"), need.alias("need"), linked.alias("linked"))
+
+
+def _family_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside families, found and decided on the members' differences from the centre. `members`: those of
+    `centred` with their groups (grp)."""
+    m = members.withColumn("width", F.size("added").cast("long") + F.col("gone"))
+    tokens = _tokens_of(m)
+    often = tokens.groupBy("fam", "kind", "tok").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    facts = m.select("fam", "cls", "grp", "linked", "size", "gone", "centre_size", "width", "need")
+    # one order for all of a family, rare first: a member's tokens that no other has stand before these
+    mine = Window.partitionBy("fam", "cls")
+    alone = F.col("width") - F.count(F.lit(1)).over(mine)
+    spots = tokens.join(often, ["fam", "kind", "tok"]).join(facts, ["fam", "cls"]).withColumn(
+        "pos", alone + F.row_number().over(mine.orderBy("n", "kind", "tok")) - 1)
+    spots = spots.withColumn("early", F.col("pos") < F.col("width") - F.col("need") + 1).where(F.col("early") | ~F.col("linked"))
+    # least overlap of two differences: ceil(p * (|x| + |y|) / (100 + p)) - |c| + gone(x) + gone(y)
+    far = spots.where(~F.col("linked")).select("fam", "kind", "tok", *[F.col(c).alias(f"{c}1") for c in ("cls", "grp", "size", "gone", "width", "early")])
+    enough = (F.ceil((F.col("size1") + F.col("size")) * percent / F.lit(float(100 + percent)) - 1e-9) - F.col("centre_size")
+              + F.col("gone1") + F.col("gone"))
+    pairs = far.join(spots, ["fam", "kind", "tok"]).where(
+        (F.col("grp1") != F.col("grp")) & (F.least("width1", "width") >= enough)
+        & F.when(F.col("linked"), F.col("early")).otherwise(F.col("early") & F.col("early1") & (F.col("cls1") < F.col("cls"))))
+    pairs = pairs.select("fam", F.col("cls1").alias("a"), F.col("cls").alias("b")).distinct()
+    side = lambda k: m.select("fam", F.col("cls").alias(k), "centre_size", *[F.col(c).alias(f"{c}_{k}") for c in ("size", "gone", "added", "missing")])
+    both = pairs.join(side("a"), ["fam", "a"]).join(side("b").drop("centre_size"), ["fam", "b"])
+    common = (F.col("centre_size") - F.col("gone_a") - F.col("gone_b")
+              + F.size(F.array_intersect("added_a", "added_b")) + F.size(F.array_intersect("missing_a", "missing_b")))
+    return both.where(common * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent).select("a", "b")
+
+
+def linked_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Link documents whose sets of distinct word n-grams have 100 * intersection >= percent * union.
 
     Returns doc_id, n_shingles (size of the set) and component_id: the smallest doc_id reachable by links, itself
@@ -307,36 +416,41 @@ def linked_groups(docs: DataFrame, n: int = 5, percent: int = 80, hubs: int = HU
     single = classes.select("cls", F.explode("prefix").alias("token"))
     frequent = single.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("token")
     posts = staged(single.join(frequent, "token", "left_semi").join(classes.select("cls", "size", "level"), "cls"), "postings")
-
-    # sets that share a token with a set of like size, by size bands: like sizes are at most one band apart
-    band = F.floor(F.log("size") / F.lit(float(-np.log(percent / 100)) * 1.0001 if percent < 100 else 1e-12)).cast("long")
-    posts_ = posts.select("cls", "token", band.alias("band"))
-    near = (posts_.groupBy("token", "band").agg(F.count(F.lit(1)).alias("m"))
-            .select("token", F.explode(F.array(*[F.col("band") + F.lit(d) for d in (-1, 0, 1)])).alias("band"), "m")
-            .groupBy("token", "band").agg(F.sum("m").alias("m")).where(F.col("m") > 1))
-    alike = staged(posts_.join(near, ["token", "band"], "left_semi").select("cls").distinct(), "alike")
-    wanted = classes.join(alike, "cls", "left_semi").select(F.col("rep").alias("doc_id"))
-    sets = staged(whole_sets(docs, wanted, n).join(alike, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
-
-    labels = staged(alike.select("cls", F.col("cls").alias("grp")), "labels")
-    done = None
-    for seed in range(1 << 20):
-        pairs = _hub_pairs(posts.join(labels, "cls"), seed, percent, hubs)
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "hub-pairs")
-        tried = pairs.count()
-        if not tried:
+    labels = posts.select("cls", F.col("cls").alias("grp")).distinct()
+    doc_of = classes.select("cls", F.col("rep").alias("doc_id"))
+    who = doc_of.select("cls", F.xxhash64("doc_id").alias("who"))
+
+    def sets_for(pairs: DataFrame) -> DataFrame:
+        cls = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+        return whole_sets(docs, doc_of.join(cls, "cls").select("doc_id"), n)
+
+    sets = members = tried_with_hub = None
+    for seed in range(ROUNDS):
+        pairs = staged(_hub_pairs(posts.join(labels, "cls"), seed, percent), "hub-pairs")
+        if pairs.isEmpty():
             break
-        links = staged(verified(pairs, sets, percent), "links")
-        done = pairs if done is None else done.union(pairs)
+        if sets is None:  # sets of later rounds are among these: a set without a hub now has none then
+            sets = staged(sets_for(pairs), "sets")
+        tried = staged(compared_with_hub(pairs, sets, who, percent), "compared")
+        links = tried.where("linked").select("a", "b")
+        if members is None:
+            members = staged(centred(tried, percent), "families")
+            links = links.union(members.where("linked").select(F.col("centre").alias("a"), F.col("cls").alias("b")))
+            tried_with_hub = tried
         labels = _relabelled(labels, links)
-        if links.count() * 4 < tried:  # hubs no longer pay
+        if tried.where("linked").count() * 4 < tried.count():  # hubs no longer pay
             break
-    rest = _rest_pairs(posts.join(labels, "cls"), percent)
-    if done is not None:
-        rest = rest.join(done, ["a", "b"], "left_anti")
-    labels = _relabelled(labels, verified(rest, sets, percent))
+    if members is not None:
+        # the family of a set is that of the hub it was compared with; a hub compared with no other has its own
+        own = tried_with_hub.where(F.col("added").isNotNull()).select(F.col("b").alias("cls"), F.col("a").alias("fam"))
+        own = own.union(members.select(F.col("fam").alias("cls"), "fam").distinct().join(own.select("cls"), "cls", "left_anti"))
+        labels = _relabelled(labels, _family_links(members.join(labels, "cls"), percent))
+        posts = posts.join(own, "cls", "left").withColumn("fam", F.coalesce("fam", "cls"))
+    else:
+        posts = posts.withColumn("fam", F.col("cls"))
+    rest = staged(_rest_pairs(posts.join(labels, "cls"), percent), "rest-pairs")
+    if not rest.isEmpty():
+        labels = _relabelled(labels, verified(rest, staged(sets_for(rest), "sets"), who, percent))
 
     grouped = classes.select("cls", "rep").join(labels, "cls", "left").select("cls", "rep", F.coalesce("grp", "cls").alias("grp"))
     smallest = grouped.groupBy("grp").agg(F.min("rep").alias("component_id"))
