@@ -90,3 +90,23 @@ def q_lock_stream(spark, sf):
     out = _stream_run(spark, ev, "incident_id string, source_service string, kind string, ts long",
                       lambda s: ST.incident_lock_stream(s, lock_s=QC.LOCK_S), "c01s")
     return out.select("incident_id", "source_service", "detection_time")
+
+
+@register("f04_recovery_stream", QC._sql(QC.rec_sql("anoms")))
+def q_recovery_stream(spark, sf):
+    """Samples, anomalies and one late tick per series as one keyed stream."""
+    a = QC._anoms(spark, sf)
+    m = A.metrics(spark, sf)
+    none = lambda t: F.lit(None).cast(t)
+    samples = m.select("source_service", "metric_name", F.lit("sample").alias("kind"), "ts", F.col("event_id").cast("long"),
+                       none("string").alias("incident_id"), F.col("metric_value").alias("value"))
+    found = a.select("source_service", F.col("trigger_metric").alias("metric_name"), F.lit("anomaly").alias("kind"),
+                     F.col("detection_time").alias("ts"), none("long").alias("event_id"), "incident_id",
+                     F.col("baseline_value").alias("value"))
+    ticks = (samples.groupBy("source_service", "metric_name").agg(F.max("ts").alias("ts")).select(
+        "source_service", "metric_name", F.lit("tick").alias("kind"), F.col("ts") + (QC.REC_MIN * 60_000 + 1),
+        none("long").alias("event_id"), none("string").alias("incident_id"), none("double").alias("value"))
+        .toDF("source_service", "metric_name", "kind", "ts", "event_id", "incident_id", "value"))
+    events = samples.unionByName(found).unionByName(ticks)
+    return _stream_run(spark, events, "source_service string, metric_name string, kind string, ts long, event_id long, "
+                       "incident_id string, value double", lambda s: ST.recovery_stream(s, limit_min=QC.REC_MIN), "f04s")

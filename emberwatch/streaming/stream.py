@@ -232,29 +232,34 @@ LOCK_SCHEMA = T.StructType([
 class LockProcessor(StatefulProcessor):
     """Streaming C-01: per service, the open incident and its lock end. An anomaly is admitted when no
     lock is held at its time; it locks the service for `lock_ms`; the open incident's resolution event
-    releases the lock early. Events of a batch are ordered by (ts, resolutions first, id)."""
+    releases the lock early, but not before the millisecond after its detection (as in the batch form). Events of a
+    batch are ordered by (ts, resolutions first, id)."""
 
     def __init__(self, lock_ms: int):
         self.lock_ms = lock_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.st = handle.getValueState("st", "open_id string, until long")
+        self.st = handle.getValueState("st", "open_id string, until long, opened long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         (service,) = key
         pdf = pd.concat(list(rows), ignore_index=True)
         pdf["__k"] = (pdf["kind"] == "anomaly").astype(int)
         pdf = pdf.sort_values(["ts", "__k", "incident_id"], kind="stable")
-        open_id, until = self.st.get() if self.st.exists() else (None, None)
-        out = []
+        open_id, until, opened = self.st.get() if self.st.exists() else (None, None, None)
+        out, at_once = [], set()
         for iid, kind, ts in zip(pdf["incident_id"].tolist(), pdf["kind"].tolist(), pdf["ts"].tolist()):
             if kind == "resolved":
                 if open_id is not None and iid == open_id and until is not None:
-                    until = max(min(until, ts), 0)
+                    until = max(min(until, ts), opened + 1)
+                else:
+                    at_once.add((iid, ts))
             elif until is None or ts >= until:
-                open_id, until = iid, ts + self.lock_ms
+                open_id, opened, until = iid, ts, ts + self.lock_ms
+                if (iid, ts) in at_once:  # resolved in the millisecond of its detection
+                    until = min(until, ts + 1)
                 out.append((iid, service, ts))
-        self.st.update((open_id, until))
+        self.st.update((open_id, until, opened))
         if out:
             yield pd.DataFrame(out, columns=LOCK_SCHEMA.fieldNames())
 
@@ -269,3 +274,64 @@ def incident_lock_stream(events: DataFrame, *, lock_s: float = K.INCIDENT_LOCK_S
     return src.groupBy("source_service").transformWithStateInPandas(
         statefulProcessor=LockProcessor(int(lock_s * 1000)), outputStructType=LOCK_SCHEMA,
         outputMode="Append", timeMode="None")
+
+
+RECOVERY_SCHEMA = T.StructType([
+    T.StructField("incident_id", T.StringType()),
+    T.StructField("source_service", T.StringType()),
+    T.StructField("trigger_metric", T.StringType()),
+    T.StructField("detection_time", T.LongType()),
+    T.StructField("resolved_at", T.LongType()),
+    T.StructField("recovered", T.BooleanType()),
+])
+
+
+class RecoveryProcessor(StatefulProcessor):
+    """Streaming F-04: per series, the last n values and the open incidents. A sample after detection resolves an
+    incident when the mean of the last n is within `tol` of its baseline; the first event later than its limit (a
+    sample, or a tick of the poller) resolves it by timeout, so an incident's state is gone after its limit."""
+
+    def __init__(self, n: int, tol: float, limit_ms: int):
+        self.n, self.tol, self.limit_ms = n, tol, limit_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.st = handle.getValueState("st", "values array<double>, ids array<string>, times array<long>, bases array<double>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        service, metric = key
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
+        values, ids, times, bases = (list(x) for x in self.st.get()) if self.st.exists() else ([], [], [], [])
+        open_ = list(zip(ids, times, bases))
+        out = []
+        for kind, ts, value, iid in zip(pdf["kind"].tolist(), pdf["ts"].tolist(), pdf["value"].tolist(), pdf["incident_id"].tolist()):
+            if kind == "sample":
+                values = [*values, value][-self.n:]
+            mean = sum(values) / len(values) if values else 0.0
+            still = []
+            for i, det, base in open_:
+                ref = mean if base != base or base == 0 else base  # a missing baseline is not a number here
+                if ts > det + self.limit_ms:
+                    out.append((i, service, metric, det, det + self.limit_ms, False))
+                elif kind == "sample" and ts > det and len(values) >= self.n and ref > 0 and abs(mean - ref) / ref < self.tol:
+                    out.append((i, service, metric, det, ts, True))
+                else:
+                    still.append((i, det, base))
+            open_ = still
+            if kind == "anomaly":
+                open_.append((iid, ts, float("nan") if value is None else value))
+        self.st.update((values, [i for i, _, _ in open_], [t for _, t, _ in open_], [b for _, _, b in open_]))
+        if out:
+            yield pd.DataFrame(out, columns=RECOVERY_SCHEMA.fieldNames())
+
+    def close(self) -> None:
+        pass
+
+
+def recovery_stream(events: DataFrame, *, n: int = 3, tol: float = 0.30, limit_min: float = 30) -> DataFrame:
+    """Streaming F-04 over (source_service, metric_name, kind in {sample, anomaly, tick}, ts, event_id, incident_id,
+    value: the sample's value or the anomaly's baseline)."""
+    use_rocksdb(events.sparkSession)
+    src = events.select("source_service", "metric_name", "kind", "ts", "event_id", "incident_id", "value")
+    return src.groupBy("source_service", "metric_name").transformWithStateInPandas(
+        statefulProcessor=RecoveryProcessor(n, tol, int(limit_min * 60_000)), outputStructType=RECOVERY_SCHEMA,
+        outputMode="Append", timeMode="None")
