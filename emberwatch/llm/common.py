@@ -14,8 +14,19 @@ from emberwatch.session import ensure_checkpoint_dir, ship_package
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+ARROW_BYTES = "4m"  # of one Arrow batch: texts are long, and a batch stands in the JVM and in the Python worker
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, ARROW_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
+    _small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +40,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once as Parquet under the cluster's shared checkpoint folder and read it back: cuts lineage,
     survives lost executors, and several readers share one computation."""
     spark = df.sparkSession
+    _small_batches(spark)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
