@@ -27,7 +27,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,7 +39,7 @@ CHUNKS = 16
 MOST = 4             # largest l tried
 PARTNERS = 0.05      # partners a token is thought to have at least: the table does not show rare ones
 SCAN, VERIFY = 1.0, 8.0   # estimated cost of a shared posting, and of a verified candidate (plus its size / 16)
-ROUNDS = 6           # of comparisons with hubs, at most; they only save candidates, so any number is right
+ROUNDS = 2           # of comparisons with hubs, at most; they only save candidates, so any number is right
 BATCH = 1 << 20      # bytes hashed at once
 
 _U = np.uint64
@@ -127,15 +126,16 @@ def _summed(parts: DataFrame) -> np.ndarray:
     of one chunk, then 64). The result has WIDTH numbers whatever the input."""
     kind = "chunk int, part int, counts binary"
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
+    def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(WIDTH // CHUNKS, np.uint64)
-        for c in rows["counts"]:
-            total += np.frombuffer(zlib.decompress(c), np.uint32)
+        for c in rows.column("counts"):
+            total += np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
         total = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
-        return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "part": [0], "counts": [zlib.compress(total.tobytes(), 1)]})
+        return pa.table({"chunk": rows.column("chunk").slice(0, 1), "part": pa.array([0], pa.int32()),
+                         "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    first = parts.groupBy("chunk", F.pmod("part", F.lit(64))).applyInPandas(lambda x: add(x), kind)
-    got = {r.chunk: r.counts for r in first.groupBy("chunk").applyInPandas(lambda x: add(x), kind).collect()}
+    first = parts.groupBy("chunk", F.pmod("part", F.lit(64))).applyInArrow(lambda x: add(x), kind)
+    got = {r.chunk: r.counts for r in first.groupBy("chunk").applyInArrow(lambda x: add(x), kind).collect()}
     empty = zlib.compress(np.zeros(WIDTH // CHUNKS, np.uint32).tobytes(), 1)
     return np.concatenate([np.frombuffer(zlib.decompress(got.get(c, empty)), np.uint32) for c in range(CHUNKS)])
 

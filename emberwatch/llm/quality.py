@@ -190,10 +190,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
             x = np.array([features(t) for t in batch.column(0).to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    got = texts.mapInArrow(rows, "x array<double>, y double").collect()
-    # sorted, as sums of doubles depend on the order
-    got.sort(key=lambda r: (r.y, r.x))
-    return Gam.fit(np.array([r.x for r in got]).reshape(-1, len(FEATURES)), np.array([r.y for r in got]))
+    got = texts.mapInArrow(rows, "x array<double>, y double").toArrow()  # at most max_train rows of numbers
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
+    y = got.column("y").to_numpy()
+    order = np.lexsort((*x.T[::-1], y))  # sums of doubles depend on the order
+    return Gam.fit(x[order], y[order])
 
 
 def scorer(model: Gam):
