@@ -7,6 +7,9 @@ numbers, names or units were exchanged still matches. Matches of one document an
 position less item position) make an alignment; its placeholders must be filled consistently: the same benchmark value
 always by the same document value. An item is found when an alignment covers enough of it and its slots agree.
 
+Windows of too few plain words, and items of fewer than LEAST tokens, say too little as templates: they are joined on
+their literal tokens (lower case), so a verbatim copy of any item that has a token is found.
+
 Native expressions only. Windows are hashed inside the row, and a bit table of fixed size over the benchmark's windows
 (collected: BITS bits) lets only possible matches out of the row; the exact join and the slot checks see those alone.
 """
@@ -19,8 +22,8 @@ from pyspark.sql import functions as F
 from emberwatch.llm.common import barrier, staged, table
 
 WINDOW = 8
-LEAST = 5            # items of fewer tokens cannot be told from chance and are not searched
-LITERALS = 5         # plain words a window of full length needs (in shorter windows all but two)
+LEAST = 5            # items of fewer tokens are searched word by word, not by their template
+LITERALS = 5         # plain words a template window of full length needs (in shorter windows all but two)
 COVERAGE = 0.5       # share of an item's tokens that an alignment covers
 CONSISTENT = 0.75    # share of its slot values that are filled the same everywhere
 BITS = 1 << 19
@@ -35,7 +38,9 @@ UNITS = ("%", "mm", "cm", "dm", "m", "km", "mg", "g", "kg", "t", "ml", "cl", "l"
          "w", "kw", "v", "a", "n", "j", "kj", "pa")
 
 _MARK = "\x01"       # put before the first word of a sentence
-_TOKEN = "\x01?[\\p{L}\\p{M}]+|[0-9]+(?:[.,][0-9]+)*|[%$€£]"
+#: Code points of scripts written without spaces (Thai, Lao, Burmese, Khmer, kana, Han); each letter is a token.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
+_TOKEN = f"\x01?[\\p{{L}}\\p{{M}}&&[^{_UNSPACED}]]+|[{_UNSPACED}&&[\\p{{L}}\\p{{M}}]]|[0-9]+(?:[.,][0-9]+)*|[%$€£]"
 _SENTENCE = "([.!?:;\n][ \t\r\n]*|^)(\\p{Lu})"
 
 
@@ -63,6 +68,15 @@ def template_codes(raw: Column) -> Column:
     return F.transform(raw, lambda x, i: F.xxhash64(_template_token(raw, x, i)))
 
 
+def _unmarked(raw: Column) -> Column:
+    return F.transform(raw, lambda x: F.translate(x, _MARK, ""))
+
+
+def literal_codes(raw: Column) -> Column:
+    """Hash of every token as it is written, but for its case; never that of a template token."""
+    return F.transform(raw, lambda x: F.xxhash64(F.translate(F.lower(x), _MARK, ""), F.lit(1)))
+
+
 def window_hashes(codes: Column, size: int) -> Column:
     """Hash of every window of `size` tokens. `codes` must be a plain column, as every window reads it `size` times."""
     return F.when(F.size(codes) >= size, F.transform(
@@ -77,25 +91,31 @@ def _codes(df: DataFrame, keys: list) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """item_id, n_tokens, size, ipos, h, b_raw, b_tok of every window of every item of at least LEAST tokens; an item
-    shorter than the window is one window of its own size."""
+    """item_id, n_tokens, size, ipos, literal, h, b_raw, b_tok of every window of every item; an item shorter than the
+    window is one window of its own size. `literal` windows are hashed by their words: those that hold too few plain
+    words for a template, and an only one whose first word is a unit if a number stands before it."""
     items = barrier(_codes(benchmark.where(F.col("text").isNotNull()), ["item_id"]), "tok", template(F.col("raw")))
-    items = items.where(F.size("tok") >= LEAST)
+    items = barrier(items, "words", literal_codes(F.col("raw")))
     # a window of a document that equals one of these has as many plain words, so only these are looked at
     plain = F.size(F.filter("b_tok", lambda t: ~F.startswith(t, F.lit("#"))))
-    enough = plain >= F.when(F.col("size") >= WINDOW, F.lit(LITERALS)).otherwise(F.col("size") - 2)
+    enough = (F.col("n_tokens") >= LEAST) & (
+        plain >= F.when(F.col("size") >= WINDOW, F.lit(LITERALS)).otherwise(F.col("size") - 2))
+    unit = (F.col("n_tokens") <= F.col("size")) & F.array_contains(F.array(*[F.lit(u) for u in UNITS]), F.get("b_tok", F.lit(0)))
     parts = []
-    for size in range(LEAST, window + 1):
+    for size in range(1, window + 1):
         fits = F.size("tok") == size if size < window else F.size("tok") >= size
-        parts.append(barrier(items.where(fits), "hs", window_hashes(F.col("codes"), size)).select(
-            "item_id", F.size("tok").alias("n_tokens"), F.lit(size).alias("size"), "raw", "tok",
-            F.posexplode("hs").alias("ipos", "h")))
+        for literal in (False, True):
+            part = barrier(items.where(fits), "hs", window_hashes(F.col("words" if literal else "codes"), size)).select(
+                "item_id", F.size("tok").alias("n_tokens"), F.lit(size).alias("size"), "raw", "tok",
+                F.posexplode("hs").alias("ipos", "h"))
+            parts.append(part.select(
+                "item_id", "n_tokens", "size", "ipos", F.lit(literal).alias("literal"), "h",
+                _unmarked(F.slice("raw", F.col("ipos") + 1, F.col("size"))).alias("b_raw"),
+                F.slice("tok", F.col("ipos") + 1, F.col("size")).alias("b_tok")).where(~enough | unit if literal else enough))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.select(
-        "item_id", "n_tokens", "size", "ipos", "h", F.slice("raw", F.col("ipos") + 1, F.col("size")).alias("b_raw"),
-        F.slice("tok", F.col("ipos") + 1, F.col("size")).alias("b_tok")).where(enough)
+    return out
 
 
 def _bit(h: Column, probe: int) -> Column:
@@ -119,10 +139,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     Returns one row per document text and item: doc_id, text_crc32 (of the text), item_id, n_windows (matched on the
     best alignment), covered and item_tokens (tokens), n_slots (distinct placeholder values of the item on it),
     n_consistent (filled by one value), n_changed (filled by another value than the item's). Null and empty texts hold
-    nothing; items of fewer than LEAST tokens are not searched; repeated rows are reported once; equal alignments go
+    nothing, nor do items without a token; repeated rows are reported once; equal alignments go
     to the smaller diagonal; other columns are ignored; an empty table gives no rows."""
     known = staged(benchmark_windows(benchmark, window), "benchmark-windows")
-    sizes = sorted(r[0] for r in known.select("size").distinct().collect())  # at most `window` numbers
+    kinds = sorted((r.size, r.literal) for r in known.select("size", "literal").distinct().collect())  # at most 2 x window
     bits = bit_table(known.select("h"))
     rows = _codes(docs.where(F.col("text").isNotNull()), ["doc_id", F.crc32("text").alias("text_crc32")])
 
@@ -131,11 +151,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
         return (one(0) == 1) & (one(1) == 1) & (one(2) == 1)
 
     found = None
-    for size in sizes or [window]:
-        part = barrier(rows, "all", window_hashes(F.col("codes"), size)).where(F.exists("all", maybe))
+    for size, literal in kinds or [(window, False)]:
+        part = barrier(rows, "words", literal_codes(F.col("raw"))) if literal else rows
+        part = barrier(part, "all", window_hashes(F.col("words" if literal else "codes"), size)).where(F.exists("all", maybe))
         part = barrier(part, "hs", F.filter(F.transform("all", lambda h, i: F.struct(i.alias("pos"), h.alias("h"))), lambda x: maybe(x["h"])))
         part = part.select("doc_id", "text_crc32", F.lit(size).alias("size"), "raw", F.explode("hs").alias("x"))
-        part = part.select("doc_id", "text_crc32", "size", "x.pos", "x.h", F.slice("raw", F.col("x.pos") + 1, size).alias("d_raw"))
+        part = part.select("doc_id", "text_crc32", "size", "x.pos", "x.h", _unmarked(F.slice("raw", F.col("x.pos") + 1, size)).alias("d_raw"))
         found = part if found is None else found.union(part)
     hits = staged(found.join(known, ["h", "size"]).withColumn("diag", F.col("pos") - F.col("ipos")).distinct(), "template-hits")
     key = ["doc_id", "text_crc32", "item_id", "diag"]

@@ -52,3 +52,13 @@ def test_tables_without_rows(spark, edge_docs, no_docs):
     assert contaminated(edge_docs, one.limit(0)).count() == 0
     assert clean_documents(edge_docs, one).count() == edge_docs.count()
     assert clean_documents(edge_docs, one.limit(0)).count() == edge_docs.count()
+
+
+def test_verbatim_items_of_few_plain_words(spark):
+    few = ["Compute 12 + 30 - 7 * 4 and round to 2 digits.", "What is 48 + 17 * 3?", "Who wrote Hamlet?", "法国的首都是哪座城市",
+           "1 2 3 4 5 6 7 8 9 10 11 12 and so on until you reach 20", "km or mile is longer here"]
+    texts = [f"{PROSE} {t} {PROSE}" for t in few] + ["有人问法国的首都是哪座城市吗", "It took 7 km or mile is longer here", PROSE, "Who wrote it?"]
+    got = found(contaminated(docs(spark, texts), items(spark, [*few, "?!", ""])))
+    assert set(got) == {(i, i) for i in range(len(few))} | {(6, 3), (7, 5)}
+    assert all(r.n_changed == 0 for r in got.values())
+    assert {r.covered for (_, i), r in got.items() if i == 4} == {19}      # the half of numbers counts too
