@@ -1,7 +1,8 @@
 """Licence recognition by sentence rules.
 
 A text is cut into sentences (wrapped lines are joined first), each sentence is normalised, and known licence
-sentences become identifiers; all others are unknown. The sequence of identifiers, with a break wherever more than
+sentences become identifiers, also where a line break, a comment sign, a colon or the like has cut one into several
+parts; all others are unknown. The sequence of identifiers, with a break wherever more than
 `max_gap` unknown sentences lie between two known ones, is matched against ordered licence rules: the longest rules
 come first, and what a rule has matched is used up. Identifiers that no rule uses are reported as unmatched.
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import table
+from emberwatch.llm.common import barrier, table
 
 MAX_GAP = 20
 
@@ -89,6 +90,10 @@ RULES = [
     ("Proprietary", ["RESERVED"]),
 ]
 
+#: Further forms, as the cutter yields them.
+FORMS = {"MPL2_FORM": ["this source code form is subject to the terms of the mozilla public license v 2.0"]}
+KNOWN = {name: forms + FORMS.get(name, []) for name, forms in SENTENCES.items()}
+
 _WRAP = r"\n[ \t]*([a-z0-9(])"           # a line that goes on in lower case belongs to the line before
 _STOP = r"([.!?;:])[ \t\r\n]+"
 _JUNK = r"[^a-z0-9.]+"
@@ -105,14 +110,32 @@ def sentences(text: Column) -> Column:
 
 
 def identify(found: Column, known: dict[str, list[str]]) -> Column:
-    """(position, identifier) of every known sentence."""
+    """(first position, last position, identifier) of every known sentence, in order. One that was cut is the longest run
+    of parts that make it up; parts of a run start no other. `found` must be a plain column."""
+    all_forms = [form for forms in known.values() for form in forms]
     texts = F.create_map(*[F.lit(x) for name, forms in known.items() for form in forms for x in (form, name)])
-    ids = F.transform(found, lambda s, i: F.struct(i.alias("pos"), F.coalesce(
-        F.element_at(texts, s), F.when(s.rlike(_COPYRIGHT), F.lit("COPYRIGHT"))).alias("id")))
-    return F.filter(ids, lambda x: x["id"].isNotNull())
+    forms = F.array(*[F.lit(form) for form in all_forms])
+    starts = "^(" + "|".join(sorted({form.split(" ")[0] for form in all_forms})) + ")( |$)"
+    most = max(len(form.split(" ")) for form in all_forms)  # every part has a word
+
+    def run(i, n):
+        return F.element_at(texts, F.array_join(F.slice(found, i + 1, n), " "))
+
+    def longest(s, i):
+        begins = s.rlike(starts) & F.exists(forms, lambda form: F.startswith(form, F.concat(s, F.lit(" "))))
+        lengths = F.filter(F.sequence(F.lit(1), F.least(F.lit(most), F.size(found) - i)), lambda n: run(i, n).isNotNull())
+        return F.coalesce(F.when(begins, F.array_max(lengths)), F.lit(1))
+
+    spans = F.transform(found, lambda s, i: F.struct(i.alias("pos"), longest(s, i).alias("n"), s.alias("s")))
+    ids = F.transform(spans, lambda x: F.struct(x["pos"].alias("pos"), (x["pos"] + x["n"] - 1).alias("end"), F.coalesce(
+        F.when(x["n"] > 1, run(x["pos"], x["n"])).otherwise(F.element_at(texts, x["s"])),
+        F.when(x["s"].rlike(_COPYRIGHT), F.lit("COPYRIGHT"))).alias("id")))
+    named = F.filter(ids, lambda x: x["id"].isNotNull())
+    return F.filter(named, lambda x, i: ~F.exists(F.slice(named, F.greatest(F.lit(1), i + 1 - most), F.least(i, F.lit(most))),
+                                                  lambda y: y["end"] >= x["pos"]))
 
 
-def scan_licenses(docs: DataFrame, known: dict[str, list[str]] = SENTENCES, rules=RULES, max_gap: int = MAX_GAP) -> DataFrame:
+def scan_licenses(docs: DataFrame, known: dict[str, list[str]] = KNOWN, rules=RULES, max_gap: int = MAX_GAP) -> DataFrame:
     """Documents that hold at least one known licence sentence.
 
     Returns doc_id, licenses (by rule order, each once), n_matches (rule matches), sentence_ids (in text order) and
@@ -121,7 +144,8 @@ def scan_licenses(docs: DataFrame, known: dict[str, list[str]] = SENTENCES, rule
     ordered = sorted(rules, key=lambda r: -len(r[1]))
     table_ = F.array(*[F.struct(F.lit(name).alias("license"), F.lit("".join(f"<{i}>" for i in ids)).alias("pattern"))
                        for name, ids in ordered])
-    rows = docs.select("doc_id", identify(sentences(F.col("text")), known).alias("ids")).where(F.size("ids") > 0)
+    rows = barrier(docs.select("doc_id", "text"), "found", sentences(F.col("text")))
+    rows = barrier(rows.select("doc_id", "found"), "ids", identify(F.col("found"), known)).drop("found").where(F.size("ids") > 0)
     text = F.lit("")
     # copyright lines are evidence but part of no rule; they stay out of the matched sequence
     sequence = F.aggregate(
@@ -129,7 +153,7 @@ def scan_licenses(docs: DataFrame, known: dict[str, list[str]] = SENTENCES, rule
         F.struct(text.alias("seq"), F.lit(-1).alias("last")),
         lambda acc, x: F.struct(
             F.concat(acc["seq"], F.when((acc["last"] >= 0) & (x["pos"] - acc["last"] - 1 > max_gap), F.lit("|")).otherwise(F.lit("")),
-                     F.lit("<"), x["id"], F.lit(">")).alias("seq"), x["pos"].alias("last")),
+                     F.lit("<"), x["id"], F.lit(">")).alias("seq"), x["end"].alias("last")),
         lambda acc: acc["seq"])
     start = F.struct(F.col("seq").alias("rest"), F.array().cast("array<string>").alias("found"), F.lit(0).alias("n"))
 
