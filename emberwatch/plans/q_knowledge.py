@@ -271,13 +271,13 @@ def _searched(rows):
 
 @register("k11_search", check=_searched)
 def q_seed_search(spark, sf):
-    """Seed, embed, store, search: the newest twenty open incidents ask all five collections, each with its own text."""
+    """Seed, embed, store, search: all open incidents ask all five collections, each with its own text."""
     from emberwatch.operators import retrieve as R
 
     store, model = KN.seed_store(spark, sf)
-    newest = (A.incidents(spark, sf).where(F.col("status") == "DETECTING").orderBy(F.desc("detection_time"), "id").limit(20)
-              .select(F.col("id").alias("query_id"), "anomaly_type", "affected_services", "description",
-                      F.floor(F.col("detection_time") / 1000).cast("long").alias("query_epoch")))
-    asked = R.embed(R.request_texts(newest).withColumnRenamed("query_text", "text"), model, out="query_vec").drop("text")
+    still_open = (A.incidents(spark, sf).where(F.col("status") == "DETECTING")
+                  .select(F.col("id").alias("query_id"), "anomaly_type", "affected_services", "description",
+                          F.floor(F.col("detection_time") / 1000).cast("long").alias("query_epoch")))
+    asked = R.embed(R.request_texts(still_open).withColumnRenamed("query_text", "text"), model, out="query_vec").drop("text")
     hits = R.gather(asked, store, deploy_window_s=48 * 3600)
     return hits.select("query_id", "collection", "chunk_id", "doc_id", "rank")
