@@ -291,8 +291,8 @@ def _unit_vectors(rows):
 @register("r01_embed", check=_unit_vectors)
 def q_embed(spark, sf):
     from emberwatch.operators.knowledge import runbook_chunks
-    chunks = runbook_chunks(A.markdown_docs(spark, sf)).select("point_id", F.col("content"))
-    model = R.embed_fit(chunks)
+    chunks = runbook_chunks(A.markdown_docs(spark, sf)).select("point_id", "chunk")  # whole; `content` is the cut payload
+    model = R.embed_fit(chunks, text="chunk")
     e = R.embed(chunks, model)
     return e.select("point_id", F.size("embedding").cast("long").alias("dims"),
                     F.round(F.sqrt(R.dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"))

@@ -2,12 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from emberwatch.plans import q_knowledge
+from emberwatch.plans import q_knowledge, q_retrieve
 from emberwatch.sources import adapters as A
 
 SF = "/root/testdata/sf0.001"
 
 
+def test_r01_embeds_words_behind_the_payload(spark, monkeypatch):
+    docs = [("a", "same " * 200 + "alpha"), ("b", "same " * 200 + "beta")]      # equal in their first 800 characters
+    monkeypatch.setattr(A, "markdown_docs", lambda *_: spark.createDataFrame(docs, "stem string, text string"))
+    assert [r.norm for r in q_retrieve.q_embed(spark, SF).collect()] == [1.0, 1.0]
+
+
 def test_k11_search_answers_all_open_incidents(spark):
     open_ = {r.id for r in A.incidents(spark, SF).where(F.col("status") == "DETECTING").select("id").collect()}
     asked = {r.query_id for r in q_knowledge.q_seed_search(spark, SF).select("query_id").distinct().collect()}
