@@ -164,15 +164,16 @@ def py_list_repr(arr: Column) -> Column:
 
 
 def deployment_text(dep: DataFrame, *, chars: int = 800) -> DataFrame:
-    """K-08 (deployments): '{service} {version} {change_type} {description} risks:{known_risks}', capped."""
+    """K-08 (deployments): '{service} {version} {change_type} {description} risks:{known_risks}': `full_text`, and capped as
+    `content`."""
     txt = F.concat_ws(" ", "service_name", "version", "change_type", "description",
                       F.concat(F.lit("risks:"), py_list_repr(F.col("known_risks"))))
-    return dep.withColumn("content", F.substring(txt, 1, chars))
+    return dep.withColumn("full_text", txt).withColumn("content", F.substring("full_text", 1, chars))
 
 
 def architecture_text(reg: DataFrame, *, chars: int = 800) -> DataFrame:
     """K-08 (architecture) from registry rows; `description` and `known_failure_modes` are used where the registry has
-    them."""
+    them. `full_text` is whole, `content` capped."""
     col = lambda c, d: F.coalesce(F.col(c), d) if c in reg.columns else d
     none = F.array().cast("array<string>")
     txt = F.concat(
@@ -181,17 +182,17 @@ def architecture_text(reg: DataFrame, *, chars: int = 800) -> DataFrame:
         F.lit(" failure_modes:"), py_list_repr(col("known_failure_modes", none)), F.lit(" sla_p99:"),
         F.col("sla_p99_latency_ms").cast("string"),
         F.lit("ms error_rate_sla:"), F.col("sla_error_rate_pct").cast("string"), F.lit("%"))
-    return reg.withColumn("content", F.substring(txt, 1, chars))
+    return reg.withColumn("full_text", txt).withColumn("content", F.substring("full_text", 1, chars))
 
 
 def postmortem_text(pm: DataFrame, *, chars: int = 800) -> DataFrame:
-    """K-08 (postmortems): '{incident} {service} {category} {contributing factors} {preventative actions}', capped. `pm`
-    has incident_id, service, root_cause_category, full_markdown."""
+    """K-08 (postmortems): '{incident} {service} {category} {contributing factors} {preventative actions}': `full_text`, and
+    capped as `content`. `pm` has incident_id, service, root_cause_category, full_markdown."""
     sections = named_sections(pm.select("incident_id", "full_markdown"), key="incident_id", body="full_markdown")
     s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     txt = F.concat(s("incident_id"), F.lit(" "), s("service"), F.lit(" "), s("root_cause_category"), F.lit(" "),
                    s("contributing_factors"), F.lit(" "), s("preventative_actions"))
-    return pm.join(sections, "incident_id").withColumn("content", F.substring(txt, 1, chars))
+    return pm.join(sections, "incident_id").withColumn("full_text", txt).withColumn("content", F.substring("full_text", 1, chars))
 
 
 def upsert_chunks(store: DataFrame, chunks: DataFrame, *, doc: str = "stem") -> DataFrame:
@@ -227,11 +228,11 @@ def seed_points(spark, sf_dir: str) -> DataFrame:
     pmt = postmortem_text(pm.join(about, "incident_id").withColumn("root_cause_category", F.col("root_cause")))
     none = lambda t: F.lit(None).cast(t)
 
-    def points(df, name, doc, service, kind=none("string"), resolved=none("boolean"), epoch=none("long"), text=None):
+    def points(df, name, doc, service, kind=none("string"), resolved=none("boolean"), epoch=none("long"), *, text):
         return df.select(F.lit(name).alias("collection"), F.col("point_id").alias("chunk_id"), doc.cast("string").alias("doc_id"),
                          "doc_hash", service.alias("service_name"), kind.alias("anomaly_type"), F.lit("production").alias("environment"),
                          resolved.alias("resolved"), epoch.cast("long").alias("epoch"), "content",
-                         (F.col("content") if text is None else text).alias("text"))
+                         text.alias("text"))
 
     parts = [
         points(runbook_chunks(A.markdown_docs(spark, sf_dir)), "runbooks", F.col("stem"), F.element_at("services", 1),
@@ -239,11 +240,11 @@ def seed_points(spark, sf_dir: str) -> DataFrame:
         points(incident_chunks(src), "incidents", F.col("incident_id"), F.col("service_name"), F.col("anomaly_type"),
                F.col("resolved"), F.floor(F.col("detection_time") / 1000), text=F.col("text")),
         points(with_ids(architecture_text(A.registry(spark)), F.col("service_name")), "architecture", F.col("service_name"),
-               F.col("service_name")),
+               F.col("service_name"), text=F.col("full_text")),
         points(with_ids(deployment_text(A.deployments(spark, sf_dir)), F.col("id").cast("string")), "deployments", F.col("id"),
-               F.col("service_name"), epoch=F.floor(F.col("deployed_at") / 1000)),
+               F.col("service_name"), epoch=F.floor(F.col("deployed_at") / 1000), text=F.col("full_text")),
         points(with_ids(pmt, F.col("incident_id").cast("string")), "postmortems", F.col("incident_id"), F.col("service"),
-               F.col("anomaly_type")),
+               F.col("anomaly_type"), text=F.col("full_text")),
     ]
     out = parts[0]
     for part in parts[1:]:
