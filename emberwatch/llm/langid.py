@@ -24,8 +24,6 @@ from emberwatch.llm.common import runs, slices, table
 BUCKETS = 1 << 14
 SMOOTH = 0.5
 PENALTY = 3.0        # log-likelihood units per extra language and per log(trigram count)
-MAX_SET = 3
-CANDIDATES = 8       # languages that enter a document's mixture, by their likelihood alone
 STEPS = 15
 ORDER_STEPS = 8      # of the first run, which only orders the languages
 CELLS = 4_000_000    # trigrams x languages held at once
@@ -102,7 +100,7 @@ def predict(texts: list[str | None], langs: list[str], logp: np.ndarray) -> list
     out = [(UNKNOWN, 0.0, [], [])] * len(texts)
     found = [i for i, t in enumerate(texts) if t and langs and _LETTER.search(t)]
     sizes = [min(len(texts[i]), BUCKETS) for i in found]  # no text has more distinct trigrams
-    for a, b in runs(sizes, max(20_000, CELLS // max(1, len(langs)))):
+    for a, b in runs(sizes, max(1, CELLS // max(1, len(langs)))):
         ids = found[a:b]
         sets = [grams(texts[i]) for i in ids]
         lens = np.array([len(g) for g, _ in sets])
@@ -111,39 +109,45 @@ def predict(texts: list[str | None], langs: list[str], logp: np.ndarray) -> list
         g = np.concatenate([g for g, _ in sets])
         c = np.concatenate([n for _, n in sets]).astype(float)
         alone = np.add.reduceat(c[:, None] * logp[g], starts, axis=0)
-        k = min(CANDIDATES, len(langs))
-        cand = np.argsort(-alone, axis=1, kind="stable")[:, :k]
+        k = len(langs)
+        cand = np.argsort(-alone, axis=1, kind="stable")
         alone = np.take_along_axis(alone, cand, axis=1)
         lp = np.take_along_axis(logp[g], cand[doc], axis=1)
         p = np.exp(lp - lp.max(1, keepdims=True))
         shift = np.add.reduceat(c * lp.max(1), starts)
         unit = PENALTY * np.log(np.maximum(np.add.reduceat(c, starts), 2))
         # every language alone, then sets that grow in the order of the estimated proportions while that pays
-        values, shares = [alone[:, j] for j in range(k)], [np.eye(k)[[j] * len(ids)] for j in range(k)]
+        values, shares = [], []
         if k > 1:
             order = np.argsort(-_mixture(p, c, starts, doc, ORDER_STEPS)[0], axis=1, kind="stable")
             growing, last = np.arange(len(ids)), alone[:, 0]
-            for size in range(2, min(MAX_SET, k) + 1):
+            for size in range(2, k + 1):
                 rows = np.isin(doc, growing)
                 sub = np.repeat(np.arange(len(growing)), lens[growing])
                 first = np.concatenate([[0], np.cumsum(lens[growing])[:-1]])
                 members = order[growing, :size]
                 pi, ll = _mixture(np.take_along_axis(p[rows], members[sub], axis=1), c[rows], first, sub, STEPS)
-                value, share = np.full(len(ids), -np.inf), np.zeros((len(ids), k))
+                value = np.full(len(ids), -np.inf)
                 value[growing] = ll + shift[growing] - unit[growing] * (size - 1)
-                share[growing[:, None], members] = pi
                 values.append(value)
-                shares.append(share)
+                shares.append((growing, members, pi))
                 growing = growing[value[growing] > last[growing]]
                 last = value
                 if not len(growing):
                     break
-        values, shares = np.stack(values, 1), np.stack(shares, 1)
+        values = np.concatenate([alone, *[v[:, None] for v in values]], axis=1)
         best = values.argmax(1)
         weight = np.exp(values - values.max(1, keepdims=True))
-        mean = np.einsum("dm,dml->dl", weight / weight.sum(1, keepdims=True), shares)
+        weight /= weight.sum(1, keepdims=True)
+        mean, chosen_share = weight[:, :k].copy(), np.zeros((len(ids), k))
+        alone_best = np.flatnonzero(best < k)
+        chosen_share[alone_best, best[alone_best]] = 1
+        for m, (at, members, pi) in enumerate(shares, k):  # only the documents whose set has grown so far
+            mean[at[:, None], members] += weight[at, m][:, None] * pi
+            mine = best[at] == m
+            chosen_share[at[mine][:, None], members[mine]] = pi[mine]
         for d, i in enumerate(ids):
-            share = shares[d, best[d]]
+            share = chosen_share[d]
             chosen = [j for j in np.argsort(-share, kind="stable") if share[j] > 0]
             out[i] = (langs[cand[d, chosen[0]]], float(min(1.0, mean[d, chosen[0]])),
                       [langs[cand[d, j]] for j in chosen], [float(share[j]) for j in chosen])

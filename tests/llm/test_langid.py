@@ -58,3 +58,17 @@ def test_edges(spark, edge_docs, no_docs):
     assert identify_languages(no_docs, model).count() == 0
     kept = keep_identified(edge_docs, model)
     assert kept.columns == edge_docs.columns and kept.count() == edge_docs.count() - 4
+
+
+def test_mixture_of_any_number_of_languages():
+    rng = np.random.default_rng(1)
+    words = {f"l{j:02}": ["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(60)] for j in range(12)}
+    logp = []
+    for v in words.values():
+        n = np.full(langid.BUCKETS, langid.SMOOTH)
+        at, c = grams(" ".join(v * 50))
+        n[at] += c
+        logp.append(np.log(n / n.sum()))
+    for parts in (["l00", "l03", "l07", "l11"], sorted(words)[:10]):
+        (lang, score, chosen, shares), = predict([" ".join(" ".join(words[p] * 4) for p in parts)], list(words), np.stack(logp, 1))
+        assert set(chosen) == set(parts) and abs(score - 1 / len(parts)) < 0.02 and max(shares) - min(shares) < 0.02
