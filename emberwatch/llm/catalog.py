@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from emberwatch.llm import ann, decontam, edit_counts, langid, licenses, ngramjoin, packing, quality, sharding, urlfilter
+from emberwatch.llm import ann, decontam, edit_counts, hardneg, langid, licenses, ngramjoin, packing, quality, sharding, urlfilter
 
 QUERIES = {
     "op1_ngram_join": ngramjoin.op1,
     "op10_neighbours": ann.op10,
+    "op11_hard_negatives": hardneg.op11,
     "op2_decontamination": decontam.op2,
     "op3_sharding": sharding.op3,
     "op4_quality": quality.op4,
@@ -19,6 +20,7 @@ QUERIES = {
 
 ORACLES = {
     "op10_neighbours": ann.ORACLE,
+    "op11_hard_negatives": hardneg.ORACLE,
     "op2_decontamination": decontam.ORACLE,
     "op3_sharding": sharding.ORACLE,
     "op6_license_scan": licenses.ORACLE,
