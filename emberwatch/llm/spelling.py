@@ -20,7 +20,6 @@ import zlib
 from collections import Counter
 from collections.abc import Callable
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +31,9 @@ HOT = 4_096         # words below a node from which on its edges are copied ...
 SHARE = 1_000       # ... or one of so many parts of all words, if that is more
 HOT_DEPTH = 64      # so the table of hot nodes has at most SHARE * HOT_DEPTH rows
 
-_RUN = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")  # a-z and U+00C0 to U+00FF in UTF-8, after lower-casing A-Z
-_MASK = (1 << 64) - 1
+_RUN = re.compile("[a-z\u00c0-\u00ff]+")  # once A-Z are lower-cased
 
-Change = Callable[[bytes, bytes], bytes]
+Change = Callable[[str, str], str]
 
 
 def word_counts(docs: DataFrame, change: Change | None = None) -> DataFrame:
@@ -48,8 +46,9 @@ def word_counts(docs: DataFrame, change: Change | None = None) -> DataFrame:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
-                found = Counter(_RUN.findall(text.encode("utf-8", "replace").lower()))
-                name = b"" if doc is None else str(doc).encode()
+                low = text.encode("utf-8", "replace").lower().decode()  # bytes.lower changes A-Z only
+                found = Counter(_RUN.findall(low))
+                name = "" if doc is None else str(doc)
                 for run, n in found.items():
                     held[run if change is None else change(name, run)] += n
                 if len(held) > FLUSH:
@@ -62,37 +61,22 @@ def word_counts(docs: DataFrame, change: Change | None = None) -> DataFrame:
 
 
 def _counted(held: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
 
-def _step(node: int, letter: str) -> int:
-    h = ((node ^ ord(letter)) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & _MASK
-    return ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & _MASK
-
-
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
-def _paths(batches, skip: int):
+def _paths(words: DataFrame, skip: int) -> DataFrame:
     """Every word's way through both tries, from depth `skip` on: one row for each node, with the letter that follows
-    ('' at the word's end), the child it leads to, and the letter after that."""
-    for b in batches:
-        out: list[list] = [[] for _ in range(9)]
-        for plain in b["word"]:
-            for back in (False, True):
-                word = plain[::-1] if back else plain
-                node = _step(1 + back, "^")
-                start = len(word) - len(word) // 2 if back else len(word) // 2
-                for depth in range(len(word) + 1):
-                    letter = word[depth:depth + 1]
-                    child = _step(node, letter) if letter else 0
-                    if depth >= skip:
-                        for column, v in zip(out, (depth, _signed(node), letter, _signed(child), word[depth + 1:depth + 2], word, len(word),
-                                                   back, depth >= start), strict=True):
-                            column.append(v)
-                    node = child
-        yield pd.DataFrame(dict(zip(("depth", "node", "a", "child", "b", "word", "size", "back", "open"), out, strict=True)))
+    ('' at the word's end), the child it leads to, the letter after that, and whether the word may spend its edit here."""
+    half = F.expr("length(word) div 2")
+    turned = words.select("word", F.explode(F.array(F.lit(False), F.lit(True))).alias("back")).select(
+        F.when(F.col("back"), F.reverse("word")).otherwise(F.col("word")).alias("word"), "back", F.length("word").alias("size"),
+        F.when(F.col("back"), F.length("word") - half).otherwise(half).alias("start"))
+    nodes = turned.select("*", F.explode(F.sequence(F.lit(skip), F.col("size"))).alias("depth"))
+    a = F.expr("substring(word, depth + 1, 1)")
+    return nodes.select(
+        "depth", F.expr("xxhash64(back, substring(word, 1, depth))").alias("node"), a.alias("a"),
+        F.when(a != "", F.expr("xxhash64(back, substring(word, 1, depth + 1))")).alias("child"),
+        F.expr("substring(word, depth + 2, 1)").alias("b"), "word", "size", "back", (F.col("depth") >= F.col("start")).alias("open"))
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -104,9 +88,7 @@ def near_words(words: DataFrame) -> DataFrame:
     none = spark.createDataFrame([], "word string, near string")
     if not count:
         return none
-    path = staged(words.mapInPandas(
-        lambda b: _paths(b, shortest // 2), "depth int, node long, a string, child long, b string, word string, size int, back boolean, open boolean"),
-        "spelling-paths")
+    path = staged(_paths(words, shortest // 2), "spelling-paths")
     edges = path.groupBy("depth", "node", "a", "child").agg(F.count(F.lit(1)).alias("n"), F.max("word").alias("any"))
     edges = staged(edges, "spelling-edges")
     limit = max(HOT, count // SHARE)
@@ -198,14 +180,13 @@ def variant_groups(words: DataFrame, ratio: int = 5) -> DataFrame:
     return out.join(up, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
-def _misspelt(doc: bytes, run: bytes) -> bytes:
+def _misspelt(doc: str, run: str) -> str:
     """The query's rule: with h the crc32 of `<doc_id>:<run>`, a run whose h 199 divides loses code point h % length."""
-    h = zlib.crc32(doc + b":" + run)
+    h = zlib.crc32(f"{doc}:{run}".encode())
     if h % 199:
         return run
-    text = run.decode()
-    at = h % len(text)
-    return (text[:at] + text[at + 1:]).encode()
+    at = h % len(run)
+    return run[:at] + run[at + 1:]
 
 
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
