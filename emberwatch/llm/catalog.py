@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from emberwatch.llm import ann, decontam, edit_counts, hardneg, langid, licenses, ngramjoin, packing, quality, sharding, spelling, urlfilter
+from emberwatch.llm import ann, decontam, edit_counts, hardneg, langid, licenses, minmax, ngramjoin, packing, quality, sharding, spelling, urlfilter
 
 QUERIES = {
     "op1_ngram_join": ngramjoin.op1,
     "op10_neighbours": ann.op10,
     "op11_hard_negatives": hardneg.op11,
     "op12_spelling_variants": spelling.op12,
+    "op13_minmax_dedup": minmax.op13,
     "op2_decontamination": decontam.op2,
     "op3_sharding": sharding.op3,
     "op4_quality": quality.op4,

@@ -39,7 +39,7 @@ CHUNKS = 16
 MOST = 4             # largest l tried
 PARTNERS = 0.05      # partners a token is thought to have at least: the table does not show rare ones
 SCAN, VERIFY = 1.0, 8.0   # estimated cost of a shared posting, and of a verified candidate (plus its size / 16)
-ROUNDS = 2           # of comparisons with hubs, at most; they only save candidates, so any number is right
+MERGES = 4           # rounds of merging families, at most; they only save candidates, so any number is right
 BATCH = 1 << 20      # bytes hashed at once
 
 _U = np.uint64
@@ -265,7 +265,7 @@ def verified(pairs: DataFrame, sets: DataFrame, who: DataFrame, percent: int) ->
 
 
 def compared_with_hub(pairs: DataFrame, sets: DataFrame, who: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a: hub, b: member) with: linked, size, hub_size and - for members that share at least half - what differs
+    """Pairs (a: hub, b: member) with: linked, size, hub_size and - for members that share at least a third - what differs
     from the hub: added and missing tokens (else null)."""
     def check(batches):
         for batch in batches:
@@ -273,7 +273,7 @@ def compared_with_hub(pairs: DataFrame, sets: DataFrame, who: DataFrame, percent
             for h, x in _sets_of(batch):
                 added, gone = np.setdiff1d(x, h, assume_unique=True), np.setdiff1d(h, x, assume_unique=True)
                 common = len(h) - len(gone)
-                near = 2 * common >= max(len(h), len(x))
+                near = 3 * common >= max(len(h), len(x))
                 row = (100 * common >= percent * (len(h) + len(added)), len(x), len(h),
                        _signed(added) if near else None, _signed(gone) if near else None)
                 for col, v in zip(out, row, strict=True):
@@ -301,15 +301,14 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
                   .select("cls", F.coalesce("root", "grp").alias("grp")), "labels")
 
 
-def _hub_pairs(posts: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Every set with the hub of another group that most of its tokens name, if they share enough prefix tokens and the
-    sizes allow a link. A token's hub is its set of smallest hash; so where a set's best hub is in a bucket, it is the
-    hub there or a smaller one is."""
-    hub = F.min(F.struct(F.xxhash64("cls", F.lit(seed)).alias("h"), F.col("cls").alias("a"), F.col("size").alias("na"),
-                         F.col("level").alias("la"), F.col("grp").alias("ga")))
-    hubs = (posts.groupBy("token").agg(hub.alias("hub"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+def _hub_pairs(posts: DataFrame, percent: int) -> DataFrame:
+    """Every set with the hub that most of its tokens name, if they share enough prefix tokens and the sizes allow a link
+    (`percent` 0: whatever the sizes). A token's hub is its set of smallest hash; so where a set's best hub is in a
+    bucket, it is the hub there or a smaller one is, and following hubs ends."""
+    hub = F.min(F.struct(F.xxhash64("cls").alias("h"), F.col("cls").alias("a"), F.col("size").alias("na"), F.col("level").alias("la")))
+    hubs = (posts.groupBy("token").agg(hub.alias("hub"), F.max("cls").alias("hi"), F.min("cls").alias("lo"))
             .where(F.col("lo") != F.col("hi")).select("token", "hub"))
-    named = (posts.join(hubs, "token").where((F.col("hub.ga") != F.col("grp")))
+    named = (posts.join(hubs, "token").where((F.col("hub.a") != F.col("cls")))
              .select("cls", "size", "level", "hub").where(_alike("hub.na", "size", percent))
              .groupBy("cls", "hub", "level").agg(F.count(F.lit(1)).alias("n"))
              .where(F.col("n") >= F.least("level", "hub.la")))
@@ -317,6 +316,44 @@ def _hub_pairs(posts: DataFrame, seed: int, percent: int) -> DataFrame:
     return best.select(F.col("best.a").alias("a"), F.col("cls").alias("b"))
 
 
+def _followed(steps: DataFrame) -> DataFrame:
+    """(cls, root) of steps (cls, root) that lead from each cls to another: the ends, by doubling the steps."""
+    steps = staged(steps.select("cls", "root"), "steps")
+    while True:
+        ends = steps.select(F.col("cls").alias("root"), F.col("root").alias("far"))
+        steps = staged(steps.join(ends, "root", "left").select("cls", F.coalesce("far", "root").alias("root"),
+                                                              F.col("far").isNotNull().alias("moved")), "steps")
+        if steps.where("moved").isEmpty():
+            return steps.select("cls", "root")
+        steps = steps.select("cls", "root")
+
+
+def families(posts: DataFrame, tried: DataFrame, compare) -> DataFrame:
+    """The differences of every member from the hub of its family, as compared_with_hub gives them. `tried`: every set
+    with its own hub. Sets whose hubs are near each other belong to one family: hubs are followed to their ends, the
+    ends that meet in a bucket are compared, and near ones followed on, a few rounds; then each set is compared with
+    the hub it ended at. `compare` compares pairs (a, b) of sets among those in `tried`."""
+    near = lambda t: t.where(F.col("added").isNotNull()).select(F.col("b").alias("cls"), F.col("a").alias("root"))
+    active = tried.select(F.col("a").alias("cls")).union(tried.select(F.col("b").alias("cls"))).distinct()
+    ends = _followed(near(tried))
+    fam = staged(active.join(ends, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root")), "ends")
+    seen = tried.select("a", "b")
+    for _ in range(MERGES):
+        here = posts.select("token", "cls").join(fam, "cls").select("token", F.col("root").alias("cls"), F.lit(1).alias("size"), F.lit(1).alias("level")).distinct()
+        pairs = staged(_hub_pairs(here, 0).join(seen, ["a", "b"], "left_anti"), "end-pairs")
+        if pairs.isEmpty():
+            break
+        steps = staged(compare(pairs), "ends-compared")
+        seen = seen.union(pairs)
+        if steps.where(F.col("added").isNotNull()).isEmpty():
+            break
+        further = _followed(near(steps)).select(F.col("cls").alias("root"), F.col("root").alias("far"))
+        fam = staged(fam.join(further, "root", "left").select("cls", F.coalesce("far", "root").alias("root")), "ends")
+    own = fam.where(F.col("cls") != F.col("root")).select(F.col("root").alias("a"), F.col("cls").alias("b"))
+    direct = tried.join(own, ["a", "b"], "left_semi")
+    return staged(direct.unionByName(compare(own.join(tried.select("a", "b"), ["a", "b"], "left_anti"))), "families")
+
+
 def _rest_pairs(posts: DataFrame, percent: int) -> DataFrame:
     """All candidates of different groups and families by the multi-match rule. In a bucket, sets outside its largest
     family meet all others; two sets of that family are not compared here."""
@@ -401,21 +438,11 @@ def _family_links(members: DataFrame, percent: int) -> DataFrame:
     return both.where(common * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent).select("a", "b")
 
 
-def linked_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Link documents whose sets of distinct word n-grams have 100 * intersection >= percent * union.
-
-    Returns doc_id, n_shingles (size of the set) and component_id: the smallest doc_id reachable by links, itself
-    included. ASCII letters are lower-cased; words are runs of anything but blanks and control spaces; with fewer
-    words than n the whole sequence is one n-gram. Documents without words, or null texts, have 0 n-grams and are
-    linked with nothing. Null doc_ids are never the smallest (a group of nothing else has a null component_id).
-    Repeated rows are returned each; other columns are ignored; an empty table gives no rows."""
-    every = staged(prefixes(docs, n, percent), "prefixes")
-    reps = every.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    classes = every.where(F.col("cls").isNotNull()).select("cls", F.col("n_shingles").alias("size"), "level", "prefix").dropDuplicates(["cls"])
-    classes = staged(classes.join(reps, "cls"), "classes")
-    single = classes.select("cls", F.explode("prefix").alias("token"))
-    frequent = single.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("token")
-    posts = staged(single.join(frequent, "token", "left_semi").join(classes.select("cls", "size", "level"), "cls"), "postings")
+def grouped(docs: DataFrame, every: DataFrame, classes: DataFrame, posts: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of the documents `every` (doc_id, n_shingles, cls). Two classes of equal sets
+    are candidates if they share at least the smaller of their levels of posted tokens; links are confirmed on the whole
+    sets. `classes`: cls, size, level, rep (smallest doc_id); `posts`: token, cls, size, level of the tokens that several
+    classes have."""
     labels = posts.select("cls", F.col("cls").alias("grp")).distinct()
     doc_of = classes.select("cls", F.col("rep").alias("doc_id"))
     who = doc_of.select("cls", F.xxhash64("doc_id").alias("who"))
@@ -424,31 +451,20 @@ def linked_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         cls = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
         return whole_sets(docs, doc_of.join(cls, "cls").select("doc_id"), n)
 
-    sets = members = tried_with_hub = None
-    for seed in range(ROUNDS):
-        pairs = staged(_hub_pairs(posts.join(labels, "cls"), seed, percent), "hub-pairs")
-        if pairs.isEmpty():
-            break
-        if sets is None:  # sets of later rounds are among these: a set without a hub now has none then
-            sets = staged(sets_for(pairs), "sets")
+    pairs = staged(_hub_pairs(posts, percent), "hub-pairs")
+    fam = posts.select("cls").distinct().withColumn("fam", F.col("cls"))
+    if not pairs.isEmpty():
+        sets = staged(sets_for(pairs), "sets")
         tried = staged(compared_with_hub(pairs, sets, who, percent), "compared")
-        links = tried.where("linked").select("a", "b")
-        if members is None:
-            members = staged(centred(tried, percent), "families")
-            links = links.union(members.where("linked").select(F.col("centre").alias("a"), F.col("cls").alias("b")))
-            tried_with_hub = tried
-        labels = _relabelled(labels, links)
-        if tried.where("linked").count() * 4 < tried.count():  # hubs no longer pay
-            break
-    if members is not None:
-        # the family of a set is that of the hub it was compared with; a hub compared with no other has its own
-        own = tried_with_hub.where(F.col("added").isNotNull()).select(F.col("b").alias("cls"), F.col("a").alias("fam"))
-        own = own.union(members.select(F.col("fam").alias("cls"), "fam").distinct().join(own.select("cls"), "cls", "left_anti"))
-        labels = _relabelled(labels, _family_links(members.join(labels, "cls"), percent))
-        posts = posts.join(own, "cls", "left").withColumn("fam", F.coalesce("fam", "cls"))
-    else:
-        posts = posts.withColumn("fam", F.col("cls"))
-    rest = staged(_rest_pairs(posts.join(labels, "cls"), percent), "rest-pairs")
+        compared = families(posts, tried, lambda p: compared_with_hub(p, sets, who, percent))
+        members = staged(centred(compared, percent), "members")
+        star = members.withColumn("grp", F.when(F.col("linked"), F.col("centre")).otherwise(F.col("cls")))
+        links = (tried.where("linked").select("a", "b").union(compared.where("linked").select("a", "b"))
+                 .union(members.where("linked").select(F.col("centre").alias("a"), F.col("cls").alias("b")))
+                 .union(_family_links(star, percent)))
+        labels = _relabelled(labels, staged(links, "family-links"))
+        fam = fam.join(members.select("cls", F.col("fam").alias("own")), "cls", "left").select("cls", F.coalesce("own", "cls").alias("fam"))
+    rest = staged(_rest_pairs(posts.join(labels, "cls").join(fam, "cls"), percent), "rest-pairs")
     if not rest.isEmpty():
         labels = _relabelled(labels, verified(rest, staged(sets_for(rest), "sets"), who, percent))
 
@@ -459,5 +475,23 @@ def linked_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         "doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def linked_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """Link documents whose sets of distinct word n-grams have 100 * intersection >= percent * union.
+
+    Returns doc_id, n_shingles (size of the set) and component_id: the smallest doc_id reachable by links, itself
+    included. ASCII letters are lower-cased; words are runs of anything but blanks and control spaces; with fewer
+    words than n the whole sequence is one n-gram. Documents without words, or null texts, have 0 n-grams and are
+    linked with nothing. Null doc_ids are never the smallest (a group of nothing else has a null component_id).
+    Repeated rows are returned each; other columns are ignored; an empty table gives no rows."""
+    every = staged(prefixes(docs, n, percent), "prefixes")
+    reps = every.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    classes = every.where(F.col("cls").isNotNull()).select("cls", F.col("n_shingles").alias("size"), "level", "prefix").dropDuplicates(["cls"])
+    classes = staged(classes.join(reps, "cls"), "classes")
+    single = classes.select("cls", F.explode("prefix").alias("token"))
+    frequent = single.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("token")
+    posts = staged(single.join(frequent, "token", "left_semi").join(classes.select("cls", "size", "level"), "cls"), "postings")
+    return grouped(docs, every.select("doc_id", "n_shingles", "cls"), classes.select("cls", "size", "level", "rep"), posts, n, percent)
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_groups(table(spark, sf_dir, "documents"), n=4, percent=85)
