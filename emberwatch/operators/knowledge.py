@@ -252,16 +252,32 @@ def seed_points(spark, sf_dir: str) -> DataFrame:
     return out.select(*POINT_COLUMNS)
 
 
-def seed_store(spark, sf_dir: str, store: DataFrame | None = None):
-    """K-11: chunk, embed, upsert. Returns the store with vectors (`embedding`) and the fitted embedder; with an older
-    store its re-seeded documents are replaced."""
-    from emberwatch.operators.retrieve import embed, embed_fit
+def changed_points(points: DataFrame, store: DataFrame) -> DataFrame:
+    """The points that a store does not hold yet with the same text (`text_hash`)."""
+    return points.join(store.select("collection", "chunk_id", "text_hash"), ["collection", "chunk_id", "text_hash"], "left_anti")
+
 
-    points = seed_points(spark, sf_dir)
-    model = embed_fit(points, text="text", features=256)
-    fresh = embed(points, model)
-    if store is None:
-        store = spark.createDataFrame([], fresh.schema)
-    keyed = lambda df: df.withColumn("__doc", F.concat_ws("/", "collection", "doc_id")).withColumnRenamed("chunk_id", "point_id")
-    out = upsert_chunks(keyed(store), keyed(fresh), doc="__doc")
-    return out.withColumnRenamed("point_id", "chunk_id").drop("__doc"), model
+def seed_store(spark, sf_dir: str, store: DataFrame | None = None, model=None, points: DataFrame | None = None):
+    """K-11: chunk, embed, upsert. Returns the store with vectors (`embedding`), the fitted embedder, and how many points
+    were embedded.
+
+    With an older store and its embedder, only points whose text changed are embedded; unchanged ones keep their vectors,
+    and points whose chunk or document no longer exists go. The embedder's document frequencies stay those of its fit
+    until a seed without `model`, which fits anew and embeds every point, so that vectors of one store always belong to
+    one fit."""
+    from emberwatch.operators.retrieve import embed, embed_fit
+    from emberwatch.session import stage
+
+    points = seed_points(spark, sf_dir) if points is None else points
+    points = _first_per_key(points, ["collection", "chunk_id"], None, last=False)  # a point's id is unique in its collection
+    points = stage(points.withColumn("text_hash", F.sha2(F.coalesce("text", F.lit("")), 256)), "points")
+    if store is None or model is None:
+        model = embed_fit(points, text="text", features=256)
+        fresh = stage(embed(points, model), "store", by=["collection"])
+        return fresh, model, points.count()
+    new = stage(embed(changed_points(points, store), model), "embedded")
+    kept = store.join(points.select("collection", "chunk_id", "text_hash"), ["collection", "chunk_id", "text_hash"], "left_semi")
+    vectors = kept.select("collection", "chunk_id", "embedding").unionByName(new.select("collection", "chunk_id", "embedding"))
+    # payload columns come from the new points, vectors from wherever they are valid
+    out = points.join(vectors, ["collection", "chunk_id"]).select(*store.columns)
+    return stage(out, "store", by=["collection"]), model, new.count()

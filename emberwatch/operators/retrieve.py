@@ -1,68 +1,40 @@
 """Retrieval R-01..R-14: embeddings, exact cosine top-k (plain, filtered, time-ranged, per service),
 best chunk per document, boosted re-rank, token budget, evidence rendering and the five-way gather.
 
-Exact top-k scores each (query, candidate) pair once inside the join and keeps only `row_number() <= k`
-per query; Catalyst places a partial WindowGroupLimit before the shuffle, so each task ships at most k
-rows per query. Queries and corpus meet in blocks: both sides are dealt to numbered blocks and joined on
-the pair of block numbers, so a search of any size is one equi-join over many cells; filtered searches add
-the filter key (service, time bucket) to that join key.
+Exact top-k is a block search (`blocksearch`): queries and corpus are dealt to blocks, each pair of blocks meets in one
+Arrow cogroup that keeps k rows per query, and a window keeps the first k of all meetings; filtered searches add the
+filter key (service, time cell) to the key of the meeting.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch import constants as K
 from emberwatch.functions.columns import tokens
+from emberwatch.operators.blocksearch import search
 from emberwatch.operators.knowledge import py_list_repr
 
-QUERY_BLOCKS = 4      # blocks of the query side; every corpus row is copied to each
-CORPUS_BLOCKS = 16    # blocks of the corpus; every query is copied to each
-
-
 def dot(a: Column, b: Column) -> Column:
     """Sequential dot product in double precision (a left fold, so the result is reproducible)."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
                        lambda acc, x: acc + x)
 
 
-def _prep_corpus(corpus: DataFrame, vec: str) -> DataFrame:
-    return corpus.withColumn("__cnorm", F.sqrt(dot(F.col(vec), F.col(vec))))
-
-
-def _prep_queries(q: DataFrame, vec: str) -> DataFrame:
-    return q.withColumn("__qnorm", F.sqrt(dot(F.col(vec), F.col(vec))))
-
-
 def _top_k(scored: DataFrame, k: int, *, part: Sequence[str] = ("query_id",), id_col: str = "chunk_id") -> DataFrame:
     w = Window.partitionBy(*part).orderBy(F.col("score").desc(), F.col(id_col).asc())
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def _block(id_col: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int")
-
-
-def _every(blocks: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-
-def _score(j: DataFrame, qvec: str, cvec: str) -> DataFrame:
-    s = dot(F.col(qvec), F.col(cvec)) / (F.col("__qnorm") * F.col("__cnorm"))
-    return j.withColumn("score", s).drop("__qnorm", "__cnorm", qvec, cvec)
-
-
 def knn(q: DataFrame, corpus: DataFrame, *, k: int, qvec: str = "query_vec", cvec: str = "embedding",
-        query_blocks: int = QUERY_BLOCKS, corpus_blocks: int = CORPUS_BLOCKS) -> DataFrame:
+        query_blocks: int | None = None, corpus_blocks: int | None = None) -> DataFrame:
     """R-02: exact cosine top-k per query; ties broken by chunk_id. A stated query set against all rows, in blocks."""
-    qs = (_prep_queries(q, qvec).withColumn("__qb", _block("query_id", query_blocks))
-          .select("*", _every(corpus_blocks).alias("__cb")))
-    c = (_prep_corpus(corpus, cvec).withColumn("__cb", _block("chunk_id", corpus_blocks))
-         .select("*", _every(query_blocks).alias("__qb")))
-    return _top_k(_score(c.join(qs, ["__qb", "__cb"]).drop("__qb", "__cb"), qvec, cvec), k)
+    return _top_k(search(q, corpus, k=k, qvec=qvec, cvec=cvec, query_blocks=query_blocks, corpus_blocks=corpus_blocks), k)
 
 
 def knn_filtered(q: DataFrame, corpus: DataFrame, *, k: int, equal: dict[str, object],
@@ -76,27 +48,14 @@ def knn_filtered(q: DataFrame, corpus: DataFrame, *, k: int, equal: dict[str, ob
 
 def knn_per_service(q: DataFrame, corpus: DataFrame, *, k: int = 3, services: str = "affected_services",
                     qvec: str = "query_vec", cvec: str = "embedding",
-                    window_s: tuple[str, str, int] | None = None, corpus_blocks: int = CORPUS_BLOCKS) -> DataFrame:
+                    window_s: tuple[str, str, int] | None = None, corpus_blocks: int | None = None) -> DataFrame:
     """R-07 (and R-04/R-08 with `window_s`): one search per (query, affected service) with service
     equality. window_s = (query time col, corpus time col, seconds) keeps corpus rows with
-    query_t - seconds <= t <= query_t. There are few services, so the join key has a second part: the time
-    bucket (as wide as the window, so a query meets two of them), or else a block of the corpus."""
-    qs = _prep_queries(q, qvec).select("*", F.explode(services).alias("svc"))
-    c = _prep_corpus(corpus, cvec)
-    if window_s:
-        qt, ct, secs = window_s
-        width = F.lit(max(secs, 1))
-        qs = qs.select("*", F.explode(F.sequence(F.floor((F.col(qt) - F.lit(secs)) / width), F.floor(F.col(qt) / width)))
-                       .alias("__cell"))
-        c = c.withColumn("__cell", F.floor(F.col(ct) / width))
-        inside = [F.col(ct) >= F.col(qt) - F.lit(secs), F.col(ct) <= F.col(qt)]
-    else:
-        qs = qs.select("*", _every(corpus_blocks).alias("__cell"))
-        c = c.withColumn("__cell", _block("chunk_id", corpus_blocks))
-        inside = []
-    cond = [qs["svc"] == c["service_name"], qs["__cell"] == c["__cell"], *inside]
-    j = qs.join(c, cond).drop(qs["__cell"]).drop(c["__cell"])
-    return _top_k(_score(j, qvec, cvec), k, part=("query_id", "svc"))
+    query_t - seconds <= t <= query_t. There are few services, so the blocks of both sides (and the time cells, as wide
+    as the window) split them further."""
+    asked = q.select("*", F.explode(services).alias("svc"))
+    found = search(asked, corpus, k=k, qvec=qvec, cvec=cvec, on=[("svc", "service_name")], within=window_s, corpus_blocks=corpus_blocks)
+    return _top_k(found, k, part=("query_id", "svc"))
 
 
 def best_per_doc(hits: DataFrame, *, doc: str = "doc_id", k: int = 5) -> DataFrame:
@@ -206,7 +165,7 @@ def gather(q: DataFrame, corpus: DataFrame, *, deploy_window_s: int = 120 * 60)
     own = "collection" in q.columns  # a request text, and so a vector, per search
 
     def coll(name):
-        return corpus.where(F.col("collection") == name)
+        return corpus.where(F.col("collection") == name).drop("text", "text_hash", "doc_hash")  # only what hits carry meets the queries
 
     def asked(name):
         return q.where(F.col("collection") == name).drop("collection") if own else q
@@ -261,25 +220,85 @@ def embed(df: DataFrame, model, *, out: str = "embedding") -> DataFrame:
     return t.withColumn(out, vector_to_array("__vec", "float32")).drop("__tok", "__tf", "__idf", "__vec")
 
 
-def knn_approx(q: DataFrame, corpus: DataFrame, *, k: int, bucket_length: float = 0.5, tables: int = 6,
-               qvec: str = "query_vec", cvec: str = "embedding") -> DataFrame:
-    """R-14: approximate top-k with random-projection LSH (for corpora too large to scan per query).
-    Candidates are the pairs that share a hash bucket (unit vectors: cos = 1 - L2^2 / 2); a query whose buckets
-    hold fewer than k rows is answered by the exact search instead, so every query gets k rows whenever the corpus
-    has k. Recall against `knn` is reported by the caller."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    c = corpus.select("chunk_id", array_to_vector(F.col(cvec)).alias("__v"))
-    qq = q.select("query_id", array_to_vector(F.col(qvec)).alias("__v"))
-    model = BucketedRandomProjectionLSH(inputCol="__v", outputCol="__h", bucketLength=bucket_length,
-                                        numHashTables=tables, seed=7).fit(c)
-    pairs = model.approxSimilarityJoin(qq, c, float("inf"), distCol="dist")
-    scored = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"),
-                          (F.lit(1.0) - F.col("dist") * F.col("dist") / F.lit(2.0)).alias("score"))
-    near = _top_k(scored, k)
-    whole = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
-    rest = knn(q.select("query_id", qvec).join(whole, "query_id", "left_anti"), corpus.select("chunk_id", cvec), k=k,
-               qvec=qvec, cvec=cvec)
-    return near.join(whole, "query_id", "left_semi").select("query_id", "chunk_id", "score", "rank").unionByName(
-        rest.select("query_id", "chunk_id", "score", "rank"))
+class InvertedFile:
+    """R-14: an inverted-file index. Coarse centroids are fitted by Spark's k-means (as many as the square root of the
+    row count, at most `CENTROIDS`), every row is stored under the cell of its nearest centroid, partitioned by cell,
+    and a query searches the rows of its `probes` nearest cells exactly. The stored lists are read again by every
+    search.
+
+    `probes` is the least number of cells with which a bounded, documented sample of the rows (`SAMPLE` of them, asked
+    as queries against all rows) finds `recall` of its exact neighbours. Where a query's cells hold fewer than k rows it
+    is searched exactly instead, so every query gets k rows whenever the corpus has them."""
+
+    CENTROIDS = 4_096
+    SAMPLE = 256
+
+    def __init__(self, corpus: DataFrame, *, k: int, recall: float = 0.97, cvec: str = "embedding", row_id: str = "chunk_id"):
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        from emberwatch.session import stage
+
+        self.cvec, self.row_id = cvec, row_id
+        norm = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
+        # a cell is a direction: rows and queries are compared as unit vectors
+        self._unit = lambda v, out: (lambda df: df.withColumn("__n", norm(v)).where("__n > 0").withColumn(
+            out, array_to_vector(F.transform(v, lambda x: x.cast("double") / F.col("__n")))).drop("__n"))
+        rows = corpus.select(row_id, cvec).where(F.col(cvec).isNotNull())
+        n = rows.count()
+        self.cells = max(1, min(self.CENTROIDS, int(n**0.5)))
+        units = self._unit(cvec, "features")(rows)
+        model = KMeans(k=self.cells, seed=11, maxIter=8, initMode="random", predictionCol="cell").fit(units) if n else None
+        self.centres = [c.tolist() for c in model.clusterCenters()] if model else []  # at most CENTROIDS of them
+        listed = model.transform(units).drop("features") if model else rows.withColumn("cell", F.lit(0))
+        self.lists = stage(listed, "ivf-lists", by=["cell"])
+        sample = self.lists.orderBy(F.xxhash64(row_id)).limit(self.SAMPLE).select(F.col(row_id).alias("query_id"), F.col(cvec).alias("query_vec"))
+        self.probes = self._fitted(stage(sample, "ivf-sample"), k, recall) if n else 1
+
+    def nearest_cells(self, q: DataFrame, qvec: str, n: int) -> DataFrame:
+        """The query with each of its n nearest cells (`cell`) and the cell's place (`order`, from 0)."""
+        centres = np.array(self.centres)
+
+        @F.pandas_udf("array<int>")
+        def near(vectors: pd.Series) -> pd.Series:
+            x = np.array([np.asarray(v, np.float64) for v in vectors]).reshape(len(vectors), -1)
+            far = (centres * centres).sum(1) - 2 * (x / np.linalg.norm(x, axis=1, keepdims=True)) @ centres.T
+            return pd.Series(list(np.argsort(far, axis=1, kind="stable")[:, :n].astype(np.int32)))
+
+        usable = q.where(F.col(qvec).isNotNull() & F.exists(qvec, lambda x: x != 0))
+        return usable.select("*", F.posexplode(near(qvec)).alias("order", "cell_of"))
+
+    def _fitted(self, sample: DataFrame, k: int, recall: float) -> int:
+        exact = knn(sample, self.lists.select(F.col(self.row_id).alias("chunk_id"), F.col(self.cvec).alias("embedding"), "cell"), k=k)
+        order = self.nearest_cells(sample, "query_vec", self.cells).select("query_id", F.col("cell_of").alias("cell"), "order")
+        found = exact.join(order, ["query_id", "cell"]).groupBy("order").agg(F.count(F.lit(1)).alias("n")).orderBy("order").collect()
+        total, seen = sum(r["n"] for r in found), 0
+        for r in found:  # at most CENTROIDS rows
+            seen += r["n"]
+            if seen >= recall * total:
+                return r["order"] + 1
+        return self.cells
+
+    def candidates(self, q: DataFrame, qvec: str = "query_vec") -> DataFrame:
+        """query_id, n: how many rows lie in the cells that a query probes."""
+        sizes = self.lists.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("cell", "cell_of")
+        return self.nearest_cells(q, qvec, self.probes).join(sizes, "cell_of").groupBy("query_id").agg(F.sum("n").alias("n"))
+
+    def search(self, q: DataFrame, *, k: int, qvec: str = "query_vec") -> DataFrame:
+        """query_id, chunk_id, score, rank: the k best rows of the cells that each query probes."""
+        asked = self.nearest_cells(q.select("query_id", qvec), qvec, self.probes).drop("order")
+        rows = self.lists.select(F.col(self.row_id).alias("chunk_id"), F.col(self.cvec).alias("embedding"), "cell")
+        found = search(asked, rows, k=k, qvec=qvec, on=[("cell_of", "cell")])
+        near = _top_k(found.select("query_id", "chunk_id", "score"), k)
+        whole = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
+        short = q.select("query_id", qvec).join(whole, "query_id", "left_anti")
+        rest = knn(short, rows.drop("cell"), k=k, qvec=qvec)
+        return near.join(whole, "query_id", "left_semi").select("query_id", "chunk_id", "score", "rank").unionByName(
+            rest.select("query_id", "chunk_id", "score", "rank"))
+
+
+def knn_approx(q: DataFrame, corpus: DataFrame, *, k: int, recall: float = 0.97, qvec: str = "query_vec", cvec: str = "embedding",
+               index: InvertedFile | None = None) -> DataFrame:
+    """R-14: approximate top-k by an inverted file, built over the corpus or given (one index serves many searches)."""
+    index = index or InvertedFile(corpus, k=k, recall=recall, cvec=cvec)
+    return index.search(q, k=k, qvec=qvec)

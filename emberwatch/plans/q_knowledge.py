@@ -255,7 +255,7 @@ _SEED_SQL = f"""
     "markdown_docs", "incidents", "postmortems", "registry", "deployments"), bench=True)
 def q_seed(spark, sf):
     """The stored points of all five collections with their vectors."""
-    store, _ = KN.seed_store(spark, sf)
+    store, _, _ = KN.seed_store(spark, sf)
     return store.select("collection", "chunk_id", "doc_hash", "content", F.size("embedding").cast("long").alias("dims"))
 
 
@@ -273,11 +273,12 @@ def _searched(rows):
 def q_seed_search(spark, sf):
     """Seed, embed, store, search: all open incidents ask all five collections, each with its own text."""
     from emberwatch.operators import retrieve as R
+    from emberwatch.session import stage
 
-    store, model = KN.seed_store(spark, sf)
+    store, model, _ = KN.seed_store(spark, sf)
     still_open = (A.incidents(spark, sf).where(F.col("status") == "DETECTING")
                   .select(F.col("id").alias("query_id"), "anomaly_type", "affected_services", "description",
                           F.floor(F.col("detection_time") / 1000).cast("long").alias("query_epoch")))
-    asked = R.embed(R.request_texts(still_open).withColumnRenamed("query_text", "text"), model, out="query_vec").drop("text")
+    asked = stage(R.embed(R.request_texts(still_open).withColumnRenamed("query_text", "text"), model, out="query_vec").drop("text"), "asked")
     hits = R.gather(asked, store, deploy_window_s=48 * 3600)
     return hits.select("query_id", "collection", "chunk_id", "doc_id", "rank")

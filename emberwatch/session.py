@@ -85,3 +85,13 @@ def materialize(df):
     out = held.checkpoint(eager=True)
     held.unpersist()
     return out
+
+
+def stage(df, label, by=()):
+    """Write an intermediate table once below the shared checkpoint folder and read it back: cuts lineage, survives lost
+    executors, and its readers share one computation. `by`: columns whose values get a folder each."""
+    import uuid
+
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/staged/{label}-{uuid.uuid4().hex}"
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
