@@ -120,3 +120,50 @@ NAMESPACE_DNS_HEX = "6ba7b8109dad11d180b400c04fd430c8"
 REPORT_WENT_WELL = ["The anomaly was detected automatically within the detection window",
                     "Root cause analysis was completed without manual triage",
                     "Automated postmortem generated within minutes of resolution"]
+
+# Titles of the evidence sections, by collection.
+SECTION_TITLES = [
+    ("incidents", "SIMILAR HISTORICAL INCIDENTS"),
+    ("runbooks", "RELEVANT RUNBOOKS"),
+    ("architecture", "SERVICE ARCHITECTURE"),
+    ("deployments", "RECENT DEPLOYMENTS"),
+    ("postmortems", "POSTMORTEM PATTERNS"),
+]
+
+# The fallback plan ({service} is the primary service), its owner without a registry row, and its duration.
+DEFAULT_ON_CALL = "on-call-engineer@company.com"
+DEFAULT_RESOLUTION_TIME = "15-30 minutes"
+DEFAULT_STEPS = [
+    {"priority": "IMMEDIATE",
+     "action": "Check health endpoint of {service} and review recent logs",
+     "rationale": "Establish current service state before taking action",
+     "risk_level": "LOW",
+     "rollback": "N/A",
+     "expected_outcome": "Clear picture of current service state",
+     "runbook_source": "SRE best practice"},
+    {"priority": "IMMEDIATE",
+     "action": "Rollback the most recent deployment to {service} if deployed in last 60 minutes",
+     "rationale": "Deployment correlation detected — rollback is fastest path to recovery",
+     "risk_level": "LOW",
+     "rollback": "Redeploy the rolled-back version",
+     "expected_outcome": "Error rate drops within 2 minutes of rollback",
+     "runbook_source": "deployment-rollback runbook"},
+]
+
+# The report's list of what could be improved ({type} is the anomaly type).
+REPORT_IMPROVE = ["Review alert thresholds to reduce time-to-detect", "Ensure runbooks are up-to-date for {type} scenarios"]
+
+# Bodies of the notifications by kind; `{{name}}` is filled from the event's context.
+BODIES = {
+    "anomaly": "<h2>{{severity}} {{anomaly_type}} on {{service}}</h2><p>INC-{{incident_id_short}}, detected {{detection_time}}</p>"
+               "<p>{{trigger_metric}}: {{observed_value}} against {{baseline_value}} ({{deviation_sigma}} sigma)</p><p>{{description}}</p>"
+               "<p>Services: {{affected_services}}. Users: {{user_impact}}. Revenue: {{revenue_impact}}.</p><small>{{generated_at}}</small>",
+    "rca": "<h2>Root cause of INC-{{incident_id_short}}</h2><p>{{top_root_cause}} ({{confidence_pct}}%)</p><ul>{{evidence_list}}</ul>"
+           "{{similar_incidents_html}}{{deployment_section}}<ul>{{signals_list}}</ul><small>{{generated_at}}</small>",
+    "plan": "<h2>Plan for INC-{{incident_id_short}}</h2><p>{{top_root_cause}}, {{estimated_time}}</p>{{steps_html}}"
+            "<p>Escalation: {{escalation_path}}</p>{{runbook_refs_html}}<small>{{generated_at}}</small>",
+    "resolved": "<h2>{{anomaly_type}} on {{service}} resolved</h2><p>INC-{{incident_id_short}} ({{severity}}), {{mttr}} min, "
+                "{{resolution_method}}</p><p>{{top_root_cause}}</p><p>{{detection_time}} to {{resolved_at}}</p><small>{{generated_at}}</small>",
+    "postmortem": "<h2>Postmortem of INC-{{incident_id_short}}: {{anomaly_type}} on {{service}}</h2><p>{{severity}}, {{mttr}} min, "
+                  "{{affected_services}}</p><p>{{executive_summary}}</p><pre>{{full_markdown}}</pre><small>{{date}} {{generated_at}}</small>",
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,12 +96,13 @@ def iso_epoch(text: str | Column) -> Column:
     return F.coalesce(F.unix_micros(ts) / F.lit(1e6), F.lit(0.0))
 
 
-def fill(template: str | Column, ctx: dict[str, Column]) -> Column:
-    """N-02: replace every `{{key}}` in the template with the context column's text."""
-    out = F.lit(template) if isinstance(template, str) else template
-    for key, val in ctx.items():
-        out = F.replace(out, F.lit("{{" + key + "}}"), F.coalesce(val.cast("string"), F.lit("None")))
-    return out
+def fill(template: str, ctx: dict[str, Column]) -> Column:
+    """N-02: the template with every `{{key}}` replaced by the context column's text (a missing value reads None). A
+    placeholder without a context column stays as it is; what is filled in is not searched for placeholders again."""
+    parts = re.split(r"\{\{(\w+)\}\}", template)
+    cells = [F.lit(p) if i % 2 == 0 else F.coalesce(ctx[p].cast("string"), F.lit("None")) if p in ctx else F.lit("{{" + p + "}}")
+             for i, p in enumerate(parts)]
+    return F.concat(*cells)
 
 
 def exec_summary(markdown: str | Column) -> Column:

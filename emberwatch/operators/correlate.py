@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch import constants as K
-from emberwatch.operators.rangejoin import range_join
+from emberwatch.operators.rangejoin import first_rows, range_join, range_max
 from emberwatch.operators.suppress import suppress
 
 MIN = 60_000
@@ -29,20 +29,20 @@ def telemetry(anoms: DataFrame, metrics: DataFrame, *, minutes: float = K.CORREL
     detection, in time order: (incident_id, metric_name, pos, metric_value)."""
     m = metrics.select(F.col("source_service").alias("m_service"), "metric_name", "metric_value",
                        F.col("ts").alias("m_ts"), F.col("event_id").alias("m_event_id"))
-    j = range_join(_anoms(anoms), m, left_keys=["source_service"], right_keys=["m_service"],
-                   left_ts="detection_time", right_ts="m_ts", before_ms=int(minutes * MIN))
-    w = Window.partitionBy("incident_id", "metric_name").orderBy("m_ts", "m_event_id")
-    return (j.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= keep)
-             .select("incident_id", "metric_name", F.col("pos").cast("long").alias("pos"), "metric_value"))
+    series = m.select("m_service", "metric_name").distinct().toDF("s_service", "s_metric")  # one row a series
+    asked = _anoms(anoms).join(series, F.col("source_service") == F.col("s_service"))
+    found = first_rows(asked, m, point_keys=["s_service", "s_metric"], row_keys=["m_service", "metric_name"], point_ts="detection_time",
+                       row_ts="m_ts", tie="m_event_id", before_ms=int(minutes * MIN), keep=keep)
+    return found.select("incident_id", "metric_name", "pos", "metric_value")
 
 
 def window_peak(anoms: DataFrame, metrics: DataFrame, *, metric: str, minutes: float, out: str) -> DataFrame:
-    """Max of one metric of the service over the whole window before detection (reduced per incident)."""
+    """Max of one metric of the service over the whole window before detection, by bucket maxima."""
     m = (metrics.where(F.col("metric_name") == metric)
                 .select(F.col("source_service").alias("p_service"), F.col("ts").alias("p_ts"), "metric_value"))
-    j = range_join(_anoms(anoms), m, left_keys=["source_service"], right_keys=["p_service"],
-                   left_ts="detection_time", right_ts="p_ts", before_ms=int(minutes * MIN))
-    return j.groupBy("incident_id").agg(F.max("metric_value").alias(out))
+    a = _anoms(anoms).withColumn("__from", F.col("detection_time") - int(minutes * MIN))
+    return range_max(a, m, ids=["incident_id"], point_keys=["source_service"], row_keys=["p_service"], start="__from", end="detection_time",
+                     row_ts="p_ts", value="metric_value", out=out, span_ms=int(minutes * MIN))
 
 
 def telemetry_map(long_form: DataFrame) -> DataFrame:
@@ -61,11 +61,9 @@ def recent_errors(anoms: DataFrame, logs: DataFrame, *, minutes: float = K.CORRE
     lg = (logs.where(F.col("level").isin("ERROR", "FATAL"))
               .select(F.col("source_service").alias("l_service"), "message", F.col("ts").alias("l_ts"),
                       F.col("event_id").alias("l_event_id")))
-    j = range_join(_anoms(anoms), lg, left_keys=["source_service"], right_keys=["l_service"],
-                   left_ts="detection_time", right_ts="l_ts", before_ms=int(minutes * MIN))
-    w = Window.partitionBy("incident_id").orderBy("l_ts", "l_event_id")
-    return (j.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n)
-             .select("incident_id", F.col("pos").cast("long").alias("pos"), "message"))
+    found = first_rows(_anoms(anoms), lg, point_keys=["source_service"], row_keys=["l_service"], point_ts="detection_time", row_ts="l_ts",
+                       tie="l_event_id", before_ms=int(minutes * MIN), keep=n)
+    return found.select("incident_id", "pos", "message")
 
 
 def recent_deployments(anoms: DataFrame, deploys: DataFrame, *, minutes: float = K.DEPLOY_WINDOW_MIN) -> DataFrame:
@@ -115,9 +113,9 @@ def cascade(anoms: DataFrame, registry: DataFrame, metrics: DataFrame, *,
                      .drop("service_name")
     er = (metrics.where(F.col("metric_name") == "service_error_rate_percent")
                  .select(F.col("source_service").alias("e_service"), F.col("ts").alias("e_ts"), "metric_value"))
-    j = range_join(a, er, left_keys=["downstream"], right_keys=["e_service"], left_ts="detection_time",
-                   right_ts="e_ts", before_ms=int(minutes * MIN))
-    peak = j.groupBy("incident_id", "downstream", "pos").agg(F.max("metric_value").alias("peak_error_rate"))
+    a = a.withColumn("__from", F.col("detection_time") - int(minutes * MIN))
+    peak = range_max(a, er, ids=["incident_id", "downstream", "pos"], point_keys=["downstream"], row_keys=["e_service"], start="__from",
+                     end="detection_time", row_ts="e_ts", value="metric_value", out="peak_error_rate", span_ms=int(minutes * MIN))
     return peak.where(F.col("peak_error_rate") > limit)
 
 

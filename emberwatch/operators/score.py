@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberwatch.operators.rangejoin import range_join
+from emberwatch import constants as K
+from emberwatch.operators.knowledge import py_list_repr
+from emberwatch.operators.rangejoin import range_max
 
 
 def confidence(df: DataFrame, *, similar: str = "similar_count", deployment: str = "deployment_correlated",
@@ -41,51 +43,62 @@ def top_candidate(ranked: DataFrame, *, group: str = "incident_id") -> DataFrame
         F.count("*").alias("candidates"))
 
 
-def evidence_pack(queries: DataFrame, hits: DataFrame, *, per_section: int = 3, chars: int = 400) -> DataFrame:
-    """F-07: per request, the incident header plus up to `per_section` chunks per collection
-    ('[title] (relevance x.xx)' + first `chars` characters), sections in the fixed order."""
-    from emberwatch import constants as K
+def evidence_pack(incidents: DataFrame, hits: DataFrame, *, per_section: int = 3, chars: int = 400) -> DataFrame:
+    """F-07: the whole evidence text of each request: incident header (services, type, severity, description), correlation
+    signals with two evidence lines each, the deployment block if there is one, and up to `per_section` chunks of each
+    search ('[title] (relevance x.xx)' and the first `chars` characters), sections in the fixed order.
+
+    `incidents`: query_id, affected_services, anomaly_type, severity, description, correlation_signals (array of
+    signal_type, strength, description, evidence), deployment_context (struct or null). `hits`: query_id, collection,
+    chunk_id, rank, score, title, content. Absent texts are empty; a request without hits keeps its first blocks."""
+    titles = dict(K.SECTION_TITLES)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    empty = F.array().cast("array<string>")
+    signal = lambda s: F.concat(
+        F.lit("- ["), F.coalesce(s["signal_type"], F.lit("")), F.lit("] (strength "), F.format_string("%.2f", F.coalesce(s["strength"], F.lit(0.0))),
+        F.lit("): "), F.coalesce(s["description"], F.lit("")),
+        F.array_join(F.transform(F.slice(F.coalesce(s["evidence"], empty), 1, 2), lambda e: F.concat(F.lit("\n    Evidence: "), e)), ""))
+    signals = F.when(F.size(F.coalesce("correlation_signals", F.array())) > 0, F.array_join(F.transform("correlation_signals", signal), "\n")
+                     ).otherwise(F.lit("- No correlation signals"))
+    d = F.col("deployment_context")
+    part = lambda name, absent="": F.coalesce(d[name].cast("string"), F.lit(absent))
+    deployment = F.when(d.isNotNull(), F.concat(
+        F.lit("\n\n=== RECENT DEPLOYMENT ===\nService: "), part("service_name"), F.lit(" "), part("version"), F.lit("\nDelta: "),
+        part("time_delta_minutes", "?"), F.lit(" minutes before incident\nChange type: "), part("change_type"), F.lit("\nKnown risks: "),
+        py_list_repr(F.coalesce(d["known_risks"], empty)), F.lit("\nCorrelation confidence: "),
+        F.format_string("%.2f", F.coalesce(d["correlation_confidence"], F.lit(0.0))))).otherwise(F.lit(""))
+    header = F.concat(
+        F.lit("=== INCIDENT DETAILS ===\nIncident ID: "), text("query_id"), F.lit("\nService: "), F.array_join(F.coalesce("affected_services", empty), ", "),
+        F.lit("\nAnomaly Type: "), text("anomaly_type"), F.lit("\nSeverity: "), text("severity"), F.lit("\nDescription: "), text("description"),
+        F.lit("\n\n=== CORRELATION SIGNALS ===\n"), signals, deployment)
 
-    titles = {"incidents": "SIMILAR HISTORICAL INCIDENTS", "runbooks": "RELEVANT RUNBOOKS",
-              "architecture": "SERVICE ARCHITECTURE", "deployments": "RECENT DEPLOYMENTS",
-              "postmortems": "POSTMORTEM PATTERNS"}
     w = Window.partitionBy("query_id", "collection").orderBy("rank", "chunk_id")
     top = hits.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= per_section)
-    line = F.concat(F.lit("["), F.col("collection"), F.lit(" "), F.col("chunk_id").cast("string"), F.lit("] (relevance "),
-                    F.format_string("%.2f", F.col("score")), F.lit(")\n"), F.substring("content", 1, chars), F.lit("\n"))
-    head = F.lit("")
-    for c in reversed(K.BUDGET_ORDER):
-        head = F.when(F.col("collection") == c, F.lit(f"\n=== {titles[c]} ===\n")).otherwise(head)
+    line = F.concat(F.lit("["), text("title"), F.lit("] (relevance "), F.format_string("%.2f", F.col("score")), F.lit(")\n"),
+                    F.substring(text("content"), 1, chars), F.lit("\n"))
     order = F.array_position(F.array(*[F.lit(c) for c in K.BUDGET_ORDER]), F.col("collection"))
-    per_sec = top.groupBy("query_id", "collection").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__n", line.alias("l")))), lambda x: x["l"]), "")
-        .alias("body"))
-    per_sec = per_sec.select("query_id", order.alias("o"), F.concat(head, F.col("body")).alias("sec"))
-    packs = per_sec.groupBy("query_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "sec"))), lambda x: x["sec"]), "")
-        .alias("sections"))
-    hdr = queries.select("query_id", F.concat(
-        F.lit("=== INCIDENT DETAILS ===\nIncident ID: "), F.col("query_id").cast("string"),
-        F.lit("\nService: "), F.array_join("affected_services", ", "), F.lit("\nAnomaly Type: "), F.col("q_type"))
-        .alias("header"))
-    return hdr.join(packs, "query_id", "left").select(
+    title = F.create_map(*[F.lit(x) for pair in titles.items() for x in pair])[F.col("collection")]
+    sections = top.groupBy("query_id", "collection").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__n", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
+    sections = sections.select("query_id", order.alias("o"), F.concat(F.lit("\n\n=== "), title, F.lit(" ===\n"), F.col("body")).alias("sec"))
+    packs = sections.groupBy("query_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "sec"))), lambda x: x["sec"]), "").alias("sections"))
+    return incidents.select("query_id", header.alias("header")).join(packs, "query_id", "left").select(
         "query_id", F.concat(F.col("header"), F.coalesce(F.col("sections"), F.lit(""))).alias("context"))
 
 
 def sla_breach(resolved: DataFrame, metrics: DataFrame, registry: DataFrame, *, max_span_ms: int) -> DataFrame:
     """F-08: peak p99 latency and error rate during [detection, resolution] against the registry SLA.
-    `max_span_ms` bounds resolution - detection (the recovery limit), which sizes the join buckets."""
-    m = (metrics.where(F.col("metric_name").isin("service_latency_p99_ms", "service_error_rate_percent"))
-                .select(F.col("source_service").alias("m_service"), "metric_name", F.col("ts").alias("m_ts"),
-                        "metric_value"))
+    `max_span_ms` bounds resolution - detection (the recovery limit), which sizes the buckets of maxima."""
     r = resolved.select("incident_id", "source_service", "detection_time", "resolved_at")
-    j = range_join(r, m, left_keys=["source_service"], right_keys=["m_service"], left_ts="detection_time",
-                   right_ts="m_ts", before_ms=0, after_ms=int(max_span_ms))
-    j = j.where(F.col("m_ts") <= F.col("resolved_at"))
-    peaks = j.groupBy("incident_id").agg(
-        F.max(F.when(F.col("metric_name") == "service_latency_p99_ms", F.col("metric_value"))).alias("peak_p99_ms"),
-        F.max(F.when(F.col("metric_name") == "service_error_rate_percent", F.col("metric_value")))
-        .alias("peak_error_rate_pct"))
+    asked = r.select("*", F.explode(F.array(F.lit("service_latency_p99_ms"), F.lit("service_error_rate_percent"))).alias("m_metric"))
+    m = metrics.select(F.col("source_service").alias("m_service"), "metric_name", F.col("ts").alias("m_ts"), "metric_value")
+    peaks = range_max(asked, m.where(F.col("metric_name").isin("service_latency_p99_ms", "service_error_rate_percent")),
+                      ids=["incident_id", "m_metric"], point_keys=["source_service", "m_metric"], row_keys=["m_service", "metric_name"],
+                      start="detection_time", end="resolved_at", row_ts="m_ts", value="metric_value", out="peak", span_ms=int(max_span_ms))
+    of = lambda name: F.max(F.when(F.col("m_metric") == name, F.col("peak")))
+    peaks = peaks.groupBy("incident_id").agg(of("service_latency_p99_ms").alias("peak_p99_ms"),
+                                             of("service_error_rate_percent").alias("peak_error_rate_pct"))
     reg = registry.select(F.col("service_name").alias("__svc"), "sla_p99_latency_ms", "sla_error_rate_pct")
     out = r.join(peaks, "incident_id", "left").join(reg, F.col("source_service") == F.col("__svc"), "left").drop("__svc")
     return out.select(
@@ -95,23 +108,15 @@ def sla_breach(resolved: DataFrame, metrics: DataFrame, registry: DataFrame, *,
         F.coalesce(F.col("peak_error_rate_pct") > F.col("sla_error_rate_pct"), F.lit(False)).alias("error_breached"))
 
 
-DEFAULT_ON_CALL = "on-call-engineer@company.com"
-
-
 def default_steps(rca: DataFrame, registry: DataFrame) -> DataFrame:
-    """F-09: the two fallback steps for an RCA, owned by the primary service's on-call rotation."""
+    """F-09: the two fallback steps for an RCA, owned by the primary service's on-call rotation, with the escalation path
+    and the estimated time of the plan."""
     reg = registry.select(F.col("service_name").alias("__svc"), "on_call_rotation")
     j = rca.join(reg, F.col("service") == F.col("__svc"), "left")
-    owner = F.coalesce(F.col("on_call_rotation"), F.lit(DEFAULT_ON_CALL))
-    steps = F.array(
-        F.struct(F.lit(1).alias("step_id"), F.lit("IMMEDIATE").alias("priority"),
-                 F.concat(F.lit("Check health endpoint of "), F.col("service"), F.lit(" and review recent logs"))
-                 .alias("action"), F.lit("LOW").alias("risk_level"), F.lit("N/A").alias("rollback"),
-                 F.lit("SRE best practice").alias("runbook_source")),
-        F.struct(F.lit(2).alias("step_id"), F.lit("IMMEDIATE").alias("priority"),
-                 F.concat(F.lit("Rollback the most recent deployment to "), F.col("service"),
-                          F.lit(" if deployed in last 60 minutes")).alias("action"),
-                 F.lit("LOW").alias("risk_level"), F.lit("Redeploy the rolled-back version").alias("rollback"),
-                 F.lit("deployment-rollback runbook").alias("runbook_source")))
-    return j.select("incident_id", "service", owner.alias("owner"), F.inline(steps))\
-            .withColumn("step_id", F.col("step_id").cast("long"))
+    owner = F.coalesce(F.col("on_call_rotation"), F.lit(K.DEFAULT_ON_CALL))
+    cells = []
+    for i, step in enumerate(K.DEFAULT_STEPS, 1):
+        texts = [F.replace(F.lit(v), F.lit("{service}"), F.col("service")).alias(k) for k, v in step.items()]
+        cells.append(F.struct(F.lit(i).cast("long").alias("step_id"), *texts))
+    return j.select("incident_id", "service", owner.alias("owner"), F.array(owner).alias("escalation_path"),
+                    F.lit(K.DEFAULT_RESOLUTION_TIME).alias("estimated_resolution_time"), F.inline(F.array(*cells)))

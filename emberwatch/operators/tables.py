@@ -27,15 +27,62 @@ def replay(df: DataFrame, since_ms: int, until_ms: int | None = None, *, service
 def read_since(df: DataFrame, cursor: tuple, *, order: Sequence[str] = ("deployed_at", "id"),
                limit: int = 50) -> DataFrame:
     """S-05: rows strictly after `cursor` in `order`, first `limit` of them (the new cursor is the
-    max of `order` over the result, see `cursor_of`)."""
+    max of `order` over the result, see `cursor_of` and `Cursor`)."""
     a, b = order
     ca, cb = cursor
     after = (F.col(a) > F.lit(ca)) | ((F.col(a) == F.lit(ca)) & (F.col(b) > F.lit(cb)))
     return df.where(after).orderBy(a, b).limit(int(limit))
 
 
-def cursor_of(batch: DataFrame, *, order: Sequence[str] = ("deployed_at", "id")) -> DataFrame:
-    return batch.agg(F.max(F.struct(*order)).alias("cursor")).select("cursor.*")
+def cursor_of(batch: DataFrame, *, order: Sequence[str] = ("deployed_at", "id")) -> tuple | None:
+    """The cursor behind a page: the largest `order` columns of its rows, None for an empty page."""
+    last = batch.agg(F.max(F.struct(*order)).alias("cursor")).first()["cursor"]
+    return None if last is None else tuple(last)
+
+
+class Cursor:
+    """S-05, I-08: a stored position in a table ordered by two columns, for paging that resumes where it stopped.
+
+    Every commit adds one small file with the position under the next number; a file counts when its folder is complete,
+    so a reader sees the old position or the new one, never half of either. A page that was read but not committed is
+    read again after a restart; whoever stores pages under `number` (as insert_if_absent or a folder per page does) keeps
+    every row once."""
+
+    def __init__(self, spark, path: str, *, order: Sequence[str] = ("deployed_at", "id"), start: tuple = (0, 0)):
+        self.spark, self.path, self.order, self.start = spark, path, tuple(order), tuple(start)
+
+    def _load(self) -> tuple[int, tuple]:
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        folder = fs_path(self.path)
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        done = []
+        if fs.exists(folder):
+            for status in fs.listStatus(folder):
+                name = status.getPath().getName()
+                if name.startswith("page=") and fs.exists(fs_path(status.getPath(), "_SUCCESS")):
+                    done.append(int(name[5:]))
+        if not done:
+            return 0, self.start
+        row = self.spark.read.json(f"{self.path}/page={max(done)}").first()
+        return max(done), tuple(row[f"c{i}"] for i in range(len(self.order)))
+
+    @property
+    def number(self) -> int:
+        """How many pages are committed; the next page has this number."""
+        return self._load()[0]
+
+    def next_page(self, df: DataFrame, *, limit: int = 50) -> DataFrame:
+        return read_since(df, self._load()[1], order=self.order, limit=limit)
+
+    def commit(self, page: DataFrame) -> bool:
+        """Move behind the rows of this page; False if it is empty (nothing moves)."""
+        at = cursor_of(page, order=self.order)
+        if at is None:
+            return False
+        number = self._load()[0] + 1
+        row = self.spark.createDataFrame([at], ", ".join(f"c{i} {page.schema[c].dataType.simpleString()}" for i, c in enumerate(self.order)))
+        row.coalesce(1).write.mode("overwrite").json(f"{self.path}/page={number}")
+        return True
 
 
 def _first_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str] | None, last: bool) -> DataFrame:

@@ -43,6 +43,73 @@ def q_read_rejects(spark, sf):
     return bad.agg(F.count("*").alias("rejected"))
 
 
+class _Killed(RuntimeError):
+    """Stops a query between writing a batch and committing it."""
+
+
+def _ingested(spark, sf):
+    """Raw messages with junk and a second copy of every third event, as files of a topic folder; the stream is killed
+    after its second batch is written and started again."""
+    from pyspark.errors import StreamingQueryException
+
+    base = _scratch(spark, "s01s")
+    raw = _json_lines(spark, sf)
+    twice = raw.where(F.pmod(F.xxhash64("value"), F.lit(3)) == 0).where(F.col("value").startswith("{"))
+    raw.unionByName(twice).repartition(6, F.xxhash64("value", F.rand(3))).write.text(f"{base}/in")
+
+    def kill(number):
+        if number == 1:
+            raise _Killed("between writing a batch and committing it")
+
+    def run(after_write=None):
+        stream = E.read_events(spark, f"{base}/in", max_files_per_trigger=2)
+        query = E.ingest_stream(stream, E.RAW_METRIC, f"{base}/events", f"{base}/rejects", f"{base}/ckpt", keys=["event_id"],
+                                after_write=after_write)
+        query.awaitTermination()
+
+    try:
+        run(kill)
+    except StreamingQueryException as stopped:
+        if "between writing a batch" not in str(stopped):
+            raise
+    run()
+    return base
+
+
+@register("s01_ingest_stream", A.with_adapters(
+    "SELECT event_id::VARCHAR AS event_id, 'METRIC' AS event_type, source_service, 'production' AS environment, "
+    "ts AS timestamp, metric_name, metric_value FROM metrics", "metrics"), doubles=("metric_value",))
+def q_ingest_stream(spark, sf):
+    """Each event once, whatever the copies and the restart."""
+    return spark.read.schema(E.RAW_METRIC).parquet(f"{_ingested(spark, sf)}/events").drop("labels", "batch")
+
+
+@register("s01_ingest_stream_rejects", "SELECT count(*) AS rejected FROM events WHERE event_type = 'signup'")
+def q_ingest_rejects(spark, sf):
+    return spark.read.schema("raw string").parquet(f"{_ingested(spark, sf)}/rejects").agg(F.count("*").alias("rejected"))
+
+
+@register("s05_resume_pages", A.with_adapters("SELECT id, service_name, deployed_at FROM deployments", "deployments"))
+def q_resume_pages(spark, sf):
+    """The whole table page by page, with the cursor read anew for each page and one page lost before its commit."""
+    from emberwatch.session import stage
+
+    rows = stage(A.deployments(spark, sf).select("id", "service_name", "deployed_at"), "s05")
+    base = _scratch(spark, "s05")
+    limit = max(50, -(-rows.count() // 8))
+    lost = False
+    while True:
+        cursor = S.Cursor(spark, f"{base}/cursor")  # as after a restart
+        number = cursor.number
+        cursor.next_page(rows, limit=limit).write.mode("overwrite").parquet(f"{base}/pages/page={number}")
+        if number == 2 and not lost:
+            lost = True  # written, not committed: the next run reads the same page into the same folder
+            continue
+        if not cursor.commit(spark.read.parquet(f"{base}/pages/page={number}")):
+            break
+    return spark.read.parquet(f"{base}/pages").drop("page")
+
+
 _CONFORM_SCHEMA = T.StructType([
     T.StructField("event_id", T.StringType(), False),
     T.StructField("event_type", T.StringType()),

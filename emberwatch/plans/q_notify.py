@@ -122,6 +122,109 @@ def q_subject(spark, sf):
     return r.select("incident_id", "kind", N.subject().alias("subject"))
 
 
+_BODY_COLS = ["severity", "anomaly_type", "service", "top_confidence", "resolution_method", "mttr_minutes", "postmortem", *N.BODY_COLUMNS]
+
+
+def _bodied(df, kind, **given):
+    """A kind's events in the columns that its body reads."""
+    types = {**_NULLS, **N.BODY_COLUMNS}
+    cols = [F.col("incident_id").cast("string").alias("incident_id"), F.lit(kind).alias("kind")]
+    return df.select(*cols, *[(given[c] if c in given else F.lit(None)).cast(types[c]).alias(c) for c in _BODY_COLS])
+
+
+def body_events(spark, sf):
+    c, svc = F.col, F.element_at("affected_services", 1)
+    inc = A.incidents(spark, sf)
+    anoms = D.detect(A.metrics(spark, sf), gap_s=GAP_S, ttl_s=TTL_S).where(c("severity").isin("CRITICAL", "HIGH"))
+    a = _bodied(anoms, "anomaly", service=c("source_service"), **{x: c(x) for x in (
+        "severity", "anomaly_type", "detection_time", "trigger_metric", "observed_value", "baseline_value", "deviation_sigma", "description", "affected_services")})
+    about = inc.select("id", "anomaly_type", "affected_services", "detection_time")
+    best = A.hypotheses(spark, sf).select("incident_id", F.col("hypothesis").alias("h"), "evidence")
+    rca = QS.rca_frame(spark, sf)
+    top = rca.join(best, (best.incident_id == rca.incident_id) & (c("h") == c("top_root_cause"))).drop(best.incident_id)
+    r = _bodied(top.join(about, c("incident_id") == c("id")), "rca", service=c("service"), blast_affected=c("affected_services"),
+                generated_at=c("detection_time"), **{x: c(x) for x in ("anomaly_type", "top_root_cause", "top_confidence", "evidence")})
+    plan = QS.S.default_steps(rca, A.registry(spark))
+    fields = ("step_id", "priority", "action", "rationale", "risk_level", "rollback", "owner", "expected_outcome")
+    per = plan.groupBy("incident_id").agg(
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("steps"), F.first("escalation_path").alias("escalation_path"),
+        F.first("estimated_resolution_time").alias("estimated_time"), F.sort_array(F.collect_set("runbook_source")).alias("runbook_refs"))
+    waiting = inc.where(c("status") == "RCA_COMPLETE").withColumn("service", svc)
+    p = _bodied(per.join(waiting, c("incident_id") == c("id")), "plan", generated_at=c("detection_time"), **{x: c(x) for x in (
+        "anomaly_type", "service", "top_root_cause", "steps", "escalation_path", "estimated_time", "runbook_refs")})
+    done = inc.where(c("status") == "RESOLVED").withColumn("incident_id", c("id"))
+    s = _bodied(done, "resolved", service=svc, resolved_at=c("resolution_time"), mttr_minutes=mttr_col(), **{x: c(x) for x in (
+        "severity", "anomaly_type", "detection_time", "top_root_cause")})
+    pm = A.postmortems(spark, sf).join(about.withColumnRenamed("id", "incident_id"), "incident_id")
+    m = _bodied(pm, "postmortem", service=svc, postmortem=c("full_markdown"), **{x: c(x) for x in ("anomaly_type", "mttr_minutes", "generated_at")})
+    return a.unionByName(r).unionByName(p).unionByName(s).unionByName(m)
+
+
+def _body_sql(kind: str, **values: str) -> str:
+    """The template of a kind written out as one concatenation."""
+    import re
+
+    parts = re.split(r"\{\{(\w+)\}\}", K.BODIES[kind])
+    return " || ".join("'" + x.replace("'", "''") + "'" if i % 2 == 0 else f"coalesce(({values[x]})::VARCHAR, 'None')" for i, x in enumerate(parts))
+
+
+def _items(arr: str, before: str = "<li>", after: str = "</li>") -> str:
+    return f"array_to_string(list_transform({arr}, lambda x: '{before}' || x || '{after}'), '')"
+
+
+def _label(ms: str) -> str:
+    return f"CASE WHEN {ms} IS NULL OR {ms} = 0 THEN 'N/A' ELSE strftime(make_timestamp({ms} * 1000), '%Y-%m-%d %H:%M:%S') || ' UTC' END"
+
+
+_SHORT = "upper(substr({}::VARCHAR, 1, 8))"
+_STEP_SQL = "'<div>' || s.step_id::VARCHAR || '. ' || s.action || ' [' || replace(s.priority, '_', ' ') || ', risk ' || s.risk_level " \
+            "|| ']<br>Rationale: ' || s.rationale || '<br>Expected: ' || s.expected_outcome || '<br>Rollback: ' || s.rollback " \
+            "|| '<br>Owner: ' || s.owner || '</div>'"
+_MTTR_BODY = "(round((i.resolution_time - i.detection_time) / 1000.0)::BIGINT // 60)"
+_SUM_SQL = "'Incident ' || p.incident_id::VARCHAR || ' was resolved. Impact was limited. '"  # what the adapter's markdown says there
+_BODIES_SQL = f"""
+    SELECT incident_id, 'anomaly' AS kind, {_body_sql('anomaly', severity='severity', anomaly_type='anomaly_type', service='source_service',
+        incident_id_short=_SHORT.format('incident_id'), detection_time=_label('detection_time'), trigger_metric='trigger_metric',
+        observed_value="printf('%.2f', round(observed_value, 2))", baseline_value="printf('%.2f', round(baseline_value, 2))",
+        deviation_sigma="printf('%.1f', round(deviation_sigma, 1))", description='description',
+        affected_services="array_to_string(affected_services, ', ')", user_impact="'Under investigation'", revenue_impact="'Under investigation'",
+        generated_at=_label('detection_time'))} AS body FROM anoms WHERE severity IN ('CRITICAL', 'HIGH')
+    UNION ALL
+    SELECT r.incident_id::VARCHAR, 'rca', {_body_sql('rca', incident_id_short=_SHORT.format('r.incident_id'), top_root_cause='r.top_root_cause',
+        confidence_pct='floor(r.top_confidence * 100)::BIGINT',
+        evidence_list=f"CASE WHEN len(h.evidence) > 0 THEN {_items('h.evidence[1:5]')} ELSE '<li>No evidence collected</li>' END",
+        similar_incidents_html="'<p>No similar incidents found.</p>'", deployment_section="''",
+        signals_list="'<li>Blast radius: [' || array_to_string(list_transform(i.affected_services, lambda x: chr(39) || x || chr(39)), ', ') || ']</li>'",
+        generated_at=_label('i.detection_time'))}
+    FROM ({QS._RCA_SQL}) r JOIN incidents i ON i.id = r.incident_id
+    JOIN hypotheses h ON h.incident_id = r.incident_id AND h.hypothesis = r.top_root_cause
+    UNION ALL
+    SELECT i.id::VARCHAR, 'plan', {_body_sql('plan', incident_id_short=_SHORT.format('i.id'), top_root_cause='substr(i.top_root_cause, 1, 100)',
+        estimated_time=f"'{K.DEFAULT_RESOLUTION_TIME}'", steps_html='t.steps', escalation_path='t.owner',
+        runbook_refs_html="'<ul>' || t.refs || '</ul>'", generated_at=_label('i.detection_time'))}
+    FROM incidents i JOIN (SELECT incident_id, min(owner) AS owner, string_agg({_STEP_SQL}, '' ORDER BY step_id) AS steps,
+          {_items('list_sort(list(DISTINCT s.runbook_source))')} AS refs
+        FROM (SELECT r.incident_id, coalesce(g.on_call_rotation, '{K.DEFAULT_ON_CALL}') AS owner,
+                unnest([{QS._STEPS_SQL}], recursive := true) FROM ({QS._RCA_SQL}) r LEFT JOIN registry g ON g.service_name = r.service) s
+        GROUP BY 1) t ON t.incident_id = i.id WHERE i.status = 'RCA_COMPLETE'
+    UNION ALL
+    SELECT i.id::VARCHAR, 'resolved', {_body_sql('resolved', anomaly_type='i.anomaly_type', service='i.affected_services[1]',
+        incident_id_short=_SHORT.format('i.id'), severity='i.severity', mttr=_MTTR_BODY, resolution_method="'AUTOMATIC_RECOVERY'",
+        top_root_cause="coalesce(i.top_root_cause, 'Under investigation')", detection_time=_label('i.detection_time'),
+        resolved_at=_label('i.resolution_time'), generated_at=_label('i.resolution_time'))} FROM incidents i WHERE i.status = 'RESOLVED'
+    UNION ALL
+    SELECT p.incident_id::VARCHAR, 'postmortem', {_body_sql('postmortem', incident_id_short=_SHORT.format('p.incident_id'),
+        anomaly_type='i.anomaly_type', service='i.affected_services[1]', severity="'HIGH'", mttr='round_even(p.mttr_minutes, 0)::BIGINT',
+        affected_services='i.affected_services[1]', executive_summary=_SUM_SQL, full_markdown='substr(p.full_markdown, 1, 3000)',
+        date=f"substr({_label('p.generated_at')}, 1, 10)", generated_at=_label('p.generated_at'))}
+    FROM postmortems p JOIN incidents i ON i.id = p.incident_id"""
+
+
+@register("n02_bodies", _sql(_BODIES_SQL))
+def q_bodies(spark, sf):
+    return N.with_bodies(body_events(spark, sf)).select("incident_id", "kind", "body")
+
+
 @register("n03_exec_summary", A.with_adapters(f"""
     SELECT incident_id, CASE WHEN len(kept) > 0 THEN array_to_string(kept, ' ') || ' ' ELSE '' END AS exec_summary
     FROM (SELECT incident_id, list_filter(list_transform(body, lambda l: trim(l, {WS_SQL})),
@@ -161,6 +264,8 @@ def q_timeline_facts(spark, sf):
 _WELL = "\n".join(f"- {x}" for x in K.REPORT_WENT_WELL)
 _SERVICE = "coalesce(i.affected_services[1], 'unknown')"
 _MINUTES = f"coalesce(CASE WHEN resolution_time IS NOT NULL THEN {_MTTR} END::VARCHAR, 'N/A')"
+_CAUSE = "coalesce(nullif(i.top_root_cause, ''), 'Under investigation')"
+_TIER = lambda table: "CASE coalesce(g.criticality, 'P1') " + " ".join(f"WHEN '{t}' THEN '{x}'" for t, x in table)
 
 
 @register("n05_report", A.with_adapters(f"""
@@ -172,6 +277,23 @@ _MINUTES = f"coalesce(CASE WHEN resolution_time IS NOT NULL THEN {_MTTR} END::VA
 
 ---
 
+## Executive Summary
+
+' || severity || ' ' || anomaly_type || ' on ' || {_SERVICE} || ' at ' || {_label_sql('detection_time')} || '. ' || coalesce(description, '')
+      || chr(10) || CASE WHEN resolution_time IS NULL THEN 'It is not resolved yet.' ELSE 'It was resolved after ' || {_MINUTES} || ' minutes.' END
+      || ' Root cause: ' || {_CAUSE} || '
+
+---
+
+## Impact
+
+- Affected services: ' || array_to_string(affected_services, ', ') || '
+- Criticality: ' || coalesce(g.criticality, 'P1') || '
+- Users: ' || {_TIER(K.USER_IMPACT)} ELSE '{K.UNKNOWN_USER_IMPACT}' END || '
+- Revenue: ' || {_TIER(K.REVENUE_IMPACT)} ELSE '{K.UNKNOWN_REVENUE_IMPACT}' END || '
+
+---
+
 ## Timeline
 
 ' || coalesce(t.timeline, '') || '
@@ -180,7 +302,13 @@ _MINUTES = f"coalesce(CASE WHEN resolution_time IS NOT NULL THEN {_MTTR} END::VA
 
 ## Root Cause
 
-**Primary Root Cause:** ' || coalesce(nullif(top_root_cause, ''), 'Under investigation') || '
+**Primary Root Cause:** ' || {_CAUSE} || '
+
+---
+
+## Contributing Factors
+
+' || coalesce(f.factors, '- None identified') || '
 
 ---
 
@@ -199,15 +327,26 @@ _MINUTES = f"coalesce(CASE WHEN resolution_time IS NOT NULL THEN {_MTTR} END::VA
 
 ## Action Items
 
-- Review the root cause with the owners of ' || {_SERVICE} || '
+| Action | Owner | Priority |
+|---|---|---|
+' || coalesce(a.actions, '') || '
 
 ---
 
 Incident ID: ' || i.id::VARCHAR || chr(10) AS markdown
-    FROM incidents i LEFT JOIN (SELECT incident_id, string_agg(line, chr(10) ORDER BY pos) AS timeline
-      FROM ({_TIMELINE_SQL}) GROUP BY 1) t ON t.incident_id = i.id""", "incidents", "agent_events"))
+    FROM incidents i LEFT JOIN registry g ON g.service_name = i.affected_services[1]
+    LEFT JOIN (SELECT incident_id, string_agg(line, chr(10) ORDER BY pos) AS timeline
+      FROM ({_TIMELINE_SQL}) GROUP BY 1) t ON t.incident_id = i.id
+    LEFT JOIN (SELECT incident_id, string_agg('- ' || hypothesis, chr(10) ORDER BY rank) AS factors FROM ({QS.RANK_SQL}) WHERE rank > 1
+      GROUP BY 1) f ON f.incident_id = i.id
+    LEFT JOIN (SELECT incident_id, string_agg('| ' || s.action || ' | ' || owner || ' | ' || s.priority || ' |', chr(10) ORDER BY step_id) AS actions
+      FROM (SELECT r.incident_id, coalesce(g.on_call_rotation, '{K.DEFAULT_ON_CALL}') AS owner, unnest([{QS._STEPS_SQL}], recursive := true)
+            FROM ({QS._RCA_SQL}) r LEFT JOIN registry g ON g.service_name = r.service) s GROUP BY 1) a ON a.incident_id = i.id""",
+    "incidents", "agent_events", "registry", "hypotheses"))
 def q_report(spark, sf):
-    return N.report(A.incidents(spark, sf), N.timeline_facts(A.agent_events(spark, sf)))
+    ranked = QS.S.rank(QS._scored(spark, sf))
+    steps = QS.S.default_steps(QS.rca_frame(spark, sf), A.registry(spark))
+    return N.report(A.incidents(spark, sf), N.timeline_facts(A.agent_events(spark, sf)), A.registry(spark), ranked, steps)
 
 
 @register("n06_time_label", A.with_adapters(

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from emberwatch import constants as K
 from emberwatch.functions.columns import band
 from emberwatch.operators import correlate as C
-from emberwatch.operators import retrieve as R
 from emberwatch.operators import score as S
 from emberwatch.plans import q_correlate as QC
 from emberwatch.plans import q_retrieve as QR
 from emberwatch.plans.catalog import register
+from emberwatch.plans.q_detect import GAP_S, TTL_S, anomalies_body
 from emberwatch.sources import adapters as A
 
 
@@ -59,31 +60,54 @@ def q_band(spark, sf):
     return _scored(spark, sf).select("incident_id", "rank", "confidence", band("confidence").alias("band"))
 
 
-_TITLES = {"incidents": "SIMILAR HISTORICAL INCIDENTS", "runbooks": "RELEVANT RUNBOOKS",
-           "architecture": "SERVICE ARCHITECTURE", "deployments": "RECENT DEPLOYMENTS",
-           "postmortems": "POSTMORTEM PATTERNS"}
+_FIRSTS_SQL = "SELECT * FROM anoms QUALIFY row_number() OVER (PARTITION BY source_service ORDER BY incident_id) = 1"
 
 
 def _pack_sql() -> str:
-    order = "[" + ", ".join(f"'{t}'" for t in _TITLES) + "]"
-    head = "CASE collection " + " ".join(f"WHEN '{c}' THEN chr(10) || '=== {t} ===' || chr(10)" for c, t in
-                                         _TITLES.items()) + " ELSE '' END"
+    nl = "chr(10)"
+    titles = dict(K.SECTION_TITLES)
+    order = "[" + ", ".join(f"'{t}'" for t in titles) + "]"
+    head = "CASE collection " + " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in titles.items()) + " END"
     top = f"""SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY rank, chunk_id) AS n
               FROM ({QR.gather_sql()}) QUALIFY n <= 3"""
-    line = ("'[' || collection || ' ' || chunk_id::VARCHAR || '] (relevance ' || printf('%.2f', score) || ')' || chr(10) "
-            "|| substr(content, 1, 400) || chr(10)")
-    secs = f"""SELECT query_id, list_position({order}, collection) AS o, {head} || string_agg({line}, '' ORDER BY n) AS sec
-               FROM ({top}) GROUP BY query_id, collection"""
+    line = (f"'[' || collection || ' ' || chunk_id::VARCHAR || '] (relevance ' || printf('%.2f', score) || ')' || {nl} "
+            f"|| substr(content, 1, 400) || {nl}")
+    secs = f"""SELECT query_id, list_position({order}, collection) AS o, {nl} || {nl} || '=== ' || {head} || ' ===' || {nl}
+               || string_agg({line}, {nl} ORDER BY n) AS sec FROM ({top}) GROUP BY query_id, collection"""
     packs = f"SELECT query_id, string_agg(sec, '' ORDER BY o) AS sections FROM ({secs}) GROUP BY 1"
-    return f"""SELECT q.query_id, '=== INCIDENT DETAILS ===' || chr(10) || 'Incident ID: ' || q.query_id::VARCHAR
-               || chr(10) || 'Service: ' || array_to_string(q.affected_services, ', ') || chr(10) || 'Anomaly Type: '
-               || q.q_type || coalesce(p.sections, '') AS context
-        FROM vector_queries q LEFT JOIN ({packs}) p USING (query_id)"""
-
-
-@register("f07_evidence_pack", A.with_adapters(_pack_sql(), "vectors", "vector_queries"))
+    ev = f"array_to_string(list_transform(string_split(evidence, '|')[1:2], lambda e: {nl} || '    Evidence: ' || e), '')"
+    sigs = f"""SELECT incident_id, string_agg('- [' || signal_type || '] (strength ' || printf('%.2f', round(strength, 2)) || '): '
+               || description || {ev}, {nl} ORDER BY ord) AS lines FROM ({QC.signals_sql('firsts')}) GROUP BY 1"""
+    risks = "'[' || array_to_string(list_transform(d.known_risks, lambda r: chr(39) || r || chr(39)), ', ') || ']'"
+    dep = f"""CASE WHEN d.deployment_id IS NULL THEN '' ELSE {nl} || {nl} || '=== RECENT DEPLOYMENT ===' || {nl} || 'Service: '
+        || d.source_service || ' ' || d.version || {nl} || 'Delta: ' || d.time_delta_minutes::VARCHAR || ' minutes before incident'
+        || {nl} || 'Change type: ' || d.change_type || {nl} || 'Known risks: ' || {risks} || {nl} || 'Correlation confidence: '
+        || printf('%.2f', round(d.correlation_confidence, 2)) END"""
+    return f"""SELECT q.query_id, '=== INCIDENT DETAILS ===' || {nl} || 'Incident ID: ' || q.query_id::VARCHAR || {nl} || 'Service: '
+        || array_to_string(list_sort(list_distinct(list_concat([f.source_service], coalesce(c.cascade, []::VARCHAR[])))), ', ')
+        || {nl} || 'Anomaly Type: ' || f.anomaly_type || {nl} || 'Severity: ' || f.severity || {nl} || 'Description: ' || f.description
+        || {nl} || {nl} || '=== CORRELATION SIGNALS ===' || {nl} || coalesce(s.lines, '- No correlation signals') || {dep}
+        || coalesce(p.sections, '') AS context
+    FROM vector_queries q JOIN firsts f ON f.source_service = q.q_service
+    LEFT JOIN ({QC.casc_list_sql('firsts')}) c ON c.incident_id = f.incident_id
+    LEFT JOIN ({sigs}) s ON s.incident_id = f.incident_id LEFT JOIN ({QC.conf_sql('firsts')}) d ON d.incident_id = f.incident_id
+    LEFT JOIN ({packs}) p ON p.query_id = q.query_id"""
+
+
+@register("f07_evidence_pack", A.with_adapters(_pack_sql(), *QC._ADAPTERS, "vectors", "vector_queries",
+                                               extra={"anoms": anomalies_body(GAP_S, TTL_S), "firsts": _FIRSTS_SQL}))
 def q_evidence(spark, sf):
-    return S.evidence_pack(A.vector_queries(spark, sf), QR._gather(spark, sf))
+    """Each request asks on behalf of the first anomaly of its service, correlated with its context."""
+    anoms = QC._anoms(spark, sf)
+    first = anoms.groupBy("source_service").agg(F.min(F.struct("incident_id", *[c for c in anoms.columns if c not in ("incident_id", "source_service")])).alias("a"))
+    first = first.select("source_service", "a.*")
+    opened = C.correlate(first, A.metrics(spark, sf), A.logs(spark, sf), A.deployments(spark, sf), A.registry(spark), minutes=QC.WIN_MIN,
+                         deploy_minutes=QC.DEP_MIN, lock_s=QC.LOCK_S, recovery_min=QC.REC_MIN)
+    about = opened.join(first.select("incident_id", "description"), "incident_id").select(
+        F.col("source_service").alias("q_service"), "affected_services", "anomaly_type", "severity", "description", "correlation_signals", "deployment_context")
+    asked = A.vector_queries(spark, sf).select("query_id", "q_service").join(about, "q_service")
+    hits = QR._gather(spark, sf).withColumn("title", F.concat_ws(" ", "collection", F.col("chunk_id").cast("string")))
+    return S.evidence_pack(asked, hits)
 
 
 @register("f08_sla_breach", QC._sql(f"""
@@ -118,19 +142,15 @@ def rca_frame(spark, sf):
     return top.join(inc, top.incident_id == inc.id).drop("id", "candidates")
 
 
+_STEPS_SQL = ", ".join("{" + f"'step_id': {i}::BIGINT, " + ", ".join(
+    f"'{k}': replace('{v}', '{{service}}', r.service)" for k, v in step.items()) + "}" for i, step in enumerate(K.DEFAULT_STEPS, 1))
+
+
 @register("f09_default_steps", A.with_adapters(f"""
-    SELECT r.incident_id, r.service, coalesce(g.on_call_rotation, '{S.DEFAULT_ON_CALL}') AS owner,
-           s.step_id, s.priority, s.action, s.risk_level, s.rollback, s.runbook_source
+    SELECT r.incident_id, r.service, coalesce(g.on_call_rotation, '{K.DEFAULT_ON_CALL}') AS owner, s.step_id, s.priority, s.action,
+           s.rationale, s.risk_level, s.rollback, s.expected_outcome, s.runbook_source,
+           [coalesce(g.on_call_rotation, '{K.DEFAULT_ON_CALL}')] AS escalation_path, '{K.DEFAULT_RESOLUTION_TIME}' AS estimated_resolution_time
     FROM ({_RCA_SQL}) r LEFT JOIN registry g ON g.service_name = r.service,
-    LATERAL (SELECT unnest([
-        {{'step_id': 1::BIGINT, 'priority': 'IMMEDIATE',
-          'action': 'Check health endpoint of ' || r.service || ' and review recent logs', 'risk_level': 'LOW',
-          'rollback': 'N/A', 'runbook_source': 'SRE best practice'}},
-        {{'step_id': 2::BIGINT, 'priority': 'IMMEDIATE',
-          'action': 'Rollback the most recent deployment to ' || r.service || ' if deployed in last 60 minutes',
-          'risk_level': 'LOW', 'rollback': 'Redeploy the rolled-back version',
-          'runbook_source': 'deployment-rollback runbook'}}], recursive := true)) s""",
-    "hypotheses", "incidents", "registry"))
+    LATERAL (SELECT unnest([{_STEPS_SQL}], recursive := true)) s""", "hypotheses", "incidents", "registry"))
 def q_steps(spark, sf):
-    return S.default_steps(rca_frame(spark, sf), A.registry(spark)).select(
-        "incident_id", "service", "owner", "step_id", "priority", "action", "risk_level", "rollback", "runbook_source")
+    return S.default_steps(rca_frame(spark, sf), A.registry(spark))

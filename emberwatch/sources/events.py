@@ -31,23 +31,55 @@ def decode(raw: DataFrame, schema: T.StructType, *, value: str = "value") -> tup
                         F.from_json(F.col(value).cast("string"), schema, {"mode": "PERMISSIVE"}).alias("__e"))
     ok = F.col("__e").isNotNull() & F.col("__raw").startswith("{")
     good = parsed.where(ok).select("__e.*")
-    bad = parsed.where(~ok | F.col("__e").isNull()).select(F.col("__raw").alias("raw"))
+    bad = parsed.where(~ok | F.col("__raw").isNull()).select(F.col("__raw").alias("raw"))
     return good, bad
 
 
-def read_events(spark: SparkSession, path_or_topic: str, schema: T.StructType, *, streaming: bool = True,
-                kafka_servers: str | None = None, max_files_per_trigger: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """S-01: subscribe to a topic (Kafka) or a folder of JSON-lines files, decode with `schema`."""
+def read_events(spark: SparkSession, path_or_topic: str, *, streaming: bool = True, kafka_servers: str | None = None,
+                max_files_per_trigger: int | None = None) -> DataFrame:
+    """S-01: the raw messages (`value`, text) of a topic (Kafka) or of a folder of JSON-lines files; `decode` or
+    `ingest_stream` types them."""
+    reader = spark.readStream if streaming else spark.read
     if kafka_servers:
-        reader = spark.readStream if streaming else spark.read
-        raw = (reader.format("kafka").option("kafka.bootstrap.servers", kafka_servers)
-               .option("subscribe", path_or_topic).load().select(F.col("value").cast("string").alias("value")))
-    else:
-        reader = spark.readStream if streaming else spark.read
-        if streaming and max_files_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-        raw = reader.format("text").load(path_or_topic)
-    return decode(raw, schema)
+        return (reader.format("kafka").option("kafka.bootstrap.servers", kafka_servers).option("subscribe", path_or_topic)
+                .option("startingOffsets", "earliest").load().select(F.col("value").cast("string").alias("value")))
+    if streaming and max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.format("text").load(path_or_topic).select("value")
+
+
+def _stored(spark: SparkSession, path: str, schema: T.StructType, number: int) -> DataFrame:
+    """The rows of the batches before batch `number` below `path`: each batch owns the folder of its number."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).where(F.col("batch") < number).drop("batch")
+
+
+def ingest_stream(raw: DataFrame, schema: T.StructType, table: str, rejects: str, checkpoint: str, *, keys: Sequence[str],
+                  after_write=None):
+    """S-01, S-04, S-06 as a stream: decode `raw` (read_events), insert the rows whose key the table does not hold yet,
+    and put undecodable messages into the reject table.
+
+    The batch ledger is the tables' own layout: batch n owns the folder `batch=n` of both. A batch that is repeated after
+    a crash is compared with the batches before it only and overwrites its folder, so every event is stored once,
+    whenever the query dies. Of repeated keys in one batch the first by the other columns stays. Returns the started
+    query. `after_write(n)` runs when batch n is written but not yet committed (tests stop a query there)."""
+    from emberwatch.operators.tables import insert_if_absent
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        good, bad = decode(batch, schema)
+        held = _stored(batch.sparkSession, table, schema, number).select(*keys)
+        # new state less old state: only rows of new keys are written
+        fresh = insert_if_absent(good.limit(0), good, keys=keys).join(held, list(keys), "left_anti")
+        fresh.select(*schema.fieldNames()).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        bad.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+        batch.unpersist()
+        if after_write is not None:
+            after_write(number)
+
+    return (raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def encode(df: DataFrame, *, key: str = "source_service") -> DataFrame:
