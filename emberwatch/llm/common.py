@@ -57,18 +57,27 @@ def hash_bucket(text: Column, buckets: int) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long") % F.lit(buckets)).cast("int")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """`name`, with underscores before it until no column is called that."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
 def numbered(df: DataFrame, group: list[str], bucket: Column, order: list[str], out: str) -> DataFrame:
     """Gapless numbers from 0 within each group, without one task per group: rows are numbered inside hash
     buckets and shifted by the running total of the buckets before (a table of groups x buckets rows)."""
-    with_b = df.withColumn("_bucket", bucket)
-    upto = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = (with_b.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-            .withColumn("_base", F.coalesce(F.sum("_n").over(upto), F.lit(0))).drop("_n"))
-    inside = Window.partitionBy(*group, "_bucket").orderBy(*order)
-    return (with_b.withColumn("_at", F.row_number().over(inside) - 1)
-            .join(base, [*group, "_bucket"])
-            .withColumn(out, (F.col("_base") + F.col("_at")).cast("long"))
-            .drop("_bucket", "_base", "_at"))
+    in_bucket, base_of, at = (fresh(c, df.columns) for c in ("_bucket", "_base", "_at"))
+    with_b = df.withColumn(in_bucket, bucket)
+    upto = Window.partitionBy(*group).orderBy(in_bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = with_b.groupBy(*group, in_bucket).agg(F.count(F.lit(1)).alias("n"))
+    base = sizes.select(*group, in_bucket, F.coalesce(F.sum("n").over(upto), F.lit(0)).alias(base_of))
+    inside = Window.partitionBy(*group, in_bucket).orderBy(*order)
+    return (with_b.withColumn(at, F.row_number().over(inside) - 1)
+            .join(base, [*group, in_bucket])
+            .withColumn(out, (F.col(base_of) + F.col(at)).cast("long"))
+            .drop(in_bucket, base_of, at))
 
 
 def runs(sizes, limit: int) -> Iterator[tuple[int, int]]:

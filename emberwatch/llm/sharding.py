@@ -27,17 +27,15 @@ class Shard(NamedTuple):
     weight: float
 
 
-def topology(shards: int, per_rack: int = 2, racks: int = 2, full: int | None = None) -> list[Shard]:
-    """Equal-weight shards, `per_rack` to a rack and `racks` to a region. Shards from number `full` on stand in
-    regions of their own, so that adding one moves keys only into itself."""
-    full = shards if full is None else full
-    out = []
-    for s in range(shards):
-        if s < full:
-            out.append(Shard(s // (per_rack * racks), s // per_rack, s, 1.0))
-        else:
-            out.append(Shard(1_000_000 + s, 1_000_000 + s, s, 1.0))
-    return out
+BASE = 8             # shards that form the tree of racks and regions; every later one is a region of its own
+ATTEMPTS = 64        # draws in the tree for fewer shards than it has
+
+
+def topology(shards: int, per_rack: int = 2, racks: int = 2) -> list[Shard]:
+    """Equal-weight shards: the first BASE of them `per_rack` to a rack and `racks` to a region; every later one stands
+    in a region of its own, so that one more shard moves keys only into itself."""
+    return [Shard(s // (per_rack * racks), s // per_rack, s, 1.0) if s < BASE else Shard(1_000_000 + s, 1_000_000 + s, s, 1.0)
+            for s in range(shards)]
 
 
 def _winner(key: Column, kind: str, children: Column) -> Column:
@@ -76,6 +74,18 @@ def place(key: Column, shards: list[Shard]) -> Column:
     return _winner(key, "shard", F.element_at(table_of(leaves), rack))
 
 
+def place_among(key: Column, shards: int) -> Column:
+    """Shard of a key among `shards` equal shards, decided by the key and that count alone. From `shards` to one more,
+    for any count, keys move only into the new shard: below BASE a key takes the first of its draws in the whole tree
+    that names a shard there is (or, after ATTEMPTS misses, the best of a flat draw)."""
+    if shards >= BASE:
+        return place(key, topology(shards))
+    key = F.coalesce(key, F.lit("\\N"))
+    again = F.transform(F.sequence(F.lit(1), F.lit(ATTEMPTS - 1)), lambda t: place(F.concat(key, F.lit("|"), t.cast("string")), topology(BASE)))
+    drawn = F.concat(F.array(place(key, topology(BASE))), again)
+    return F.coalesce(F.get(F.filter(drawn, lambda s: s < shards), F.lit(0)), _winner(key, "flat", _children({s: 1.0 for s in range(shards)})))
+
+
 def shard_documents(docs: DataFrame, shards: list[Shard], grown: list[Shard] | None = None,
                     slot_buckets: int = SLOT_BUCKETS) -> DataFrame:
     """Place every document.
@@ -94,13 +104,15 @@ def shard_documents(docs: DataFrame, shards: list[Shard], grown: list[Shard] | N
         place(key, shards).cast("int").alias("shard"),
         (place(key, grown).cast("int") if grown else F.lit(None).cast("int")).alias("grown_shard"),
     )
-    bucket = hash_bucket(F.concat(F.lit("slot|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("\\N"))), slot_buckets)
+    # by id and text, so neither rows without an id nor many rows of one id share a bucket
+    bucket = hash_bucket(F.concat(F.lit("slot|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("\\N")), F.lit("|"),
+                                  F.col("text_crc32").cast("string")), slot_buckets)
     out = numbered(rows, ["shard"], bucket, ["doc_id", "text_crc32", "size"], "slot")
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_documents(table(spark, sf_dir, "documents"), topology(8), topology(9, full=8))
+    return shard_documents(table(spark, sf_dir, "documents"), topology(8), topology(9))
 
 
 def _sql_pick(kind: str, nodes: list[tuple[int, float]]) -> str:
@@ -139,8 +151,8 @@ sums AS (SELECT doc_id, k, strlen(text) + 1 AS size,
         list_transform(range(0, strlen(text)), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
       lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
   FROM bytes, crc),
-placed AS (SELECT *, {_sql_place(topology(8))} AS shard, {_sql_place(topology(9, full=8))} AS grown_shard,
-  ('0x' || substr(md5('slot|' || k), 1, 7))::BIGINT % {SLOT_BUCKETS} AS b FROM sums)
+placed AS (SELECT *, {_sql_place(topology(8))} AS shard, {_sql_place(topology(9))} AS grown_shard,
+  ('0x' || substr(md5('slot|' || k || '|' || text_crc32::VARCHAR), 1, 7))::BIGINT % {SLOT_BUCKETS} AS b FROM sums)
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INT AS shard,
   row_number() OVER (PARTITION BY shard ORDER BY b, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
   grown_shard::INT AS grown_shard
