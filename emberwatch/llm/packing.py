@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberwatch.llm import tokens
-from emberwatch.llm.common import numbered, slices, staged, table
+from emberwatch.llm.common import fresh, numbered, slices, staged, table
 
 CAPACITY = 2048
 END = 0              # id that closes every document
@@ -203,11 +203,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     span = max(histogram.values(), default=0) + 1
     keys, sequence, first, offset = plan.length * span + plan.number, plan.sequence, plan.number, plan.offset
     order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLOT_BUCKETS)).cast("int")
-    ranked = numbered(pieces, ["length"], bucket, order, "_number")
-    schema = T.StructType([f for f in ranked.schema if f.name != "_number"]
+    bucket = F.pmod(F.xxhash64(*order), F.lit(SLOT_BUCKETS)).cast("int")  # with the ids' crc, so rows of one id are spread
+    number_of = fresh("_number", pieces.columns)
+    ranked = numbered(pieces, ["length"], bucket, order, number_of)
+    schema = T.StructType([f for f in ranked.schema if f.name != number_of]
                           + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    at_length, at_number = ranked.columns.index("length"), ranked.columns.index("_number")
+    at_length, at_number = ranked.columns.index("length"), ranked.columns.index(number_of)
 
     def rows(batches):
         for batch in batches:
