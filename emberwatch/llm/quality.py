@@ -178,19 +178,22 @@ def _held_out(folds: int = 5):
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Gam:
     """Fit on at most `max_train` labelled documents (those of smallest hash, the same at any partitioning) outside
-    the held-out fold. Null labels do not count; of contradicting labels of one document the lower holds."""
+    the held-out fold. Null labels do not count; of contradicting labels of one document the lower holds, and of several
+    texts under one doc_id the one of smallest hash is learned from, so the rows are bounded as the labels are."""
     known = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out())
              .groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
     # the sample's size is bounded by max_train, so it may be broadcast and the texts stay where they are
-    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y")
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y", "doc_id", F.xxhash64("text").alias("h"))
 
     def rows(batches):
         for batch in batches:
             x = np.array([features(t) for t in batch.column(0).to_pylist()]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), *batch.columns[1:]], ["x", "y", "doc_id", "h"])
 
-    got = texts.mapInArrow(rows, "x array<double>, y double").toArrow()  # at most max_train rows of numbers
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    one = texts.mapInArrow(rows, f"x array<double>, y double, doc_id {kind}, h long").groupBy("doc_id").agg(F.min(F.struct("h", "x", "y")).alias("r"))
+    got = one.select("r.x", "r.y").toArrow()  # at most max_train rows of numbers
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
     y = got.column("y").to_numpy()
     order = np.lexsort((*x.T[::-1], y))  # sums of doubles depend on the order
