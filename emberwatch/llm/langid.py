@@ -33,16 +33,22 @@ UNKNOWN = "und"
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[c for c in range(128) if not (65 <= c <= 90 or 97 <= c <= 122)]] = 32
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """A character of the Unicode categories of letters; digits, fractions, powers and numerals are none."""
+    return any(map(str.isalpha, text))
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed trigrams of a whole text and how often each occurs."""
     raw = np.frombuffer(b" " + text.lower().encode("utf-8", "replace") + b" ", np.uint8)
     total = np.zeros(BUCKETS, np.int64) if len(raw) > CHUNK else None
+    tail = np.zeros(0, np.uint8)  # the last two folded characters, so pieces count as the whole text would
     for start in range(0, len(raw), CHUNK):
-        part = _FOLD[raw[max(0, start - 2):start + CHUNK]]
-        part = part[np.concatenate([[True], (part[1:] != 32) | (part[:-1] != 32)])].astype(np.uint32)
+        part = np.concatenate([tail, _FOLD[raw[start:start + CHUNK]]])
+        part = part[np.concatenate([[True], (part[1:] != 32) | (part[:-1] != 32)])]
+        tail, part = part[-2:], part.astype(np.uint32)
         code = ((part[:-2] << 16 | part[1:-1] << 8 | part[2:]) * np.uint32(2654435761)) >> np.uint32(32 - 14)
         if total is None:
             return np.unique(code, return_counts=True)
@@ -98,7 +104,7 @@ def _mixture(p, c, starts, doc, steps):
 def predict(texts: list[str | None], langs: list[str], logp: np.ndarray) -> list[tuple[str, float, list[str], list[float]]]:
     """(language, score, chosen set, proportions) of each text; logp is trigrams x languages."""
     out = [(UNKNOWN, 0.0, [], [])] * len(texts)
-    found = [i for i, t in enumerate(texts) if t and langs and _LETTER.search(t)]
+    found = [i for i, t in enumerate(texts) if t and langs and has_letter(t)]
     sizes = [min(len(texts[i]), BUCKETS) for i in found]  # no text has more distinct trigrams
     for a, b in runs(sizes, max(1, CELLS // max(1, len(langs)))):
         ids = found[a:b]

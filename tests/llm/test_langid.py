@@ -6,13 +6,18 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_chunked_counts_equal_whole(monkeypatch):
-    text = "Ein Satz, zwei Sätze; drei??? " * 500
-    whole = grams(text)
-    monkeypatch.setattr(langid, "CHUNK", 1000)
-    got = grams(text)
-    # a run of blanks at a chunk's border may be folded in two parts
-    assert abs(int(got[1].sum()) - int(whole[1].sum())) <= 2 * len(text) // 1000 + 2
-    assert len(np.setxor1d(got[0], whole[0])) <= 3
+    texts = ["Ein Satz, zwei Sätze; drei??? " * 500, "a" + " " * 997 + "bc" + "\n" * 3000 + "d", " " * 5000, "x" * 4001 + "   " * 700 + "yz"]
+    whole = [grams(t) for t in texts]
+    for chunk in (1000, 999, 7, 3):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        for text, (at, n) in zip(texts, whole, strict=True):
+            got = grams(text)
+            assert got[0].tolist() == at.tolist() and got[1].tolist() == n.tolist()
+
+
+def test_numerals_are_no_letters():
+    logp = np.full((langid.BUCKETS, 1), -9.0)
+    assert [predict([t], ["aa"], logp)[0][0] for t in ("²½Ⅳ 12", "٣", "x²", "字")] == ["und", "und", "aa", "aa"]
 
 
 def test_held_out_accuracy_and_mixtures(spark):
