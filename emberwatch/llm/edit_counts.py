@@ -12,6 +12,7 @@ Trees are built and edited row by row inside Arrow batches: no shuffle, and a ro
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -169,13 +170,43 @@ def apply_edits(trees: DataFrame, edits_of=None, paths: tuple[str, str] | None =
     return trees.select(*cols).mapInArrow(rows, schema)
 
 
-_PERSONAL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\+?\d[\d ().-]{6,}\d|AKIA[0-9A-Z]{16}")
+_RUN = re.compile(r"[\w.+-]+")
+_DOMAIN = re.compile(r"[\w-]++(?:\.[\w-]++)+")
+_MAIL = re.compile(r"(?<![\w.+-])[\w.+-]++@[\w-]++(?:\.[\w-]++)+")  # a run is entered at its start only: linear
+_NUMBER = re.compile(r"\+?\d[\d ().-]{6,}\d|AKIA[0-9A-Z]{16}")
+
+
+def personal_spans(text: str):
+    """Spans of mail addresses, phone numbers and access keys, from left to right without overlap; where two begin at one
+    place the address wins. The work is linear in the text, whatever its unbroken runs."""
+    pos, run_end = 0, 0
+    mail, number = _MAIL.search(text), _NUMBER.search(text)
+    while True:
+        if number is not None and number.start() < pos:
+            number = _NUMBER.search(text, pos)
+        if mail is not None and mail.start() < pos:
+            mail = _MAIL.search(text, pos)
+        first = None if mail is None else mail.span()
+        if pos:  # a number may have ended inside a run, which then goes on here
+            if pos >= run_end:
+                rest = _RUN.match(text, pos)
+                run_end = rest.end() if rest else pos
+            if run_end > pos and text.startswith("@", run_end):
+                domain = _DOMAIN.match(text, run_end + 1)
+                if domain:
+                    first = pos, domain.end()
+        if number is not None and (first is None or number.start() < first[0]):
+            first = number.span()
+        if first is None:
+            return
+        yield first
+        pos = first[1]
 
 
 def cleaning_edits(text: str) -> list[tuple[int, int, str]]:
     """The edits of a usual cleaning pass, from the end of the text to its start: personal data and keys become a tag,
     lines that repeat an earlier line of the text go."""
-    edits = [(m.start(), m.end(), "[redacted]") for m in _PERSONAL.finditer(text)]
+    edits = [(a, b, "[redacted]") for a, b in personal_spans(text)]
     seen, at, gone = set(), 0, []
     for line in text.split("\n"):
         end = at + len(line)
@@ -184,8 +215,14 @@ def cleaning_edits(text: str) -> list[tuple[int, int, str]]:
                 gone.append((max(0, at - 1), end, ""))
             seen.add(line)
         at = end + 1
-    edits = [e for e in edits if not any(a <= e[0] and e[1] <= b for a, b, _ in gone)] if gone else edits
-    # a tag never reaches over a line that goes, as neither kind of match holds part of the other's line break
+    if gone:  # a tag never reaches over a line that goes, as neither kind of match holds part of the other's line break
+        starts = [a for a, _, _ in gone]
+
+        def inside(e) -> bool:
+            k = bisect_right(starts, e[0]) - 1
+            return k >= 0 and e[1] <= gone[k][1]
+
+        edits = [e for e in edits if not inside(e)]
     return sorted(edits + gone, reverse=True)
 
 

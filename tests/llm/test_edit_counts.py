@@ -62,3 +62,22 @@ def test_cleaning_edits():
     for a, b, new in cleaning_edits(text):
         text = text[:a] + new + text[b:]
     assert text == "Mail [redacted] now\nsame line\nother\n\n\ncall [redacted]"
+
+
+def test_personal_spans_equal_the_plain_pattern_and_take_linear_time():
+    import random
+    import re
+    import time
+
+    from emberwatch.llm.edit_counts import personal_spans
+
+    plain = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\+?\d[\d ().-]{6,}\d|AKIA[0-9A-Z]{16}")
+    rng = random.Random(5)
+    parts = ["a", "b.c", "@", "@x.y", "12 345 678", "+49 (30) 123-45", " ", "-", "AKIA" + "A1" * 8, "9", "\n", "ü", "(1) 234 567", "."]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        assert list(personal_spans(text)) == [m.span() for m in plain.finditer(text)], text
+    for text in ("x" * 5_000_000, "a@" + "b-" * 1_000_000, "12345678-a" * 200_000, "1" + " " * 2_000_000):
+        start = time.time()
+        list(personal_spans(text))
+        assert time.time() - start < 10
