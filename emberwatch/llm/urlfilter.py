@@ -34,7 +34,8 @@ class Rule(NamedTuple):
 RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"),
          Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
 
-LEVELS = 8          # deeper segments count as one last segment '**'
+HOT = 10_000        # pages of one host and path shape from which on their rows are spread ...
+SHARE = 1_000       # ... or one of so many parts of all pages, if that is more; so there are at most SHARE such shapes
 DIFFERS = 5.991     # 95 % point of chi-square with two degrees of freedom
 SMOOTHING = 2.0     # pseudo-pages at the overall blocked share
 REJECT_AT = 0.7
@@ -61,13 +62,12 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
         ((host == r["host"]) | F.endswith(host, F.concat(F.lit("."), r["host"]))) & F.startswith(path, r["path"]))))
 
 
-def typed_segments(path: Column, levels: int) -> Column:
-    """Segments after the leading slash, typed; what is deeper than `levels` becomes one '**'."""
-    segments = F.when(path == "", F.array().cast("array<string>")).otherwise(
+def typed_segments(path: Column) -> Column:
+    """Segments after the leading slash, typed."""
+    return F.when(path == "", F.array().cast("array<string>")).otherwise(
         F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), lambda s: F.when(
             s.rlike("^[0-9a-fA-F-]{8,}$") & s.rlike("[0-9]"), F.lit("{h}")
         ).otherwise(F.regexp_replace(s, "[0-9]+", "{n}"))))
-    return F.when(F.size(segments) > levels, F.concat(F.slice(segments, 1, levels - 1), F.array(F.lit("**")))).otherwise(segments)
 
 
 def _sums() -> list[Column]:
@@ -89,27 +89,36 @@ def _chi_square() -> Column:
                   + cell(none, all_none)).otherwise(F.lit(0.0))
 
 
-def template_tree(counts: DataFrame, levels: int = LEVELS, differs: float = DIFFERS) -> DataFrame:
-    """`counts`: host, segments, n, blocked, allowed. Adds `template`, the generalised path of each row."""
-    tree = staged(counts.withColumn("template", F.lit("")), "url-tree")
-    depth = tree.agg(F.max(F.size("segments"))).first()[0] or 0  # one number, at most `levels`
-    for d in range(min(depth, levels)):
-        tree = tree.withColumn("child", F.get("segments", F.lit(d)))
-        kids = tree.where(F.col("child").isNotNull()).groupBy("host", "template", "child").agg(*_sums())
+def template_tree(counts: DataFrame, differs: float = DIFFERS) -> DataFrame:
+    """`counts`: host, segments, n, blocked, allowed. Adds `template`, the generalised path of each row.
+
+    All levels of the table are walked, until no two rows of a host share a template that goes on; a row that is alone
+    under its template has no siblings to be compared with, so the rest of its path stays as it is."""
+    open_, done, d = counts.withColumn("template", F.lit("")), [], 0
+    while True:
+        open_ = staged(open_, f"url-tree-{d}")
+        done.append(open_.where(F.size("segments") <= d))
+        going = open_.where(F.size("segments") > d).withColumn("child", F.get("segments", F.lit(d)))
+        if going.isEmpty():
+            break
+        kids = going.groupBy("host", "template", "child").agg(*_sums(), F.count(F.lit(1)).alias("rows"))
         pool = kids.groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("kids"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "blocked", "allowed")])
+            F.count(F.lit(1)).alias("kids"), F.sum("rows").alias("all_rows"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "blocked", "allowed")])
         step = kids.join(pool, ["host", "template"]).select(
-            "host", "template", "child",
+            "host", "template", "child", (F.col("all_rows") == 1).alias("_alone"),
             F.when((F.col("kids") == 1) | (_chi_square() >= differs), F.col("child")).otherwise(F.lit("*")).alias("_as"))
-        tree = (tree.join(step, ["host", "template", "child"], "left")
-                .withColumn("template", F.when(F.col("child").isNull(), F.col("template"))
-                            .otherwise(F.concat("template", F.lit("/"), "_as")))
-                .drop("child", "_as"))
-        tree = staged(tree, f"url-tree-{d + 1}")
-    return tree
-
-
-def judge_urls(pages: DataFrame, rules: list[Rule] = RULES, levels: int = LEVELS, differs: float = DIFFERS,
+        rest = F.array_join(F.expr(f"slice(segments, {d + 1}, size(segments) - {d})"), "/")
+        moved = staged(going.join(step, ["host", "template", "child"]).withColumn(
+            "template", F.concat("template", F.lit("/"), F.when(F.col("_alone"), rest).otherwise(F.col("_as")))).drop("child", "_as"), "url-moved")
+        done.append(moved.where("_alone").drop("_alone"))
+        open_, d = moved.where("NOT _alone").drop("_alone"), d + 1
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def judge_urls(pages: DataFrame, rules: list[Rule] = RULES, differs: float = DIFFERS,
                smoothing: float = SMOOTHING, reject_at: float = REJECT_AT) -> DataFrame:
     """Judge every page's url.
 
@@ -119,19 +128,26 @@ def judge_urls(pages: DataFrame, rules: list[Rule] = RULES, levels: int = LEVELS
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules)).select(
         "page_id", "host", "path", F.col("_rule")["name"].alias("rule"), F.col("_rule")["action"].alias("_action"),
-        typed_segments(F.col("path"), levels).alias("segments"))
+        typed_segments(F.col("path")).alias("segments"))
     counts = rows.groupBy("host", "segments").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_action") == "block", 1)).alias("blocked"),
         F.count(F.when(F.col("_action") == "allow", 1)).alias("allowed"))
-    tree = template_tree(counts, levels, differs)
-    overall = tree.agg(((F.sum("blocked") + 1.0) / (F.sum("blocked") + F.sum("allowed") + 2.0)).alias("p")).first()[0]
+    tree = template_tree(counts, differs)
+    overall, total = tree.agg((F.sum("blocked") + 1.0) / (F.sum("blocked") + F.sum("allowed") + 2.0), F.sum("n")).first()
     prior = F.lit(0.5 if overall is None else overall)
     labelled = F.col("blocked") + F.col("allowed")
     purity = tree.groupBy("host", "template").agg(*_sums()).select(
         "host", "template", ((F.col("blocked") + prior * smoothing) / (labelled + smoothing)).alias("purity"),
         (labelled > 0).alias("_seen"))
-    leaf = tree.select("host", "segments", "template").join(purity, ["host", "template"])
-    return rows.join(leaf, ["host", "segments"]).select(
+    leaf = tree.select("host", "segments", "n", "template").join(purity, ["host", "template"])
+    # pages of a very common shape go to several tasks: its judgement is copied, and each page picks a copy
+    limit = max(HOT, (total or 0) // SHARE)
+    parts = F.ceil(F.col("n") / limit).cast("int")
+    hot = leaf.where(F.col("n") > limit).select("host", "segments", parts.alias("_parts"))  # at most SHARE rows
+    spread = rows.join(F.broadcast(hot), ["host", "segments"], "left").withColumn(
+        "_part", F.pmod(F.xxhash64("page_id", "path"), F.coalesce("_parts", F.lit(1)).cast("long")).cast("int"))
+    copies = leaf.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > limit, parts).otherwise(1) - 1)))
+    return spread.join(copies, ["host", "segments", "_part"]).select(
         "page_id", "host", "path", "rule",
         F.when(F.col("_action").isNotNull(), F.col("_action"))
         .when(F.col("_seen") & (F.col("purity") >= reject_at), F.lit("block")).otherwise(F.lit("allow")).alias("verdict"),
@@ -142,6 +158,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+TWIN_LEVELS = 8     # SQL has no loop: the twin walks so many levels, more than the given tables have
+
+
 def _oracle() -> str:
     rules = ", ".join(f"({len(r.name)}, '{r.name}', '{r.action}', '{r.host}', '{r.path}')" for r in RULES)
     sql = f"""
@@ -158,10 +177,10 @@ seg AS (SELECT p.*, f.rule, f.action, CASE WHEN path = '' THEN CAST([] AS VARCHA
     WHEN regexp_matches(s, '^[0-9a-fA-F-]{{8,}}$') AND regexp_matches(s, '[0-9]') THEN '{{h}}'
     ELSE regexp_replace(s, '[0-9]+', '{{n}}', 'g') END) END AS s0
   FROM parts p LEFT JOIN fit f USING (k)),
-rows_ AS (SELECT *, CASE WHEN len(s0) > {LEVELS} THEN list_append(s0[1:{LEVELS - 1}], '**') ELSE s0 END AS segments FROM seg),
+rows_ AS (SELECT *, s0 AS segments FROM seg),
 t0 AS (SELECT host, segments, count(*) AS n, count(*) FILTER (action = 'block') AS blocked,
   count(*) FILTER (action = 'allow') AS allowed, '' AS template FROM rows_ GROUP BY host, segments)"""
-    for d in range(LEVELS):
+    for d in range(TWIN_LEVELS):
         cells = " + ".join(
             f"(CASE WHEN {both} > 0 THEN ({x} - n * {both} / all_n) * ({x} - n * {both} / all_n) / (n * {both} / all_n)"
             f" + ({both} - {x} - (all_n - n) * {both} / all_n) * ({both} - {x} - (all_n - n) * {both} / all_n)"
@@ -179,14 +198,14 @@ t{d + 1} AS (SELECT t.host, t.segments, t.n, t.blocked, t.allowed, CASE WHEN len
   THEN t.template || '/' || a.gen ELSE t.template END AS template FROM t{d} t
   LEFT JOIN a{d} a ON a.host = t.host AND a.template = t.template AND a.child = t.segments[{d + 1}])"""
     return sql + f""",
-prior AS (SELECT coalesce((sum(blocked) + 1.0::DOUBLE) / (sum(blocked) + sum(allowed) + 2.0::DOUBLE), 0.5) AS p FROM t{LEVELS}),
+prior AS (SELECT coalesce((sum(blocked) + 1.0::DOUBLE) / (sum(blocked) + sum(allowed) + 2.0::DOUBLE), 0.5) AS p FROM t{TWIN_LEVELS}),
 pure AS (SELECT host, template, (sum(blocked)::DOUBLE + any_value(p) * {SMOOTHING}::DOUBLE)
     / (sum(blocked)::DOUBLE + sum(allowed)::DOUBLE + {SMOOTHING}::DOUBLE) AS purity,
-  sum(blocked) + sum(allowed) > 0 AS seen FROM t{LEVELS}, prior GROUP BY host, template)
+  sum(blocked) + sum(allowed) > 0 AS seen FROM t{TWIN_LEVELS}, prior GROUP BY host, template)
 SELECT r.page_id, r.host, r.path, r.rule,
   CASE WHEN r.action IS NOT NULL THEN r.action WHEN p.seen AND p.purity >= {REJECT_AT} THEN 'block' ELSE 'allow' END AS verdict,
   t.template, p.purity
-FROM rows_ r JOIN t{LEVELS} t ON t.host = r.host AND t.segments = r.segments
+FROM rows_ r JOIN t{TWIN_LEVELS} t ON t.host = r.host AND t.segments = r.segments
 JOIN pure p ON p.host = t.host AND p.template = t.template
 """
 

@@ -34,6 +34,26 @@ def test_similar_branches_merge_and_different_ones_stay(spark):
     assert len({rows[i].template for i in range(40, 70)}) == 1 and "{n}" in rows[40].template or "*" in rows[40].template
 
 
-def test_deep_paths_are_kept_whole(spark):
-    rows = judge_urls(pages(spark, ["http://d.io/" + "/".join("abcdefghijklmnop"), "http://d.io/"]), levels=4).collect()
-    assert sorted(r.template for r in rows)[-1].count("/") <= 4 and max(len(r.path) for r in rows) == 32
+def test_deep_paths_are_kept_whole_and_told_apart(spark):
+    """Two branches that part at the ninth segment, one blocked and one allowed."""
+    deep = "http://d.io/a/b/c/d/e/f/g/h/"
+    urls = [f"{deep}{kind}/{'x' * (i % 9)}p{i}q" for kind in ("spam", "good") for i in range(40)] + ["http://d.io/", "http://e.io/" + "/".join("abcdefghijklmnop")]
+    rules = [Rule("block", "d.io", "/a/b/c/d/e/f/g/h/spam/"), Rule("allow", "d.io", "/a/b/c/d/e/f/g/h/good/")]
+    rows = {r.page_id: r for r in judge_urls(pages(spark, urls), rules=rules).collect()}
+    assert rows[0].purity > 0.9 and rows[40].purity < 0.1
+    assert rows[81].template == "/" + "/".join("abcdefghijklmnop") and len(rows) == 82
+
+
+def test_equally_long_rules_and_hot_shapes(spark, monkeypatch):
+    from emberwatch.llm import urlfilter
+
+    monkeypatch.setattr(urlfilter, "HOT", 5)
+    rules = [Rule("block", "b.io", "/x/"), Rule("allow", "a.b.io", "/")]
+    rows = judge_urls(pages(spark, ["http://a.b.io/x/1"] * 60 + ["http://b.io/x/2"]), rules=rules).collect()
+    assert len(rows) == 61 and sorted({r.page_id for r in rows}) == list(range(61))
+    equal = [Rule("block", "b.io", "/xy"), Rule("allow", "ab.io", "/x")]  # names of seven characters fit one url each
+    got = {r.host: r.rule for r in judge_urls(pages(spark, ["http://ab.io/xyz", "http://b.io/xyz", "http://c.b.io/x"]), rules=equal).collect()}
+    assert got == {"ab.io": "ab.io/x", "b.io": "b.io/xy", "c.b.io": None}
+    tied = [Rule("block", "b.io", "/x/"), Rule("allow", "a.b.io", "/")]
+    assert {len(r.name) for r in tied} == {7}
+    assert {r.rule for r in judge_urls(pages(spark, ["http://a.b.io/x/1"]), rules=tied).collect()} == {"b.io/x/"}  # the later name
