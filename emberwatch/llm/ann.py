@@ -4,7 +4,10 @@ Each tree splits a bounded sample (the vectors of smallest hash) by the hyperpla
 median, down to small leaves. Every vector of the table is then routed to its leaf in every tree: that is the index. A
 query walks all trees through one priority queue, always opening the branch whose hyperplane it misses by least, until
 the leaves it has opened hold a given share of the sample; all indexed vectors of those leaves are its candidates and
-are ranked by their exact cosine in double precision.
+are ranked by their exact cosine in double precision. The share is fitted: members of the sample are asked, and it is the
+least with which they find RECALL of their true neighbours in the sample. Vectors with structure need a small share;
+random directions, which no index tells apart, a large one. In a larger table true neighbours lie nearer, so the share
+rather errs upwards, and it does not depend on the table's size otherwise.
 
 Equal vectors are one class with its smallest ids (one more than the neighbours asked for, so that a query can leave
 itself out), so copies make neither a large leaf nor more candidates; equal query vectors are searched once. Queries
@@ -27,8 +30,8 @@ SAMPLE = 20_000          # bound of the sample the trees are fitted on ...
 SAMPLE_CELLS = 4_000_000  # ... and of its numbers, for long vectors
 TREES = 24
 LEAF = 48
-SHARE = 0.45             # of the sample that a query's leaves hold; measured recall is in the README
-AT_LEAST = 2_000         # sample members a query's leaves hold at least
+RECALL = 0.95            # share of their sample neighbours that sample queries are to find; sets how many leaves are opened
+ASKED = 200              # sample members asked for that
 ROW_BLOCK = 20_000
 QUERY_BLOCK = 2_000
 
@@ -102,26 +105,58 @@ def leaves_of(forest: Forest, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def open_leaves(forest: Forest, q: np.ndarray, budget: float) -> list[int]:
-    """Leaves a query opens, nearest margin first over all trees, until they hold `budget` sample members."""
+def _walk(forest: Forest, q: np.ndarray):
+    """Leaf numbers, nearest margin first over all trees."""
     side = (forest.normal @ q - forest.cut).tolist()
     child = forest.child.tolist()
     queue = [(0.0, root) for root in forest.roots]
     heapq.heapify(queue)
-    seen, held, out = np.zeros(forest.size, bool), 0, []
-    while queue and held < budget:
+    while queue:
         margin, node = heapq.heappop(queue)
         while node >= 0:
             right = side[node] >= 0
             heapq.heappush(queue, (max(margin, abs(side[node])), child[node][not right]))
             node = child[node][right]
-        rows = forest.members[-node - 1]
+        yield -node - 1
+
+
+def open_leaves(forest: Forest, q: np.ndarray, budget: float) -> list[int]:
+    """Leaves a query opens until they hold `budget` sample members."""
+    seen, held, out = np.zeros(forest.size, bool), 0, []
+    for leaf in _walk(forest, q):
+        rows = forest.members[leaf]
         held += len(rows) - int(seen[rows].sum())
         seen[rows] = True
-        out.append(-node - 1)
+        out.append(leaf)
+        if held >= budget:
+            break
     return out
 
 
+def fitted_share(forest: Forest, sample: np.ndarray, k: int, recall: float = RECALL, asked: int = ASKED) -> float:
+    """The least share of the sample that opened leaves must hold so that sample members find `recall` of their k
+    nearest other members."""
+    ask = np.random.default_rng(5).permutation(len(sample))[:asked]
+    needed = []
+    for i in ask:
+        score = sample @ sample[i]
+        score[i] = -np.inf
+        near = np.argpartition(-score, min(k, len(sample) - 1) - 1)[:k] if len(sample) > 1 else np.zeros(0, int)
+        held_at = np.full(len(sample), len(sample), float)
+        seen, held, left = np.zeros(len(sample), bool), 0, set(near.tolist())
+        for leaf in _walk(forest, sample[i]):
+            rows = forest.members[leaf]
+            new = rows[~seen[rows]]
+            held += len(new)
+            seen[new] = True
+            held_at[new] = held
+            left.difference_update(new.tolist())
+            if not left:
+                break
+        needed += held_at[near].tolist()
+    return float(np.quantile(needed, recall, method="higher")) / len(sample) if needed else 1.0
+
+
 def _summed(x: np.ndarray) -> np.ndarray:
     """Row sums from left to right, the same however many rows there are."""
     return np.cumsum(x, axis=1)[:, -1]
@@ -162,12 +197,12 @@ def best_of_block(rows: pd.DataFrame, queries: pd.DataFrame, keep: int) -> pd.Da
     return pd.DataFrame(out).astype({"query": "int64", "score": "float64", "vec_id": "int64"})
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, trees: int = TREES, leaf: int = LEAF, share: float = SHARE,
-            at_least: int = AT_LEAST, sample: int = SAMPLE, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 5, trees: int = TREES, leaf: int = LEAF, share: float | None = None,
+            sample: int = SAMPLE, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The `k` nearest of every query row (those where the column `is_query` of vec_id holds) among all other rows.
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id; all candidates if there are fewer
-    than k. Rows with a null vec_id or a null, empty or zero vector, with null or non-finite components, or of another
+    than k. `share`: see the module text; fitted if None. Rows with a null vec_id or a null, empty or zero vector, with null or non-finite components, or of another
     length than most vectors (the longer of equally frequent lengths) take no part. Rows that repeat an id and vector
     count once. Other columns are ignored; an empty table gives no rows."""
     spark = vectors.sparkSession
@@ -186,8 +221,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, trees: int = TREES, leaf:
     n = classes.count()
     bound = min(sample, max(1, SAMPLE_CELLS // d))
     picked = classes.orderBy(F.xxhash64("embedding"), F.col("ids")[0]).limit(bound).select("embedding").collect()
-    forest = build_forest(unit(_matrix([r[0] for r in picked])), trees, leaf)
-    budget = max(share * forest.size, at_least)
+    known = unit(_matrix([r[0] for r in picked]))
+    forest = build_forest(known, trees, leaf)
+    budget = (fitted_share(forest, known, k) if share is None else share) * forest.size
     kind = classes.schema["embedding"].dataType.simpleString()
 
     def index(batches):
@@ -224,14 +260,3 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, trees: int = TREES, leaf:
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
-
-
-#: Brute force. The operator equals it on tables of up to AT_LEAST vectors; beyond, tests measure its recall.
-ORACLE = """
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id,
-  list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) AS score
-  FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
-"""

@@ -21,7 +21,6 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op10_neighbours": ann.ORACLE,
     "op11_hard_negatives": hardneg.ORACLE,
     "op2_decontamination": decontam.ORACLE,
     "op3_sharding": sharding.ORACLE,
