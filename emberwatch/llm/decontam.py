@@ -1,17 +1,21 @@
 """Benchmark decontamination by template windows.
 
-Texts become word tokens, and each token a template token: numbers, names (mixed-case words inside a sentence) and
-units (after a number, or a currency sign) turn into typed placeholders, all other words are lower-cased. Windows of
-`window` consecutive template tokens are hash-joined between documents and benchmark items, so a question whose
-numbers, names or units were exchanged still matches. Matches of one document and item on one diagonal (document
-position less item position) make an alignment; its placeholders must be filled consistently: the same benchmark value
-always by the same document value. An item is found when an alignment covers enough of it and its slots agree.
-
-Windows of too few plain words, and items of fewer than LEAST tokens, say too little as templates: they are joined on
-their literal tokens (lower case), so a verbatim copy of any item that has a token is found.
-
-Native expressions only. Windows are hashed inside the row, and a bit table of fixed size over the benchmark's windows
-(collected: BITS bits) lets only possible matches out of the row; the exact join and the slot checks see those alone.
+Texts become word tokens and are read in two ways. In the template reading numbers, names (mixed-case words, wherever
+they stand) and units (after a number, or a currency sign) turn into typed placeholders, and all other words are
+lower-cased; a run of name words is one placeholder, and so is a number with its unit, so values of other lengths keep
+all positions. In the literal reading every token stands for itself, in lower case.
+
+Windows of `window` consecutive tokens of either reading are hash-joined between documents and benchmark items: the
+template finds questions whose numbers, names or units were exchanged, the literal reading verbatim copies whatever their
+capitals, also of items that say too little as templates. Matches of one document, item and reading whose diagonals
+(document position less item position) lie within DRIFT of each other make an alignment, so words may be inserted or left
+out between its windows. Its placeholders must be filled consistently: the same benchmark value always by the same
+document value. An item is found when an alignment covers enough of it (a share, or RUN tokens) and its slots agree. An
+item of fewer than SHORT tokens says nothing inside a text; it is found where it is the whole document.
+
+Native expressions only. A document is tokenised once; windows of all sizes are hashed inside the row, and a bit table
+of fixed size over the benchmark's windows (collected: BITS bits) lets only possible matches out of the row; the exact
+join and the slot checks see those alone.
 """
 
 from __future__ import annotations
@@ -22,9 +26,12 @@ from pyspark.sql import functions as F
 from emberwatch.llm.common import barrier, staged, table
 
 WINDOW = 8
-LEAST = 5            # items of fewer tokens are searched word by word, not by their template
+LEAST = 5            # tokens of an item that has templates
+SHORT = 3            # items of fewer tokens must be the whole document
 LITERALS = 5         # plain words a template window of full length needs (in shorter windows all but two)
-COVERAGE = 0.5       # share of an item's tokens that an alignment covers
+COVERAGE = 0.5       # share of an item's tokens that an alignment covers ...
+RUN = 60             # ... or that many of them
+DRIFT = 16           # diagonals of one alignment lie this near to each other
 CONSISTENT = 0.75    # share of its slot values that are filled the same everywhere
 BITS = 1 << 19
 PROBES = 3           # bits per window; 20 * (PROBES - 1) + 19 is below 64
@@ -37,81 +44,106 @@ UNITS = ("%", "mm", "cm", "dm", "m", "km", "mg", "g", "kg", "t", "ml", "cl", "l"
          "metre", "metres", "liter", "liters", "litre", "litres", "gram", "grams", "kilometer", "kilometers", "hz", "khz",
          "w", "kw", "v", "a", "n", "j", "kj", "pa")
 
-_MARK = "\x01"       # put before the first word of a sentence
 #: Code points of scripts written without spaces (Thai, Lao, Burmese, Khmer, kana, Han); each letter is a token.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
-_TOKEN = f"\x01?[\\p{{L}}\\p{{M}}&&[^{_UNSPACED}]]+|[{_UNSPACED}&&[\\p{{L}}\\p{{M}}]]|[0-9]+(?:[.,][0-9]+)*|[%$€£]"
-_SENTENCE = "([.!?:;\n][ \t\r\n]*|^)(\\p{Lu})"
+_TOKEN = f"[\\p{{L}}\\p{{M}}&&[^{_UNSPACED}]]+|[{_UNSPACED}&&[\\p{{L}}\\p{{M}}]]|[0-9]+(?:[.,][0-9]+)*|[%$€£]"
 
 
 def raw_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(text, _SENTENCE, f"$1{_MARK}$2"), F.lit(_TOKEN), 0)
+    return F.regexp_extract_all(text, F.lit(_TOKEN), 0)
 
 
-def _template_token(raw: Column, x: Column, i: Column) -> Column:
+def _number(x: Column) -> Column:
+    return (x >= "0") & (x < ":")
+
+
+def kinds(raw: Column) -> Column:
+    """What every raw token is: '#n', '#u', '#p' or the word in lower case. `raw` must be a plain column."""
     units = F.array(*[F.lit(u) for u in UNITS])
-    number = lambda c: (c >= "0") & (c < ":")
-    low = F.lower(x)
-    return (F.when(number(x), F.lit("#n")).when(x.isin("$", "€", "£"), F.lit("#u"))
-            .when(F.coalesce(number(F.get(raw, i - 1)), F.lit(False)) & F.array_contains(units, low), F.lit("#u"))
-            .when(F.startswith(x, F.lit(_MARK)), F.substring(low, 2, 1 << 30))
-            .when((low != x) & (F.upper(x) != x), F.lit("#p")).otherwise(low))
+    return F.transform(raw, lambda x, i: (
+        F.when(_number(x), F.lit("#n")).when(x.isin("$", "€", "£"), F.lit("#u"))
+        .when(F.coalesce(_number(F.get(raw, i - 1)), F.lit(False)) & F.array_contains(units, F.lower(x)), F.lit("#u"))
+        .when((F.lower(x) != x) & (F.upper(x) != x), F.lit("#p")).otherwise(F.lower(x))))
 
 
-def template(raw: Column) -> Column:
-    """Template token of every raw token. `raw` must be a plain column."""
-    return F.transform(raw, lambda x, i: _template_token(raw, x, i))
+def _starts(raw: Column, kind: Column) -> Column:
+    """Positions of the raw tokens that begin a template token: all but further words of a name, a number's unit, and a
+    currency's number. Both must be plain columns."""
+    before = lambda i: F.get(kind, i - 1)
+    goes_on = lambda k, i: ((k == "#p") & (before(i) == "#p")) | ((k == "#u") & (before(i) == "#n")) | (
+        (k == "#n") & F.get(raw, i - 1).isin("$", "€", "£"))
+    return F.filter(F.transform(kind, lambda k, i: F.when(~F.coalesce(goes_on(k, i), F.lit(False)), i)), lambda i: i.isNotNull())
 
 
-def template_codes(raw: Column) -> Column:
-    """Hash of every template token. `raw` must be a plain column."""
-    return F.transform(raw, lambda x, i: F.xxhash64(_template_token(raw, x, i)))
+def read(df: DataFrame, keys: list) -> DataFrame:
+    """Keys, raw (tokens), tok (template tokens), val (what stands at each) and words (lower-cased tokens)."""
+    # every column reads the one before it several times, so each is computed once per row
+    out = barrier(df.select(*keys, "text"), "raw", raw_tokens(F.col("text"))).drop("text")
+    out = barrier(out, "kind", kinds(F.col("raw")))
+    out = barrier(out, "at", _starts(F.col("raw"), F.col("kind")))
+    k = F.col("kind")
+    tok = F.transform("at", lambda i: F.when((F.get(k, i) == "#u") & (F.coalesce(F.get(k, i + 1), F.lit("")) == "#n"), F.lit("#n")).otherwise(F.get(k, i)))
+    out = barrier(out, "tok", tok)
+    return out.drop("kind")
+
 
+def values(raw: Column, at: Column, first: Column, size: Column) -> Column:
+    """What stands at `size` template tokens from number `first` on."""
+    begin = lambda j: F.get(at, first + j)
+    return F.transform(F.sequence(F.lit(0), size - 1), lambda j: F.array_join(
+        F.slice(raw, begin(j) + 1, F.coalesce(begin(j + 1), F.size(raw)) - begin(j)), " "))
 
-def _unmarked(raw: Column) -> Column:
-    return F.transform(raw, lambda x: F.translate(x, _MARK, ""))
+
+def template_codes(tok: Column) -> Column:
+    return F.transform(tok, lambda x: F.xxhash64(x))
 
 
 def literal_codes(raw: Column) -> Column:
     """Hash of every token as it is written, but for its case; never that of a template token."""
-    return F.transform(raw, lambda x: F.xxhash64(F.translate(F.lower(x), _MARK, ""), F.lit(1)))
+    return F.transform(raw, lambda x: F.xxhash64(F.lower(x), F.lit(1)))
 
 
-def window_hashes(codes: Column, size: int) -> Column:
-    """Hash of every window of `size` tokens. `codes` must be a plain column, as every window reads it `size` times."""
-    return F.when(F.size(codes) >= size, F.transform(
-        F.sequence(F.lit(0), F.size(codes) - size), lambda i: F.xxhash64(*[F.get(codes, i + j) for j in range(size)])
-    )).otherwise(F.array().cast("array<bigint>"))
+def with_windows(df: DataFrame, codes: str, size: int, out: str) -> DataFrame:
+    """Adds `out`: the hash of every window of `size` codes. Windows of eight are hashed in three steps of pairs."""
+    def joined(source: str, step: int, of: int):
+        return lambda i: F.xxhash64(F.lit(of), *[F.get(source, i + j * step) for j in range(of)])
 
+    name, width = codes, 1
+    while size % (2 * width) == 0:
+        df = barrier(df, f"{out}_{width}", _over(F.size(codes) - 2 * width + 1, joined(name, width, 2)))
+        name, width = f"{out}_{width}", 2 * width
+    return barrier(df, out, _over(F.size(codes) - size + 1, joined(name, width, size // width)))
 
-def _codes(df: DataFrame, keys: list) -> DataFrame:
-    # every element of the next array reads the one before it, so each is computed once per row
-    out = barrier(df.select(*keys, "text"), "raw", raw_tokens(F.col("text"))).drop("text")
-    return barrier(out, "codes", template_codes(F.col("raw")))
+
+def _over(n: Column, value) -> Column:
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), value)).otherwise(F.array().cast("array<bigint>"))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """item_id, n_tokens, size, ipos, literal, h, b_raw, b_tok of every window of every item; an item shorter than the
-    window is one window of its own size. `literal` windows are hashed by their words: those that hold too few plain
-    words for a template, and an only one whose first word is a unit if a number stands before it."""
-    items = barrier(_codes(benchmark.where(F.col("text").isNotNull()), ["item_id"]), "tok", template(F.col("raw")))
-    items = barrier(items, "words", literal_codes(F.col("raw")))
-    # a window of a document that equals one of these has as many plain words, so only these are looked at
-    plain = F.size(F.filter("b_tok", lambda t: ~F.startswith(t, F.lit("#"))))
-    enough = (F.col("n_tokens") >= LEAST) & (
-        plain >= F.when(F.col("size") >= WINDOW, F.lit(LITERALS)).otherwise(F.col("size") - 2))
-    unit = (F.col("n_tokens") <= F.col("size")) & F.array_contains(F.array(*[F.lit(u) for u in UNITS]), F.get("b_tok", F.lit(0)))
-    parts = []
-    for size in range(1, window + 1):
-        fits = F.size("tok") == size if size < window else F.size("tok") >= size
-        for literal in (False, True):
-            part = barrier(items.where(fits), "hs", window_hashes(F.col("words" if literal else "codes"), size)).select(
-                "item_id", F.size("tok").alias("n_tokens"), F.lit(size).alias("size"), "raw", "tok",
-                F.posexplode("hs").alias("ipos", "h"))
-            parts.append(part.select(
-                "item_id", "n_tokens", "size", "ipos", F.lit(literal).alias("literal"), "h",
-                _unmarked(F.slice("raw", F.col("ipos") + 1, F.col("size"))).alias("b_raw"),
-                F.slice("tok", F.col("ipos") + 1, F.col("size")).alias("b_tok")).where(~enough | unit if literal else enough))
+    """item_id, literal, n_tokens, size, ipos, h, b_raw, b_tok of every window of every item in both readings; an item
+    shorter than the window is one window of its own size. Template windows need enough plain words."""
+    items = read(benchmark.where(F.col("text").isNotNull()), ["item_id"])
+    items = staged(barrier(barrier(items, "codes", template_codes(F.col("tok"))), "words", literal_codes(F.col("raw"))), "benchmark-items")
+    size_of = lambda c: F.least(F.size(c), F.lit(window))
+    sizes = items.select(F.explode(F.array(F.struct(size_of("codes").alias("size"), F.lit(False).alias("literal")),
+                                           F.struct(size_of("words").alias("size"), F.lit(True).alias("literal")))).alias("x"))
+    used = sorted((r.size, r.literal) for r in sizes.select("x.*").where("size > 0").distinct().collect())  # at most 2 x window
+    texts = F.array().cast("array<string>")
+    empty = items.where(F.lit(False)).select("item_id", F.lit(False).alias("literal"), F.lit(0).alias("n_tokens"), F.lit(0).alias("size"),
+                                             F.lit(0).alias("ipos"), F.lit(0).cast("long").alias("h"), texts.alias("b_raw"), texts.alias("b_tok"))
+    parts = [empty]
+    for size, literal in used:
+        of = F.size("words" if literal else "codes")
+        part = with_windows(items.where(of == size if size < window else of >= size), "words" if literal else "codes", size, "hs")
+        part = part.select("item_id", F.lit(literal).alias("literal"), of.alias("n_tokens"), F.lit(size).alias("size"), "raw", "at", "tok",
+                           F.posexplode("hs").alias("ipos", "h"))
+        if literal:
+            parts.append(part.select("item_id", "literal", "n_tokens", "size", "ipos", "h", texts.alias("b_raw"), texts.alias("b_tok")))
+            continue
+        part = part.select("item_id", "literal", "n_tokens", "size", "ipos", "h", values(F.col("raw"), F.col("at"), F.col("ipos"), F.col("size")).alias("b_raw"),
+                           F.slice("tok", F.col("ipos") + 1, F.col("size")).alias("b_tok"))
+        plain = F.size(F.filter("b_tok", lambda t: ~F.startswith(t, F.lit("#"))))
+        parts.append(part.where((F.col("n_tokens") >= LEAST) & (plain >= (LITERALS if size >= WINDOW else size - 2))))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -136,38 +168,52 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
                  consistent: float = CONSISTENT) -> DataFrame:
     """Benchmark items found in documents.
 
-    Returns one row per document text and item: doc_id, text_crc32 (of the text), item_id, n_windows (matched on the
-    best alignment), covered and item_tokens (tokens), n_slots (distinct placeholder values of the item on it),
-    n_consistent (filled by one value), n_changed (filled by another value than the item's). Null and empty texts hold
-    nothing, nor do items without a token; repeated rows are reported once; equal alignments go
-    to the smaller diagonal; other columns are ignored; an empty table gives no rows."""
+    Returns one row per document text and item: doc_id, text_crc32 (of the text), item_id, literal (the reading of the
+    best alignment: the one that covers the largest share, then the literal one, then the smaller diagonals), n_windows
+    (of the item that match on it), covered and item_tokens (tokens of that reading), n_slots (distinct placeholder
+    values of the item on it), n_consistent (filled by one value), n_changed (filled by another value than the item's).
+    Null and empty texts hold nothing, nor do items without a token; repeated rows are reported once; other columns are
+    ignored, whatever their names; texts of any length are read whole; an empty table gives no rows."""
     known = staged(benchmark_windows(benchmark, window), "benchmark-windows")
-    kinds = sorted((r.size, r.literal) for r in known.select("size", "literal").distinct().collect())  # at most 2 x window
+    used = sorted((r.size, r.literal) for r in known.select("size", "literal").distinct().collect())  # at most 2 x window
     bits = bit_table(known.select("h"))
-    rows = _codes(docs.where(F.col("text").isNotNull()), ["doc_id", F.crc32("text").alias("text_crc32")])
+    rows = read(docs.where(F.col("text").isNotNull()), ["doc_id", F.crc32("text").alias("text_crc32")])
+    if any(not literal for _, literal in used):
+        rows = barrier(rows, "codes", template_codes(F.col("tok")))
+    if any(literal for _, literal in used):
+        rows = barrier(rows, "words", literal_codes(F.col("raw")))
 
     def maybe(h: Column) -> Column:
         one = lambda p: F.getbit(F.get(bits, F.shiftright(_bit(h, p), 6).cast("int")), _bit(h, p).bitwiseAND(F.lit(63)).cast("int"))
         return (one(0) == 1) & (one(1) == 1) & (one(2) == 1)
 
-    found = None
-    for size, literal in kinds or [(window, False)]:
-        part = barrier(rows, "words", literal_codes(F.col("raw"))) if literal else rows
-        part = barrier(part, "all", window_hashes(F.col("words" if literal else "codes"), size)).where(F.exists("all", maybe))
-        part = barrier(part, "hs", F.filter(F.transform("all", lambda h, i: F.struct(i.alias("pos"), h.alias("h"))), lambda x: maybe(x["h"])))
-        part = part.select("doc_id", "text_crc32", F.lit(size).alias("size"), "raw", F.explode("hs").alias("x"))
-        part = part.select("doc_id", "text_crc32", "size", "x.pos", "x.h", _unmarked(F.slice("raw", F.col("x.pos") + 1, size)).alias("d_raw"))
-        found = part if found is None else found.union(part)
-    hits = staged(found.join(known, ["h", "size"]).withColumn("diag", F.col("pos") - F.col("ipos")).distinct(), "template-hits")
-    key = ["doc_id", "text_crc32", "item_id", "diag"]
-    # covered tokens: each window adds what the next one on the diagonal does not begin with (lists of an item's length)
+    def marked(size: int, literal: bool):
+        return lambda h, i: F.struct(F.lit(size).alias("size"), F.lit(literal).alias("literal"), i.alias("pos"), h.alias("h"))
+
+    none = F.array().cast("array<struct<size:int,literal:boolean,pos:int,h:bigint>>")
+    found = [none]
+    for size, literal in used:
+        name = f"w{size}{'l' if literal else 't'}"
+        source = "words" if literal else "codes"
+        rows = with_windows(rows, source, size, name)
+        hits = F.filter(F.transform(name, marked(size, literal)), lambda x: maybe(x["h"]))
+        found.append(F.when(F.size(source) == size, hits).otherwise(none) if size < SHORT else hits)
+    seen = rows.select("doc_id", "text_crc32", "raw", "at", F.explode(F.concat(*found)).alias("x")).select(
+        "doc_id", "text_crc32", "x.*", F.when(~F.col("x.literal"), values(F.col("raw"), F.col("at"), F.col("x.pos"), F.col("x.size"))).alias("d_raw"))
+    hits = staged(seen.join(known, ["h", "size", "literal"]).withColumn("diag", F.col("pos") - F.col("ipos")).distinct(), "template-hits")
+    # diagonals within DRIFT of each other lie in one band, as every band overlaps the next by half
+    band = F.floor(F.col("diag") / DRIFT)
+    hits = hits.withColumn("band", F.explode(F.array(band, band + 1)))
+    key = ["doc_id", "text_crc32", "item_id", "literal", "band"]
+    # covered tokens: each window adds what the next one does not begin with (lists of an item's length)
     spots = F.sort_array(F.collect_set("ipos"))
     lines = (hits.groupBy(*key).agg(spots.alias("at"), F.max("size").alias("size"), F.max("n_tokens").alias("item_tokens"))
              .withColumn("covered", F.aggregate(F.transform("at", lambda p, i: F.least(
                  F.col("size"), F.coalesce(F.get(F.col("at"), i + 1), p + F.col("size")) - p)), F.lit(0), lambda a, x: a + x))
              .select(*key, F.size("at").cast("long").alias("n_windows"), F.col("covered").cast("long"),
                      F.col("item_tokens").cast("long")))
-    slots = (hits.select(*key, F.explode(F.filter(F.arrays_zip("b_tok", "b_raw", "d_raw"), lambda x: F.startswith(x["b_tok"], F.lit("#")))).alias("s"))
+    slots = (hits.where(~F.col("literal"))
+             .select(*key, F.explode(F.filter(F.arrays_zip("b_tok", "b_raw", "d_raw"), lambda x: F.startswith(x["b_tok"], F.lit("#")))).alias("s"))
              .groupBy(*[F.col(c) for c in key], F.col("s.b_raw").alias("value"))
              .agg(F.min("s.d_raw").alias("lo"), F.max("s.d_raw").alias("hi"))
              .groupBy(*key).agg(F.count(F.lit(1)).alias("n_slots"), F.count(F.when(F.col("lo") == F.col("hi"), 1)).alias("n_consistent"),
@@ -176,15 +222,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     numbers = ["n_windows", "covered", "item_tokens", "n_slots", "n_consistent", "n_changed"]
     judged = lines.join(slots, same, "left").select(
         *[lines[c] for c in (*key, *numbers[:3])], *[F.coalesce(slots[c], F.lit(0)).cast("long").alias(c) for c in numbers[3:]])
-    good = judged.where((F.col("covered") >= F.col("item_tokens") * coverage) & (F.col("n_consistent") >= F.col("n_slots") * consistent))
-    best = F.max(F.struct("covered", (-F.col("diag")).alias("d"), *[F.col(c) for c in numbers if c != "covered"])).alias("m")
-    return good.groupBy(*key[:3]).agg(best).select(*key[:3], *[F.col(f"m.{c}").alias(c) for c in numbers])
+    good = judged.where(((F.col("covered") >= F.col("item_tokens") * coverage) | (F.col("covered") >= RUN))
+                        & (F.col("n_consistent") >= F.col("n_slots") * consistent))
+    best = F.max(F.struct((F.col("covered") / F.col("item_tokens")).alias("share"), "literal", (-F.col("band")).alias("d"), *numbers)).alias("m")
+    return good.groupBy(*key[:3]).agg(best).select(*key[:3], *[F.col(f"m.{c}").alias(c) for c in ("literal", *numbers)])
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of `docs` (all columns) in which no benchmark item is found."""
-    bad = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("_doc"), F.col("text_crc32").alias("_crc")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.crc32(docs["text"]) == F.col("_crc")), "left_anti")
+    bad = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("bad_id"), F.col("text_crc32").alias("bad_crc")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.crc32("text").alias("crc"))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("crc") == F.col("bad_crc")), "left_anti").select("row.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,45 +240,56 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """The same rules over lists of tokens, windows compared as texts."""
     units = ", ".join(f"'{u}'" for u in UNITS)
-    sizes = ", ".join(f"({n})" for n in range(LEAST, WINDOW + 1))
+    spaced = f"(?:[^\\P{{L}}{_UNSPACED}]|[^\\P{{M}}{_UNSPACED}])+"  # letters and marks of all other scripts
+    token = f"{spaced}|[{_UNSPACED}]|[0-9]+(?:[.,][0-9]+)*|[%$€£]"
+    sizes = ", ".join(f"({n})" for n in range(1, WINDOW + 1))
+    number = lambda x: f"({x} >= '0' AND {x} < ':')"
 
     def tokens(source: str, key: str) -> str:
-        return f"""SELECT {key}, raw, list_transform(raw, lambda x, i: CASE
-      WHEN x >= '0' AND x < ':' THEN '#n' WHEN x IN ('$', '€', '£') THEN '#u'
-      WHEN i > 1 AND raw[i - 1] >= '0' AND raw[i - 1] < ':' AND list_contains([{units}], lower(x)) THEN '#u'
-      WHEN starts_with(x, chr(1)) THEN substr(lower(x), 2)
-      WHEN lower(x) <> x AND upper(x) <> x THEN '#p' ELSE lower(x) END) AS tok
-    FROM (SELECT {key}, regexp_extract_all(regexp_replace(text, '([.!?:;\\n][ \\t\\r\\n]*|^)(\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g'),
-      chr(1) || '?[\\p{{L}}\\p{{M}}]+|[0-9]+(?:[.,][0-9]+)*|[%$€£]') AS raw FROM {source})"""
+        return f"""SELECT {key}, raw, list_transform(raw, lambda x: lower(x)) AS words,
+      list_transform(beg, lambda i: CASE WHEN kind[i] = '#u' AND coalesce(kind[i + 1], '') = '#n' THEN '#n' ELSE kind[i] END) AS tok,
+      list_transform(beg, lambda i, j: array_to_string(raw[i:coalesce(beg[j + 1], len(raw) + 1) - 1], ' ')) AS val
+    FROM (SELECT *, list_filter(range(1, len(raw) + 1), lambda i: NOT coalesce(i > 1 AND ((kind[i] = '#p' AND kind[i - 1] = '#p')
+        OR (kind[i] = '#u' AND kind[i - 1] = '#n') OR (kind[i] = '#n' AND raw[i - 1] IN ('$', '€', '£'))), false)) AS beg
+      FROM (SELECT *, list_transform(raw, lambda x, i: CASE WHEN {number('x')} THEN '#n' WHEN x IN ('$', '€', '£') THEN '#u'
+          WHEN i > 1 AND {number('raw[i - 1]')} AND list_contains([{units}], lower(x)) THEN '#u'
+          WHEN lower(x) <> x AND upper(x) <> x THEN '#p' ELSE lower(x) END) AS kind
+        FROM (SELECT {key}, regexp_extract_all(text, '{token}') AS raw FROM {source} WHERE text IS NOT NULL)))"""
+
+    def windows(of: str, source: str, key: str, literal: str) -> str:
+        vals = f"CAST([] AS VARCHAR[]) AS {of}_raw" if literal == "true" else f"val[p + 1:p + size] AS {of}_raw"
+        return f"""SELECT {key}, {literal} AS literal, len(t) AS n_tokens, size, p AS {of}pos, t[p + 1:p + size] AS {of}_tok, {vals}
+    FROM (SELECT *, unnest(range(0, len(t) - size + 1)) AS p FROM (SELECT *, {'words' if literal == 'true' else 'tok'} AS t FROM {source}),
+      {'sizes WHERE len(t) = size OR (size = ' + str(WINDOW) + ' AND len(t) > size)' if of == 'b' else
+       f"(SELECT DISTINCT size FROM bw WHERE literal = {literal}) WHERE len(t) >= size AND (size >= {SHORT} OR len(t) = size)"})"""
 
     return f"""
 WITH numbered AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents WHERE text IS NOT NULL),
 d AS ({tokens('numbered', 'k')}),
 b AS ({tokens('benchmark', 'item_id')}),
 sizes(size) AS (VALUES {sizes}),
-bw AS (SELECT item_id, len(tok) AS n_tokens, size, ipos, raw[ipos + 1:ipos + size] AS b_raw, tok[ipos + 1:ipos + size] AS b_tok
-  FROM (SELECT *, unnest(range(0, len(tok) - size + 1)) AS ipos FROM b, sizes
-    WHERE len(tok) >= {LEAST} AND (len(tok) = size OR (size = {WINDOW} AND len(tok) > size)))
-  WHERE len(list_filter(tok[ipos + 1:ipos + size], lambda t: NOT starts_with(t, '#'))) >=
-    CASE WHEN size >= {WINDOW} THEN {LITERALS} ELSE size - 2 END),
-dw AS (SELECT k, size, pos, raw[pos + 1:pos + size] AS d_raw, array_to_string(tok[pos + 1:pos + size], ' ') AS key
-  FROM (SELECT k, raw, tok, size, unnest(range(0, len(tok) - size + 1)) AS pos FROM d, (SELECT DISTINCT size FROM bw))),
-hits AS (SELECT DISTINCT k, item_id, n_tokens, w.size, ipos, pos - ipos AS diag, b_raw, b_tok, d_raw
-  FROM dw w JOIN bw ON w.size = bw.size AND w.key = array_to_string(b_tok, ' ')),
-spans AS (SELECT *, least(size, coalesce(lead(ipos) OVER (PARTITION BY k, item_id, diag ORDER BY ipos) - ipos, size)) AS adds FROM hits),
-lines AS (SELECT k, item_id, diag, count(*) AS n_windows, sum(adds) AS covered, any_value(n_tokens) AS item_tokens
-  FROM spans GROUP BY k, item_id, diag),
-slot AS (SELECT k, item_id, diag, b_raw[j] AS value, d_raw[j] AS filled
-  FROM (SELECT *, unnest(range(1, size + 1)) AS j FROM hits) WHERE starts_with(b_tok[j], '#')),
-by_value AS (SELECT k, item_id, diag, value, min(filled) AS lo, max(filled) AS hi FROM slot GROUP BY ALL),
-slots AS (SELECT k, item_id, diag, count(*) AS n_slots, count(*) FILTER (lo = hi) AS n_consistent,
+bw AS ({windows('b', 'b', 'item_id', 'true')}
+  UNION ALL SELECT * FROM ({windows('b', 'b', 'item_id', 'false')})
+  WHERE n_tokens >= {LEAST} AND len(list_filter(b_tok, lambda t: NOT starts_with(t, '#'))) >= CASE WHEN size >= {WINDOW} THEN {LITERALS} ELSE size - 2 END),
+dw AS ({windows('d', 'd', 'k', 'true')} UNION ALL {windows('d', 'd', 'k', 'false')}),
+hits AS (SELECT DISTINCT k, item_id, dw.literal, bw.n_tokens, bw.size, bpos, dpos - bpos AS diag, b_tok, b_raw, d_raw
+  FROM dw JOIN bw ON dw.size = bw.size AND dw.literal = bw.literal AND array_to_string(d_tok, ' ') = array_to_string(b_tok, ' ')),
+banded AS (SELECT *, floor(diag / {DRIFT}) + unnest([0, 1]) AS band FROM hits),
+places AS (SELECT DISTINCT k, item_id, literal, band, n_tokens, size, bpos FROM banded),
+spans AS (SELECT *, least(size, coalesce(lead(bpos) OVER (PARTITION BY k, item_id, literal, band ORDER BY bpos) - bpos, size)) AS adds FROM places),
+lines AS (SELECT k, item_id, literal, band, count(*) AS n_windows, sum(adds) AS covered, any_value(n_tokens) AS item_tokens FROM spans GROUP BY ALL),
+slot AS (SELECT k, item_id, literal, band, b_raw[j] AS value, d_raw[j] AS filled
+  FROM (SELECT *, unnest(range(1, size + 1)) AS j FROM banded WHERE NOT literal) WHERE starts_with(b_tok[j], '#')),
+by_value AS (SELECT k, item_id, literal, band, value, min(filled) AS lo, max(filled) AS hi FROM slot GROUP BY ALL),
+slots AS (SELECT k, item_id, literal, band, count(*) AS n_slots, count(*) FILTER (lo = hi) AS n_consistent,
   count(*) FILTER (lo <> value OR hi <> value) AS n_changed FROM by_value GROUP BY ALL),
 judged AS (SELECT l.*, coalesce(n_slots, 0) AS n_slots, coalesce(n_consistent, 0) AS n_consistent, coalesce(n_changed, 0) AS n_changed
-  FROM lines l LEFT JOIN slots USING (k, item_id, diag)),
-best AS (SELECT *, row_number() OVER (PARTITION BY k, item_id ORDER BY covered DESC, diag) AS r FROM judged
-  WHERE covered >= item_tokens * {COVERAGE} AND n_consistent >= n_slots * {CONSISTENT})
-SELECT doc_id, item_id, n_windows::BIGINT AS n_windows, covered::BIGINT AS covered, item_tokens::BIGINT AS item_tokens,
+  FROM lines l LEFT JOIN slots USING (k, item_id, literal, band)),
+best AS (SELECT *, row_number() OVER (PARTITION BY k, item_id ORDER BY covered::DOUBLE / item_tokens DESC, literal DESC, band) AS r FROM judged
+  WHERE (covered >= item_tokens * {COVERAGE} OR covered >= {RUN}) AND n_consistent >= n_slots * {CONSISTENT})
+SELECT DISTINCT doc_id, item_id, literal, n_windows::BIGINT AS n_windows, covered::BIGINT AS covered, item_tokens::BIGINT AS item_tokens,
   n_slots::BIGINT AS n_slots, n_consistent::BIGINT AS n_consistent, n_changed::BIGINT AS n_changed
 FROM best JOIN numbered USING (k) WHERE r = 1
 """

@@ -36,7 +36,7 @@ def test_inconsistent_slots_are_no_match(spark):
     scrambled = " ".join(next(names) if w == "Paris" else next(numbers) if w == "60" else w for w in MIXED.split())
     swapped = MIXED.replace("Paris", "Rome").replace("60", "99")
     got = found(contaminated(docs(spark, [MIXED, swapped, scrambled]), items(spark, [MIXED])))
-    assert set(got) == {(0, 0), (1, 0)} and (got[1, 0].n_slots, got[1, 0].n_changed) == (3, 2)  # the unit stays
+    assert set(got) == {(0, 0), (1, 0)} and (got[1, 0].n_slots, got[1, 0].n_changed) == (3, 3)  # a number and its unit are one value
 
 
 def test_short_items_and_shared_windows(spark):
@@ -62,3 +62,58 @@ def test_verbatim_items_of_few_plain_words(spark):
     assert set(got) == {(i, i) for i in range(len(few))} | {(6, 3), (7, 5)}
     assert all(r.n_changed == 0 for r in got.values())
     assert {r.covered for (_, i), r in got.items() if i == 4} == {19}      # the half of numbers counts too
+
+
+ALICE = "Alice has 3 apples. Bob has 5 apples. Carol eats 2 apples. Who has the fewest?"
+FRANCE = "What is the capital city of France?"
+LONG = ("Anna walks from Paris to the old mill by the river every morning with a basket of bread and then "
+        "gives half of it to Peter who lives near the bridge")
+
+
+def test_cases_that_one_diagonal_or_sentence_starts_would_hide(spark):
+    swapped = ALICE.replace("Alice", "Dora").replace("Bob", "Emil").replace("Carol", "Frieda").replace("3", "7").replace("5", "9")
+    longer = LONG.replace("Anna", "Mary Ann Smith").replace("Paris", "San Francisco").replace("Peter", "Jean Luc")
+    words = LONG.split()
+    inserted = " ".join(words[:10] + "one two three four five".split() + words[10:20] + "six seven eight nine ten".split() + words[20:])
+    texts = [f"{PROSE} {swapped} {PROSE}", f'{PROSE} so - "{FRANCE}" {PROSE}', f"{PROSE} {longer} {PROSE}", f"{PROSE} {inserted} {PROSE}",
+             f"{PROSE} {FRANCE.upper()}", f"{PROSE} {LONG.lower()}", PROSE, "It costs $5 or 60 km. " + PROSE]
+    got = found(contaminated(docs(spark, texts), items(spark, [ALICE, FRANCE, LONG])))
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 2), (4, 1), (5, 2)}
+    assert got[0, 0].n_changed > 0 and not got[0, 0].literal and got[1, 1].literal and got[2, 2].n_changed == 3
+
+
+def test_units_and_numbers_are_one_value(spark):
+    item = "A pump fills a tank of 60 litres in 4 hours for $12 and runs the whole night long"
+    other = "A pump fills a tank of 700 in 9 min for €3.50 and runs the whole night long"
+    got = found(contaminated(docs(spark, [f"{PROSE} {other}"]), items(spark, [item])))
+    assert (got[0, 0].n_slots, got[0, 0].n_changed) == (3, 3)
+
+
+def test_very_short_items_must_be_the_whole_document(spark):
+    texts = ["yes", "Yes.", f"{PROSE} yes {PROSE}", "yes yes", "42 km", "run 42 km today"]
+    assert set(found(contaminated(docs(spark, texts), items(spark, ["Yes", "42 km"])))) == {(0, 0), (1, 0), (4, 1)}
+
+
+def test_a_long_run_of_a_longer_item_counts(spark):
+    item = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
+    part = " ".join(item.split()[100:180])
+    got = found(contaminated(docs(spark, [f"{PROSE} {part} {PROSE}", " ".join(item.split()[:40])]), items(spark, [item])))
+    assert set(got) == {(0, 0)} and got[0, 0].covered == 80
+
+
+def test_twin_on_all_kinds_of_items(spark, tmp_path):
+    import duckdb
+    from emberwatch.llm.decontam import ORACLE, op2
+
+    items_ = [ITEM, MIXED, ALICE, FRANCE, LONG, "Who wrote Hamlet?", "yes", "法国的首都是哪座城市", "What is 48 + 17 * 3?"]
+    texts = [None, "", f"{PROSE} {ITEM}", OTHER, ALICE.replace("Bob", "Jim Beam"), f'so - "{FRANCE}"', f"{LONG.lower()} {PROSE}", "who wrote hamlet",
+             f"x Who wrote Hamlet? {PROSE}", "yes", "oh yes", "有人问abc法国的首都是哪座城市吗", "What is 48 + 17 * 3?", f"{MIXED} {MIXED}", PROSE]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items_)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = op2(spark, str(tmp_path))
+    want = con.sql(ORACLE)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want.project(", ".join(got.columns)).fetchall()) and got.count() >= 10
