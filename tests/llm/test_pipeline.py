@@ -60,3 +60,25 @@ def test_run_packs_what_is_left(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and all(r.offset + r.length <= 2048 for r in rows)
     assert len({(r.doc_id, r.piece) for r in rows}) == len(rows)
+
+
+def test_near_copies_with_repeated_ids_and_extra_columns(spark):
+    a = " ".join(f"w{i}" for i in range(200))
+    b = " ".join(f"v{i}" for i in range(200))
+    rows = [(3, a, 77, 1), (5, a.replace("w100", "x"), 78, 2), (5, b, 79, 3), (5, b, 79, 3), (None, "only one", 80, 4), (9, None, 81, 5), (9, "", 82, 6)]
+    docs = spark.createDataFrame([(i, t, None, "s", 0, k, c) for i, t, k, c in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, _key int, key int")
+    kept = corpus_pipeline.near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r._key, r.key) for r in kept.collect()) == [(77, 1), (79, 3), (80, 4), (81, 5), (82, 6)]
+
+
+def test_decontaminate_keeps_clashing_columns(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "some text of no item", 5, 6, 7)], "doc_id long, text string, _doc int, _crc int, id int")
+    assert [tuple(r) for r in corpus_pipeline.decontaminate(spark, docs, sf_dir).collect()] == [(1, "some text of no item", 5, 6, 7)]
+
+
+def test_run_on_empty_tables(spark, sf_dir, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
