@@ -27,12 +27,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (word 5-grams, Jaccard 0.8): the one of the smallest doc_id. A row
     without doc_id stands for its text. Rows that repeat an id and text are one document."""
-    key = F.coalesce(F.col("doc_id"), F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62))
-    named = docs.withColumn("_key", key)
-    groups = ngramjoin.linked_groups(named.select(F.col("_key").alias("doc_id"), "text"), n=5, percent=80)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_key")).distinct()
-    return (named.join(first, "_key", "left_semi").withColumn("_crc", F.crc32("text"))
-            .dropDuplicates(["_key", "_crc"]).select(*docs.columns))
+    number = F.coalesce(F.col("doc_id"), F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62))
+    key = F.struct(number.alias("number"), F.xxhash64("text").alias("text"))  # rows of one id with other texts are other documents
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
+    groups = ngramjoin.linked_groups(rows.select(F.col("key").alias("doc_id"), "row.text"), n=5, percent=80)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("key")).distinct()
+    return rows.join(first, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
