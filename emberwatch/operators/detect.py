@@ -126,7 +126,7 @@ def anomaly_events(df: DataFrame, *, window_ms: int = K.BASELINE_WINDOW * 10 * 1
 def detect(metrics: DataFrame, *, gap_s: float = K.BASELINE_GAP_S, ttl_s: float = K.DEDUP_TTL_S,
            sigma: float = K.SIGMA_THRESHOLD, size: int = K.BASELINE_WINDOW,
            min_samples: int = K.MIN_SAMPLES, bucket_s: float = 86400, materialize_spikes: bool = True) -> DataFrame:
-    """D-13: metrics -> anomalies. One shuffle on the series for the windows, one on the dedup key."""
+    """D-13: metrics -> anomalies: `series_stats`, the spikes, then suppression on the dedup key."""
     m = metrics.where(F.col("metric_name").isin(K.METRIC_NAMES))
     m = series_stats(m, gap_s=gap_s, size=size, min_samples=min_samples, bucket_s=bucket_s)
     s = spikes(m, sigma=sigma).withColumn("anomaly_type", default_type_col("metric_name"))
@@ -237,13 +237,17 @@ def series_stats(df: DataFrame, *, keys: Sequence[str] = SERIES, ts: str = "ts",
                  bucket_s: float = 86400, current: bool = False, number: bool = False) -> DataFrame:
     """D-01..D-03 + D-07 with a hot series split across tasks by time bucket (exact).
 
-    Segments: `lag` inside a bucket, with the previous bucket's last timestamp from a per-bucket table;
-    the segment key is the timestamp of the segment's first row (`seg_start`), carried across buckets
-    through the same small table; with `number`, `segment` is its 1-based number within the series.
+    Segments: inside a bucket a window finds the rows behind a silence; where the bucket's first rows belong is known
+    from a table with one row per bucket (first and last time, count, last segment start). The segment key is the
+    timestamp of the segment's first row (`seg_start`); with `number`, `segment` is its 1-based number within the series.
     Rolling windows: each bucket also receives the last size-1 rows before it (a halo); which bucket
     needs which tail row is a range join on row counts (bucket-keyed). The windows then run per
-    (series, bucket, segment), so no task ever holds a whole series."""
+    (series, bucket, segment), so no task ever holds a whole series.
+
+    The source is scanned and shuffled to (series, bucket) once and staged; the bucket table, the halo and the windows
+    read that, and the windows shuffle it a second time."""
     from emberwatch.operators.rangejoin import range_join
+    from emberwatch.session import stage
 
     width = int(bucket_s * 1000)
     gap = int(gap_s * 1000)
@@ -251,23 +255,19 @@ def series_stats(df: DataFrame, *, keys: Sequence[str] = SERIES, ts: str = "ts",
     key_cols = list(keys)
     d = df.withColumn("__b", F.floor(F.col(ts) / F.lit(width)).cast("long"))
     wb = Window.partitionBy(*key_cols, "__b").orderBy(F.col(ts), F.col(tie))
-    d = d.withColumn("__pos", F.row_number().over(wb)).withColumn("__prev", F.lag(ts).over(wb))
+    d = d.withColumn("__pos", F.row_number().over(wb)).withColumn("__new", F.when(F.col(ts) - F.lag(ts).over(wb) >= F.lit(gap), F.col(ts)))
+    d = d.withColumn("__sin", F.last("__new", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    d = stage(d, "series")
 
     wt = Window.partitionBy(*key_cols).orderBy("__b")
-    bt = d.groupBy(*key_cols, "__b").agg(F.max(ts).alias("__bmax"), F.count(F.lit(1)).alias("__bn"))
-    bt = (bt.withColumn("__prev_bmax", F.lag("__bmax").over(wt))
-            .withColumn("__before", F.coalesce(F.sum("__bn").over(wt.rowsBetween(Window.unboundedPreceding, -1)),
-                                               F.lit(0)).cast("long")))
-    d = d.join(bt.select(*key_cols, "__b", "__prev_bmax", "__before", "__bn"), [*key_cols, "__b"])
-    prev = F.coalesce(F.col("__prev"), F.col("__prev_bmax"))
-    flag = prev.isNull() | (F.col(ts) - prev >= F.lit(gap))
-    d = d.withColumn("__fts", F.when(flag, F.col(ts)))
-    d = d.withColumn("__sin", F.last("__fts", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, 0)))
-    bf = d.groupBy(*key_cols, "__b").agg(F.max("__fts").alias("__bflag"))
-    bf = bf.withColumn("__carry", F.last("__bflag", ignorenulls=True).over(wt.rowsBetween(Window.unboundedPreceding, -1)))
-    d = d.join(bf.select(*key_cols, "__b", "__carry"), [*key_cols, "__b"])
-    d = d.withColumn("seg_start", F.coalesce(F.col("__sin"), F.col("__carry")))\
-         .withColumn("__gidx", F.col("__before") + F.col("__pos"))
+    before = wt.rowsBetween(Window.unboundedPreceding, -1)
+    bt = d.groupBy(*key_cols, "__b").agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi"), F.count(F.lit(1)).alias("__bn"), F.max("__sin").alias("__last"))
+    bt = (bt.withColumn("__prev", F.lag("__hi").over(wt))
+            .withColumn("__before", F.coalesce(F.sum("__bn").over(before), F.lit(0)).cast("long"))
+            .withColumn("__head", F.when(F.col("__prev").isNull() | (F.col("__lo") - F.col("__prev") >= F.lit(gap)), F.col("__lo")))
+            .withColumn("__carry", F.last(F.coalesce("__last", "__head"), ignorenulls=True).over(before)))
+    d = d.join(bt.select(*key_cols, "__b", "__before", "__bn", F.coalesce("__head", "__carry").alias("__head")), [*key_cols, "__b"])
+    d = d.withColumn("seg_start", F.coalesce("__sin", "__head")).withColumn("__gidx", F.col("__before") + F.col("__pos"))
 
     base_cols = [c for c in df.columns] + ["seg_start"]
     own = d.select(*base_cols, F.col("__b").alias("__tb"), F.lit(False).alias("__halo"))

@@ -185,6 +185,14 @@ def gather(q: DataFrame, corpus: DataFrame, *, deploy_window_s: int = 120 * 60)
     return out
 
 
+def gather_evidence(hits: DataFrame, *, max_tokens: int = K.MAX_TOKENS, **records: DataFrame) -> DataFrame:
+    """R-13 as it is asked for: the hits of each search are rendered from their source records (`render`), then cut to the
+    token budget of that search. All hits with `evidence`, and `tokens` of those that fit (null: over the budget)."""
+    rendered = render(hits, **records)
+    kept = budget(rendered, max_tokens=max_tokens, group=["query_id", "collection"], text="evidence")
+    return rendered.join(kept.select("query_id", "collection", "chunk_id", "tokens"), ["query_id", "collection", "chunk_id"], "left")
+
+
 def request_texts(incidents: DataFrame) -> DataFrame:
     """R-13: the five request texts of an incident (query_id, anomaly_type, affected_services, description,
     query_epoch), one row per collection to search."""

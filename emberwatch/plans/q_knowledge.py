@@ -259,6 +259,9 @@ def q_seed(spark, sf):
     return store.select("collection", "chunk_id", "doc_hash", "content", F.size("embedding").cast("long").alias("dims"))
 
 
+_LABELS = {"incidents": "Incident: ", "runbooks": "Runbook: ", "architecture": "Service: ", "deployments": "Deployment: ", "postmortems": "Postmortem: "}
+
+
 def _searched(rows):
     by = {}
     for r in rows:
@@ -266,13 +269,20 @@ def _searched(rows):
     assert by, "no request found anything"
     for hits in by.values():
         assert {"incidents", "runbooks", "architecture", "postmortems"} <= set(hits), "a collection without hits"
-        assert all(sorted(h.rank for h in v) == list(range(1, len(v) + 1)) for k, v in hits.items() if k != "deployments")
+        for kind, found in hits.items():
+            assert kind == "deployments" or sorted(h.rank for h in found) == list(range(1, len(found) + 1))
+            assert all(h.evidence_head.startswith(_LABELS[kind]) for h in found), "evidence of another kind"
+            assert any(h.tokens for h in found), "nothing fits the budget"
+            if kind in ("incidents", "postmortems"):
+                assert all(h.evidence_head.startswith(f"{_LABELS[kind]}{h.doc_id}\n") for h in found), "evidence of another record"
 
 
 @register("k11_search", check=_searched)
 def q_seed_search(spark, sf):
-    """Seed, embed, store, search: all open incidents ask all five collections, each with its own text."""
+    """Seed, embed, store, search, render, budget: all open incidents ask all five collections, each with its own text; the
+    hits are rendered from their records and cut to the token budget (`tokens` is null beyond it)."""
     from emberwatch.operators import retrieve as R
+    from emberwatch.plans import q_retrieve as QR
     from emberwatch.session import stage
 
     store, model, _ = KN.seed_store(spark, sf)
@@ -280,5 +290,7 @@ def q_seed_search(spark, sf):
                   .select(F.col("id").alias("query_id"), "anomaly_type", "affected_services", "description",
                           F.floor(F.col("detection_time") / 1000).cast("long").alias("query_epoch")))
     asked = stage(R.embed(R.request_texts(still_open).withColumnRenamed("query_text", "text"), model, out="query_vec").drop("text"), "asked")
-    hits = R.gather(asked, store, deploy_window_s=48 * 3600)
-    return hits.select("query_id", "collection", "chunk_id", "doc_id", "rank")
+    hits = stage(R.gather(asked, store, deploy_window_s=48 * 3600), "hits")
+    about = store.select("collection", "chunk_id", "service_name")
+    found = R.gather_evidence(hits.join(about, ["collection", "chunk_id"]), **QR._records(spark, sf, text_ids=True))
+    return found.select("query_id", "collection", "chunk_id", "doc_id", "rank", F.substring("evidence", 1, 60).alias("evidence_head"), "tokens")

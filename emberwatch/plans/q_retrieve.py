@@ -188,7 +188,7 @@ def q_gather(spark, sf):
     return _gather(spark, sf)
 
 
-def _records(spark, sf) -> dict:
+def _records(spark, sf, text_ids: bool = False) -> dict:
     """The source records behind the hits, with their real columns."""
     from emberwatch.operators.knowledge import meta_list
     from emberwatch.operators import knowledge as KN
@@ -212,6 +212,11 @@ def _records(spark, sf) -> dict:
     about = inc.select(F.col("id").alias("incident_id"), first.alias("service"))
     postmortems = (pm.select("incident_id", F.col("root_cause").alias("root_cause_category"))
                    .join(about, "incident_id").join(sections, "incident_id"))
+    if text_ids:  # as the seeded store names its documents
+        text = lambda df, c: df.withColumn(c, F.col(c).cast("string"))
+        incidents, deployments, postmortems = text(incidents, "id"), text(deployments, "id"), text(postmortems, "incident_id")
+        runbooks = meta.select(F.col("stem").alias("doc_id"), F.col("meta")["title"].alias("title"),
+                               meta_list("meta", "anomaly_types").alias("anomaly_types"), meta_list("meta", "services").alias("services"))
     return {"incidents": incidents, "registry": A.registry(spark).join(modes, "service_name", "left"), "runbooks": runbooks,
             "deployments": deployments, "postmortems": postmortems}
 

@@ -23,7 +23,7 @@ def _scratch(spark, name):
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-PARTS = 5            # slices of time that the files are read in
+PARTS = 3            # slices of time that the files are read in
 AFTER_MS = 400 * 86_400_000  # how far behind the last row the closing heartbeat lies: past every gap, lock and limit
 
 

@@ -27,11 +27,12 @@ RAW_METRIC = T.StructType([
 def decode(raw: DataFrame, schema: T.StructType, *, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """S-01 core: JSON text -> typed rows (PERMISSIVE); undecodable messages go to the reject frame
     instead of failing the batch (the reference logs and skips them)."""
-    parsed = raw.select(F.col(value).cast("string").alias("__raw"),
-                        F.from_json(F.col(value).cast("string"), schema, {"mode": "PERMISSIVE"}).alias("__e"))
-    ok = F.col("__e").isNotNull() & F.col("__raw").startswith("{")
-    good = parsed.where(ok).select("__e.*")
-    bad = parsed.where(~ok | F.col("__raw").isNull()).select(F.col("__raw").alias("raw"))
+    text = F.col(value).cast("string")
+    marked = T.StructType([*schema.fields, T.StructField("__bad", T.StringType())])  # broken JSON, and values of another type
+    parsed = raw.select(text.alias("__raw"), F.from_json(text, marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}).alias("__e"))
+    ok = F.coalesce(F.col("__raw").startswith("{") & F.col("__e").isNotNull() & F.col("__e.__bad").isNull(), F.lit(False))
+    good = parsed.where(ok).select(*[F.col(f"__e.{f.name}") for f in schema.fields])
+    bad = parsed.where(~ok).select(F.col("__raw").alias("raw"))
     return good, bad
 
 
