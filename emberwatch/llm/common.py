@@ -24,9 +24,20 @@ def _small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, ARROW_BYTES)
 
 
+PLAN_CHARS = "20000"  # of a plan's text: the driver keeps the texts of its last thousand plans, which are long here
+
+
+def _short_plans(spark: SparkSession) -> None:
+    """Bound what the driver keeps of each plan, unless the session says otherwise."""
+    key = "spark.sql.maxPlanStringLength"
+    if int(spark.conf.get(key)) > 1 << 30:
+        spark.conf.set(key, PLAN_CHARS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     _small_batches(spark)
+    _short_plans(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

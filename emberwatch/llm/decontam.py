@@ -60,31 +60,37 @@ def _number(x: Column) -> Column:
 def kinds(raw: Column) -> Column:
     """What every raw token is: '#n', '#u', '#p' or the word in lower case. `raw` must be a plain column."""
     units = F.array(*[F.lit(u) for u in UNITS])
+    low = F.lower
     return F.transform(raw, lambda x, i: (
-        F.when(_number(x), F.lit("#n")).when(x.isin("$", "€", "£"), F.lit("#u"))
-        .when(F.coalesce(_number(F.get(raw, i - 1)), F.lit(False)) & F.array_contains(units, F.lower(x)), F.lit("#u"))
-        .when((F.lower(x) != x) & (F.upper(x) != x), F.lit("#p")).otherwise(F.lower(x))))
+        F.when(x < "A", F.when(_number(x), F.lit("#n")).otherwise(F.lit("#u")))  # digits, % and $
+        .when(F.coalesce(_number(F.get(raw, i - 1)), F.lit(False)) & F.array_contains(units, low(x)), F.lit("#u"))
+        .when(low(x) == x, F.when(x.isin("€", "£"), F.lit("#u")).otherwise(x))
+        .when(F.upper(x) == x, low(x)).otherwise(F.lit("#p"))))
 
 
 def _starts(raw: Column, kind: Column) -> Column:
     """Positions of the raw tokens that begin a template token: all but further words of a name, a number's unit, and a
     currency's number. Both must be plain columns."""
-    before = lambda i: F.get(kind, i - 1)
-    goes_on = lambda k, i: ((k == "#p") & (before(i) == "#p")) | ((k == "#u") & (before(i) == "#n")) | (
-        (k == "#n") & F.get(raw, i - 1).isin("$", "€", "£"))
-    return F.filter(F.transform(kind, lambda k, i: F.when(~F.coalesce(goes_on(k, i), F.lit(False)), i)), lambda i: i.isNotNull())
+    def goes_on(i: Column) -> Column:
+        k, before = F.get(kind, i), F.get(kind, i - 1)
+        return ((k == "#p") & (before == "#p")) | ((k == "#u") & (before == "#n")) | ((k == "#n") & F.get(raw, i - 1).isin("$", "€", "£"))
+
+    return F.filter(F.sequence(F.lit(0), F.size(kind) - 1), lambda i: (i == 0) | ~goes_on(i))
 
 
 def read(df: DataFrame, keys: list) -> DataFrame:
-    """Keys, raw (tokens), tok (template tokens), val (what stands at each) and words (lower-cased tokens)."""
+    """Keys, raw (tokens), kind (of each) and at (where template tokens begin) of every text with a token."""
     # every column reads the one before it several times, so each is computed once per row
-    out = barrier(df.select(*keys, "text"), "raw", raw_tokens(F.col("text"))).drop("text")
+    out = barrier(df.select(*keys, "text"), "raw", raw_tokens(F.col("text"))).drop("text").where(F.size("raw") > 0)
     out = barrier(out, "kind", kinds(F.col("raw")))
-    out = barrier(out, "at", _starts(F.col("raw"), F.col("kind")))
-    k = F.col("kind")
-    tok = F.transform("at", lambda i: F.when((F.get(k, i) == "#u") & (F.coalesce(F.get(k, i + 1), F.lit("")) == "#n"), F.lit("#n")).otherwise(F.get(k, i)))
-    out = barrier(out, "tok", tok)
-    return out.drop("kind")
+    return barrier(out, "at", _starts(F.col("raw"), F.col("kind")))
+
+
+def template_tokens(kind: Column, at: Column, wrap=lambda x: x) -> Column:
+    """The template token at every position `at` (a currency with its number counts as the number). `kind` must be a
+    plain column."""
+    return F.transform(at, lambda i: wrap(F.when((F.get(kind, i) == "#u") & (F.coalesce(F.get(kind, i + 1), F.lit("")) == "#n"), F.lit("#n"))
+                                          .otherwise(F.get(kind, i))))
 
 
 def values(raw: Column, at: Column, first: Column, size: Column) -> Column:
@@ -94,8 +100,8 @@ def values(raw: Column, at: Column, first: Column, size: Column) -> Column:
         F.slice(raw, begin(j) + 1, F.coalesce(begin(j + 1), F.size(raw)) - begin(j)), " "))
 
 
-def template_codes(tok: Column) -> Column:
-    return F.transform(tok, lambda x: F.xxhash64(x))
+def template_codes(kind: Column, at: Column) -> Column:
+    return template_tokens(kind, at, F.xxhash64)
 
 
 def literal_codes(raw: Column) -> Column:
@@ -123,7 +129,8 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     """item_id, literal, n_tokens, size, ipos, h, b_raw, b_tok of every window of every item in both readings; an item
     shorter than the window is one window of its own size. Template windows need enough plain words."""
     items = read(benchmark.where(F.col("text").isNotNull()), ["item_id"])
-    items = staged(barrier(barrier(items, "codes", template_codes(F.col("tok"))), "words", literal_codes(F.col("raw"))), "benchmark-items")
+    items = barrier(barrier(items, "codes", template_codes(F.col("kind"), F.col("at"))), "words", literal_codes(F.col("raw")))
+    items = staged(items.withColumn("tok", template_tokens(F.col("kind"), F.col("at"))), "benchmark-items")
     size_of = lambda c: F.least(F.size(c), F.lit(window))
     sizes = items.select(F.explode(F.array(F.struct(size_of("codes").alias("size"), F.lit(False).alias("literal")),
                                            F.struct(size_of("words").alias("size"), F.lit(True).alias("literal")))).alias("x"))
@@ -179,7 +186,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     bits = bit_table(known.select("h"))
     rows = read(docs.where(F.col("text").isNotNull()), ["doc_id", F.crc32("text").alias("text_crc32")])
     if any(not literal for _, literal in used):
-        rows = barrier(rows, "codes", template_codes(F.col("tok")))
+        rows = barrier(rows, "codes", template_codes(F.col("kind"), F.col("at")))
     if any(literal for _, literal in used):
         rows = barrier(rows, "words", literal_codes(F.col("raw")))
 
@@ -188,7 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
         return (one(0) == 1) & (one(1) == 1) & (one(2) == 1)
 
     def marked(size: int, literal: bool):
-        return lambda h, i: F.struct(F.lit(size).alias("size"), F.lit(literal).alias("literal"), i.alias("pos"), h.alias("h"))
+        return lambda h, i: F.when(maybe(h), F.struct(F.lit(size).alias("size"), F.lit(literal).alias("literal"), i.alias("pos"), h.alias("h")))
 
     none = F.array().cast("array<struct<size:int,literal:boolean,pos:int,h:bigint>>")
     found = [none]
@@ -196,9 +203,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
         name = f"w{size}{'l' if literal else 't'}"
         source = "words" if literal else "codes"
         rows = with_windows(rows, source, size, name)
-        hits = F.filter(F.transform(name, marked(size, literal)), lambda x: maybe(x["h"]))
+        hits = F.filter(F.transform(name, marked(size, literal)), lambda x: x.isNotNull())
         found.append(F.when(F.size(source) == size, hits).otherwise(none) if size < SHORT else hits)
-    seen = rows.select("doc_id", "text_crc32", "raw", "at", F.explode(F.concat(*found)).alias("x")).select(
+    # behind a barrier, or the filter that Spark infers for an explode would make all of it a second time
+    rows = barrier(rows, "hits", F.concat(*found))
+    seen = rows.select("doc_id", "text_crc32", "raw", "at", F.explode("hits").alias("x")).select(
         "doc_id", "text_crc32", "x.*", F.when(~F.col("x.literal"), values(F.col("raw"), F.col("at"), F.col("x.pos"), F.col("x.size"))).alias("d_raw"))
     hits = staged(seen.join(known, ["h", "size", "literal"]).withColumn("diag", F.col("pos") - F.col("ipos")).distinct(), "template-hits")
     # diagonals within DRIFT of each other lie in one band, as every band overlaps the next by half
