@@ -30,7 +30,7 @@ PLAN_CHARS = "20000"  # of a plan's text: the driver keeps the texts of its last
 def _short_plans(spark: SparkSession) -> None:
     """Bound what the driver keeps of each plan, unless the session says otherwise."""
     key = "spark.sql.maxPlanStringLength"
-    if int(spark.conf.get(key)) > 1 << 30:
+    if spark.conf.get(key).rstrip("b") == "2147483632":  # Spark's default: no bound
         spark.conf.set(key, PLAN_CHARS)
 
 
