@@ -12,7 +12,6 @@ fixed size per language. Predicting is one scan without a shuffle, vectorised ov
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
