@@ -259,7 +259,8 @@ class InvertedFile:
         model = KMeans(k=self.cells, seed=11, maxIter=8, initMode="random", predictionCol="cell").fit(units) if n else None
         self.centres = [c.tolist() for c in model.clusterCenters()] if model else []  # at most CENTROIDS of them
         listed = model.transform(units).drop("features") if model else rows.withColumn("cell", F.lit(0))
-        self.lists = stage(listed, "ivf-lists", by=["cell"])
+        # a few files a cell, not one from every task that holds rows of it
+        self.lists = stage(listed.repartition("cell", F.pmod(F.xxhash64(row_id), F.lit(4))), "ivf-lists", by=["cell"])
         sample = self.lists.orderBy(F.xxhash64(row_id)).limit(self.SAMPLE).select(F.col(row_id).alias("query_id"), F.col(cvec).alias("query_vec"))
         self.probes = self._fitted(stage(sample, "ivf-sample"), k, recall) if n else 1
 
@@ -294,13 +295,16 @@ class InvertedFile:
 
     def search(self, q: DataFrame, *, k: int, qvec: str = "query_vec") -> DataFrame:
         """query_id, chunk_id, score, rank: the k best rows of the cells that each query probes."""
+        from emberwatch.session import stage
+
         asked = self.nearest_cells(q.select("query_id", qvec), qvec, self.probes).drop("order")
         rows = self.lists.select(F.col(self.row_id).alias("chunk_id"), F.col(self.cvec).alias("embedding"), "cell")
         found = search(asked, rows, k=k, qvec=qvec, on=[("cell_of", "cell")])
-        near = _top_k(found.select("query_id", "chunk_id", "score"), k)
+        # read three times below, and a search is the costly part: it runs once
+        near = stage(_top_k(found.select("query_id", "chunk_id", "score"), k), "ivf-near")
         whole = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
         short = q.select("query_id", qvec).join(whole, "query_id", "left_anti")
-        rest = knn(short, rows.drop("cell"), k=k, qvec=qvec)
+        rest = knn(stage(short, "ivf-short"), rows.drop("cell"), k=k, qvec=qvec)
         return near.join(whole, "query_id", "left_semi").select("query_id", "chunk_id", "score", "rank").unionByName(
             rest.select("query_id", "chunk_id", "score", "rank"))
 

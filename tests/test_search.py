@@ -78,3 +78,35 @@ def test_second_seed_embeds_what_changed_only(spark):
     assert n == 1 and third.count() == store.count() - 1
     vec = lambda s: s.where(F.col("chunk_id") == one.chunk_id).first().embedding
     assert vec(third) != vec(store)
+
+
+def test_a_narrow_value_is_one_meeting(spark, monkeypatch):
+    from emberwatch.operators import blocksearch
+
+    monkeypatch.setattr(blocksearch, "ROW_BLOCK", 2)
+    monkeypatch.setattr(blocksearch, "QUERY_BLOCK", 2)
+    q = spark.createDataFrame([(i, [1.0, float(i)], f"s{i}") for i in range(20)] + [(20, [1.0, 0.0], None), (21, [0.0, 1.0], "none such")],
+                              "query_id long, query_vec array<double>, svc string")
+    c = spark.createDataFrame([(i, [float(i % 3), 1.0], f"s{i % 19}") for i in range(38)] + [(99, [1.0, 1.0], None)],
+                              "chunk_id long, embedding array<double>, service_name string")
+    dealt = {}
+    real = blocksearch._meetings
+
+    def counted(*args):
+        out = real(*args)
+        dealt["rows"] = [(r["__nq"], r["__nc"]) for r in out.collect()]
+        return out
+
+    monkeypatch.setattr(blocksearch, "_meetings", counted)
+    found = {(r.query_id, r.chunk_id) for r in search(q, c, k=9, on=[("svc", "service_name")]).collect()}
+    assert dealt["rows"] == [(1, 1)] * 20  # not 11 blocks of queries times 20 of rows for each service
+    assert found == {(i, j) for i in range(19) for j in (i, i + 19)} | {(20, 99)}
+
+
+def test_inverted_file_searches_once(spark):
+    rng = np.random.default_rng(3)
+    c = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(300)], "chunk_id long, embedding array<double>")
+    q = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(9)], "query_id long, query_vec array<double>")
+    index = R.InvertedFile(c, k=5)
+    plan = index.search(q, k=5)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("FlatMapCoGroups") == 1  # the search of queries whose cells are too small; the hits in cells are staged
