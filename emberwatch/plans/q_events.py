@@ -186,10 +186,10 @@ def q_nested_json(spark, sf):
 
 @register("s10_markdown_loader", A.with_adapters("SELECT stem, text || chr(10) AS text FROM markdown_docs", "markdown_docs"))
 def q_markdown(spark, sf):
-    """One file per document, written as text (which ends each with a line break)."""
+    """One file per document (whose text ends with a line break), spread over folders that are listed side by side."""
     path = _scratch(spark, "s10")
-    A.markdown_docs(spark, sf).select("stem", F.col("text").alias("value")).write.mode("overwrite").partitionBy("stem").text(path)
-    return E.load_markdown(spark, path + "/*/*", F.regexp_extract(F.col("_metadata.file_path"), r"stem=([^/]+)/", 1))
+    E.write_markdown(A.markdown_docs(spark, sf), path)
+    return E.load_markdown(spark, path + "/*")
 
 
 @register("s11_audit_rows", A.with_adapters(

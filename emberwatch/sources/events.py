@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,8 +129,43 @@ def load_nested_json(spark: SparkSession, path: str, root: str, element: T.DataT
     return reader.json(path).select(F.inline(F.col(root)))
 
 
+def write_markdown(docs: DataFrame, path: str, *, folders: int = 64) -> int:
+    """One file `<stem>.md` per document (stem, text) below `path`, each line-break ended, written by the tasks themselves: a
+    table partitioned by stem would make and commit a folder for every document. Documents of one stem share its file, as
+    they share a task. A file appears whole under its name, so a repeated task leaves the same files. Returns the number of
+    files."""
+    spark = docs.sparkSession
+    n = max(folders, int(spark.conf.get("spark.sql.shuffle.partitions")))  # more folders than a driver lists by itself
+    no_stem = "__HIVE_DEFAULT_PARTITION__"
+
+    def write(frames):
+        from itertools import groupby
+
+        from pyarrow import fs as afs
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        fs, base = afs.FileSystem.from_uri(path)
+        folder = f"{base}/{task.partitionId():05d}"
+        fs.create_dir(folder)
+        rows = (r for pdf in frames for r in zip(pdf["stem"], pdf["text"], strict=True))
+        count = 0
+        for stem, same in groupby(rows, key=lambda r: r[0]):
+            draft = f"{folder}/.{task.taskAttemptId()}"  # hidden: not listed until it has its name
+            with fs.open_output_stream(draft) as f:
+                for _, text in same:
+                    f.write(((text if isinstance(text, str) else "") + "\n").encode())
+            fs.move(draft, f"{folder}/{stem}.md")
+            count += 1
+        yield pd.DataFrame({"n": [count]})
+
+    placed = docs.select(F.coalesce("stem", F.lit(no_stem)).alias("stem"), "text").repartition(n, "stem").sortWithinPartitions("stem", "text")
+    return placed.mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def load_markdown(spark: SparkSession, glob: str, stem: Column | None = None) -> DataFrame:
-    """S-10: one row per markdown file: (stem, text). Whole files, never split by line. The stem is the file's name
+    """S-10: one row per markdown file of the paths or folders that match: (stem, text). Name folders rather than files where
+    there are many: folders are listed by tasks. Whole files, never split by line. The stem is the file's name
     without `.md`, or the given expression over the hidden column `_metadata`."""
     df = spark.read.text(glob, wholetext=True)
     if stem is None:
