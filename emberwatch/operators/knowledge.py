@@ -257,9 +257,23 @@ def changed_points(points: DataFrame, store: DataFrame) -> DataFrame:
     return points.join(store.select("collection", "chunk_id", "text_hash"), ["collection", "chunk_id", "text_hash"], "left_anti")
 
 
+def _single_points(points: DataFrame) -> DataFrame:
+    """One point for each id of a collection, the first by its other columns. Ids that come more than once are found by a
+    hash of the id alone; only their rows, if there are any, are shuffled whole."""
+    from emberwatch.session import stage
+
+    ids = ["collection", "chunk_id"]
+    marked = points.withColumn("__id", F.xxhash64(*ids))
+    again = stage(marked.groupBy("__id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id"), "repeated-ids")
+    if again.isEmpty():
+        return points
+    some = marked.join(again, "__id", "left_semi").drop("__id")
+    return marked.join(again, "__id", "left_anti").drop("__id").unionByName(_first_per_key(some, ids, None, last=False))
+
+
 def seed_store(spark, sf_dir: str, store: DataFrame | None = None, model=None, points: DataFrame | None = None):
-    """K-11: chunk, embed, upsert. Returns the store with vectors (`embedding`), the fitted embedder, and how many points
-    were embedded.
+    """K-11: chunk, embed, upsert. Returns the store with vectors (`embedding`) and the hash of the embedded text
+    (`text_hash`) beside the payload columns, the fitted embedder, and how many points were embedded.
 
     With an older store and its embedder, only points whose text changed are embedded; unchanged ones keep their vectors,
     and points whose chunk or document no longer exists go. The embedder's document frequencies stay those of its fit
@@ -269,12 +283,16 @@ def seed_store(spark, sf_dir: str, store: DataFrame | None = None, model=None, p
     from emberwatch.session import stage
 
     points = seed_points(spark, sf_dir) if points is None else points
-    points = _first_per_key(points, ["collection", "chunk_id"], None, last=False)  # a point's id is unique in its collection
-    points = stage(points.withColumn("text_hash", F.sha2(F.coalesce("text", F.lit("")), 256)), "points")
+    points = _single_points(points)
+    # half a SHA-256, as bytes: a hash is compared with that of the same point only
+    points = points.withColumn("text_hash", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)))
     if store is None or model is None:
-        model = embed_fit(points, text="text", features=256)
-        fresh = stage(embed(points, model), "store", by=["collection"])
-        return fresh, model, points.count()
+        # fit and embedding each compute the points anew: a staged copy would be as large as the store itself
+        model = embed_fit(points.select("text"), text="text", features=256)
+        # in the order that the store's folders are written in, before the vectors make the rows wide
+        fresh = stage(embed(points.sortWithinPartitions("collection"), model).drop("text"), "store", by=["collection"])
+        return fresh, model, fresh.count()
+    points = stage(points, "points")
     new = stage(embed(changed_points(points, store), model), "embedded")
     kept = store.join(points.select("collection", "chunk_id", "text_hash"), ["collection", "chunk_id", "text_hash"], "left_semi")
     vectors = kept.select("collection", "chunk_id", "embedding").unionByName(new.select("collection", "chunk_id", "embedding"))
