@@ -206,6 +206,23 @@ def request_texts(incidents: DataFrame) -> DataFrame:
     return incidents.select("query_id", kind.alias("q_type"), "affected_services", "query_epoch", F.inline(rows))
 
 
+#: What a search of each collection reads of a request beside its vector.
+_READS = {"incidents": [], "runbooks": ["q_type", "affected_services"], "architecture": ["affected_services"],
+          "deployments": ["affected_services", "query_epoch"], "postmortems": []}
+
+
+def alike(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests (query_id, collection, query_vec, q_type, affected_services, query_epoch) that their search cannot tell
+    apart: the rows of one request of each kind (the smallest query_id), and all requests as (query_id, collection,
+    same_as). Requests are embedded texts, and many incidents say the same; each is searched once."""
+    read = [F.when(F.col("collection").isin(*[c for c, used in _READS.items() if name in used]), F.col(name)).alias(name)
+            for name in ("q_type", "affected_services", "query_epoch")]
+    per = asked.groupBy("query_id", "collection").agg(F.sort_array(F.collect_list(F.struct("query_vec", *read))).alias("ask"))
+    kinds = per.groupBy("collection", "ask").agg(F.min("query_id").alias("same_as"))
+    members = per.join(kinds, ["collection", "ask"]).select("query_id", "collection", "same_as")
+    return kinds.select(F.col("same_as").alias("query_id"), "collection", F.inline("ask")), members
+
+
 def embed_fit(docs: DataFrame, *, text: str = "content", features: int = 1 << 12):
     """R-01: a distributed text embedder: RegexTokenizer -> HashingTF -> IDF -> Normalizer(L2).
     IDF is fitted with one aggregation over the corpus; the output vectors are unit length."""

@@ -280,7 +280,8 @@ def _searched(rows):
 @register("k11_search", check=_searched)
 def q_seed_search(spark, sf):
     """Seed, embed, store, search, render, budget: all open incidents ask all five collections, each with its own text; the
-    hits are rendered from their records and cut to the token budget (`tokens` is null beyond it)."""
+    hits are rendered from their records and cut to the token budget (`tokens` is null beyond it). Requests that a search
+    cannot tell apart are searched and rendered once, and every incident gets their rows."""
     from emberwatch.operators import retrieve as R
     from emberwatch.plans import q_retrieve as QR
     from emberwatch.session import stage
@@ -290,7 +291,11 @@ def q_seed_search(spark, sf):
                   .select(F.col("id").alias("query_id"), "anomaly_type", "affected_services", "description",
                           F.floor(F.col("detection_time") / 1000).cast("long").alias("query_epoch")))
     asked = stage(R.embed(R.request_texts(still_open).withColumnRenamed("query_text", "text"), model, out="query_vec").drop("text"), "asked")
-    hits = stage(R.gather(asked, store, deploy_window_s=48 * 3600), "hits")
+    requests, members = R.alike(asked)
+    hits = stage(R.gather(stage(requests, "requests"), store, deploy_window_s=48 * 3600), "hits")
     about = store.select("collection", "chunk_id", "service_name")
     found = R.gather_evidence(hits.join(about, ["collection", "chunk_id"]), **QR._records(spark, sf, text_ids=True))
-    return found.select("query_id", "collection", "chunk_id", "doc_id", "rank", F.substring("evidence", 1, 60).alias("evidence_head"), "tokens")
+    found = stage(found.select(F.col("query_id").alias("same_as"), "collection", "chunk_id", "doc_id", "rank",
+                               F.substring("evidence", 1, 60).alias("evidence_head"), "tokens"), "evidence").alias("f")
+    to = (F.col("m.collection") == F.col("f.collection")) & F.col("m.same_as").eqNullSafe(F.col("f.same_as"))
+    return members.alias("m").join(found, to).select("query_id", "f.collection", "chunk_id", "doc_id", "rank", "evidence_head", "tokens")

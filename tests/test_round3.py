@@ -2,7 +2,10 @@
 
 import os
 
+from emberwatch.operators import knowledge as KN
+from emberwatch.operators import retrieve as R
 from emberwatch.sources import events as E
+from pyspark.sql import functions as F
 
 
 def test_markdown_files_are_written_by_tasks(spark, tmp_path):
@@ -14,3 +17,25 @@ def test_markdown_files_are_written_by_tasks(spark, tmp_path):
     assert got == {**{f"doc-{i}": f"line {i}\n\nlast\n" for i in range(200)}, "twice": "a\nb\n", "blank": "\n"}
     assert len(os.listdir(tmp_path / "md")) <= 64  # folders do not grow with the documents
     assert all(f.endswith(".md") for _, _, files in os.walk(tmp_path / "md") for f in files)
+
+
+def test_single_points_shuffles_repeated_ids_only(spark):
+    once = spark.createDataFrame([("a", str(i), f"text {i}") for i in range(30)], "collection string, chunk_id string, text string")
+    assert "Window" not in KN._single_points(once)._jdf.queryExecution().analyzed().toString()
+    more = once.unionByName(spark.createDataFrame([("a", "3", "another"), ("b", "3", "text 3"), ("a", "4", "text 4")], once.schema))
+    rows = sorted(tuple(r) for r in KN._single_points(more).collect())
+    assert len(rows) == 31 and ("a", "3", "another") in rows and ("a", "3", "text 3") not in rows and ("b", "3", "text 3") in rows
+
+
+def test_requests_that_look_alike_are_searched_once(spark):
+    schema = "query_id long, collection string, query_vec array<float>, q_type string, affected_services array<string>, query_epoch long"
+    rows = [(i, c, [1.0, float(i % 2)], f"t{i % 4}", [f"s{i % 3}"], 1000 + i) for i in range(24)
+            for c in ("incidents", "runbooks", "architecture", "deployments", "postmortems")]
+    asked = spark.createDataFrame(rows + [(None, "incidents", [1.0, 0.0], None, None, None), (24, "incidents", [1.0, 0.0], "t", ["s"], 1),
+                                          (24, "incidents", [1.0, 1.0], "t", ["s"], 1)], schema)
+    requests, members = R.alike(asked)
+    n = {r.collection: r.n for r in requests.groupBy("collection").agg(F.countDistinct(F.coalesce("query_id", F.lit(-1))).alias("n")).collect()}
+    assert n == {"incidents": 3, "postmortems": 2, "runbooks": 12, "architecture": 6, "deployments": 24}
+    assert members.count() == 24 * 5 + 2 and requests.where("query_id = 24").count() == 2
+    as_ = {(r.query_id, r.collection): r.same_as for r in members.collect()}
+    assert as_[23, "incidents"] == 1 and as_[22, "postmortems"] == 0 and as_[None, "incidents"] == 0 and as_[14, "runbooks"] == 2
