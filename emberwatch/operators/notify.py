@@ -38,10 +38,11 @@ def routes_table(spark) -> DataFrame:
 
 
 def route(events: DataFrame, routes: DataFrame) -> DataFrame:
-    """N-01: new anomalies notify only at CRITICAL/HIGH; recipients by kind (5-row table, broadcast)."""
+    """N-01: new anomalies notify only at CRITICAL/HIGH; recipients by kind (5-row table, broadcast: a shuffle by kind
+    would put all events of a kind into one task)."""
     ev = route_kind(events)
     ev = ev.where((F.col("kind") != "anomaly") | F.col("severity").isin("CRITICAL", "HIGH"))
-    return ev.join(routes, "kind")
+    return ev.join(F.broadcast(routes), "kind")
 
 
 def _short(iid) -> F.Column:

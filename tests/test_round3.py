@@ -39,3 +39,17 @@ def test_requests_that_look_alike_are_searched_once(spark):
     assert members.count() == 24 * 5 + 2 and requests.where("query_id = 24").count() == 2
     as_ = {(r.query_id, r.collection): r.same_as for r in members.collect()}
     assert as_[23, "incidents"] == 1 and as_[22, "postmortems"] == 0 and as_[None, "incidents"] == 0 and as_[14, "runbooks"] == 2
+
+
+def test_routes_are_broadcast_not_shuffled_by_kind(spark):
+    from emberwatch.operators import notify as N
+
+    rows = [(f"i{n}", "HIGH" if n % 2 else "LOW", 1.0 if n < 40 else None, None, None, "AUTOMATIC_RECOVERY" if n >= 40 else None, None) for n in range(60)]
+    rows += [(None, "HIGH", 1.0, None, None, None, None), ("none", None, None, None, None, None, None)]
+    events = spark.createDataFrame(rows, "incident_id string, severity string, anomaly_score double, root_cause_candidates array<string>, "
+                                         "action_steps array<string>, resolution_method string, postmortem string")
+    routed = N.route(events.repartition(4), N.routes_table(spark))
+    plan = routed._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    got = {(r.incident_id, r.notification_type) for r in routed.collect()}
+    assert got == {(f"i{n}", "INCIDENT_OPENED") for n in range(40) if n % 2} | {(f"i{n}", "INCIDENT_RESOLVED") for n in range(40, 60)}
