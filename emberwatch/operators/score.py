@@ -3,7 +3,7 @@ F-07 evidence pack, F-08 SLA breach facts, F-09 default remediation steps."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch import constants as K
@@ -108,15 +108,36 @@ def sla_breach(resolved: DataFrame, metrics: DataFrame, registry: DataFrame, *,
         F.coalesce(F.col("peak_error_rate_pct") > F.col("sla_error_rate_pct"), F.lit(False)).alias("error_breached"))
 
 
-def default_steps(rca: DataFrame, registry: DataFrame) -> DataFrame:
+STEP_FIELDS = ("step_id", "priority", "action", "rationale", "risk_level", "rollback", "owner", "expected_outcome")
+
+
+def _step_cells(service: Column, *more: Column) -> Column:
+    """The fallback steps of a service as an array of structs; `more`: fields that every step gets."""
+    cells = []
+    for i, step in enumerate(K.DEFAULT_STEPS, 1):
+        texts = [F.replace(F.lit(v), F.lit("{service}"), service).alias(k) for k, v in step.items()]
+        cells.append(F.struct(F.lit(i).cast("long").alias("step_id"), *texts, *more))
+    return F.array(*cells)
+
+
+def default_steps(rca: DataFrame, registry: DataFrame, *, per: DataFrame | None = None) -> DataFrame:
     """F-09: the two fallback steps for an RCA, owned by the primary service's on-call rotation, with the escalation path
-    and the estimated time of the plan."""
+    and the estimated time of the plan.
+
+    With `per` (a frame with `incident_id`): each of its rows whose incident has an RCA, with the steps of all its RCAs as
+    one sorted array `steps` (structs of STEP_FIELDS), their `escalation_path`, `estimated_resolution_time` and sorted
+    `runbook_refs`. Services and owners are grouped and joined; the texts are written into the joined rows, so no step's
+    text is sorted or shuffled."""
     reg = registry.select(F.col("service_name").alias("__svc"), "on_call_rotation")
     j = rca.join(reg, F.col("service") == F.col("__svc"), "left")
     owner = F.coalesce(F.col("on_call_rotation"), F.lit(K.DEFAULT_ON_CALL))
-    cells = []
-    for i, step in enumerate(K.DEFAULT_STEPS, 1):
-        texts = [F.replace(F.lit(v), F.lit("{service}"), F.col("service")).alias(k) for k, v in step.items()]
-        cells.append(F.struct(F.lit(i).cast("long").alias("step_id"), *texts))
-    return j.select("incident_id", "service", owner.alias("owner"), F.array(owner).alias("escalation_path"),
-                    F.lit(K.DEFAULT_RESOLUTION_TIME).alias("estimated_resolution_time"), F.inline(F.array(*cells)))
+    if per is None:
+        return j.select("incident_id", "service", owner.alias("owner"), F.array(owner).alias("escalation_path"),
+                        F.lit(K.DEFAULT_RESOLUTION_TIME).alias("estimated_resolution_time"), F.inline(_step_cells(F.col("service"))))
+    asked = j.groupBy("incident_id").agg(F.collect_list(F.struct(F.col("service").alias("s"), owner.alias("o"))).alias("__asked"), F.first(owner).alias("__owner"))
+    both = per.join(asked, "incident_id")
+    cells = F.flatten(F.transform("__asked", lambda x: _step_cells(x["s"], x["o"].alias("owner"))))
+    steps = F.sort_array(F.transform(cells, lambda x: F.struct(*[x[c].alias(c) for c in STEP_FIELDS])))
+    refs = F.sort_array(F.array_distinct(F.filter(F.transform(cells, lambda x: x["runbook_source"]), lambda x: x.isNotNull())))
+    return both.select(*per.columns, steps.alias("steps"), F.array("__owner").alias("escalation_path"),
+                       F.lit(K.DEFAULT_RESOLUTION_TIME).alias("estimated_resolution_time"), refs.alias("runbook_refs"))

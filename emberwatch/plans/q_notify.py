@@ -16,6 +16,7 @@ from emberwatch.operators.serve import mttr_col
 from emberwatch.plans import q_score as QS
 from emberwatch.plans.catalog import register
 from emberwatch.plans.q_detect import GAP_S, TTL_S, anomalies_body
+from emberwatch.session import stage
 from emberwatch.sources import adapters as A
 
 _NULLS = dict(severity="string", anomaly_type="string", service="string", anomaly_score="double",
@@ -140,18 +141,14 @@ def body_events(spark, sf):
         "severity", "anomaly_type", "detection_time", "trigger_metric", "observed_value", "baseline_value", "deviation_sigma", "description", "affected_services")})
     about = inc.select("id", "anomaly_type", "affected_services", "detection_time")
     best = A.hypotheses(spark, sf).select("incident_id", F.col("hypothesis").alias("h"), "evidence")
-    rca = QS.rca_frame(spark, sf)
+    rca = stage(QS.rca_frame(spark, sf), "rca")  # read by two kinds
     top = rca.join(best, (best.incident_id == rca.incident_id) & (c("h") == c("top_root_cause"))).drop(best.incident_id)
     r = _bodied(top.join(about, c("incident_id") == c("id")), "rca", service=c("service"), blast_affected=c("affected_services"),
                 generated_at=c("detection_time"), **{x: c(x) for x in ("anomaly_type", "top_root_cause", "top_confidence", "evidence")})
-    plan = QS.S.default_steps(rca, A.registry(spark))
-    fields = ("step_id", "priority", "action", "rationale", "risk_level", "rollback", "owner", "expected_outcome")
-    per = plan.groupBy("incident_id").agg(
-        F.sort_array(F.collect_list(F.struct(*fields))).alias("steps"), F.first("escalation_path").alias("escalation_path"),
-        F.first("estimated_resolution_time").alias("estimated_time"), F.sort_array(F.collect_set("runbook_source")).alias("runbook_refs"))
-    waiting = inc.where(c("status") == "RCA_COMPLETE").withColumn("service", svc)
-    p = _bodied(per.join(waiting, c("incident_id") == c("id")), "plan", generated_at=c("detection_time"), **{x: c(x) for x in (
-        "anomaly_type", "service", "top_root_cause", "steps", "escalation_path", "estimated_time", "runbook_refs")})
+    waiting = inc.where(c("status") == "RCA_COMPLETE").withColumn("service", svc).withColumn("incident_id", c("id"))
+    plan = QS.S.default_steps(rca, A.registry(spark), per=waiting)
+    p = _bodied(plan, "plan", generated_at=c("detection_time"), estimated_time=c("estimated_resolution_time"), **{x: c(x) for x in (
+        "anomaly_type", "service", "top_root_cause", "steps", "escalation_path", "runbook_refs")})
     done = inc.where(c("status") == "RESOLVED").withColumn("incident_id", c("id"))
     s = _bodied(done, "resolved", service=svc, resolved_at=c("resolution_time"), mttr_minutes=mttr_col(), **{x: c(x) for x in (
         "severity", "anomaly_type", "detection_time", "top_root_cause")})

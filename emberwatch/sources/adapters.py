@@ -110,8 +110,9 @@ REGISTRY_SCHEMA = T.StructType([
 
 
 def registry(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
-    """The 6-row service registry (a fixed dimension; bounded, safe to broadcast)."""
-    return spark.createDataFrame([tuple(r) for r in K.REGISTRY], REGISTRY_SCHEMA)
+    """The 6-row service registry (a fixed dimension), to be broadcast: a shuffle by service would put all rows of a service
+    into one task."""
+    return F.broadcast(spark.createDataFrame([tuple(r) for r in K.REGISTRY], REGISTRY_SCHEMA))
 
 
 def service_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:

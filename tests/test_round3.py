@@ -53,3 +53,27 @@ def test_routes_are_broadcast_not_shuffled_by_kind(spark):
     assert "strategy=broadcast" in plan
     got = {(r.incident_id, r.notification_type) for r in routed.collect()}
     assert got == {(f"i{n}", "INCIDENT_OPENED") for n in range(40) if n % 2} | {(f"i{n}", "INCIDENT_RESOLVED") for n in range(40, 60)}
+
+
+def test_steps_of_an_incident_are_written_after_the_join(spark):
+    from emberwatch.operators import score as S
+    from emberwatch.sources import adapters as A
+
+    rca = spark.createDataFrame([(i, ["auth-service", "none", None][i % 3], f"cause {i}", 0.5) for i in range(20)] + [
+        (3, "payment-service", "cause", 0.5), (4, "none", "cause 4", 0.5), (None, "none", "cause", 0.5)],
+        "incident_id long, service string, top_root_cause string, top_confidence double").repartition(3)
+    per = spark.createDataFrame([(i, f"row {i}") for i in [*range(0, 30, 2), 3, 4, None]], "incident_id long, about string")
+    asked = S.default_steps(rca, A.registry(spark), per=per)
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Check health endpoint") < plan.index("Join")  # printed from the top: nothing below the join has texts
+    assert "Check health endpoint" not in plan[plan.index("Join"):] and "Generate" not in plan
+    rows = S.default_steps(rca, A.registry(spark)).groupBy("incident_id").agg(
+        F.sort_array(F.collect_list(F.struct(*S.STEP_FIELDS))).alias("steps"), F.sort_array(F.collect_set("runbook_source")).alias("runbook_refs"),
+        F.collect_set("escalation_path").alias("paths"), F.first("estimated_resolution_time").alias("estimated_resolution_time"))
+    want = {r.incident_id: r for r in rows.collect()}
+    got = asked.collect()
+    assert sorted(r.incident_id for r in got) == sorted([*range(0, 20, 2), 3, 4])
+    for r in got:
+        w = want[r.incident_id]
+        assert (r.steps, r.runbook_refs, r.estimated_resolution_time) == (w.steps, w.runbook_refs, w.estimated_resolution_time)
+        assert r.escalation_path in w.paths and r.about == f"row {r.incident_id}" and len(r.steps) == (4 if r.incident_id in (3, 4) else 2)
