@@ -2,7 +2,8 @@
 C-01 incident lock, each a keyed `transformWithStateInPandas` processor, and the chain of them (metrics in, incidents out).
 
 Rows may arrive in any order within the watermark's delay. A first operator of a chain (`source`) holds a key's rows in
-state, in a map by time slot, and folds them in (time, tie) order when the watermark passes them. Rows that come behind
+state, in a map by time slot to which each batch adds parts, and folds them in (time, tie) order when the watermark passes
+them. Rows that come behind
 the watermark are never folded: they leave through the operator's second output. Every operator therefore returns tagged
 rows, `tag` ('out' or 'late'), `event_time` (carries the watermark on to a next operator), `late` (the late row as JSON)
 and its own columns; `outputs` and `late_rows` split them, `run_available_now` splits each batch into two tables.
@@ -19,6 +20,7 @@ import json
 import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,8 @@ from emberwatch import constants as K
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SLOT_MS = 600_000  # width of a slot of held rows
+HELD_ROWS = 50_000  # of a key's rows, so many are gathered before they are put into the state, or folded at once
+TASKS_A_CORE = 4  # state partitions at most: each opens its own store in every batch, however few keys it has
 DELAY = "10 minutes"
 
 TAGS = [T.StructField("tag", T.StringType()), T.StructField("event_time", T.TimestampType()), T.StructField("late", T.StringType())]
@@ -81,6 +85,12 @@ def _plain(v):
     return v.item() if hasattr(v, "item") else v
 
 
+def _cells(column: pd.Series) -> list:
+    if column.dtype.kind in "iufb" and not column.hasnans:
+        return column.tolist()
+    return [_plain(v) for v in column.tolist()]
+
+
 class InOrder(StatefulProcessor):
     """A fold over each key's rows in event-time order. Subclasses give `fold(key, rows)` (rows: lists of the columns, in
     order; returns output rows as (event time in ms, *columns)), `expire(key, mark)` (output rows that fall due) and
@@ -91,7 +101,8 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.slots = handle.getMapState("slots", "slot long", "rows string")  # rows of a slot of time, as JSON
+        self.slots = handle.getMapState("slots", "slot long, part long", "rows string")  # rows of a slot of time, as JSON
+        self.parts = handle.getValueState("parts", "n long")  # parts are added to a slot, what it holds is not written again
         self.timer = handle.getValueState("timer", "at long")
         self.states(handle)
 
@@ -104,31 +115,39 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        first = None
+        first, held, n, at = None, {}, 0, self.columns.index(self.ts)
         for pdf in rows:  # one Arrow batch at a time
             late: list[str] = []
             if not self.source:
                 is_late = pdf["tag"] == "late"
                 late = pdf.loc[is_late, "late"].tolist()
                 pdf = pdf[~is_late]
-            by_slot: dict[int, list] = {}
-            for row in pdf[self.columns].itertuples(index=False, name=None):
-                cells = [_plain(v) for v in row]
-                ts = cells[self.columns.index(self.ts)]
+            for row in zip(*[_cells(pdf[c]) for c in self.columns], strict=True):
+                ts = row[at]
                 if self.source and (ts is None or ts <= mark):
-                    late.append(json.dumps(dict(zip(self.columns, cells, strict=True))))
+                    late.append(json.dumps(dict(zip(self.columns, row, strict=True))))
                     continue
-                by_slot.setdefault(int(ts) // self.slot_ms, []).append(cells)
+                held.setdefault(int(ts) // self.slot_ms, []).append(row)
+                n += 1
                 first = ts if first is None else min(first, ts)
-            for slot, new in by_slot.items():
-                held = json.loads(self.slots.getValue((slot,))[0]) if self.slots.containsKey((slot,)) else []
-                self.slots.updateValue((slot,), (json.dumps(held + new),))
+            if n >= HELD_ROWS:
+                self._hold(held)
+                held, n = {}, 0
             if late:  # behind the watermark: the next operator must not take them for late again, so their time is now
                 own = dict(zip(self.keys, key, strict=True))
                 yield self._tagged("late", [(max(mark, 0) + 1, *[own.get(c) for c in self.body])] * len(late), late)
+        if held:
+            self._hold(held)
         if first is not None:
             self._wake(int(first))
 
+    def _hold(self, held: dict[int, list]) -> None:
+        """Add rows to their slots, as a part of their own."""
+        part = self.parts.get()[0] + 1 if self.parts.exists() else 0
+        for slot, rows in held.items():
+            self.slots.updateValue((slot, part), (json.dumps(rows),))
+        self.parts.update((part,))
+
     def _wake(self, at: int) -> None:
         """One timer a key, at the earliest time that anything is due."""
         set_for = self.timer.get()[0] if self.timer.exists() else None
@@ -142,22 +161,30 @@ class InOrder(StatefulProcessor):
         mark = timerValues.getCurrentWatermarkInMs()
         self.timer.clear()
         at, keys = self.columns.index(self.ts), [self.columns.index(c) for c in self.order]
-        left = None
-        for slot in sorted(s[0] for s in self.slots.keys()):
+        left, ready, slots = None, [], {}
+        for slot, part in self.slots.keys():
+            slots.setdefault(slot, []).append(part)
+        for slot in sorted(slots):
             if slot * self.slot_ms > mark:
                 left = slot * self.slot_ms if left is None else left
                 break
-            rows = json.loads(self.slots.getValue((slot,))[0])
-            ready, later = [r for r in rows if r[at] <= mark], [r for r in rows if r[at] > mark]
+            parts = sorted(slots.pop(slot))
+            rows = [r for part in parts for r in json.loads(self.slots.getValue((slot, part))[0])]
+            later = [r for r in rows if r[at] > mark] if (slot + 1) * self.slot_ms > mark else []
+            for part in parts:
+                self.slots.removeKey((slot, part))
             if later:
-                self.slots.updateValue((slot,), (json.dumps(later),))
+                rows = [r for r in rows if r[at] <= mark]
+                self.slots.updateValue((slot, parts[0]), (json.dumps(later),))
                 left = min(r[at] for r in later)
-            else:
-                self.slots.removeKey((slot,))
-            ready.sort(key=lambda r: [(r[i] is not None, r[i]) if r[i] is not None else (False, 0) for i in keys])
-            out = self.fold(key, ready)
-            if out:
-                yield self._tagged("out", out)
+            ready += self._sorted(rows, keys)
+            if len(ready) >= HELD_ROWS:
+                yield from self._folded(key, ready)
+                ready = []
+        if ready:
+            yield from self._folded(key, ready)
+        if left is None:
+            self.parts.clear()
         out = self.expire(key, mark)
         if out:
             yield self._tagged("out", out)
@@ -165,6 +192,18 @@ class InOrder(StatefulProcessor):
         if wake:
             self._wake(max(int(min(wake)), mark + 1))
 
+    @staticmethod
+    def _sorted(rows: list, keys: list[int]) -> list:
+        try:
+            return sorted(rows, key=itemgetter(*keys))
+        except TypeError:  # missing values are first
+            return sorted(rows, key=lambda r: [(r[i] is not None, r[i]) if r[i] is not None else (False, 0) for i in keys])
+
+    def _folded(self, key, rows: list) -> Iterator[pd.DataFrame]:
+        out = self.fold(key, rows)
+        if out:
+            yield self._tagged("out", out)
+
     def close(self) -> None:
         pass
 
@@ -222,7 +261,7 @@ class DetectProcessor(InOrder):
             z = 0.0
             mean = sum(prior) / n if n else None
             if n >= self.min_samples:
-                var = sum((v - mean) ** 2 for v in prior) / n
+                var = sum([(v - mean) ** 2 for v in prior]) / n
                 std = math.sqrt(var) if var > 0 else 0.0
                 z = 0.0 if std < 1e-9 else (value - mean) / std
             if self.samples:
@@ -575,7 +614,13 @@ def run_available_now(df: DataFrame, path: str, checkpoint: str, *, late_path: s
             late_rows(batch).write.mode("overwrite").parquet(f"{late_path}/batch={number}")
         batch.unpersist()
 
-    query = (df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
-             .trigger(availableNow=True).start())
+    conf, key = df.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(key)
+    conf.set(key, str(min(int(before), TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism)))
+    try:  # a query keeps the number that it is started with; a restarted one that of its checkpoint
+        query = (df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
+                 .trigger(availableNow=True).start())
+    finally:
+        conf.set(key, before)
     query.awaitTermination()
     return query

@@ -105,3 +105,95 @@ def test_cursor_resumes_between_equal_times(spark):
     assert seen == list(range(13)) and Cursor(spark, path).number == 5
     again = Cursor(spark, path)
     assert again.next_page(rows).count() == 0 and not again.commit(rows.limit(0)) and again.number == 5
+
+
+class _Value:
+    def __init__(self):
+        self.v = None
+
+    def exists(self):
+        return self.v is not None
+
+    def get(self):
+        return self.v
+
+    def update(self, v):
+        self.v = v
+
+    put = update
+
+    def clear(self):
+        self.v = None
+
+
+class _Map(dict):
+    written = 0
+
+    def keys(self):
+        return iter(list(super().keys()))
+
+    def containsKey(self, k):
+        return k in self
+
+    def getValue(self, k):
+        return self[k]
+
+    def updateValue(self, k, v):
+        self.written += len(v[0])
+        self[k] = v
+
+    removeKey = dict.pop
+
+
+class _Handle:
+    def __init__(self):
+        self.map, self.timers = _Map(), set()
+
+    def getMapState(self, *_):
+        return self.map
+
+    def getValueState(self, *_):
+        return _Value()
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class _Clock:
+    def __init__(self, mark):
+        self.mark = mark
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
+
+
+def test_held_rows_are_written_once_and_folded_in_order(monkeypatch):
+    import pandas as pd
+
+    n, handle = 4000, _Handle()
+    p = ST.SuppressProcessor(["ts", "id"], "ts", "id", 5000, None)
+    p.keys = ["k"]
+    p.init(handle)
+    rows = [(1000 + 300 * i, i) for i in range(n)]  # two slots and the beginning of a third
+    random.Random(3).shuffle(rows)
+    monkeypatch.setattr(ST, "HELD_ROWS", 100, raising=False)
+    for half in (rows[: n // 2], rows[n // 2:]):
+        frames = [pd.DataFrame(half[i: i + 20], columns=["ts", "id"]) for i in range(0, len(half), 20)]
+        assert not list(p.handleInputRows(("a",), iter(frames), _Clock(0)))
+    assert handle.map.written < 3 * len(json.dumps(rows))  # a slot is not written again with each Arrow batch
+    kept, end = [], 0
+    for ts, i in sorted(rows):
+        if ts >= end:
+            kept.append(i)
+            end = ts + 5000
+    got = []
+    for mark in (700_001, 10 * DAY):
+        out = [x for f in p.handleExpiredTimer(("a",), _Clock(mark), None) for x in f["id"].tolist()]
+        assert mark > DAY or max(out) * 300 + 1000 <= mark
+        got += out
+    assert got == kept and not handle.map and not p.parts.exists() and not p.lock.exists()
