@@ -13,8 +13,9 @@ out between its windows. Its placeholders must be filled consistently: the same
 document value. An item is found when an alignment covers enough of it (a share, or RUN tokens) and its slots agree. An
 item of fewer than SHORT tokens says nothing inside a text; it is found where it is the whole document.
 
-Native expressions only. A document is tokenised once; windows of all sizes are hashed inside the row, and a bit table
-of fixed size over the benchmark's windows (collected: BITS bits) lets only possible matches out of the row; the exact
+Native expressions only. A document is tokenised once. A window can only match where each of its tokens stands in some
+benchmark window, so a bit table of fixed size over those tokens (collected: BITS bits) tells where windows are hashed at
+all, inside the row, and another one over the benchmark's windows lets only possible matches out of the row; the exact
 join and the slot checks see those alone.
 """
 
@@ -46,7 +47,8 @@ UNITS = ("%", "mm", "cm", "dm", "m", "km", "mg", "g", "kg", "t", "ml", "cl", "l"
 
 #: Code points of scripts written without spaces (Thai, Lao, Burmese, Khmer, kana, Han); each letter is a token.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
-_TOKEN = f"[\\p{{L}}\\p{{M}}&&[^{_UNSPACED}]]+|[{_UNSPACED}&&[\\p{{L}}\\p{{M}}]]|[0-9]+(?:[.,][0-9]+)*|[%$€£]"
+#: ASCII letters, which the first class has anyway, come first in it as they are the quickest to test.
+_TOKEN = f"[a-zA-Z[\\p{{L}}\\p{{M}}&&[^{_UNSPACED}]]]+|[{_UNSPACED}&&[\\p{{L}}\\p{{M}}]]|[0-9]+(?:[.,][0-9]+)*|[%$€£]"
 
 
 def raw_tokens(text: Column) -> Column:
@@ -109,24 +111,19 @@ def literal_codes(raw: Column) -> Column:
     return F.transform(raw, lambda x: F.xxhash64(F.lower(x), F.lit(1)))
 
 
-def with_windows(df: DataFrame, codes: str, size: int, out: str) -> DataFrame:
-    """Adds `out`: the hash of every window of `size` codes. Windows of eight are hashed in three steps of pairs."""
-    def joined(source: str, step: int, of: int):
-        return lambda i: F.xxhash64(F.lit(of), *[F.get(source, i + j * step) for j in range(of)])
-
-    name, width = codes, 1
-    while size % (2 * width) == 0:
-        df = barrier(df, f"{out}_{width}", _over(F.size(codes) - 2 * width + 1, joined(name, width, 2)))
-        name, width = f"{out}_{width}", 2 * width
-    return barrier(df, out, _over(F.size(codes) - size + 1, joined(name, width, size // width)))
+def window_hash(codes: str, start: Column, size: int) -> Column:
+    return F.xxhash64(F.lit(size), *[F.get(codes, start + j) for j in range(size)])
 
 
-def _over(n: Column, value) -> Column:
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), value)).otherwise(F.array().cast("array<bigint>"))
+def with_windows(df: DataFrame, codes: str, size: int, out: str) -> DataFrame:
+    """Adds `out`: the hash of every window of `size` codes."""
+    n = F.size(codes) - size + 1
+    return barrier(df, out, F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: window_hash(codes, i, size)))
+                   .otherwise(F.array().cast("array<bigint>")))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """item_id, literal, n_tokens, size, ipos, h, b_raw, b_tok of every window of every item in both readings; an item
+    """item_id, literal, n_tokens, size, ipos, h, of (its codes), b_raw, b_tok of every window of every item in both readings; an item
     shorter than the window is one window of its own size. Template windows need enough plain words."""
     items = read(benchmark.where(F.col("text").isNotNull()), ["item_id"])
     items = barrier(barrier(items, "codes", template_codes(F.col("kind"), F.col("at"))), "words", literal_codes(F.col("raw")))
@@ -137,17 +134,18 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     used = sorted((r.size, r.literal) for r in sizes.select("x.*").where("size > 0").distinct().collect())  # at most 2 x window
     texts = F.array().cast("array<string>")
     empty = items.where(F.lit(False)).select("item_id", F.lit(False).alias("literal"), F.lit(0).alias("n_tokens"), F.lit(0).alias("size"),
-                                             F.lit(0).alias("ipos"), F.lit(0).cast("long").alias("h"), texts.alias("b_raw"), texts.alias("b_tok"))
+                                             F.lit(0).alias("ipos"), F.lit(0).cast("long").alias("h"), F.array().cast("array<bigint>").alias("of"), texts.alias("b_raw"), texts.alias("b_tok"))
     parts = [empty]
     for size, literal in used:
-        of = F.size("words" if literal else "codes")
-        part = with_windows(items.where(of == size if size < window else of >= size), "words" if literal else "codes", size, "hs")
-        part = part.select("item_id", F.lit(literal).alias("literal"), of.alias("n_tokens"), F.lit(size).alias("size"), "raw", "at", "tok",
-                           F.posexplode("hs").alias("ipos", "h"))
+        source = "words" if literal else "codes"
+        n = F.size(source)
+        part = with_windows(items.where(n == size if size < window else n >= size), source, size, "hs")
+        part = part.select("item_id", F.lit(literal).alias("literal"), n.alias("n_tokens"), F.lit(size).alias("size"), "raw", "at", "tok", source,
+                           F.posexplode("hs").alias("ipos", "h")).withColumn("of", F.slice(source, F.col("ipos") + 1, F.col("size")))
         if literal:
-            parts.append(part.select("item_id", "literal", "n_tokens", "size", "ipos", "h", texts.alias("b_raw"), texts.alias("b_tok")))
+            parts.append(part.select("item_id", "literal", "n_tokens", "size", "ipos", "h", "of", texts.alias("b_raw"), texts.alias("b_tok")))
             continue
-        part = part.select("item_id", "literal", "n_tokens", "size", "ipos", "h", values(F.col("raw"), F.col("at"), F.col("ipos"), F.col("size")).alias("b_raw"),
+        part = part.select("item_id", "literal", "n_tokens", "size", "ipos", "h", "of", values(F.col("raw"), F.col("at"), F.col("ipos"), F.col("size")).alias("b_raw"),
                            F.slice("tok", F.col("ipos") + 1, F.col("size")).alias("b_tok"))
         plain = F.size(F.filter("b_tok", lambda t: ~F.startswith(t, F.lit("#"))))
         parts.append(part.where((F.col("n_tokens") >= LEAST) & (plain >= (LITERALS if size >= WINDOW else size - 2))))
@@ -171,6 +169,23 @@ def bit_table(hashes: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
 
 
+def maybe(h: Column, bits: Column) -> Column:
+    """Whether the bit table has all bits of h."""
+    one = lambda p: F.getbit(F.get(bits, F.shiftright(_bit(h, p), 6).cast("int")), _bit(h, p).bitwiseAND(F.lit(63)).cast("int")) == 1
+    parts = [one(p) for p in range(PROBES)]
+    return parts[0] & parts[1] & parts[2]
+
+
+def places(codes: str, tokens: Column) -> Column:
+    """Positions of the codes that the bit table `tokens` may have, ascending."""
+    return F.filter(F.transform(codes, lambda x, i: F.when(maybe(x, tokens), i)), lambda i: i.isNotNull())
+
+
+def starts_of(spots: str, size: int) -> Column:
+    """Where `size` positions in a row begin. `spots`: a column of ascending positions."""
+    return F.filter(F.transform(spots, lambda i, k: F.when(F.get(spots, k + (size - 1)) == i + (size - 1), i)), lambda i: i.isNotNull())
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE,
                  consistent: float = CONSISTENT) -> DataFrame:
     """Benchmark items found in documents.
@@ -183,27 +198,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     ignored, whatever their names; texts of any length are read whole; an empty table gives no rows."""
     known = staged(benchmark_windows(benchmark, window), "benchmark-windows")
     used = sorted((r.size, r.literal) for r in known.select("size", "literal").distinct().collect())  # at most 2 x window
-    bits = bit_table(known.select("h"))
+    bits, tokens = bit_table(known.select("h")), bit_table(known.select(F.explode("of").alias("h")))
+    known = known.drop("of")
     rows = read(docs.where(F.col("text").isNotNull()), ["doc_id", F.crc32("text").alias("text_crc32")])
     if any(not literal for _, literal in used):
         rows = barrier(rows, "codes", template_codes(F.col("kind"), F.col("at")))
     if any(literal for _, literal in used):
         rows = barrier(rows, "words", literal_codes(F.col("raw")))
 
-    def maybe(h: Column) -> Column:
-        one = lambda p: F.getbit(F.get(bits, F.shiftright(_bit(h, p), 6).cast("int")), _bit(h, p).bitwiseAND(F.lit(63)).cast("int"))
-        return (one(0) == 1) & (one(1) == 1) & (one(2) == 1)
+    for source in sorted({"words" if literal else "codes" for _, literal in used}):
+        rows = barrier(rows, f"{source}_in", places(source, tokens))
+    none = F.array().cast("array<struct<size:int,literal:boolean,pos:int,h:bigint>>")
 
-    def marked(size: int, literal: bool):
-        return lambda h, i: F.when(maybe(h), F.struct(F.lit(size).alias("size"), F.lit(literal).alias("literal"), i.alias("pos"), h.alias("h")))
+    def window(source: str, size: int, literal: bool):
+        return lambda i: F.struct(F.lit(size).alias("size"), F.lit(literal).alias("literal"), i.alias("pos"), window_hash(source, i, size).alias("h"))
 
-    none = F.array().cast("array<struct<size:int,literal:boolean,pos:int,h:bigint>>")
     found = [none]
     for size, literal in used:
-        name = f"w{size}{'l' if literal else 't'}"
         source = "words" if literal else "codes"
-        rows = with_windows(rows, source, size, name)
-        hits = F.filter(F.transform(name, marked(size, literal)), lambda x: x.isNotNull())
+        windows = F.transform(starts_of(f"{source}_in", size), window(source, size, literal))
+        hits = F.filter(windows, lambda x: maybe(x["h"], bits))
         found.append(F.when(F.size(source) == size, hits).otherwise(none) if size < SHORT else hits)
     # behind a barrier, or the filter that Spark infers for an explode would make all of it a second time
     rows = barrier(rows, "hits", F.concat(*found))

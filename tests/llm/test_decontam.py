@@ -117,3 +117,15 @@ def test_twin_on_all_kinds_of_items(spark, tmp_path):
     want = con.sql(ORACLE)
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want.project(", ".join(got.columns)).fetchall()) and got.count() >= 10
+
+
+def test_windows_are_hashed_only_where_all_tokens_are_known(spark):
+    from pyspark.sql import functions as F
+
+    from emberwatch.llm.decontam import bit_table, places, starts_of
+
+    known = spark.createDataFrame([(h,) for h in (101, 202, 303)], "h long")
+    rows = spark.createDataFrame([([7, 101, 202, 303, 8, 202, 101],), ([],), ([9],)], "codes array<long>")
+    got = rows.select(places("codes", bit_table(known.select(F.xxhash64("h").alias("h")))).alias("none"),
+                      places("codes", bit_table(known)).alias("spots")).withColumn("two", starts_of("spots", 2)).withColumn("three", starts_of("spots", 3))
+    assert [(r.none, r.spots, r.two, r.three) for r in got.collect()] == [([], [1, 2, 3, 5, 6], [1, 2, 5], [1]), ([], [], [], []), ([], [], [], [])]
