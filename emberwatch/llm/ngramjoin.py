@@ -122,8 +122,8 @@ def _signed(h) -> np.ndarray:
 
 
 def _summed(parts: DataFrame) -> np.ndarray:
-    """Add up one table of WIDTH counts per task, in chunks and two steps (a group holds at most a 64th of the tables
-    of one chunk, then 64). The result has WIDTH numbers whatever the input."""
+    """Add up one table of WIDTH counts per task, in chunks and two steps (a group holds at most a 16th of the tables
+    of one chunk, then 16). The result has WIDTH numbers whatever the input."""
     kind = "chunk int, part int, counts binary"
 
     def add(rows: pa.Table) -> pa.Table:
@@ -134,7 +134,7 @@ def _summed(parts: DataFrame) -> np.ndarray:
         return pa.table({"chunk": rows.column("chunk").slice(0, 1), "part": pa.array([0], pa.int32()),
                          "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    first = parts.groupBy("chunk", F.pmod("part", F.lit(64))).applyInArrow(lambda x: add(x), kind)
+    first = parts.groupBy("chunk", F.pmod("part", F.lit(16))).applyInArrow(lambda x: add(x), kind)
     got = {r.chunk: r.counts for r in first.groupBy("chunk").applyInArrow(lambda x: add(x), kind).collect()}
     empty = zlib.compress(np.zeros(WIDTH // CHUNKS, np.uint32).tobytes(), 1)
     return np.concatenate([np.frombuffer(zlib.decompress(got.get(c, empty)), np.uint32) for c in range(CHUNKS)])
@@ -212,18 +212,29 @@ def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
         rows, f"doc_id {kind}, n_shingles long, cls long, level int, prefix array<long>")
 
 
+def _cells_of(wanted: DataFrame):
+    """Broadcast of WIDTH bits: the cells of the hashes in wanted's column `who`."""
+    held = _summed(wanted.select("who").mapInArrow(
+        lambda b: _table_of(b, lambda x: [x.column(0).to_numpy() % WIDTH]), "chunk int, part int, counts binary")) > 0
+    return wanted.sparkSession.sparkContext.broadcast(np.packbits(held))
+
+
+def _in_cells(batches, column: int, shared):
+    """The rows whose hash in that column lies in one of the cells."""
+    want = np.unpackbits(shared.value).astype(bool)
+    for batch in batches:
+        yield batch.filter(pa.array(want[batch.column(column).to_numpy() % WIDTH]))
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """cls, n-gram set and who (hash of the doc_id) of the documents whose doc_id is in `wanted`, made again from the
     texts: a fixed-size table of the wanted ids' cells picks the rows (a few more may come along, which `who` tells
     apart), so no text is shuffled."""
     who = F.xxhash64("doc_id").alias("who")
-    held = _summed(wanted.select(who).mapInArrow(
-        lambda b: _table_of(b, lambda x: [x.column(0).to_numpy() % WIDTH]), "chunk int, part int, counts binary")) > 0
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(held))  # WIDTH bits
+    shared = _cells_of(wanted.select(who))
 
     def rows(batches):
-        want = np.unpackbits(shared.value).astype(bool)
-        for batch in (part for whole in batches for part in slices(whole.filter(pa.array(want[whole.column(0).to_numpy() % WIDTH])), 1)):
+        for batch in (part for whole in _in_cells(batches, 0, shared) for part in slices(whole, 1)):
             cls, sets, ids = [], [], []
             for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), n), strict=True):
                 if len(s):
@@ -236,13 +247,26 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return docs.select(who, "text").mapInArrow(rows, "cls long, grams binary, who long")
 
 
+def _named(pairs: DataFrame) -> DataFrame:
+    """cls of every class in the pairs (a, b), once."""
+    return pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+
+
+def sets_in(pairs: DataFrame, sets: DataFrame, who: DataFrame) -> DataFrame:
+    """The rows of `sets` that the pairs name, and perhaps a few more: a fixed-size table of cells picks them where they
+    lie, so the others are not shuffled."""
+    shared = _cells_of(who.join(_named(pairs), "cls"))
+    return sets.select("cls", "grams", "who").mapInArrow(lambda b: _in_cells(b, 2, shared), "cls long, grams binary, who long")
+
+
 def _with_sets(pairs: DataFrame, sets: DataFrame, who: DataFrame) -> DataFrame:
     """(a, b, ga, gb): pairs of classes with their whole sets, each taken from the one document that stands for the
     class (`who`: cls, who)."""
+    for side in ("a", "b"):  # before the sets, which are wide
+        pairs = pairs.join(who.select(F.col("cls").alias(side), F.col("who").alias(f"w{side}")), side)
     for side in ("a", "b"):
-        own = who.select(F.col("cls").alias(side), F.col("who").alias(f"w{side}"))
         grams = sets.select(F.col("cls").alias(side), F.col("who").alias(f"w{side}"), F.col("grams").alias(f"g{side}"))
-        pairs = pairs.join(own, side).join(grams, [side, f"w{side}"])
+        pairs = pairs.join(grams, [side, f"w{side}"])
     return pairs.select("a", "b", "ga", "gb")
 
 
@@ -351,7 +375,8 @@ def families(posts: DataFrame, tried: DataFrame, compare) -> DataFrame:
         fam = staged(fam.join(further, "root", "left").select("cls", F.coalesce("far", "root").alias("root")), "ends")
     own = fam.where(F.col("cls") != F.col("root")).select(F.col("root").alias("a"), F.col("cls").alias("b"))
     direct = tried.join(own, ["a", "b"], "left_semi")
-    return staged(direct.unionByName(compare(own.join(tried.select("a", "b"), ["a", "b"], "left_anti"))), "families")
+    other = staged(own.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "family-pairs")
+    return staged(direct.unionByName(compare(other)), "families")
 
 
 def _rest_pairs(posts: DataFrame, percent: int) -> DataFrame:
@@ -448,15 +473,14 @@ def grouped(docs: DataFrame, every: DataFrame, classes: DataFrame, posts: DataFr
     who = doc_of.select("cls", F.xxhash64("doc_id").alias("who"))
 
     def sets_for(pairs: DataFrame) -> DataFrame:
-        cls = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        return whole_sets(docs, doc_of.join(cls, "cls").select("doc_id"), n)
+        return whole_sets(docs, doc_of.join(_named(pairs), "cls").select("doc_id"), n)
 
     pairs = staged(_hub_pairs(posts, percent), "hub-pairs")
     fam = posts.select("cls").distinct().withColumn("fam", F.col("cls"))
     if not pairs.isEmpty():
         sets = staged(sets_for(pairs), "sets")
         tried = staged(compared_with_hub(pairs, sets, who, percent), "compared")
-        compared = families(posts, tried, lambda p: compared_with_hub(p, sets, who, percent))
+        compared = families(posts, tried, lambda p: compared_with_hub(p, sets_in(p, sets, who), who, percent))
         members = staged(centred(compared, percent), "members")
         star = members.withColumn("grp", F.when(F.col("linked"), F.col("centre")).otherwise(F.col("cls")))
         links = (tried.where("linked").select("a", "b").union(compared.where("linked").select("a", "b"))
@@ -484,13 +508,12 @@ def linked_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     linked with nothing. Null doc_ids are never the smallest (a group of nothing else has a null component_id).
     Repeated rows are returned each; other columns are ignored; an empty table gives no rows."""
     every = staged(prefixes(docs, n, percent), "prefixes")
-    reps = every.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    classes = every.where(F.col("cls").isNotNull()).select("cls", F.col("n_shingles").alias("size"), "level", "prefix").dropDuplicates(["cls"])
-    classes = staged(classes.join(reps, "cls"), "classes")
-    single = classes.select("cls", F.explode("prefix").alias("token"))
-    frequent = single.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("token")
-    posts = staged(single.join(frequent, "token", "left_semi").join(classes.select("cls", "size", "level"), "cls"), "postings")
-    return grouped(docs, every.select("doc_id", "n_shingles", "cls"), classes.select("cls", "size", "level", "rep"), posts, n, percent)
+    full = every.where(F.col("cls").isNotNull())  # a set's hash decides its size, level and prefix
+    classes = staged(full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.max("level").alias("level")), "classes")
+    single = full.select("cls", "prefix").dropDuplicates(["cls"]).select("cls", F.explode("prefix").alias("token"))
+    several = single.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where(F.col("m") > 1).drop("m")
+    posts = staged(several.join(classes.select("cls", "size", "level"), "cls").select("cls", "token", "size", "level"), "postings")
+    return grouped(docs, every.select("doc_id", "n_shingles", "cls"), classes, posts, n, percent)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,3 +104,14 @@ def test_components_of_a_long_path_and_a_star(spark):
     random.Random(1).shuffle(path)
     roots = {r.node: r.root for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert {roots[i] for i in range(100, 161)} == {100} and {roots[i] for i in range(1, 60)} == {1}
+
+
+def test_only_the_sets_of_the_pairs_are_moved(spark):
+    from pyspark.sql import functions as F
+
+    from emberwatch.llm.ngramjoin import sets_in
+
+    who = spark.range(100).select(F.col("id").alias("cls"), F.xxhash64("id").alias("who"))
+    sets = who.select("cls", F.col("cls").cast("string").cast("binary").alias("grams"), "who")
+    got = lambda rows: {r.cls for r in sets_in(spark.createDataFrame(rows, "a long, b long"), sets, who).collect()}
+    assert got([(3, 5), (5, 90), (3, 90)]) == {3, 5, 90} and got([]) == set()
