@@ -16,7 +16,8 @@ item of fewer than SHORT tokens says nothing inside a text; it is found where it
 Native expressions only. A document is tokenised once. A window can only match where each of its tokens stands in some
 benchmark window, so a bit table of fixed size over those tokens (collected: BITS bits) tells where windows are hashed at
 all, inside the row, and another one over the benchmark's windows lets only possible matches out of the row; the exact
-join and the slot checks see those alone.
+join and the slot checks see those alone. The tables are literals, and the driver keeps them in every plan and its text,
+so each stands once a reading.
 """
 
 from __future__ import annotations
@@ -56,7 +57,12 @@ def raw_tokens(text: Column) -> Column:
 
 
 def _number(x: Column) -> Column:
-    return (x >= "0") & (x < ":")
+    return (x < ":") & (x >= "0")  # words fail the first test
+
+
+def _plain(kind: Column) -> Column:
+    """Whether it is a word: placeholders begin with '#', no word begins with less than a letter."""
+    return kind >= "A"
 
 
 def kinds(raw: Column) -> Column:
@@ -65,7 +71,7 @@ def kinds(raw: Column) -> Column:
     low = F.lower
     return F.transform(raw, lambda x, i: (
         F.when(x < "A", F.when(_number(x), F.lit("#n")).otherwise(F.lit("#u")))  # digits, % and $
-        .when(F.coalesce(_number(F.get(raw, i - 1)), F.lit(False)) & F.array_contains(units, low(x)), F.lit("#u"))
+        .when(_number(F.get(raw, i - 1)) & F.array_contains(units, low(x)), F.lit("#u"))  # null before the first
         .when(low(x) == x, F.when(x.isin("€", "£"), F.lit("#u")).otherwise(x))
         .when(F.upper(x) == x, low(x)).otherwise(F.lit("#p"))))
 
@@ -77,7 +83,7 @@ def _starts(raw: Column, kind: Column) -> Column:
         k, before = F.get(kind, i), F.get(kind, i - 1)
         return ((k == "#p") & (before == "#p")) | ((k == "#u") & (before == "#n")) | ((k == "#n") & F.get(raw, i - 1).isin("$", "€", "£"))
 
-    return F.filter(F.sequence(F.lit(0), F.size(kind) - 1), lambda i: (i == 0) | ~goes_on(i))
+    return F.filter(F.sequence(F.lit(0), F.size(kind) - 1), lambda i: _plain(F.get(kind, i)) | (i == 0) | ~goes_on(i))
 
 
 def read(df: DataFrame, keys: list) -> DataFrame:
@@ -106,9 +112,10 @@ def template_codes(kind: Column, at: Column) -> Column:
     return template_tokens(kind, at, F.xxhash64)
 
 
-def literal_codes(raw: Column) -> Column:
-    """Hash of every token as it is written, but for its case; never that of a template token."""
-    return F.transform(raw, lambda x: F.xxhash64(F.lower(x), F.lit(1)))
+def literal_codes(raw: Column, kind: Column) -> Column:
+    """Hash of every token as it is written, but for its case (a plain token's kind is just that); never that of a template
+    token."""
+    return F.transform(kind, lambda k, i: F.xxhash64(F.when(_plain(k), k).otherwise(F.lower(F.get(raw, i))), F.lit(1)))
 
 
 def window_hash(codes: str, start: Column, size: int) -> Column:
@@ -126,7 +133,7 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     """item_id, literal, n_tokens, size, ipos, h, of (its codes), b_raw, b_tok of every window of every item in both readings; an item
     shorter than the window is one window of its own size. Template windows need enough plain words."""
     items = read(benchmark.where(F.col("text").isNotNull()), ["item_id"])
-    items = barrier(barrier(items, "codes", template_codes(F.col("kind"), F.col("at"))), "words", literal_codes(F.col("raw")))
+    items = barrier(barrier(items, "codes", template_codes(F.col("kind"), F.col("at"))), "words", literal_codes(F.col("raw"), F.col("kind")))
     items = staged(items.withColumn("tok", template_tokens(F.col("kind"), F.col("at"))), "benchmark-items")
     size_of = lambda c: F.least(F.size(c), F.lit(window))
     sizes = items.select(F.explode(F.array(F.struct(size_of("codes").alias("size"), F.lit(False).alias("literal")),
@@ -159,9 +166,9 @@ def _bit(h: Column, probe: int) -> Column:
     return F.shiftrightunsigned(h, 20 * probe).bitwiseAND(F.lit(BITS - 1))
 
 
-def bit_table(hashes: DataFrame) -> Column:
-    """A literal array of BITS // 64 words with PROBES bits set for every h."""
-    bits = hashes.select(F.explode(F.array(*[_bit(F.col("h"), p) for p in range(PROBES)])).alias("bit"))
+def bit_table(hashes: DataFrame, probes: int = PROBES) -> Column:
+    """A literal array of BITS // 64 words with `probes` bits set for every h."""
+    bits = hashes.select(F.explode(F.array(*[_bit(F.col("h"), p) for p in range(probes)])).alias("bit"))
     words = [0] * (BITS // 64)
     for r in bits.groupBy(F.shiftright("bit", 6).alias("w")).agg(
             F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("v")).collect():  # at most BITS // 64 rows
@@ -169,16 +176,20 @@ def bit_table(hashes: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
 
 
+def _has(bits: Column, word: Column, at: Column) -> Column:
+    return F.getbit(F.get(bits, word.bitwiseAND(F.lit(BITS // 64 - 1)).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def maybe(h: Column, bits: Column) -> Column:
     """Whether the bit table has all bits of h."""
-    one = lambda p: F.getbit(F.get(bits, F.shiftright(_bit(h, p), 6).cast("int")), _bit(h, p).bitwiseAND(F.lit(63)).cast("int")) == 1
-    parts = [one(p) for p in range(PROBES)]
-    return parts[0] & parts[1] & parts[2]
+    return F.forall(F.array(*[F.shiftrightunsigned(h, 20 * p) for p in range(PROBES)]), lambda x: _has(bits, F.shiftrightunsigned(x, 6), x))
 
 
 def places(codes: str, tokens: Column) -> Column:
-    """Positions of the codes that the bit table `tokens` may have, ascending."""
-    return F.filter(F.transform(codes, lambda x, i: F.when(maybe(x, tokens), i)), lambda i: i.isNotNull())
+    """Positions of the codes that the bit table `tokens` may have, ascending. One bit tells: tokens are few, and this is
+    asked of every token of every text."""
+    return F.when(F.size(codes) > 0, F.filter(F.sequence(F.lit(0), F.size(codes) - 1), lambda i: _has(
+        tokens, F.shiftrightunsigned(F.get(codes, i), 6), F.get(codes, i)))).otherwise(F.array().cast("array<int>"))
 
 
 def starts_of(spots: str, size: int) -> Column:
@@ -198,13 +209,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     ignored, whatever their names; texts of any length are read whole; an empty table gives no rows."""
     known = staged(benchmark_windows(benchmark, window), "benchmark-windows")
     used = sorted((r.size, r.literal) for r in known.select("size", "literal").distinct().collect())  # at most 2 x window
-    bits, tokens = bit_table(known.select("h")), bit_table(known.select(F.explode("of").alias("h")))
+    bits, tokens = bit_table(known.select("h")), bit_table(known.select(F.explode("of").alias("h")), 1)
     known = known.drop("of")
     rows = read(docs.where(F.col("text").isNotNull()), ["doc_id", F.crc32("text").alias("text_crc32")])
     if any(not literal for _, literal in used):
         rows = barrier(rows, "codes", template_codes(F.col("kind"), F.col("at")))
     if any(literal for _, literal in used):
-        rows = barrier(rows, "words", literal_codes(F.col("raw")))
+        rows = barrier(rows, "words", literal_codes(F.col("raw"), F.col("kind")))
 
     for source in sorted({"words" if literal else "codes" for _, literal in used}):
         rows = barrier(rows, f"{source}_in", places(source, tokens))

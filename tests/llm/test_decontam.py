@@ -129,3 +129,17 @@ def test_windows_are_hashed_only_where_all_tokens_are_known(spark):
     got = rows.select(places("codes", bit_table(known.select(F.xxhash64("h").alias("h")))).alias("none"),
                       places("codes", bit_table(known)).alias("spots")).withColumn("two", starts_of("spots", 2)).withColumn("three", starts_of("spots", 3))
     assert [(r.none, r.spots, r.two, r.three) for r in got.collect()] == [([], [1, 2, 3, 5, 6], [1, 2, 5], [1]), ([], [], [], []), ([], [], [], [])]
+
+
+def test_bit_tables_stand_once_and_lose_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from emberwatch.llm.decontam import PROBES, bit_table, maybe, places
+
+    assert str(maybe(F.col("h"), F.col("bits"))).count("bits") == 1 and str(places("codes", F.col("bits"))).count("bits") == 1
+    known = spark.range(500).select(F.xxhash64("id").alias("h"))
+    codes = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.xxhash64(i.cast("long"))).alias("codes"))
+    for probes in (1, PROBES):
+        spots = codes.select(places("codes", bit_table(known, probes)).alias("x")).first().x
+        assert spots[:500] == list(range(500)) and len(spots) < 520
+    assert known.where(maybe(F.col("h"), bit_table(known))).count() == 500
