@@ -17,7 +17,7 @@ Native expressions only. A document is tokenised once. A window can only match w
 benchmark window, so a bit table of fixed size over those tokens (collected: BITS bits) tells where windows are hashed at
 all, inside the row, and another one over the benchmark's windows lets only possible matches out of the row; the exact
 join and the slot checks see those alone. The tables are literals, and the driver keeps them in every plan and its text,
-so each stands once a reading.
+so they stand there as rarely as can be.
 """
 
 from __future__ import annotations
@@ -228,10 +228,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     for size, literal in used:
         source = "words" if literal else "codes"
         windows = F.transform(starts_of(f"{source}_in", size), window(source, size, literal))
-        hits = F.filter(windows, lambda x: maybe(x["h"], bits))
-        found.append(F.when(F.size(source) == size, hits).otherwise(none) if size < SHORT else hits)
+        found.append(F.when(F.size(source) == size, windows).otherwise(none) if size < SHORT else windows)
     # behind a barrier, or the filter that Spark infers for an explode would make all of it a second time
-    rows = barrier(rows, "hits", F.concat(*found))
+    rows = barrier(rows, "hits", F.filter(F.concat(*found), lambda x: maybe(x["h"], bits)))
     seen = rows.select("doc_id", "text_crc32", "raw", "at", F.explode("hits").alias("x")).select(
         "doc_id", "text_crc32", "x.*", F.when(~F.col("x.literal"), values(F.col("raw"), F.col("at"), F.col("x.pos"), F.col("x.size"))).alias("d_raw"))
     hits = staged(seen.join(known, ["h", "size", "literal"]).withColumn("diag", F.col("pos") - F.col("ipos")).distinct(), "template-hits")
