@@ -32,18 +32,19 @@ def _top_k(scored: DataFrame, k: int, *, part: Sequence[str] = ("query_id",), id
 
 
 def knn(q: DataFrame, corpus: DataFrame, *, k: int, qvec: str = "query_vec", cvec: str = "embedding",
-        query_blocks: int | None = None, corpus_blocks: int | None = None) -> DataFrame:
-    """R-02: exact cosine top-k per query; ties broken by chunk_id. A stated query set against all rows, in blocks."""
-    return _top_k(search(q, corpus, k=k, qvec=qvec, cvec=cvec, query_blocks=query_blocks, corpus_blocks=corpus_blocks), k)
+        query_blocks: int | None = None, corpus_blocks: int | None = None, stay: bool = False) -> DataFrame:
+    """R-02: exact cosine top-k per query; ties broken by chunk_id. A stated query set against all rows, in blocks (with
+    `stay`, the queries come to the rows)."""
+    return _top_k(search(q, corpus, k=k, qvec=qvec, cvec=cvec, query_blocks=query_blocks, corpus_blocks=corpus_blocks, stay=stay), k)
 
 
 def knn_filtered(q: DataFrame, corpus: DataFrame, *, k: int, equal: dict[str, object],
-                 qvec: str = "query_vec", cvec: str = "embedding") -> DataFrame:
+                 qvec: str = "query_vec", cvec: str = "embedding", stay: bool = False) -> DataFrame:
     """R-03: top-k among corpus rows whose payload equals the given values (filter before the join)."""
     c = corpus
     for col, val in equal.items():
         c = c.where(F.col(col) == F.lit(val))
-    return knn(q, c, k=k, qvec=qvec, cvec=cvec)
+    return knn(q, c, k=k, qvec=qvec, cvec=cvec, stay=stay)
 
 
 def knn_per_service(q: DataFrame, corpus: DataFrame, *, k: int = 3, services: str = "affected_services",
@@ -156,12 +157,13 @@ def render(hits: DataFrame, incidents: DataFrame, registry: DataFrame, runbooks:
     return j.select(*hits.columns, txt.alias("evidence"))
 
 
-def gather(q: DataFrame, corpus: DataFrame, *, deploy_window_s: int = 120 * 60) -> DataFrame:
+def gather(q: DataFrame, corpus: DataFrame, *, deploy_window_s: int = 120 * 60, also: Sequence[str] = ()) -> DataFrame:
     """R-13: the five searches for a batch of incident requests, unioned by name:
     (with a `collection` column in `q`, each search takes its own request row)
     incidents (filtered resolved+production, top 20 -> best per doc -> 5), runbooks (top 10 -> boost -> 5),
-    architecture (per service, 3), deployments (per service in the time window, 5), postmortems (5)."""
-    cols = ["query_id", "collection", "chunk_id", "doc_id", "score", "rank", "content"]
+    architecture (per service, 3), deployments (per service in the time window, 5), postmortems (5). `also`: further
+    columns of the corpus that hits carry."""
+    cols = ["query_id", "collection", "chunk_id", "doc_id", "score", "rank", "content", *also]
     own = "collection" in q.columns  # a request text, and so a vector, per search
 
     def coll(name):
@@ -170,15 +172,15 @@ def gather(q: DataFrame, corpus: DataFrame, *, deploy_window_s: int = 120 * 60)
     def asked(name):
         return q.where(F.col("collection") == name).drop("collection") if own else q
 
-    inc = best_per_doc(knn_filtered(asked("incidents"), coll("incidents"), k=20, equal={"environment": "production", "resolved": True}),
+    inc = best_per_doc(knn_filtered(asked("incidents"), coll("incidents"), k=20, equal={"environment": "production", "resolved": True}, stay=True),
                        k=5).withColumn("collection", F.lit("incidents"))
     rb = knn(asked("runbooks"), coll("runbooks").withColumn("services", F.array("service_name"))
-                                .withColumn("anomaly_types", F.array("anomaly_type")), k=10)
+                                .withColumn("anomaly_types", F.array("anomaly_type")), k=10, stay=True)
     rb = boost(rb, k=5).withColumn("collection", F.lit("runbooks"))
     arch = knn_per_service(asked("architecture"), coll("architecture"), k=3).withColumn("collection", F.lit("architecture"))
     dep = knn_per_service(asked("deployments"), coll("deployments"), k=5, window_s=("query_epoch", "epoch", deploy_window_s))\
         .withColumn("collection", F.lit("deployments"))
-    pm = knn(asked("postmortems"), coll("postmortems"), k=5).withColumn("collection", F.lit("postmortems"))
+    pm = knn(asked("postmortems"), coll("postmortems"), k=5, stay=True).withColumn("collection", F.lit("postmortems"))
     out = inc.select(*cols)
     for part in (rb, arch, dep, pm):
         out = out.unionByName(part.select(*cols))
@@ -211,16 +213,28 @@ _READS = {"incidents": [], "runbooks": ["q_type", "affected_services"], "archite
           "deployments": ["affected_services", "query_epoch"], "postmortems": []}
 
 
+HELD_KINDS = 1 << 16  # kinds of requests whose ids are broadcast; more are joined
+
+
 def alike(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests (query_id, collection, query_vec, q_type, affected_services, query_epoch) that their search cannot tell
     apart: the rows of one request of each kind (the smallest query_id), and all requests as (query_id, collection,
     same_as). Requests are embedded texts, and many incidents say the same; each is searched once."""
+    from emberwatch.session import stage
+
     read = [F.when(F.col("collection").isin(*[c for c, used in _READS.items() if name in used]), F.col(name)).alias(name)
             for name in ("q_type", "affected_services", "query_epoch")]
-    per = asked.groupBy("query_id", "collection").agg(F.sort_array(F.collect_list(F.struct("query_vec", *read))).alias("ask"))
-    kinds = per.groupBy("collection", "ask").agg(F.min("query_id").alias("same_as"))
+    own = asked.select("query_id", "collection", "query_vec", *read)
+    # 128 bits stand for what is asked, so that vectors are neither shuffled nor compared as such
+    what = ["query_vec", "q_type", "affected_services", "query_epoch"]
+    digest = F.struct(F.xxhash64(*what).alias("a"), F.xxhash64(F.lit(1), *what).alias("b"))
+    per = stage(own.groupBy("query_id", "collection").agg(F.sort_array(F.collect_list(digest)).alias("ask")), "asks")
+    kinds = stage(per.groupBy("collection", "ask").agg(F.min("query_id").alias("same_as")), "kinds")
     members = per.join(kinds, ["collection", "ask"]).select("query_id", "collection", "same_as")
-    return kinds.select(F.col("same_as").alias("query_id"), "collection", F.inline("ask")), members
+    first = kinds.select(F.col("same_as").alias("__q"), F.col("collection").alias("__c"))
+    first = F.broadcast(first) if first.count() <= HELD_KINDS else first
+    requests = own.join(first, F.col("query_id").eqNullSafe(F.col("__q")) & (F.col("collection") == F.col("__c")), "left_semi")
+    return requests.select("query_id", "collection", *what), members
 
 
 def embed_fit(docs: DataFrame, *, text: str = "content", features: int = 1 << 12):

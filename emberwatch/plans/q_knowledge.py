@@ -292,9 +292,8 @@ def q_seed_search(spark, sf):
                           F.floor(F.col("detection_time") / 1000).cast("long").alias("query_epoch")))
     asked = stage(R.embed(R.request_texts(still_open).withColumnRenamed("query_text", "text"), model, out="query_vec").drop("text"), "asked")
     requests, members = R.alike(asked)
-    hits = stage(R.gather(stage(requests, "requests"), store, deploy_window_s=48 * 3600), "hits")
-    about = store.select("collection", "chunk_id", "service_name")
-    found = R.gather_evidence(hits.join(about, ["collection", "chunk_id"]), **QR._records(spark, sf, text_ids=True))
+    hits = stage(R.gather(stage(requests, "requests"), store, deploy_window_s=48 * 3600, also=["service_name"]), "hits")
+    found = R.gather_evidence(hits.where(F.col("chunk_id").isNotNull()), **QR._records(spark, sf, text_ids=True))
     found = stage(found.select(F.col("query_id").alias("same_as"), "collection", "chunk_id", "doc_id", "rank",
                                F.substring("evidence", 1, 60).alias("evidence_head"), "tokens"), "evidence").alias("f")
     to = (F.col("m.collection") == F.col("f.collection")) & F.col("m.same_as").eqNullSafe(F.col("f.same_as"))
