@@ -6,6 +6,7 @@ Kafka paths are written against the public `kafka` source/sink; files are the te
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -163,11 +164,72 @@ def write_markdown(docs: DataFrame, path: str, *, folders: int = 64) -> int:
     return placed.mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+#: What a file's row tells of it, named as Spark's hidden column of a file source names it.
+_ABOUT_FILE = ("struct<file_path:string,file_name:string,file_size:bigint,file_block_start:bigint,file_block_length:bigint,"
+               "file_modification_time:timestamp>")
+_NAMED = 10_000      # paths of a glob that are handed to tasks by name
+_READ_BYTES = 4 << 20  # texts of one Arrow batch
+
+
+def _matching(spark: SparkSession, glob: str) -> list[str]:
+    """The URIs that match a glob (as Hadoop reads it), if they are at most _NAMED and tasks can open them."""
+    from pyarrow import fs as afs
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    if not found or len(found) > _NAMED:
+        return []
+    uris = [re.sub("^file:/(?!/)", "file:///", x.getPath().toUri().toString()) for x in found]
+    try:
+        afs.FileSystem.from_uri(uris[0])
+    except (ValueError, NotImplementedError, OSError):  # a store that only Spark reads
+        return []
+    return uris
+
+
+def _whole_files(batches):
+    """The files right below each path (or the path itself), hidden ones left out, with what Spark tells of a file."""
+    import pyarrow as pa
+    from pyarrow import fs as afs
+
+    hidden = lambda name: name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+    quoted = lambda path: re.sub("[\\x00-\\x20\\x7f\"#%<>?\\[\\\\\\]^`{|}]", lambda m: f"%{ord(m[0]):02X}", path)
+    about = pa.struct([("file_path", pa.string()), ("file_name", pa.string()), ("file_size", pa.int64()), ("file_block_start", pa.int64()),
+                       ("file_block_length", pa.int64()), ("file_modification_time", pa.timestamp("us", "UTC"))])
+    values, files, size = [], [], 0
+    for uri in (u for batch in batches for u in batch.column(0).to_pylist()):
+        fs, base = afs.FileSystem.from_uri(uri)
+        top = fs.get_file_info(base)
+        listed = [top] if top.is_file else fs.get_file_info(afs.FileSelector(base, recursive=True))
+        store = uri[:len(uri) - len(quoted(base))] if uri.endswith(quoted(base)) else ""
+        for f in listed:
+            *folders, name = [f.base_name] if f is top else f.path[len(base):].strip("/").split("/")
+            if not f.is_file or hidden(name) or any("=" not in d or d.startswith(".") for d in folders):  # a table's own folders are key=value
+                continue
+            with fs.open_input_stream(f.path) as data:
+                value = data.read()
+            values.append(value)
+            files.append({"file_path": store + quoted(f.path), "file_name": quoted(name), "file_size": f.size, "file_block_start": 0,
+                          "file_block_length": f.size, "file_modification_time": f.mtime})
+            size += len(value) + 256
+            if size >= _READ_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary()), pa.array(files, about)], ["value", "_metadata"])
+                values, files, size = [], [], 0
+    if values:
+        yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary()), pa.array(files, about)], ["value", "_metadata"])
+
+
 def load_markdown(spark: SparkSession, glob: str, stem: Column | None = None) -> DataFrame:
     """S-10: one row per markdown file of the paths or folders that match: (stem, text). Name folders rather than files where
-    there are many: folders are listed by tasks. Whole files, never split by line. The stem is the file's name
-    without `.md`, or the given expression over the hidden column `_metadata`."""
-    df = spark.read.text(glob, wholetext=True)
+    there are many: the driver knows the folders alone, tasks list them and read their files. (Spark's own reader, which
+    holds every file and its share of a task on the driver, is left for stores that only Spark opens.) Whole files, never
+    split by line. The stem is the file's name without `.md`, or the given expression over the hidden column `_metadata`."""
     if stem is None:
         stem = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.md$", "")
+    roots = _matching(spark, glob)
+    if roots:
+        paths = spark.createDataFrame(spark.sparkContext.parallelize([(u,) for u in roots], min(len(roots), 1024)), "path string")
+        df = paths.mapInArrow(_whole_files, f"value binary, _metadata {_ABOUT_FILE}").withColumn("value", F.col("value").cast("string"))
+    else:
+        df = spark.read.text(glob, wholetext=True)
     return df.select(stem.alias("stem"), F.col("value").alias("text"))
