@@ -37,6 +37,7 @@ DRIFT = 16           # diagonals of one alignment lie this near to each other
 CONSISTENT = 0.75    # share of its slot values that are filled the same everywhere
 BITS = 1 << 19
 PROBES = 3           # bits per window; 20 * (PROBES - 1) + 19 is below 64
+HELD = 1 << 16       # benchmark windows that every task holds; more are joined by a shuffle
 
 #: Units that count as such after a number.
 UNITS = ("%", "mm", "cm", "dm", "m", "km", "mg", "g", "kg", "t", "ml", "cl", "l", "s", "sec", "second", "seconds", "min",
@@ -211,6 +212,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     used = sorted((r.size, r.literal) for r in known.select("size", "literal").distinct().collect())  # at most 2 x window
     bits, tokens = bit_table(known.select("h")), bit_table(known.select(F.explode("of").alias("h")), 1)
     known = known.drop("of")
+    known = F.broadcast(known) if known.count() <= HELD else known  # else the windows found are shuffled with what fills them
     rows = read(docs.where(F.col("text").isNotNull()), ["doc_id", F.crc32("text").alias("text_crc32")])
     if any(not literal for _, literal in used):
         rows = barrier(rows, "codes", template_codes(F.col("kind"), F.col("at")))
@@ -233,7 +235,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     rows = barrier(rows, "hits", F.filter(F.concat(*found), lambda x: maybe(x["h"], bits)))
     seen = rows.select("doc_id", "text_crc32", "raw", "at", F.explode("hits").alias("x")).select(
         "doc_id", "text_crc32", "x.*", F.when(~F.col("x.literal"), values(F.col("raw"), F.col("at"), F.col("x.pos"), F.col("x.size"))).alias("d_raw"))
-    hits = staged(seen.join(known, ["h", "size", "literal"]).withColumn("diag", F.col("pos") - F.col("ipos")).distinct(), "template-hits")
+    # rows may come more than once, if documents or items do: everything below is a set, a minimum or a maximum of them
+    hits = staged(seen.join(known, ["h", "size", "literal"]).withColumn("diag", F.col("pos") - F.col("ipos")), "template-hits")
     # diagonals within DRIFT of each other lie in one band, as every band overlaps the next by half
     band = F.floor(F.col("diag") / DRIFT)
     hits = hits.withColumn("band", F.explode(F.array(band, band + 1)))
